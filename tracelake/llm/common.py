@@ -41,18 +41,22 @@ def parallel(spark: SparkSession) -> int:
     return max(8, shuffle_partitions(spark))
 
 
-def rank_in_groups(df: DataFrame, keys: list[str], hashed: Column, ties: list[Column], out: str, bucket_bits: int = 8) -> DataFrame:
+def rank_in_groups(df: DataFrame, keys: list[str], hashed: Column, ties: list[Column], out: str, bucket_bits: int = 8, extra: DataFrame | None = None) -> DataFrame:
     """Adds ``out``: gapless ranks from 0 within ``keys`` in the order of (hashed, ties).
 
     No group is ever sorted in one task: rows are numbered within slices of
     the hash range, and slice counts (2**bucket_bits a group at most) give the
     offsets. ``keys`` must not be null. ``df`` is read twice, so pass a
     written table. Rows equal in everything ordered on may swap ranks.
+    ``extra`` adds its columns by ``keys``; it joins the slices, not the rows,
+    so that a frequent key is no hot key of that join.
     """
     df = df.withColumn("_h", hashed).withColumn("_b", F.shiftrightunsigned("_h", 64 - bucket_bits).cast("int"))
     counts = df.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    if extra is not None:
+        offsets = offsets.join(extra, keys)
     within = Window.partitionBy(*keys, "_b").orderBy("_h", *ties)
     joined = df.join(offsets, [*keys, "_b"])
     return joined.withColumn(out, F.col("_o") + F.row_number().over(within).cast("long") - 1).drop("_h", "_b", "_o")
