@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import packing, quality_classifier, quality_rules, secret_scan, sharding, source_mix, topk_search
+from tracelake.llm import packing, quality_classifier, quality_rules, secret_scan, sharding, source_mix, topk_search, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,6 +78,13 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(spark, table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@registered
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives and an index, and every capture read back through it."""
+    blocks, _, folder = warc.archived(spark, table(spark, sf_dir, "pages"))
+    return warc.read_records(spark, warc.unpacked(blocks), folder).drop("url", "payload")
+
+
 @registered
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document by patterns and by entropy."""
