@@ -149,7 +149,8 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
     shards = max(1, -(-vectors.count() // shard_rows))
     blocks = max(1, -(-queries.count() // block_rows))
     dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
-    asked = queries.withColumn("home", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
+    # Fresh columns: queries and vectors come from the same table.
+    asked = queries.select(*(F.col(c).alias(f"q_{c}") for c in queries.columns)).toDF(*queries.columns).withColumn("home", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
     at_home = asked.withColumn("floor", F.lit(None).cast("long")).withColumnRenamed("home", "shard")
     tasks = parallel(spark)
 
