@@ -77,10 +77,6 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-#: Odd multipliers for hashing a window of words; any odd numbers do.
-_ODD = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) % 2**64 | 1 for i in range(64)], np.uint64)
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     """A finaliser that spreads every input bit over all 64."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -88,6 +84,11 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: Odd multipliers without a pattern, one for each place in a window; related
+#: ones would give different windows of the same words equal sums.
+_ODD = mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
+
+
 def windows(word_hashes: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all windows of k words (none if there are fewer words)."""
     n = len(word_hashes) - k + 1

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import packing, quality_classifier, quality_rules, secret_scan, sharding, source_mix, topk_search, warc
+from tracelake.llm import ngram_join, packing, quality_classifier, quality_rules, secret_scan, sharding, source_mix, topk_search, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,6 +53,33 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+@registered
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose word 5-gram sets have Jaccard similarity 0.75."""
+    return ngram_join.join(spark, table(spark, sf_dir, "documents"))
+
+
+ORACLES["op3_ngram_join"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                             '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 4), ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+r AS (SELECT g FROM s GROUP BY g HAVING count(*) > 1),
+f AS (SELECT s.doc_id, s.g FROM s JOIN r USING (g)),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS o FROM f a JOIN f b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * o >= 75 * (x.n + y.n - o)),
+e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+c(node, seen) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.v, c.seen FROM c JOIN e ON e.u = c.node AND c.seen < e.v)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, coalesce(k.n_links, 0) AS n_links
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
+LEFT JOIN (SELECT node, min(seen) AS component_id FROM c GROUP BY node) m ON m.node = d.doc_id
+LEFT JOIN (SELECT u, count(*) AS n_links FROM e GROUP BY u) k ON k.u = d.doc_id
+"""
+
+
 @registered
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 8 shards of nearly equal bytes; equal texts stay together."""
