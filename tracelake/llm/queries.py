@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import ngram_join, packing, quality_classifier, quality_rules, secret_scan, sharding, source_mix, topk_search, warc
+from tracelake.llm import ngram_join, packing, passage_dedup, quality_classifier, quality_rules, secret_scan, sharding, source_mix, topk_search, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -105,6 +105,12 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(spark, table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@registered
+def op8_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that repeat across documents, also with small changes."""
+    return passage_dedup.passages(spark, table(spark, sf_dir, "documents"))
+
+
 @registered
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to archives and an index, and every capture read back through it."""
