@@ -160,6 +160,8 @@ def cleaned(spark: SparkSession, docs: DataFrame, text: str = "text", doc_id: st
             out.append(t if t is None or not gone else "\n".join(x for x in t.split("\n") if not x.split() or line_hash(x.encode()) not in gone))
         return pd.Series(out, dtype=object)
 
-    own = F.when(F.col(host).isNull(), "0").otherwise(F.concat(F.lit("1"), F.col(host).cast("string")))
-    joined = docs.withColumn("_key", own).join(lists.withColumnRenamed("host_key", "_key"), "_key", "left")
-    return joined.withColumn(text, without(F.col(text), F.col("_lines"))).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"))  # one column, whatever the names in it
+    own = F.when(F.col(f"row.{host}").isNull(), "0").otherwise(F.concat(F.lit("1"), F.col(f"row.{host}").cast("string")))
+    joined = rows.withColumn("host_key", own).join(lists, "host_key", "left")
+    new = without(F.col(f"row.{text}"), F.col("_lines"))
+    return joined.select(*(new.alias(c) if c == text else F.col(f"row.{c}") for c in docs.columns))

@@ -133,7 +133,7 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, text: str = "text", do
 
     Rows are matched by doc_id; rows that share one get the larger number.
     """
-    copies = mix(spark, docs, text, doc_id, source, seed).groupBy("doc_id").agg(F.max("copies").cast("int").alias("_copies"))
-    joined = docs.join(copies, docs[doc_id].eqNullSafe(copies["doc_id"])).drop(copies["doc_id"])
-    repeated = joined.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return repeated.select(*docs.columns)
+    copies = mix(spark, docs, text, doc_id, source, seed).groupBy("doc_id").agg(F.max("copies").cast("int").alias("copies"))
+    rows = docs.select(F.struct("*").alias("row"))  # one column, whatever the names in it
+    joined = rows.join(copies.where("copies > 0"), F.col(f"row.{doc_id}").eqNullSafe(F.col("doc_id")))
+    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
