@@ -22,6 +22,7 @@ further columns are left out.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -40,14 +41,20 @@ SEGMENTS = "length long, low long, high long, first long, per long, base long, s
 
 
 class Encoder:
-    """Token ids of texts, as little-endian bytes, remembered by word.
+    """Token ids of texts, as little-endian bytes, remembered by chunk and by word.
 
     The tokenizer splits at white space and never joins across it, so a
-    text's ids are those of its space-separated chunks in a row. Only chunks
-    not seen yet are tokenised; the memory is bounded.
+    text's ids are those of its space-separated chunks in a row. A chunk of
+    plain characters falls into words as the tokenizer's own rule has it
+    (letters, single digits, other signs), and all words not seen yet are
+    tokenised at once; other chunks are tokenised whole. Both memories are
+    bounded.
     """
 
-    LIMIT = 300_000
+    CHUNKS, WORDS = 400_000, 800_000
+    #: Words of lower-case characters for which that rule is sure: no
+    #: apostrophes, and nothing that normalisation changes.
+    WORD = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
     ready: dict[str, Encoder] = {}
 
     def __init__(self, path: str) -> None:
@@ -55,7 +62,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.chunks: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -66,14 +77,39 @@ class Encoder:
 
     def __call__(self, text: str) -> bytes:
         chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        new = [c for c in set(chunks) if c not in self.known]
+        new = set(chunks).difference(self.chunks)
         if new:
-            if len(self.known) + len(new) > self.LIMIT:
-                self.known = {"": b""}
-                new = list(set(chunks))
-            encoded = self.tokenizer.encode_batch(new, add_special_tokens=False)
-            self.known.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(new, encoded, strict=True))
-        return b"".join(map(self.known.__getitem__, chunks))
+            if len(self.chunks) + len(new) > self.CHUNKS:
+                self.chunks, new = {"": b""}, set(chunks) - {""}
+            self._learn(new)
+        return b"".join(map(self.chunks.__getitem__, chunks))
+
+    def _learn(self, new: set[str]) -> None:
+        plain, known = {}, self.words
+        words: dict[str, None] = {}
+        for chunk in new:
+            low = chunk.lower()
+            parts = self.WORD.findall(low)
+            if sum(map(len, parts)) == len(low) and "<|" not in low:
+                plain[chunk] = parts
+                for w in parts:
+                    if w not in known:
+                        words[w] = None
+            else:
+                ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
+                self.chunks[chunk] = np.array(ids, "<u4").tobytes()
+        if len(self.words) + len(words) > self.WORDS:
+            self.words = {}
+            words = {w: None for parts in plain.values() for w in parts}
+        if words:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+            ends = 4 * (np.flatnonzero(self.last[ids]) + 1)
+            raw, at = ids.tobytes(), 0
+            for word, end in zip(words, ends.tolist(), strict=True):
+                self.words[word] = raw[at:end]
+                at = end
+        for chunk, parts in plain.items():
+            self.chunks[chunk] = b"".join([self.words[w] for w in parts])
 
 
 def pieces(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", length: int = SEQUENCE, keep_ids: bool = False) -> DataFrame:
