@@ -113,9 +113,10 @@ def op8_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages written to archives and an index, and every capture read back through it."""
-    blocks, _, folder = warc.archived(spark, table(spark, sf_dir, "pages"))
-    return warc.read_records(spark, warc.unpacked(blocks), folder).drop("url", "payload")
+    """All pages written to archives and an index; every page's url looked up there and read back."""
+    pages = table(spark, sf_dir, "pages")
+    blocks, directory, folder = warc.archived(spark, pages)
+    return warc.lookup(spark, pages, blocks, directory, folder).drop("url", "payload")
 
 
 @registered

@@ -46,11 +46,12 @@ def url_key(url: str | None) -> str:
     """Host labels reversed, then path and query: com,example)/a?b."""
     if not url:
         return ""
+    url = re.sub(r"[\t\r\n]", " ", url.strip().lower())
     try:
-        parts = urlsplit(url.strip().lower())
+        parts = urlsplit(url)
         host, port = parts.hostname or "", parts.port
     except ValueError:
-        return url.strip().lower()
+        return url
     labels = ",".join(reversed(host.removeprefix("www.").split(".")))
     query = f"?{'&'.join(sorted(parts.query.split('&')))}" if parts.query else ""
     return f"{labels}{f':{port}' if port and port not in (80, 443) else ''}){parts.path or '/'}{query}"
@@ -252,7 +253,7 @@ def lookup(spark: SparkSession, urls: DataFrame, blocks: DataFrame, directory: D
     The directory has an entry for LINES captures; up to DIRECTORY entries it
     is held by every task, beyond that blocks are found by a range join.
     """
-    key = F.udf(url_key, "string")
+    key = F.pandas_udf(lambda urls: urls.map(url_key), "string", F.PandasUDFType.SCALAR)
     wanted = urls.select(key(F.col(url)).alias("key")).distinct()
     if directory.count() <= DIRECTORY:
         held = directory.orderBy("block").toPandas()
