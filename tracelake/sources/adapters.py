@@ -38,7 +38,7 @@ def usage_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     model = F.element_at(F.array(*map(F.lit, MODELS)), (F.col("l_partkey") % len(MODELS) + 1).cast("int"))
     return li.select(
-        (F.col("l_orderkey") % 997).alias("session"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("turn"),
+        (F.col("l_orderkey") % 997).alias("session"), F.expr("((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey % 10000").alias("turn"),
         F.when(F.col("l_partkey") % 13 != 0, model).alias("model"),
         F.when(F.col("l_returnflag") == "A", "estimated").otherwise("api").alias("data_source"),
         F.when(F.col("l_suppkey") % 5 != 0, F.col("l_linestatus")).alias("service_tier"),
@@ -51,7 +51,7 @@ def usage_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Model names that the ledger carries.
 MODELS = ("claude-opus-4-1", "anthropic/claude-sonnet-4-5", "gpt-5-mini", "o3-mini", "gemini-2.5-pro", "mystery-1", "gpt-4.1-mini-2025")
-USAGE_SQL = f"""(SELECT l_orderkey % 997 AS session, l_orderkey * 10 + l_linenumber AS turn,
+USAGE_SQL = f"""(SELECT l_orderkey % 997 AS session, ((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey % 10000 AS turn,
   CASE WHEN l_partkey % 13 <> 0 THEN ({list(MODELS)})[CAST(l_partkey % {len(MODELS)} + 1 AS INTEGER)] END AS model,
   CASE WHEN l_returnflag = 'A' THEN 'estimated' ELSE 'api' END AS data_source,
   CASE WHEN l_suppkey % 5 <> 0 THEN l_linestatus END AS service_tier,
