@@ -1,0 +1,93 @@
+"""Text rules as columns. Java's regular expressions run inside the JVM."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Patterns that outcome texts are normalised by, in this order.
+ISO_TIMESTAMP = r"\b\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?\b"
+HOME_PATH = r"/(?:Users|home|var|private|tmp)/(?:[^/\s\"'<>(){}\[\],;]+/)*[^/\s\"'<>(){}\[\],;]+"
+PID_INLINE = r"(?i)\b(pid|process)\s*[:=]?\s*\d+\b"
+PID_BRACKETED = r"\[(\d{2,7})\]"
+ANSI = r"\x1B(?:\[[0-?]*[ -/]*[@-~]|\][^\x07\x1B]*(?:\x07|\x1B\\)?|[@-Z\\-_])"
+CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
+
+# Task types and the words that speak for them; earlier types win ties.
+TASK_WORDS = {
+    "debugging": r"fix|bug|error|broken|crash|issue|traceback|exception|failing|segfault|debug|diagnose|troubleshoot|not working|doesn't work|won't work",
+    "feature": r"add|implement|create|build|new feature|introduce|support for|develop|make a|write a|generate|produce",
+    "refactor": r"refactor|clean\s*up|reorganize|rename|move|restructure|simplify|optimize|improve|update|change|modify|rewrite|rework|adjust|revise",
+    "analysis": r"analyze|analyse|investigate|explore|understand|look at|inspect|audit|figure out|find out|determine|assess|evaluate|compare|benchmark",
+    "testing": r"write tests?|add tests?|test coverage|spec|unit test|integration test|e2e test|end.to.end|test case|test suite|test plan",
+    "documentation": r"document|readme|docstring|comment|changelog|update docs|write docs|api docs|jsdoc|typedoc|sphinx|mkdocs|translate|translation|convert|transform",
+    "review": r"review|check|verify|validate|code review|pull request|pr review|look over|go over|proofread",
+    "configuration": r"set\s*up|setup|configure|install|deploy|provision|initialize|init|bootstrap|scaffold|ci/?cd|docker|kubernetes",
+    "migration": r"migrate|migration|upgrade|downgrade|port|transition|move to|switch to|bump|deprecate",
+    "exploration": r"how does|what is|explain|show me|walk me through|help me understand|tell me about|what are|where is|can you explain|describe",
+}
+
+
+def normalized_outcome(text: Column) -> Column:
+    """Timestamps, home paths and process ids as placeholders, single spaces."""
+    steps = ((ISO_TIMESTAMP, "<TS>"), (HOME_PATH, "<PATH>"), (PID_INLINE, "$1 <PID>"), (PID_BRACKETED, "[<PID>]"), (r"\s+", " "))
+    return F.trim(reduce(lambda t, s: F.regexp_replace(t, *s), steps, F.coalesce(text, F.lit(""))))
+
+
+def without_ansi(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(text, ANSI, ""), CONTROL, "")
+
+
+def anonymized(text: Column, user: str) -> Column:
+    """Home paths and the bare name (4 characters or more) of a user as placeholders.
+
+    Boundaries are ASCII, so that a name next to other scripts is found.
+    """
+    quoted = "\\Q" + user + "\\E"
+    text = F.regexp_replace(text, rf"(?i)(/(?:Users|home)/){quoted}(?![A-Za-z0-9_])", "$1[USER]")
+    return F.regexp_replace(text, rf"(?i)(?<![A-Za-z0-9_]){quoted}(?![A-Za-z0-9_])", "[USER]") if len(user) >= 4 else text
+
+
+def task_type(first: Column, rest: Column) -> Column:
+    """The type with most words found, the first message counting twice; ``general`` without any."""
+    score = {k: 2 * F.regexp_count(first, F.lit(rf"(?i)\b(?:{w})\b")) + F.regexp_count(rest, F.lit(rf"(?i)\b(?:{w})\b")) for k, w in TASK_WORDS.items()}
+    entries = F.array(*(F.struct((-F.coalesce(s, F.lit(0))).alias("s"), F.lit(i).alias("i"), F.lit(k).alias("k")) for i, (k, s) in enumerate(score.items())))
+    best = F.array_min(entries)
+    return F.when(best["s"] < 0, best["k"]).otherwise("general")
+
+
+def error_signature(text: Column) -> Column:
+    """The first line that tells of an error, with paths, hex and numbers collapsed, at most 110 characters."""
+    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
+    telling = F.get(F.filter(lines, lambda x: x.rlike(r"(?i)(error|exception|failed|denied|not found)")), F.lit(0))
+    line = F.coalesce(telling, F.get(F.filter(lines, lambda x: x != ""), F.lit(0)))
+    for pattern, name in ((r"(?:/[\w.-]+){2,}", "<path>"), (r"0x[0-9a-fA-F]+", "<hex>"), (r"\d+", "<n>"), (r"\s+", " ")):
+        line = F.regexp_replace(line, pattern, name)
+    return F.substring(line, 1, 110)
+
+
+def display_title(text: Column) -> Column:
+    """First line without mark-up, cut at a word before 80 characters."""
+    line = F.trim(F.regexp_replace(F.regexp_extract(F.trim(text), r"^([^\n]*)", 1), r"^[#>*\-\s]+", ""))
+    return F.when(F.length(line) <= 80, line).otherwise(F.concat(F.regexp_extract(F.substring(line, 1, 79), r"^(.*)\s", 1), F.lit("…")))
+
+
+def command_category(command: Column) -> Column:
+    """What the last part of a command line runs."""
+    last = F.trim(F.element_at(F.split(command, r"&&|\|\||;"), -1))
+    return F.lower(F.regexp_extract(last, r"^(\S+)", 1))
+
+
+def tokens(text: Column) -> Column:
+    """Search terms: lower case, hyphens and underscores kept."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_-]+"), lambda t: t != "")
+
+
+def shannon_entropy(text: Column) -> Column:
+    """Bits per character."""
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    n = F.size(chars)
+    shares = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)) / n)
+    return -F.aggregate(shares, F.lit(0.0), lambda a, p: a + p * F.log2(p))

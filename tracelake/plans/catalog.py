@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracelake.plans import aggregates, ordered  # noqa: F401
+from tracelake.plans import aggregates, ordered, texts  # noqa: F401
 from tracelake.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
