@@ -1,0 +1,220 @@
+"""Decision queries: eligibility, exclusion reasons, holds, ranked selections, set operations."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracelake.functions.time import age_label, recency_weight
+from tracelake.operators import gates, ranking
+from tracelake.plans.registry import query, table
+from tracelake.sources.adapters import SESSIONS_SQL, sessions
+
+#: The instant that time-dependent decisions are made at.
+NOW_SQL = "TIMESTAMP '1999-06-01 00:00:00'"
+NOW = F.lit("1999-06-01 00:00:00").cast("timestamp_ntz")
+
+
+@query("exclusion_reasons", f"""
+WITH r AS (SELECT session_id, CASE WHEN hold_state = 'pending_review' THEN 'held' WHEN hold_state = 'embargoed' AND embargo_until > CAST({NOW_SQL} AS DATE) THEN 'embargoed' WHEN status = 'P' THEN 'partial'
+ WHEN score IS NULL THEN 'unscored' WHEN score < 3 THEN 'low_score' WHEN ended_at > {NOW_SQL} - INTERVAL 1 DAY THEN 'unstable' WHEN interrupts >= 5 THEN 'interrupted' WHEN outcome = 'abandoned' THEN 'abandoned' ELSE 'eligible' END AS reason FROM {SESSIONS_SQL})
+SELECT reason, count(*) AS n FROM r GROUP BY reason""")
+def exclusion_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reason = gates.exclusion_reason(NOW)
+    return sessions(spark, sf_dir).groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("share_ready", f"""
+WITH e AS (SELECT * FROM {SESSIONS_SQL} WHERE score >= 3 AND status <> 'P' AND hold_state IN ('auto_redacted', 'released') AND ended_at <= {NOW_SQL} - INTERVAL 1 DAY)
+SELECT session_id, score, started_at FROM e ORDER BY score DESC, started_at DESC, session_id LIMIT 10""")
+def share_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recommendations: the best scored sessions that may be shared."""
+    e = sessions(spark, sf_dir).where("score >= 3 AND status <> 'P' AND hold_state IN ('auto_redacted', 'released')").where(F.col("ended_at") <= NOW - F.expr("INTERVAL 1 DAY"))
+    return e.orderBy(F.col("score").desc(), F.col("started_at").desc(), "session_id").limit(10).select("session_id", "score", "started_at")
+
+
+@query("release_gate", f"""
+WITH q AS (SELECT DISTINCT l_orderkey AS session_id FROM lineitem WHERE l_orderkey % 3 = 0 UNION SELECT -1),
+s AS (SELECT * FROM {SESSIONS_SQL})
+SELECT q.session_id, CASE WHEN s.session_id IS NULL THEN 'missing' WHEN s.hold_state = 'pending_review' THEN 'pending' WHEN s.hold_state = 'embargoed' AND s.embargo_until > CAST({NOW_SQL} AS DATE) THEN 'embargoed' END AS blocker
+FROM q LEFT JOIN s USING (session_id) WHERE blocker IS NOT NULL""")
+def release_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requested sessions that may not be released, and why."""
+    asked = table(spark, sf_dir, "lineitem").where("l_orderkey % 3 = 0").select(F.col("l_orderkey").alias("session_id")).union(spark.range(1).select(F.lit(-1).cast("long"))).distinct()
+    return gates.blockers(asked, sessions(spark, sf_dir), NOW)
+
+
+@query("hold_effective", f"""
+SELECT session_id, CASE WHEN hold_state = 'embargoed' AND embargo_until <= CAST({NOW_SQL} AS DATE) THEN 'released' ELSE hold_state END AS effective FROM {SESSIONS_SQL}""")
+def hold_effective(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions(spark, sf_dir).select("session_id", gates.effective_hold(NOW).alias("effective"))
+
+
+@query("rescore_selection", f"""
+SELECT session_id, CASE WHEN score IS NULL THEN 'unscored' ELSE 'stale' END AS why FROM {SESSIONS_SQL} WHERE ended_at <= {NOW_SQL} - INTERVAL 180 SECOND AND (score IS NULL OR (score <= 2 AND interrupts >= 4)) ORDER BY score IS NOT NULL, started_at DESC, session_id LIMIT 25""")
+def rescore_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settled sessions to score: the unscored first, then those that grew past their score."""
+    s = sessions(spark, sf_dir).where(F.col("ended_at") <= NOW - F.expr("INTERVAL 180 SECOND")).where("score IS NULL OR (score <= 2 AND interrupts >= 4)")
+    return s.orderBy(F.col("score").isNotNull(), F.col("started_at").desc(), "session_id").limit(25).select("session_id", F.when(F.col("score").isNull(), "unscored").otherwise("stale").alias("why"))
+
+
+@query("queue_claim", f"""SELECT session_id, task_type FROM {SESSIONS_SQL} WHERE hold_state = 'auto_redacted' ORDER BY task_type, started_at, session_id LIMIT 1""")
+def queue_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions(spark, sf_dir).where("hold_state = 'auto_redacted'").orderBy("task_type", "started_at", "session_id").limit(1).select("session_id", "task_type")
+
+
+@query("upload_ranking", f"""SELECT session_id, score FROM {SESSIONS_SQL} WHERE hold_state <> 'pending_review' ORDER BY score IS NULL, score DESC, started_at DESC, session_id LIMIT 5""")
+def upload_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = sessions(spark, sf_dir).where("hold_state <> 'pending_review'")
+    return s.orderBy(F.col("score").desc_nulls_last(), F.col("started_at").desc(), "session_id").limit(5).select("session_id", "score")
+
+
+@query("session_page", f"""SELECT session_id, score, started_at FROM {SESSIONS_SQL} WHERE status IN ('F', 'O') AND CAST(started_at AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1998-12-31' ORDER BY score DESC NULLS LAST, started_at DESC, session_id LIMIT 20 OFFSET 40""")
+def session_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of the session list: filters, order with nulls last, offset."""
+    s = sessions(spark, sf_dir).where(F.col("status").isin("F", "O") & F.to_date("started_at").between("1996-01-01", "1998-12-31"))
+    return s.orderBy(F.col("score").desc_nulls_last(), F.col("started_at").desc(), "session_id").offset(40).limit(20).select("session_id", "score", "started_at")
+
+
+@query("week_failures", f"""
+WITH f AS (SELECT session_id, score, started_at, count(*) OVER () AS total FROM {SESSIONS_SQL} WHERE outcome IN ('failed', 'abandoned') AND started_at >= {NOW_SQL} - INTERVAL 7 DAY AND started_at < {NOW_SQL})
+SELECT session_id, score, greatest(total - 15, 0) AS dropped FROM f ORDER BY score DESC NULLS LAST, started_at DESC, session_id LIMIT 15""")
+def week_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The week's 15 first failures and how many more there are."""
+    f = sessions(spark, sf_dir).where(F.col("outcome").isin("failed", "abandoned") & (F.col("started_at") >= NOW - F.expr("INTERVAL 7 DAY")) & (F.col("started_at") < NOW))
+    total = f.agg(F.count(F.lit(1)).alias("total"))
+    page = f.orderBy(F.col("score").desc_nulls_last(), F.col("started_at").desc(), "session_id").limit(15)
+    return page.crossJoin(F.broadcast(total)).select("session_id", "score", F.greatest(F.col("total") - 15, F.lit(0).cast("long")).alias("dropped"))
+
+
+@query("rank_candidates", f"""
+WITH c AS (SELECT task_type, model, count(*) AS freq, max(started_at) AS latest, CAST(sum(interrupts) AS BIGINT) AS severity FROM {SESSIONS_SQL} WHERE outcome = 'failed' GROUP BY ALL)
+SELECT task_type, model, round(pow(freq, 1.5::DOUBLE) * severity * (1.0::DOUBLE / (1.0::DOUBLE + greatest(epoch({NOW_SQL} - latest) / 86400.0::DOUBLE, 0))), 6) AS rank FROM c ORDER BY 3 DESC, 1, 2 LIMIT 10""")
+def rank_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequency to the power 1.5, times severity, times recency."""
+    c = sessions(spark, sf_dir).where("outcome = 'failed'").groupBy("task_type", "model").agg(F.count(F.lit(1)).alias("freq"), F.max("started_at").alias("latest"), F.sum("interrupts").alias("severity"))
+    rank = F.pow("freq", F.lit(1.5)) * F.col("severity") * recency_weight(F.col("latest"), NOW)
+    return c.select("task_type", "model", F.round(rank, 6).alias("rank")).orderBy(F.col("rank").desc(), "task_type", "model").limit(10)
+
+
+@query("alternate_pools", f"""
+WITH p AS (SELECT session_id, outcome, row_number() OVER (PARTITION BY outcome ORDER BY cost DESC, session_id) AS place FROM {SESSIONS_SQL} WHERE outcome IN ('failed', 'resolved'))
+SELECT session_id, outcome, CAST(place AS INTEGER) AS place FROM p ORDER BY place, outcome LIMIT 15""")
+def alternate_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = sessions(spark, sf_dir).where("outcome IN ('failed', 'resolved')")
+    return ranking.alternating(s, "outcome", [F.col("cost").desc(), F.col("session_id")], 15).select("session_id", "outcome", "place")
+
+
+@query("diversified_topn", f"""
+WITH p AS (SELECT session_id, model, cost, row_number() OVER (PARTITION BY model ORDER BY cost DESC, session_id) AS p FROM {SESSIONS_SQL})
+SELECT session_id, model FROM p ORDER BY p > 1, cost DESC, session_id LIMIT 12""")
+def diversified_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most expensive session of each model, then the next ones whatever their model."""
+    return ranking.diversified(sessions(spark, sf_dir), "model", [F.col("cost").desc(), F.col("session_id")], 12).select("session_id", "model")
+
+
+@query("size_prefix", f"""
+WITH r AS (SELECT logical_id, session_id, CAST(sum(interrupts + 1) OVER (PARTITION BY logical_id ORDER BY started_at DESC, session_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM {SESSIONS_SQL})
+SELECT * FROM r WHERE running <= 20""")
+def size_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = sessions(spark, sf_dir).select("logical_id", "session_id", "started_at", (F.col("interrupts") + 1).alias("size"))
+    return ranking.within_budget(s, "logical_id", [F.col("started_at").desc(), F.col("session_id")], "size", 20).select("logical_id", "session_id", "running")
+
+
+@query("union_latest_valid", f"""
+SELECT logical_id, max(t) AS latest FROM (SELECT logical_id, started_at AS t FROM {SESSIONS_SQL} UNION ALL SELECT logical_id, ended_at FROM {SESSIONS_SQL} WHERE status <> 'P') GROUP BY 1""")
+def union_latest_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = sessions(spark, sf_dir)
+    both = s.select("logical_id", F.col("started_at").alias("t")).unionAll(s.where("status <> 'P'").select("logical_id", "ended_at"))
+    return both.groupBy("logical_id").agg(F.max("t").alias("latest"))
+
+
+@query("pool_difference", f"""
+WITH f AS (SELECT DISTINCT logical_id FROM {SESSIONS_SQL} WHERE outcome = 'failed'), s AS (SELECT DISTINCT logical_id FROM {SESSIONS_SQL} WHERE outcome = 'resolved')
+SELECT logical_id, 'failure' AS pool FROM f UNION ALL SELECT logical_id, 'success' FROM s WHERE logical_id NOT IN (SELECT logical_id FROM f)""")
+def pool_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Families in two pools; those that failed once are in the failure pool only."""
+    s = sessions(spark, sf_dir)
+    failed = s.where("outcome = 'failed'").select("logical_id").distinct()
+    won = s.where("outcome = 'resolved'").select("logical_id").distinct().join(failed, "logical_id", "left_anti")
+    return failed.withColumn("pool", F.lit("failure")).unionByName(won.withColumn("pool", F.lit("success")))
+
+
+@query("semi_exact_shared", """SELECT o_orderkey AS session_id FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R' AND l_linenumber = 1)""")
+def semi_exact_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_linenumber = 1").select(F.col("l_orderkey").alias("session_id"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("session_id")).join(shared, "session_id", "left_semi")
+
+
+@query("anti_stale", """SELECT o_orderkey AS session_id FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_shipdate > o_orderdate)""")
+def anti_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    return o.join(li, (li["l_orderkey"] == o["o_orderkey"]) & (li["l_shipdate"] > o["o_orderdate"]), "left_anti").select(F.col("o_orderkey").alias("session_id"))
+
+
+@query("bulk_status_update", f"""
+WITH q AS (SELECT DISTINCT user_id * 101 AS session_id FROM events)
+SELECT q.session_id, CASE WHEN s.session_id IS NULL THEN 'missing' ELSE 'updated' END AS result, CASE WHEN s.status <> 'F' THEN {NOW_SQL} ELSE s.ended_at END AS reviewed_at FROM q LEFT JOIN {SESSIONS_SQL} s USING (session_id)""")
+def bulk_status_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requested ids as updated or missing, and the review time that results."""
+    asked = table(spark, sf_dir, "events").select((F.col("user_id") * 101).alias("session_id")).distinct()
+    s = sessions(spark, sf_dir).select("session_id", "status", "ended_at")
+    joined = asked.join(s, "session_id", "left")
+    reviewed = F.when(F.col("status") != "F", NOW).otherwise(F.col("ended_at"))
+    return joined.select("session_id", F.when(F.col("status").isNull(), "missing").otherwise("updated").alias("result"), reviewed.alias("reviewed_at"))
+
+
+@query("revision_blockers", f"""
+WITH s AS (SELECT session_id, logical_id, status, cost, lag(status) OVER w AS p_status, lag(cost) OVER w AS p_cost, lag(session_id) OVER w AS p_id FROM {SESSIONS_SQL} WINDOW w AS (PARTITION BY logical_id ORDER BY started_at, session_id))
+SELECT session_id, CASE WHEN p_id IS NULL THEN 'first' WHEN p_status IS NOT DISTINCT FROM status AND p_cost IS NOT DISTINCT FROM cost THEN 'exact_shared' WHEN p_status IS DISTINCT FROM status THEN 'share_changed' ELSE 'predecessor' END AS blocker FROM s""")
+def revision_blockers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each session against its predecessor in the family; comparisons treat nulls as values."""
+    return gates.revision_blockers(sessions(spark, sf_dir))
+
+
+@query("checkpoint_reconcile", f"""
+SELECT logical_id, count(*) AS members, sha256(string_agg(CAST(session_id AS VARCHAR), ',' ORDER BY started_at, session_id)) AS revision, count(*) = count(DISTINCT started_at) AS ordered FROM {SESSIONS_SQL} GROUP BY 1""")
+def checkpoint_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A family's revision: the digest of its ordered members."""
+    members = F.transform(F.array_sort(F.collect_list(F.struct("started_at", "session_id"))), lambda x: x["session_id"].cast("string"))
+    n = F.count(F.lit(1))
+    return sessions(spark, sf_dir).groupBy("logical_id").agg(n.alias("members"), F.sha2(F.array_join(members, ","), 256).alias("revision"), (n == F.countDistinct("started_at")).alias("ordered"))
+
+
+@query("lesson_due", f"""
+WITH a AS (SELECT model, count(CASE WHEN outcome = 'failed' THEN 1 END) AS failures, max(started_at) AS latest FROM {SESSIONS_SQL} WHERE started_at >= {NOW_SQL} - INTERVAL 90 DAY AND started_at < {NOW_SQL} GROUP BY model)
+SELECT model, failures, CASE WHEN failures < 3 THEN 'too_few' WHEN date_diff('day', CAST(latest AS DATE), CAST({NOW_SQL} AS DATE)) > 2 THEN 'not_recent' ELSE 'due' END AS decision FROM a""")
+def lesson_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = sessions(spark, sf_dir).where((F.col("started_at") >= NOW - F.expr("INTERVAL 90 DAY")) & (F.col("started_at") < NOW))
+    a = s.groupBy("model").agg(F.count(F.when(F.col("outcome") == "failed", 1)).alias("failures"), F.max("started_at").alias("latest"))
+    age = F.datediff(F.to_date(NOW), F.to_date("latest"))
+    return a.select("model", "failures", F.when(F.col("failures") < 3, "too_few").when(age > 2, "not_recent").otherwise("due").alias("decision"))
+
+
+@query("age_labels", f"""
+SELECT label, count(*) AS n FROM (SELECT CASE WHEN d <= 0 THEN 'today' WHEN d = 1 THEN 'yesterday' WHEN d < 7 THEN concat(d, ' days ago') ELSE strftime(started_at, '%Y-%m-%d') END AS label
+ FROM (SELECT started_at, date_diff('day', CAST(started_at AS DATE), CAST({NOW_SQL} AS DATE)) AS d FROM {SESSIONS_SQL} WHERE started_at < {NOW_SQL})) GROUP BY label""")
+def age_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = sessions(spark, sf_dir).where(F.col("started_at") < NOW)
+    return s.groupBy(age_label(F.col("started_at"), NOW).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("downgrade_ratio", """
+WITH p AS (SELECT p_brand, p_partkey, CAST(p_retailprice AS DOUBLE) AS price FROM part), m AS (SELECT p_brand, min(price) AS cheapest FROM p GROUP BY 1)
+SELECT p_partkey, least(greatest(1.0::DOUBLE - cheapest / price, 0.0), 1.0) AS ratio FROM p JOIN m USING (p_brand)""")
+def downgrade_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the cheapest of the same family would save."""
+    p = table(spark, sf_dir, "part").select("p_brand", "p_partkey", F.col("p_retailprice").alias("price"))
+    cheapest = p.groupBy("p_brand").agg(F.min("price").alias("cheapest"))
+    ratio = F.least(F.greatest(1.0 - F.col("cheapest") / F.col("price"), F.lit(0.0)), F.lit(1.0))
+    return p.join(cheapest, "p_brand").select("p_partkey", ratio.alias("ratio"))
+
+
+@query("full_reprice", """
+WITH u AS (SELECT l_orderkey, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS fresh FROM lineitem GROUP BY 1)
+SELECT o_orderkey AS session_id, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS stored, CAST(fresh AS DOUBLE) AS fresh FROM orders JOIN u ON l_orderkey = o_orderkey WHERE abs(CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) - CAST(fresh AS DOUBLE)) >= 1e-9""")
+def full_reprice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions whose stored cost differs from their ledger's."""
+    u = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("session_id")).agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("fresh"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("session_id"), F.col("o_totalprice").cast("decimal(18,2)").cast("double").alias("stored"))
+    return o.join(u, "session_id").where(F.abs(F.col("stored") - F.col("fresh")) >= 1e-9)
