@@ -253,7 +253,11 @@ def lookup(spark: SparkSession, urls: DataFrame, blocks: DataFrame, directory: D
     The directory has an entry for LINES captures; up to DIRECTORY entries it
     is held by every task, beyond that blocks are found by a range join.
     """
-    key = F.pandas_udf(lambda urls: urls.map(url_key), "string", F.PandasUDFType.SCALAR)
+
+    @F.pandas_udf("string")
+    def key(urls: pd.Series) -> pd.Series:
+        return pd.Series([url_key(u) for u in urls.array], dtype=object)
+
     wanted = urls.select(key(F.col(url)).alias("key")).distinct()
     if directory.count() <= DIRECTORY:
         held = directory.orderBy("block").toPandas()
