@@ -93,6 +93,28 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(spark, table(spark, sf_dir, "documents"))
 
 
+ORACLES["op5_quality_rules"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce('1' || source, '0') AS host, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
+g AS (SELECT r, i, array_to_string(list_slice(ws, i, i + 7), ' ') AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8)),
+twice AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM g),
+marked AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS j FROM twice WHERE c > 1) GROUP BY r),
+lines AS (SELECT r, l, list_filter(string_split_regex(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS lw
+          FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d)),
+worded AS (SELECT r, l, array_to_string(lw, ' ') AS norm, len(lw) AS n FROM lines WHERE len(lw) > 0),
+dup AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM worded GROUP BY r),
+texts AS (SELECT host, t, min(r) AS r FROM d GROUP BY host, t),
+hosts AS (SELECT host, count(*) AS docs FROM texts GROUP BY host),
+common AS (SELECT host, norm FROM (SELECT x.host, o.norm, count(DISTINCT x.r) AS n FROM texts x JOIN worded o ON o.r = x.r GROUP BY ALL) JOIN hosts USING (host) WHERE n > 10 AND n > 0.05 * docs),
+gone AS (SELECT d.r, sum(o.n) AS n FROM d JOIN worded o ON o.r = d.r JOIN common c ON c.host = d.host AND c.norm = o.norm GROUP BY d.r),
+b AS (SELECT d.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(d.t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+      CAST(length(regexp_replace(d.t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(m.n, 0) AS n_repeat_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS n_removed_words
+      FROM d JOIN w ON w.r = d.r LEFT JOIN dup ON dup.r = d.r LEFT JOIN marked m ON m.r = d.r LEFT JOIN gone ON gone.r = d.r)
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_words - n_removed_words >= 0.2 * n_words AS kept FROM b
+"""
+
+
 @registered
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A calibrated quality score of every document."""
@@ -119,6 +141,15 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.lookup(spark, pages, blocks, directory, folder).drop("url", "payload")
 
 
+ORACLES["op9_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+s AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS x, row_number() OVER (PARTITION BY h ORDER BY page_id) AS n, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(x, 1 + 10 * (i // 8), 10) AS BIGINT) >> (35 - 5 * (i % 8))) & 31 AS INTEGER), 1)), '') AS payload_digest,
+       CASE n WHEN 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN n > 1 THEN first END AS refers_to FROM s
+"""
+
+
 @registered
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document by patterns and by entropy."""
