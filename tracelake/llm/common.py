@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -62,10 +63,29 @@ def rank_in_groups(df: DataFrame, keys: list[str], hashed: Column, ties: list[Co
     return joined.withColumn(out, F.col("_o") + F.row_number().over(within).cast("long") - 1).drop("_h", "_b", "_o")
 
 
+_KEPT: dict[str, object] = {}
+
+
+def kept_in_worker(name: str, make: Callable[[], object]) -> object:
+    """An object that a worker process keeps between an operator's tasks.
+
+    There is one at a time: workers serve many operators in turn, and memories
+    that only one of them uses would add up.
+    """
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
 class WordHashes(dict):
     """word bytes -> 64-bit hash; forgets everything when it grows too large."""
 
-    LIMIT = 500_000
+    LIMIT = 300_000
+
+    @classmethod
+    def kept(cls) -> WordHashes:
+        return kept_in_worker("word hashes", cls)
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

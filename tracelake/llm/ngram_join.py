@@ -49,7 +49,7 @@ WORDS = 5
 #: Similarity that links, in percent; all bounds are whole-number arithmetic.
 PERCENT = 75
 #: n-grams that a task gathers before it sends them; n-grams in a block of a bucket.
-GATHER, BUCKET = 2_000_000, 200_000
+GATHER, BUCKET = 1_000_000, 200_000
 PROBES = 64
 SALTS = 16
 
@@ -99,7 +99,7 @@ def _packed_block(block: str, ids: list, sets: list[np.ndarray], slots: int) ->
         own.append(classes[c])
     m = len(unique)
     grams = np.concatenate(unique)
-    holder = np.repeat(np.arange(m), [len(g) for g in unique])
+    holder = np.repeat(np.arange(m, dtype=np.int32), [len(g) for g in unique])
     order = np.argsort(grams, kind="stable")
     grams, holder = grams[order], holder[order]
     first = np.ones(len(grams), bool)
@@ -127,7 +127,7 @@ def _small(x: np.ndarray) -> np.ndarray:
 
 def _send(docs: DataFrame, slots: int, k: int) -> DataFrame:
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, part = WordHashes(), TaskContext.get().partitionId()
+        known, part = WordHashes.kept(), TaskContext.get().partitionId()
         ids, sets, size, number = [], [], 0, 0
 
         def flush() -> Iterator[pd.DataFrame]:
@@ -188,7 +188,7 @@ def _survivor_sets(docs: DataFrame, k: int) -> DataFrame:
     """Sets of the documents that stand for surviving classes, in blocks of bounded size."""
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, part, number, size = WordHashes(), TaskContext.get().partitionId(), 0, 0
+        known, part, number, size = WordHashes.kept(), TaskContext.get().partitionId(), 0, 0
         for pdf in frames:
             rows = []
             for r in pdf.itertuples(index=False):

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import rank_in_groups, written
+from tracelake.llm.common import kept_in_worker, rank_in_groups, written
 
 SEQUENCE = 4096
 END = 1
@@ -47,15 +47,17 @@ class Encoder:
     text's ids are those of its space-separated chunks in a row. A chunk of
     plain characters falls into words as the tokenizer's own rule has it
     (letters, single digits, other signs), and all words not seen yet are
-    tokenised at once; other chunks are tokenised whole. Both memories are
-    bounded.
+    tokenised at once; other chunks are tokenised whole.
+
+    Both memories have a young and an old part. What is found in the old part
+    moves to the young one; a young part that is full becomes the old one, so
+    frequent words stay and the memory is bounded.
     """
 
-    CHUNKS, WORDS = 400_000, 800_000
+    CHUNKS, WORDS = 80_000, 250_000
     #: Words of lower-case characters for which that rule is sure: no
     #: apostrophes, and nothing that normalisation changes.
     WORD = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
-    ready: dict[str, Encoder] = {}
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -65,27 +67,31 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.chunks: dict[str, bytes] = {"": b""}
+        self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.old_chunks, self.old_words = self.chunks, self.words
 
     @classmethod
     def of(cls, path: str) -> Encoder:
         """One for each worker process and file."""
-        if path not in cls.ready:
-            cls.ready[path] = cls(path)
-        return cls.ready[path]
+        return kept_in_worker(f"encoder {path}", lambda: cls(path))
 
     def __call__(self, text: str) -> bytes:
         chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         new = set(chunks).difference(self.chunks)
         if new:
-            if len(self.chunks) + len(new) > self.CHUNKS:
-                self.chunks, new = {"": b""}, set(chunks) - {""}
-            self._learn(new)
+            if len(self.chunks) > self.CHUNKS:
+                self.old_chunks, self.chunks = self.chunks, {}
+                new = set(chunks)
+            if len(self.words) > self.WORDS:
+                self.old_words, self.words = self.words, {}
+            old = {c: self.old_chunks[c] for c in new if c in self.old_chunks}
+            self.chunks.update(old)
+            self._learn(new.difference(old))
         return b"".join(map(self.chunks.__getitem__, chunks))
 
     def _learn(self, new: set[str]) -> None:
-        plain, known = {}, self.words
+        plain, known, old = {}, self.words, self.old_words
         words: dict[str, None] = {}
         for chunk in new:
             low = chunk.lower()
@@ -94,13 +100,13 @@ class Encoder:
                 plain[chunk] = parts
                 for w in parts:
                     if w not in known:
-                        words[w] = None
+                        if w in old:
+                            known[w] = old[w]
+                        else:
+                            words[w] = None
             else:
                 ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
                 self.chunks[chunk] = np.array(ids, "<u4").tobytes()
-        if len(self.words) + len(words) > self.WORDS:
-            self.words = {}
-            words = {w: None for parts in plain.values() for w in parts}
         if words:
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
             ends = 4 * (np.flatnonzero(self.last[ids]) + 1)

@@ -82,7 +82,7 @@ def counted(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", host: s
     """One row for each document: its counts and its distinct lines with their words."""
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = WordHashes()
+        known = WordHashes.kept()
         for pdf in frames:
             rows = []
             for key, at, value in zip(pdf["doc_id"].array, pdf["host"].array, pdf["text"].array, strict=True):
