@@ -13,22 +13,28 @@ from tracelake.operators.aggregate import Domain, Metric, Predicate, Spec, aggre
 from tracelake.plans.registry import query, table
 from tracelake.sources.adapters import RECORDER_EVENTS_SQL, SESSIONS_SQL, USAGE_SQL, recorder_events, sessions, usage_ledger
 
-EVENTS = Domain(
-    dims={
-        "client": F.col("client"), "type": F.col("type"), "confidence": F.col("confidence"), "source": F.col("source"),
-        "session": F.col("session"), "date": F.date_format("event_at", "yyyy-MM-dd"), "hour": F.date_format("event_at", "yyyy-MM-dd'T'HH"),
-    },
-    time=F.col("event_at"),
-)
-COST = Domain(
-    dims={"model": F.col("model"), "data_source": F.col("data_source"), "service_tier": F.col("service_tier"), "session": F.col("session")},
-    fields={"input": F.col("input"), "output": F.col("output"), "cache_read": F.col("cache_read")},
-    time=F.col("l_shipdate"),
-    partition_by="data_source",
-)
 SINCE = datetime(2024, 1, 10)
 
 
+def events_domain() -> Domain:
+    return Domain(
+        dims={
+            "client": F.col("client"), "type": F.col("type"), "confidence": F.col("confidence"), "source": F.col("source"),
+            "session": F.col("session"), "date": F.date_format("event_at", "yyyy-MM-dd"), "hour": F.date_format("event_at", "yyyy-MM-dd'T'HH"),
+        },
+        time=F.col("event_at"),
+    )
+
+
+def cost_domain() -> Domain:
+    return Domain(
+        dims={"model": F.col("model"), "data_source": F.col("data_source"), "service_tier": F.col("service_tier"), "session": F.col("session")},
+        fields={"input": F.col("input"), "output": F.col("output"), "cache_read": F.col("cache_read")},
+        time=F.col("l_shipdate"),
+        partition_by="data_source",
+    )
+
+
 def money(total: str = "cost", name: str = "total_cost"):
     """An exact sum, shown as double."""
     return F.sum(total).cast("double").alias(name)
@@ -38,7 +44,7 @@ def money(total: str = "cost", name: str = "total_cost"):
 SELECT type, strftime(event_at, '%Y-%m-%d') AS date, count(*) AS count FROM {RECORDER_EVENTS_SQL}
 WHERE event_at >= TIMESTAMP '2024-01-10' GROUP BY ALL ORDER BY count DESC, type, date LIMIT 10""")
 def agg_events_by_type_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return aggregate(recorder_events(spark, sf_dir), Spec(("type", "date"), since=SINCE), EVENTS)
+    return aggregate(recorder_events(spark, sf_dir), Spec(("type", "date"), since=SINCE), events_domain())
 
 
 @query("agg_multi_metric", f"""
@@ -46,14 +52,14 @@ SELECT model, count(*) AS count, CAST(coalesce(sum(input), 0) AS BIGINT) AS sum_
 FROM {USAGE_SQL} WHERE data_source = 'api' GROUP BY model ORDER BY count DESC, model NULLS LAST LIMIT 10""")
 def agg_multi_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = Spec(("model",), (Metric("count"), Metric("sum", "input"), Metric("sum", "output")), (Predicate("data_source", "=", "api"),))
-    return aggregate(usage_ledger(spark, sf_dir), spec, COST)
+    return aggregate(usage_ledger(spark, sf_dir), spec, cost_domain())
 
 
 @query("agg_three_dims", f"""
 SELECT client, type, confidence, count(*) AS count FROM {RECORDER_EVENTS_SQL}
 GROUP BY ALL ORDER BY count DESC, client, type, confidence LIMIT 50""")
 def agg_three_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return aggregate(recorder_events(spark, sf_dir), Spec(("client", "type", "confidence"), limit=50), EVENTS)
+    return aggregate(recorder_events(spark, sf_dir), Spec(("client", "type", "confidence"), limit=50), events_domain())
 
 
 @query("agg_in_filter", f"""
@@ -61,7 +67,7 @@ SELECT hour, count(*) AS count FROM (SELECT strftime(event_at, '%Y-%m-%dT%H') AS
 WHERE type IN ('error', 'purchase') AND client <> 'codex') GROUP BY hour ORDER BY count DESC, hour LIMIT 20""")
 def agg_in_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = Spec(("hour",), filters=(Predicate("type", "in", ("error", "purchase")), Predicate("client", "!=", "codex")), limit=20)
-    return aggregate(recorder_events(spark, sf_dir), spec, EVENTS)
+    return aggregate(recorder_events(spark, sf_dir), spec, events_domain())
 
 
 @query("agg_total_other", f"""
@@ -69,14 +75,14 @@ WITH b AS (SELECT session, count(*) AS count FROM {RECORDER_EVENTS_SQL} GROUP BY
 t AS (SELECT count(*) AS total FROM events)
 SELECT session, count, total, total AS rows_scanned, CAST(greatest(total - (SELECT sum(count) FROM b), 0) AS BIGINT) AS other_count FROM b, t""")
 def agg_total_other(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_totals(recorder_events(spark, sf_dir), Spec(("session",), limit=5), EVENTS)
+    return with_totals(recorder_events(spark, sf_dir), Spec(("session",), limit=5), events_domain())
 
 
 @query("agg_cost_auto_partition", f"""
 SELECT data_source, service_tier, CAST(coalesce(sum(output), 0) AS BIGINT) AS sum_output FROM {USAGE_SQL}
 GROUP BY ALL ORDER BY sum_output DESC, data_source, service_tier NULLS LAST LIMIT 10""")
 def agg_cost_auto_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return aggregate(usage_ledger(spark, sf_dir), Spec(("service_tier",), (Metric("sum", "output"),)), COST)
+    return aggregate(usage_ledger(spark, sf_dir), Spec(("service_tier",), (Metric("sum", "output"),)), cost_domain())
 
 
 @query("workspace_split", f"""

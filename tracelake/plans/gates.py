@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.functions.time import age_label, recency_weight
@@ -12,7 +12,10 @@ from tracelake.sources.adapters import SESSIONS_SQL, sessions
 
 #: The instant that time-dependent decisions are made at.
 NOW_SQL = "TIMESTAMP '1999-06-01 00:00:00'"
-NOW = F.lit("1999-06-01 00:00:00").cast("timestamp_ntz")
+
+
+def now() -> Column:
+    return F.lit("1999-06-01 00:00:00").cast("timestamp_ntz")
 
 
 @query("exclusion_reasons", f"""
@@ -20,7 +23,7 @@ WITH r AS (SELECT session_id, CASE WHEN hold_state = 'pending_review' THEN 'held
  WHEN score IS NULL THEN 'unscored' WHEN score < 3 THEN 'low_score' WHEN ended_at > {NOW_SQL} - INTERVAL 1 DAY THEN 'unstable' WHEN interrupts >= 5 THEN 'interrupted' WHEN outcome = 'abandoned' THEN 'abandoned' ELSE 'eligible' END AS reason FROM {SESSIONS_SQL})
 SELECT reason, count(*) AS n FROM r GROUP BY reason""")
 def exclusion_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reason = gates.exclusion_reason(NOW)
+    reason = gates.exclusion_reason(now())
     return sessions(spark, sf_dir).groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -29,7 +32,7 @@ WITH e AS (SELECT * FROM {SESSIONS_SQL} WHERE score >= 3 AND status <> 'P' AND h
 SELECT session_id, score, started_at FROM e ORDER BY score DESC, started_at DESC, session_id LIMIT 10""")
 def share_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recommendations: the best scored sessions that may be shared."""
-    e = sessions(spark, sf_dir).where("score >= 3 AND status <> 'P' AND hold_state IN ('auto_redacted', 'released')").where(F.col("ended_at") <= NOW - F.expr("INTERVAL 1 DAY"))
+    e = sessions(spark, sf_dir).where("score >= 3 AND status <> 'P' AND hold_state IN ('auto_redacted', 'released')").where(F.col("ended_at") <= now() - F.expr("INTERVAL 1 DAY"))
     return e.orderBy(F.col("score").desc(), F.col("started_at").desc(), "session_id").limit(10).select("session_id", "score", "started_at")
 
 
@@ -41,20 +44,20 @@ FROM q LEFT JOIN s USING (session_id) WHERE blocker IS NOT NULL""")
 def release_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requested sessions that may not be released, and why."""
     asked = table(spark, sf_dir, "lineitem").where("l_orderkey % 3 = 0").select(F.col("l_orderkey").alias("session_id")).union(spark.range(1).select(F.lit(-1).cast("long"))).distinct()
-    return gates.blockers(asked, sessions(spark, sf_dir), NOW)
+    return gates.blockers(asked, sessions(spark, sf_dir), now())
 
 
 @query("hold_effective", f"""
 SELECT session_id, CASE WHEN hold_state = 'embargoed' AND embargo_until <= CAST({NOW_SQL} AS DATE) THEN 'released' ELSE hold_state END AS effective FROM {SESSIONS_SQL}""")
 def hold_effective(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sessions(spark, sf_dir).select("session_id", gates.effective_hold(NOW).alias("effective"))
+    return sessions(spark, sf_dir).select("session_id", gates.effective_hold(now()).alias("effective"))
 
 
 @query("rescore_selection", f"""
 SELECT session_id, CASE WHEN score IS NULL THEN 'unscored' ELSE 'stale' END AS why FROM {SESSIONS_SQL} WHERE ended_at <= {NOW_SQL} - INTERVAL 180 SECOND AND (score IS NULL OR (score <= 2 AND interrupts >= 4)) ORDER BY score IS NOT NULL, started_at DESC, session_id LIMIT 25""")
 def rescore_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Settled sessions to score: the unscored first, then those that grew past their score."""
-    s = sessions(spark, sf_dir).where(F.col("ended_at") <= NOW - F.expr("INTERVAL 180 SECOND")).where("score IS NULL OR (score <= 2 AND interrupts >= 4)")
+    s = sessions(spark, sf_dir).where(F.col("ended_at") <= now() - F.expr("INTERVAL 180 SECOND")).where("score IS NULL OR (score <= 2 AND interrupts >= 4)")
     return s.orderBy(F.col("score").isNotNull(), F.col("started_at").desc(), "session_id").limit(25).select("session_id", F.when(F.col("score").isNull(), "unscored").otherwise("stale").alias("why"))
 
 
@@ -81,7 +84,7 @@ WITH f AS (SELECT session_id, score, started_at, count(*) OVER () AS total FROM
 SELECT session_id, score, greatest(total - 15, 0) AS dropped FROM f ORDER BY score DESC NULLS LAST, started_at DESC, session_id LIMIT 15""")
 def week_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The week's 15 first failures and how many more there are."""
-    f = sessions(spark, sf_dir).where(F.col("outcome").isin("failed", "abandoned") & (F.col("started_at") >= NOW - F.expr("INTERVAL 7 DAY")) & (F.col("started_at") < NOW))
+    f = sessions(spark, sf_dir).where(F.col("outcome").isin("failed", "abandoned") & (F.col("started_at") >= now() - F.expr("INTERVAL 7 DAY")) & (F.col("started_at") < now()))
     total = f.agg(F.count(F.lit(1)).alias("total"))
     page = f.orderBy(F.col("score").desc_nulls_last(), F.col("started_at").desc(), "session_id").limit(15)
     return page.crossJoin(F.broadcast(total)).select("session_id", "score", F.greatest(F.col("total") - 15, F.lit(0).cast("long")).alias("dropped"))
@@ -93,7 +96,7 @@ SELECT task_type, model, round(pow(freq, 1.5::DOUBLE) * severity * (1.0::DOUBLE
 def rank_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frequency to the power 1.5, times severity, times recency."""
     c = sessions(spark, sf_dir).where("outcome = 'failed'").groupBy("task_type", "model").agg(F.count(F.lit(1)).alias("freq"), F.max("started_at").alias("latest"), F.sum("interrupts").alias("severity"))
-    rank = F.pow("freq", F.lit(1.5)) * F.col("severity") * recency_weight(F.col("latest"), NOW)
+    rank = F.pow("freq", F.lit(1.5)) * F.col("severity") * recency_weight(F.col("latest"), now())
     return c.select("task_type", "model", F.round(rank, 6).alias("rank")).orderBy(F.col("rank").desc(), "task_type", "model").limit(10)
 
 
@@ -160,7 +163,7 @@ def bulk_status_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "events").select((F.col("user_id") * 101).alias("session_id")).distinct()
     s = sessions(spark, sf_dir).select("session_id", "status", "ended_at")
     joined = asked.join(s, "session_id", "left")
-    reviewed = F.when(F.col("status") != "F", NOW).otherwise(F.col("ended_at"))
+    reviewed = F.when(F.col("status") != "F", now()).otherwise(F.col("ended_at"))
     return joined.select("session_id", F.when(F.col("status").isNull(), "missing").otherwise("updated").alias("result"), reviewed.alias("reviewed_at"))
 
 
@@ -185,9 +188,9 @@ def checkpoint_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH a AS (SELECT model, count(CASE WHEN outcome = 'failed' THEN 1 END) AS failures, max(started_at) AS latest FROM {SESSIONS_SQL} WHERE started_at >= {NOW_SQL} - INTERVAL 90 DAY AND started_at < {NOW_SQL} GROUP BY model)
 SELECT model, failures, CASE WHEN failures < 3 THEN 'too_few' WHEN date_diff('day', CAST(latest AS DATE), CAST({NOW_SQL} AS DATE)) > 2 THEN 'not_recent' ELSE 'due' END AS decision FROM a""")
 def lesson_due(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = sessions(spark, sf_dir).where((F.col("started_at") >= NOW - F.expr("INTERVAL 90 DAY")) & (F.col("started_at") < NOW))
+    s = sessions(spark, sf_dir).where((F.col("started_at") >= now() - F.expr("INTERVAL 90 DAY")) & (F.col("started_at") < now()))
     a = s.groupBy("model").agg(F.count(F.when(F.col("outcome") == "failed", 1)).alias("failures"), F.max("started_at").alias("latest"))
-    age = F.datediff(F.to_date(NOW), F.to_date("latest"))
+    age = F.datediff(F.to_date(now()), F.to_date("latest"))
     return a.select("model", "failures", F.when(F.col("failures") < 3, "too_few").when(age > 2, "not_recent").otherwise("due").alias("decision"))
 
 
@@ -195,8 +198,8 @@ def lesson_due(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT label, count(*) AS n FROM (SELECT CASE WHEN d <= 0 THEN 'today' WHEN d = 1 THEN 'yesterday' WHEN d < 7 THEN concat(d, ' days ago') ELSE strftime(started_at, '%Y-%m-%d') END AS label
  FROM (SELECT started_at, date_diff('day', CAST(started_at AS DATE), CAST({NOW_SQL} AS DATE)) AS d FROM {SESSIONS_SQL} WHERE started_at < {NOW_SQL})) GROUP BY label""")
 def age_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = sessions(spark, sf_dir).where(F.col("started_at") < NOW)
-    return s.groupBy(age_label(F.col("started_at"), NOW).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    s = sessions(spark, sf_dir).where(F.col("started_at") < now())
+    return s.groupBy(age_label(F.col("started_at"), now()).alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("downgrade_ratio", """

@@ -79,8 +79,8 @@ PREFIX_SQL = "(VALUES " + ", ".join(f"('{p}', {float(a)!r}, {float(b)!r})" for p
 
 
 @query("price_longest_prefix", f"""
-WITH m AS (SELECT session, turn, coalesce(input, 0) AS input, output, cache_read, regexp_replace(lower(model), '^.*/', '') AS name FROM {USAGE_SQL}),
-r AS (SELECT m.*, p.prefix, p.p_in, p.p_out, row_number() OVER (PARTITION BY session, turn ORDER BY length(p.prefix) DESC NULLS LAST) AS n FROM m LEFT JOIN {PREFIX_SQL} ON starts_with(m.name, p.prefix))
+WITH m AS (SELECT row_number() OVER () AS rid, session, turn, coalesce(input, 0) AS input, output, cache_read, regexp_replace(lower(model), '^.*/', '') AS name FROM {USAGE_SQL}),
+r AS (SELECT m.*, p.prefix, p.p_in, p.p_out, row_number() OVER (PARTITION BY rid ORDER BY length(p.prefix) DESC NULLS LAST) AS n FROM m LEFT JOIN {PREFIX_SQL} ON starts_with(m.name, p.prefix))
 SELECT session, turn, prefix, (input * p_in + output * p_out + cache_read * p_in * 0.1::DOUBLE + 0 * p_in * 1.25::DOUBLE) / 1e6 AS cost FROM r WHERE n = 1""")
 def price_longest_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col

@@ -26,7 +26,7 @@ def findings_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.scan(table(spark, sf_dir, "documents"))
 
 
-@query("findings_rule_counts", " UNION ALL ".join(f"SELECT '{n}' AS rule, count(*) AS docs, CAST(sum(len(regexp_extract_all(text, '{p}'))) AS BIGINT) AS n FROM documents WHERE regexp_matches(text, '{p}')" for n, p, _ in SHARED))
+@query("findings_rule_counts", " UNION ALL ".join(f"SELECT '{n}' AS rule, count(*) AS docs, CAST(sum(len(regexp_extract_all(text, '{p}'))) AS BIGINT) AS n FROM documents WHERE regexp_matches(text, '{p}') HAVING count(*) > 0" for n, p, _ in SHARED))
 def findings_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and matches of several rules in one pass."""
     per = F.array(*(F.struct(F.lit(n).alias("rule"), F.regexp_count("text", F.lit(p)).alias("n")) for n, p, _ in SHARED))
