@@ -72,30 +72,36 @@ def short_name(model: Column) -> Column:
     return F.substring_index(F.lower(F.trim(model)), "/", -1)
 
 
-def _starts_as_word(name: Column, prefix: str) -> Column:
-    return (name == prefix) | name.startswith(f"{prefix}-") | name.startswith(f"{prefix}_")
+def _tier(name: Column, prefix: str, tiers: tuple[str, ...]) -> Column:
+    """The first tier that the name states after its prefix as a whole word, else the empty text."""
+    words = "|".join(t.replace(".", r"\.") for t in tiers)
+    return F.regexp_extract(name, rf"^{prefix}({words})(?:$|[-_])", 1)
+
+
+def _contained(name: Column, tiers: tuple[str, ...]) -> Column:
+    """The first of the tiers that the name contains, else the name."""
+    return F.coalesce(*(F.when(name.contains(t), t) for t in tiers), name)
 
 
 def model_info(model: Column) -> Column:
     """struct(family, tier, provider); unknown models keep their name as tier."""
     raw, name = F.coalesce(F.trim(model), F.lit("")), short_name(F.coalesce(model, F.lit("")))
-    info = lambda family, tier, provider: F.struct(F.lit(family).alias("family"), (tier if isinstance(tier, Column) else F.lit(tier)).alias("tier"), F.lit(provider).alias("provider"))
-    cases = [(raw == "", info("unknown", "", "unknown"))]
-    cases += [(name.contains("claude") & name.contains(t), info("claude", t, "anthropic")) for t in CLAUDE_TIERS]
-    cases += [(name.contains("claude"), info("claude", name, "anthropic"))]
-    cases += [(_starts_as_word(name, f"o{t}"), info("o", t, "openai")) for t in O_TIERS]
-    cases += [(name.contains("gpt") & _starts_as_word(name, f"gpt-{t}"), info("gpt", t, "openai")) for t in GPT_TIERS]
-    cases += [(name.contains("gpt"), info("gpt", name, "openai"))]
-    cases += [(name.contains("gemini") & name.contains(t), info("gemini", t, "google")) for t in GEMINI_TIERS]
-    cases += [(name.contains("gemini"), info("gemini", name, "google"))]
-    first = F.when(*cases[0])
-    return reduce(lambda w, c: w.when(*c), cases[1:], first).otherwise(info("unknown", raw, "unknown"))
+    o, gpt = _tier(name, "o", O_TIERS), _tier(name, "gpt-", GPT_TIERS)
+    claude, gemini = name.contains("claude"), name.contains("gemini")
+    family = F.when(claude, "claude").when(o != "", "o").when(name.contains("gpt"), "gpt").when(gemini, "gemini").otherwise("unknown")
+    tier = (
+        F.when(claude, _contained(name, CLAUDE_TIERS)).when(o != "", o).when(name.contains("gpt"), F.when(gpt != "", gpt).otherwise(name))
+        .when(gemini, _contained(name, GEMINI_TIERS)).otherwise(raw)
+    )
+    provider = F.when(claude, "anthropic").when((o != "") | name.contains("gpt"), "openai").when(gemini, "google").otherwise("unknown")
+    return F.struct(family.alias("family"), tier.alias("tier"), provider.alias("provider"))
 
 
 def price_table(spark: SparkSession) -> DataFrame:
-    """A few dozen rows, so it may be broadcast."""
-    rows = [(*k, *v) for k, v in PRICES.items()]
-    return spark.createDataFrame(rows, "family string, tier string, p_input double, p_output double, p_read double, p_write double, p_reasoning double")
+    """A few dozen rows, so it may be broadcast; literals, so no Python task makes them."""
+    names = ("family", "tier", "p_input", "p_output", "p_read", "p_write", "p_reasoning")
+    rows = (F.struct(*(F.lit(v).alias(n) for n, v in zip(names, (*k, *v), strict=True))) for k, v in PRICES.items())
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def exact_cost(usage: DataFrame, model: str = "model") -> DataFrame:
