@@ -62,6 +62,38 @@ def test_entropy_spans_add_to_base_spans():
     assert len(base) == 1 and [k for _, k, _ in every] == [0, 3]
 
 
+KEY, LETTERS = "Zx8Kq2Lm9Pw4Rt7Yv3Bn6Hj1", "kXvQzRmTpLwNbYcJdHfGsAeUiOqWzXcV"
+
+
+@pytest.mark.parametrize("text,secret", [
+    (LETTERS, LETTERS), ("kXvQzRmTpLwN/YcJdHfGsAeUiOqW+XcV=", "kXvQzRmTpLwN/YcJdHfGsAeUiOqW+XcV="), ("kxvqzrmtplwnbycjdhfgsaeu", "kxvqzrmtplwnbycjdhfgsaeu"), ("583920174658392017465839", "583920174658392017465839"),
+    (f"/services/T000000/B000000/{KEY}", KEY), (f"example-{KEY}", KEY), (f"some/plain-words/{LETTERS}", LETTERS),
+])
+def test_every_class_reports(text, secret):
+    at = text.index(secret)
+    inside = {i for a, b in ss.entropy_spans(f"x {text} y") for i in range(a - 2, b - 2)}
+    assert inside >= set(range(at, at + len(secret)))
+
+
+@pytest.mark.parametrize("text", ["src/main/java/com/someCompany/HTTPServerFactory", "Donaudampfschifffahrtsgesellschaft", "getUserAccountInformationByIdentifier", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"])
+def test_plain_words_and_examples_stay_allowed(text):
+    assert ss.entropy_spans(f"x {text} y") == []
+
+
+def test_random_letters_are_found():
+    rng = random.Random(1)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    assert sum(bool(ss.entropy_spans("".join(rng.choice(letters) for _ in range(40)))) for _ in range(200)) >= 196
+    assert ss.entropy_spans("a" * 40 + "1") == []
+
+
+def test_parts_of_entropy_spans_beside_base_spans():
+    text = f"x {KEY}/0123456789abcdef0f1e2d3c4b5a6978/{KEY[::-1]} y"
+    base, every = ss.all_spans(text)
+    assert [k for _, k, _ in base] == [2] and [k for _, k, _ in every] == [3, 2, 3]
+    assert every[0][2] == base[0][0] and every[2][0] == base[0][2] and KEY not in ss.masked_text(text) and KEY[::-1] not in ss.masked_text(text)
+
+
 def test_masking(spark, docs):
     assert ss.masked_text("a token = abcdef0123 b") == "a [ASSIGN] b"
     masked = ss.mask(docs)

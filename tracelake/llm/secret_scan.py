@@ -4,7 +4,9 @@ One pass over the texts, no shuffle. The rules find assignments, access keys
 and long hex strings. Beyond them, every run of key-like characters is a
 candidate: a window slides over it, character counts are kept incrementally
 and a window counts as secret if its entropy reaches the limit of the
-candidate's character class. Allow-listed candidates are suppressed.
+candidate's character class. Allow-listed candidates are suppressed, and of
+others the parts that hold an example word. What a pattern rule covers of an
+entropy span is not reported again.
 
 Defined results: a null text is an empty one and yields no spans; repeated
 rows are scanned each on their own; further columns are left out; very long
@@ -48,21 +50,23 @@ class EntropyClass:
 #: A candidate belongs to the first class that has all its characters. Words
 #: of natural language stay below these limits; random strings reach them.
 CLASSES = (
-    EntropyClass("digits", r"[0-9]+", 24, 9.0),
+    EntropyClass("digits", r"[0-9]+", 24, 2.8),
     EntropyClass("hex", r"[0-9a-fA-F]+", 24, 3.0),
-    EntropyClass("letters", r"[A-Za-z]+", 24, 4.1),
+    EntropyClass("letters", r"[A-Za-z]+", 24, 4.0),
     EntropyClass("alnum", r"[A-Za-z0-9]+", 24, 3.9),
     EntropyClass("base64", r"[A-Za-z0-9+/_=-]+", 24, 4.0),
 )
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{24,}")
-#: Well-known strings that are no secrets: UUIDs, example keys, alphabets,
-#: rulers, paths of plain words.
+#: Well-known strings that are no secrets: UUIDs and rulers.
 ALLOW = (
     r"(?i)[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}",
-    r"(?i).*(?:example|placeholder|changeme|xxxxxx|000000|123456789|abcdefghi).*",
     r"[-=_+/]+",
-    r"(?:[A-Za-z]+[-/_=+]+)*[A-Za-z]+[-/_=+]*",
 )
+#: Parts of candidates, between separators, that are no secrets: example keys, alphabets.
+EXAMPLE = re.compile(r"(?i)[0-9a-z]*(?:example|placeholder|changeme|xxxxxx|000000|123456789|abcdefghi)[0-9a-z]*")
+#: Paths of plain words, in single case or camel case. Random letters have
+#: single ones between others of the other case.
+PATH = re.compile(r"(?:[-/_=+]*(?:[a-z]|[A-Z]|(?:[A-Z]?[a-z]{2,}|[A-Z]{2,})+)(?![A-Za-z]))+[-/_=+]*")
 
 SCHEMA = (
     "doc_id long, n_assign long, n_access long, n_hex long, n_entropy long, "
@@ -77,17 +81,34 @@ def entropy_spans(text: str, classes: tuple[EntropyClass, ...] = CLASSES, allow:
     """
     found = []
     for m in CANDIDATE.finditer(text):
-        run = m.group()
-        kind = next(c for c in classes if re.fullmatch(c.pattern, run))
-        if len(run) < kind.window or any(re.fullmatch(p, run) for p in allow):
+        if any(re.fullmatch(p, m.group()) for p in allow):
             continue
-        found += [(m.start() + a, m.start() + b) for a, b in dense_windows(run, kind.window, kind.bits)]
+        for start, run in outside_examples(m.group()):
+            kind = next(c for c in classes if re.fullmatch(c.pattern, run))
+            # A word is plain only if it is of low entropy; so letters that are one word must reach their class's limit, as others.
+            if kind.name != "letters" and PATH.fullmatch(run):
+                letters = next((c for c in classes if c.name == "letters"), None)
+                words = [(start + w.start(), w.group(), letters) for w in re.finditer("[A-Za-z]+", run)] if letters else []
+            else:
+                words = [(start, run, kind)]
+            for at, word, c in words:
+                if len(word) >= c.window:
+                    found += [(m.start() + at + a, m.start() + at + b) for a, b in dense_windows(word, c.window, c.bits)]
     return found
 
 
+def outside_examples(run: str) -> list[tuple[int, str]]:
+    """(start, string) of what a candidate has beside its example parts."""
+    out, at = [], 0
+    for e in EXAMPLE.finditer(run):
+        out.append((at, run[at : e.start()]))
+        at = e.end()
+    return [(a, x) for a, x in [*out, (at, run[at:])] if x]
+
+
 def dense_windows(run: str, width: int, bits: float) -> list[tuple[int, int]]:
     """Merged windows of ``width`` whose Shannon entropy is at least ``bits``."""
-    weight = [0.0] + [c * math.log2(c) for c in range(1, width + 1)]
+    weight = [0.0] + [c * math.log2(c) for c in range(1, width + 2)]
     counts: dict[str, int] = {}
     total, spans = 0.0, []  # total: sum of c * log2(c)
     for end, ch in enumerate(run, 1):
@@ -118,9 +139,16 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans, and these with the entropy spans that overlap none of them."""
-    base = base_spans(text)
-    added = [(a, 3, b) for a, b in entropy_spans(text) if not any(a < e and s < b for s, _, e in base)]
+    """Base spans, and these with the parts of entropy spans that none of them covers."""
+    base, added = base_spans(text), []
+    for a, b in entropy_spans(text):
+        for s, _, e in base:
+            if a < e and s < b:
+                if a < s:
+                    added.append((a, 3, s))
+                a = max(a, e)
+        if a < b:
+            added.append((a, 3, b))
     return base, sorted(base + added)
 
 
