@@ -28,6 +28,27 @@ def test_broken_lines(spark):
         jsonl.parsed(df.where("value like '{broken%'"), "type string", strict=True).collect()
 
 
+def test_every_event_of_a_line(spark):
+    blocks = [{"type": "thinking", "thinking": "hm"}, {"type": "tool_use", "id": "t1", "name": "Read"}, {"type": "tool_use", "id": "t2", "name": "apply-patch"}, {"type": "tool_use", "name": "Bash"}]
+    rows = [
+        {"type": "assistant", "timestamp": "2026-01-01T00:00:00Z", "message": {"role": "assistant", "content": blocks}},
+        {"type": "user", "timestamp": "2026-01-01T00:00:00", "message": {"content": [{"type": "tool_result", "tool_use_id": "t1"}, {"type": "text", "text": "go"}]}},
+        {"type": "user", "message": {"role": "bashExecution", "command": "ls", "output": "a", "exitCode": 0}}, {"type": "compaction"}, {"type": "assistant", "message": {"content": "x"}}, "{broken", "[1]",
+    ]
+    df = lines(spark, rows).coalesce(1)
+    got = [(r["event_type"], r["event_key"], r["confidence"], r["lossiness"]) for r in jsonl.classified_events(df, "claude").collect()]
+    sure = ("high", "none")
+    assert got == [
+        ("assistant_message", None, *sure), ("tool_call", "tool_call:t1", *sure), ("file_read", "file_read:t1", *sure), ("tool_call", "tool_call:t2", *sure), ("patch", "patch:t2", *sure), ("tool_call", None, *sure), ("command_start", None, *sure),
+        ("user_message", None, "low", "unknown"), ("tool_result", "tool_result:t1", "low", "unknown"), ("command_start", None, *sure), ("stdout_chunk", None, "low", "unknown"), ("command_exit", None, *sure),
+        ("compaction", None, "high", "compacted"), ("schema_unknown", None, "low", "none"), ("schema_unknown", None, "missing", "none"), ("schema_unknown", None, "missing", "none"),
+    ]
+    item = lambda **p: {"type": "response_item", "payload": p}
+    rows = [item(type="function_call", call_id="c", name="shell"), item(type="function_call_output", call_id="c", output="Exit code: 0\nok"), item(type="custom_tool_call", name="edit"), item(type="reasoning"), item(type="message"), {"type": "turn_context"}, {"type": "event_msg", "payload": {"type": "agent_message"}}]
+    got = [(r["event_type"], r["event_key"]) for r in jsonl.classified_events(lines(spark, rows).coalesce(1), "codex").collect()]
+    assert got == [("tool_call", "tool_call:c"), ("command_start", "command_start:c"), ("tool_result", "tool_result:c"), ("command_exit", "command_exit:c"), ("tool_call", None), ("file_write", None), ("assistant_message", None), ("schema_unknown", None), ("schema_unknown", None), ("assistant_message", None)]
+
+
 def test_tool_results_join_their_calls(spark):
     rows = [
         {"type": "user", "timestamp": "1", "sessionId": "s", "message": {"role": "user", "content": "hi"}},

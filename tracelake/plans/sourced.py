@@ -63,6 +63,15 @@ def classified_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("event_type", "confidence").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("classified_events")
+def classified_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events of the lines, also those of content blocks (tested on a small fixture)."""
+    j = jsonl.parsed(claude_lines(spark, sf_dir), jsonl.CLAUDE)
+    message = F.struct("j.message.role", jsonl.blocks(F.col("j.message.content")).alias("content"))
+    rows = jsonl.classified_events(j.select(F.to_json(F.struct("j.type", "j.timestamp", message.alias("message"))).alias("value")), "claude")
+    return rows.groupBy("event_type", "confidence").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("vendor_timestamps", """
 SELECT event_id, CASE event_id % 4 WHEN 3 THEN NULL ELSE date_trunc('second', ts) END AS at, event_id % 4 = 3 AS naive FROM events""")
 def vendor_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
