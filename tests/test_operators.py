@@ -79,6 +79,22 @@ def test_names_next_to_other_scripts(spark):
     assert one(spark, text.anonymized(F.lit("用户alice说 alices /home/alice/x"), "alice")) == "用户[USER]说 alices /home/[USER]/x"
 
 
+def test_each_row_has_its_own_name(spark):
+    rows = [("alice", "/home/alice/x by Alice, bobby"), ("bobby", "/Users/bobby alice"), ("al", "al /home/al/x"), ("a.b$", "a.b$ axb$ /home/a.b$"), ("x\\Ey", "x\\Ey xy"), ("", "/home//x"), (None, "alice"), ("alice", None)]
+    got = spark.createDataFrame(rows, "name string, t string").coalesce(1).select(text.anonymized(F.col("t"), F.col("name"))).collect()
+    assert [r[0] for r in got] == ["/home/[USER]/x by [USER], bobby", "/Users/[USER] alice", "al /home/[USER]/x", "[USER] axb$ /home/[USER]", "[USER] xy", "/home//x", "alice", None]
+
+
+def test_whole_texts_are_anonymised_and_normalised(spark, tmp_path):
+    from tracelake.plans import catalog
+
+    rows = [(i, 0, role, f"{role} 2026-04-21T10:00:00Z pid 12 {i}") for i, role in enumerate(["user", "assistant", "system"])]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {q: sorted(r[-1] for r in catalog.QUERIES[q](spark, str(tmp_path)).collect()) for q in ("anonymize_texts", "outcome_texts")}
+    assert got["anonymize_texts"] == [f"[USER] 2026-04-21T10:00:00Z pid 12 {i}" for i in range(3)]
+    assert got["outcome_texts"] == sorted(f"{r[2]} <TS> pid <PID> {r[0]}" for r in rows)
+
+
 def test_ansi(spark):
     assert one(spark, text.without_ansi(F.lit("\x1b[31mred\x1b[0m\x07 \x1b]0;t\x07ok"))) == "red ok"
 

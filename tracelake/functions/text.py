@@ -40,14 +40,16 @@ def without_ansi(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, ANSI, ""), CONTROL, "")
 
 
-def anonymized(text: Column, user: str) -> Column:
-    """Home paths and the bare name (4 characters or more) of a user as placeholders.
+def anonymized(text: Column, user: Column | str) -> Column:
+    """Home paths and the bare name (4 characters or more) of a user, or of each row's, as placeholders.
 
     Boundaries are ASCII, so that a name next to other scripts is found.
     """
-    quoted = "\\Q" + user + "\\E"
-    text = F.regexp_replace(text, rf"(?i)(/(?:Users|home)/){quoted}(?![A-Za-z0-9_])", "$1[USER]")
-    return F.regexp_replace(text, rf"(?i)(?<![A-Za-z0-9_]){quoted}(?![A-Za-z0-9_])", "[USER]") if len(user) >= 4 else text
+    user = F.lit(user) if isinstance(user, str) else user
+    quoted = F.concat(F.lit("\\Q"), F.replace(user, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E(?![A-Za-z0-9_])"))
+    paths = F.regexp_replace(text, F.concat(F.lit("(?i)(/(?:Users|home)/)"), quoted), F.lit("$1[USER]"))
+    names = F.regexp_replace(paths, F.concat(F.lit("(?i)(?<![A-Za-z0-9_])"), quoted), F.lit("[USER]"))
+    return F.when(F.length(user) >= 4, names).when(F.length(user) > 0, paths).otherwise(text)
 
 
 def task_type(first: Column, rest: Column) -> Column:

@@ -99,6 +99,20 @@ def outcome_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", F.regexp_replace(rules.normalized_outcome(line), r"\] ", "]  ").alias("line"))
 
 
+@query("anonymize_texts")
+def anonymize_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts, with each row's own name replaced (tested on a small fixture; DuckDB has no lookbehind)."""
+    c = table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", rules.anonymized(F.col("text"), F.col("role")).alias("text"))
+
+
+@query("outcome_texts")
+def outcome_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts with their volatile parts normalised (tested on a small fixture)."""
+    c = table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", rules.normalized_outcome(F.col("text")).alias("line"))
+
+
 @query("high_entropy_tokens")
 def high_entropy_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top 15 distinct long strings by Shannon entropy (tested against a plain formula)."""
