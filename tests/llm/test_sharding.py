@@ -46,6 +46,34 @@ def test_hash_neighbours_are_told_apart(spark):
     assert capacity == smallest_capacity(sizes, 7)
 
 
+@pytest.mark.parametrize("share", [0.3, 0.6])
+def test_one_dominant_group_among_many(spark, share):
+    rng = random.Random(11)
+    groups = [(rng.randrange(-(2**63), 2**63), rng.randrange(20, 400)) for _ in range(20_000)]
+    rest = sum(s for _, s in groups)
+    big = round(rest * share / (1 - share))
+    groups = sorted([*groups, (rng.randrange(-(2**63), 2**63), big)])
+    table = spark.createDataFrame(groups, "group_hash long, bytes long").cache()
+    capacity, cuts, ranges = sharding.search(table, 8)
+    assert fits([s for _, s in groups], capacity, 8) and (capacity == big or not fits([s for _, s in groups], capacity - 1, 8))
+    assert ranges.most <= sharding.SPLIT * 8 * 2**sharding.BITS
+    cuts, alone = sharding.cut(table, 8)
+    assert alone == [h for h, s in groups if s == big]
+    totals = [0] * 8
+    for h, s in groups:
+        totals[0 if s == big else 1 + sum(h >= c for c in cuts)] += s
+    assert totals[0] == big and max(totals[1:]) - min(totals[1:]) <= 16 * 400
+
+
+def test_ranges_that_the_driver_holds_are_bounded(spark):
+    rng = random.Random(12)
+    groups = sorted((rng.randrange(-(2**63), 2**63), 5000 if i % 4000 == 0 else rng.randrange(1, 90)) for i in range(30_000))
+    capacity, _, ranges = sharding.search(spark.createDataFrame(groups, "group_hash long, bytes long").cache(), 6)
+    sizes = [s for _, s in groups]
+    assert fits(sizes, capacity, 6) and not fits(sizes, capacity - 1, 6)
+    assert ranges.most <= sharding.SPLIT * 6 * 2**sharding.BITS
+
+
 def test_contract(spark, docs, rows):
     got = sharding.shard_documents(spark, docs, 8).toPandas()
     want = sorted((-1 if r[0] is None else r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in rows)

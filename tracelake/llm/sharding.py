@@ -1,19 +1,24 @@
 """Sharding: minimax contiguous partition of ordered atomic groups.
 
-Documents with equal texts form one atomic group; groups are ordered by the
-hash of their text. The smallest capacity for which the ordered groups fit
-into ``shards`` contiguous shards is found by binary search, each candidate
-checked greedily, and the order is cut there. Only DataFrame functions run.
+Documents with equal texts form one atomic group. Groups larger than the fair
+share of what is left come first in the order, a shard each; the others are
+ordered by the hash of their text. The smallest capacity for which these fit
+into the other shards, contiguously, is found by binary search, each candidate
+checked greedily, and the order is cut where the greedy check at that capacity
+cuts it. Only DataFrame functions run.
 
 The check needs prefix sums of group sizes, not the groups: the driver holds
-sums over at most ``2**BITS`` ranges of the hash and, for the few ranges in
-which a cut may fall, sums over ever finer ranges, until the cut lies between
-two groups. What it holds is bounded by BITS and the number of shards.
+sums over 2**BITS ranges of the hash and, for ranges in which a cut of the
+search can lie, sums over ever finer ranges, until the cut lies between two
+groups. A refinement splits at most SPLIT ranges for each shard, so it brings
+at most SPLIT * shards * 2**BITS rows to the driver, whatever the corpus.
 
 Defined results: a null text counts as an empty one and has size 1; texts
-whose 64-bit hashes collide form one group; a group larger than the fair
-share gets a shard for itself as far as the order allows; an empty table has
-no rows; repeated rows each take a slot; further columns are left out.
+whose 64-bit hashes collide form one group; groups of equal size are told
+apart by their hash, slots of a shard by a hash of the row and then by doc_id
+(null first), text_crc32 and size, and rows equal in these may swap slots; a
+null doc_id is placed like any other; an empty table has no rows; repeated
+rows each take a slot; further columns are left out.
 """
 
 from __future__ import annotations
@@ -26,8 +31,10 @@ from pyspark.sql import functions as F
 
 from tracelake.llm.common import rank_in_groups, written
 
-#: Each refinement splits a hash range into 2**BITS parts.
-BITS = 10
+#: Each refinement splits a hash range into 2**BITS parts; ranges that it splits for each shard.
+BITS, SPLIT = 10, 16
+#: Capacities between the bounds that a round of the search looks at.
+PROBES = 8
 
 
 def sized(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -41,21 +48,34 @@ def sized(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     )
 
 
+def giants(groups: DataFrame, shards: int) -> list[int]:
+    """Hashes of the groups larger than the fair share of what is left: fewer than ``shards``."""
+    total, found = groups.agg(F.sum("bytes")).first()[0] or 0, {}
+    while True:
+        share = (total - sum(found.values())) / (shards - len(found))
+        more = {r["group_hash"]: r["bytes"] for r in groups.where(F.col("bytes") > share).collect()}
+        if more.keys() <= found.keys():
+            return sorted(found)
+        found |= more
+
+
 class Ranges:
     """Ordered hash ranges with their sizes, refined where a cut may fall."""
 
     def __init__(self, groups: DataFrame) -> None:
         self.groups = groups  # group_hash, bytes
+        self.most = 0  # rows that came to the driver at once
         self.parts = self._summed(groups, 64 - BITS)
         self._index()
 
-    @staticmethod
-    def _summed(groups: DataFrame, shift: int) -> list[dict]:
+    def _summed(self, groups: DataFrame, shift: int) -> list[dict]:
         """Sizes by the hash's upper bits; the number of rows is bounded by the ranges asked for."""
         rows = groups.groupBy(F.shiftright("group_hash", shift).alias("part")).agg(
-            F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n"), F.min("group_hash").alias("low"), F.max("group_hash").alias("high")
+            F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n"), F.min("group_hash").alias("low")
         )
-        return [r.asDict() | {"shift": shift} for r in rows.collect()]
+        parts = [r.asDict() | {"shift": shift} for r in rows.collect()]
+        self.most = max(self.most, len(parts))
+        return parts
 
     def _index(self) -> None:
         self.parts.sort(key=lambda p: p["low"])
@@ -82,20 +102,22 @@ class Ranges:
         return [j for j in range(first, last + 1) if self.parts[j]["n"] > 1]
 
     def refine(self, numbers: list[int]) -> None:
-        """One job: the coarsest of these ranges, each split into finer ones."""
-        shift = max(self.parts[j]["shift"] for j in numbers)
-        chosen = [self.parts[j] for j in numbers if self.parts[j]["shift"] == shift]
-        wanted = reduce(lambda a, b: a | b, (F.col("group_hash").between(p["low"], p["high"]) for p in chosen))
+        """Splits these ranges into finer ones, one job for each width among them."""
+        chosen = [self.parts[j] for j in numbers]
         gone = {p["low"] for p in chosen}
-        self.parts = [p for p in self.parts if p["low"] not in gone] + self._summed(self.groups.where(wanted), max(0, shift - BITS))
+        self.parts = [p for p in self.parts if p["low"] not in gone]
+        for shift in {p["shift"] for p in chosen}:
+            upper = F.shiftright("group_hash", shift)
+            own = self.groups.where(upper.isin([p["part"] for p in chosen if p["shift"] == shift]))
+            self.parts += self._summed(own, max(0, shift - BITS))
         self._index()
 
-    def walk(self, capacity: int, shards: int, hopeful: bool = False, start: int = 0) -> list[int]:
+    def walk(self, capacity: int, shards: int, hopeful: bool = False) -> list[int]:
         """Greedy check: where each shard ends if it takes all that fits."""
-        out = []
+        out, at = [], 0
         for _ in range(shards):
-            start = self.floor(start + capacity, hopeful)
-            out.append(start)
+            at = self.floor(at + capacity, hopeful)
+            out.append(at)
         return out
 
     def smallest(self, low: int, shards: int, hopeful: bool) -> int:
@@ -109,59 +131,78 @@ class Ranges:
                 low = mid + 1
         return low
 
+    def open_at(self, capacity: int, shards: int) -> set[int]:
+        """Unresolved ranges in which a shard of this capacity may end."""
+        ends = [e for hopeful in (False, True) for e in [0, *self.walk(capacity, shards, hopeful)[:-1]]]
+        return {j for e in ends for j in self.unresolved(e + capacity, e + capacity)}
+
     def exact_floor(self, x: int) -> int:
         while x < self.total and (j := self.unresolved(x, x)) and self.floor(x) != x:
             self.refine(j)
         return self.floor(x)
 
 
-def minimax_cuts(groups: DataFrame, shards: int) -> tuple[int, list[int]]:
-    """(smallest capacity, for each shard but the last the first hash beyond it).
+def search(groups: DataFrame, shards: int) -> tuple[int, list[int], Ranges]:
+    """(smallest capacity, for each shard but the last the first hash beyond it, what the search has read).
 
-    ``groups`` (group_hash, bytes) is read once for each refinement.
+    ``groups`` (group_hash, bytes) is read once for each refinement. Two checks
+    bound the capacity: one that hopes for a boundary wherever a range is not
+    resolved, one that expects none. Where they meet, it is exact.
     """
-    largest = groups.agg(F.max("bytes")).first()[0]
-    if largest is None:
-        return 0, []
     ranges = Ranges(groups)
-    least = max(largest, -(-ranges.total // shards))
+    if not ranges.total:
+        return 0, [], ranges
+    least = max(groups.agg(F.max("bytes")).first()[0], -(-ranges.total // shards))
     while True:
         low, high = ranges.smallest(least, shards, True), ranges.smallest(least, shards, False)
-        ends = zip([0, *ranges.walk(low, shards)], ranges.walk(high, shards, True), strict=False)
-        open_ = sorted({j for end, (_, hopeful) in zip(ranges.walk(low, shards), ends, strict=False) for j in ranges.unresolved(end, hopeful)})
-        if low == high or not open_:
+        if low == high:
             break
-        ranges.refine(open_)
-    capacity, at, cuts = high, 0, []
-    for left in range(shards, 1, -1):
-        # An even share if the rest still fits, else all that the capacity allows.
-        even = ranges.exact_floor(at + -(-(ranges.total - at) // left))
-        fits = even > at and ranges.walk(capacity, left - 1, False, even)[-1] >= ranges.total
-        at = even if fits else ranges.exact_floor(at + capacity)
+        # All ranges that the cuts can lie in, if few; else those of some capacities between the bounds.
+        spans = zip(ranges.walk(low, shards), ranges.walk(high, shards, True), strict=True)
+        open_ = {j for first, last in spans for j in ranges.unresolved(first, last)} | ranges.open_at(low, shards)
+        if len(open_) > SPLIT * shards:
+            open_ = set().union(*(ranges.open_at(low + (high - low) * i // PROBES, shards) for i in range(PROBES)))
+        ranges.refine(sorted(open_))
+    at, cuts = 0, []
+    for _ in range(shards - 1):
+        at = ranges.exact_floor(at + high)
         j = bisect_right(ranges.ends, at)
         if j < len(ranges.parts):
             cuts.append(ranges.parts[j]["low"])
-    return capacity, cuts
+    return high, cuts, ranges
 
 
-def with_shard(docs: DataFrame, cuts: list[int]) -> DataFrame:
-    """Adds ``shard``: how many cuts the group's hash has reached. No shuffle."""
-    number = reduce(lambda a, b: a + b, ((F.col("group_hash") >= c).cast("int") for c in cuts), F.lit(0))
+def minimax_cuts(groups: DataFrame, shards: int) -> tuple[int, list[int]]:
+    """(smallest capacity, for each shard but the last the first hash beyond it)."""
+    return search(groups, shards)[:2]
+
+
+def with_shard(docs: DataFrame, cuts: list[int], alone: list[int] = ()) -> DataFrame:
+    """Adds ``shard``: that of a group of its own, else how many cuts the hash has reached. No shuffle."""
+    number = reduce(lambda a, b: a + b, ((F.col("group_hash") >= c).cast("int") for c in cuts), F.lit(len(alone)))
+    for i, h in enumerate(alone):
+        number = F.when(F.col("group_hash") == h, i).otherwise(number)
     return docs.withColumn("shard", number)
 
 
+def cut(groups: DataFrame, shards: int) -> tuple[list[int], list[int]]:
+    """(cuts, groups with a shard of their own), as with_shard() takes them."""
+    alone = giants(groups, shards)
+    _, cuts = minimax_cuts(groups.where(~F.col("group_hash").isin(alone)) if alone else groups, shards - len(alone))
+    return cuts, alone
+
+
 def shard_documents(spark: SparkSession, docs: DataFrame, shards: int = 8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, size, text_crc32, group_hash, shard, slot (gapless in the shard)."""
     slim = written(spark, sized(docs, text, doc_id), "shard-sizes")
     groups = written(spark, slim.groupBy("group_hash").agg(F.sum("size").alias("bytes")), "shard-groups")
-    _, cuts = minimax_cuts(groups, shards)
-    placed = with_shard(slim, cuts)
+    placed = with_shard(slim, *cut(groups, shards))
     order = F.xxhash64("doc_id", "text_crc32", "size")
     return rank_in_groups(placed, ["shard"], order, [F.col("doc_id"), F.col("text_crc32"), F.col("size")], "slot")
 
 
-def write_shards(docs: DataFrame, cuts: list[int], path: str, text: str = "text") -> None:
+def write_shards(docs: DataFrame, cuts: list[int], path: str, text: str = "text", alone: list[int] = ()) -> None:
     """The documents themselves, every column, in one folder per shard; no shuffle."""
     body = F.coalesce(F.col(text), F.lit(""))
-    taken = with_shard(docs.withColumn("group_hash", F.xxhash64(body)), cuts)
+    taken = with_shard(docs.withColumn("group_hash", F.xxhash64(body)), cuts, alone)
     taken.drop("group_hash").write.partitionBy("shard").parquet(path)
