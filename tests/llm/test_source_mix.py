@@ -50,6 +50,40 @@ def test_budgets_are_met(knapsack):
         assert sum(x * t for x, t in zip(lengths.tolist(), take, strict=True)) == min(budget, int((lengths * counts).sum()))
 
 
+def test_long_documents_meet_the_budget():
+    lengths, counts = np.array([100_003, 100_019, 100_043, 250_007]), np.full(4, 40)
+    take = source_mix.fit_budget(lengths, counts, 1_000_000)
+    best = max(
+        s for c in product(range(10), range(10), range(10), range(5)) if (s := sum(int(x) * t for x, t in zip(lengths, c, strict=True))) <= 1_000_000
+    )
+    assert sum(int(x) * t for x, t in zip(lengths, take, strict=True)) == best >= 950_027
+
+
+@given(st.lists(st.tuples(st.integers(1, 40), st.integers(1, 9)), min_size=1, max_size=5, unique_by=lambda x: x[0]), st.integers(0, 700), st.integers(1, 40))
+@settings(max_examples=150, deadline=None)
+def test_the_best_sum_is_found_from_any_window(items, budget, window):
+    lengths, counts = [x for x, _ in items], [n for _, n in items]
+    take = source_mix.fit_budget(np.array(lengths), np.array(counts), budget, window)
+    reach = {0}
+    for x, n in items:
+        reach = {r + x * t for r in reach for t in range(n + 1)}
+    assert all(0 <= t <= n for t, n in zip(take, counts, strict=True))
+    assert sum(x * t for x, t in zip(lengths, take, strict=True)) == max(r for r in reach if r <= budget)
+
+
+@pytest.mark.parametrize("broadcast", [source_mix.BROADCAST, 0])
+def test_mixed_documents_take_what_the_mix_plans(spark, docs, broadcast):
+    """Also with repeated rows, ids and null ids."""
+    many = docs.union(docs.where("doc_id IN (9, 12)")).union(docs.where("doc_id IS NULL"))
+    plan = source_mix.mix(spark, many).toPandas()
+    got = source_mix.mixed_documents(spark, many, broadcast=broadcast).toPandas()
+    size = got["text"].map(lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")))
+    assert len(got) == plan["copies"].sum() and size.sum() == plan["taken"].sum()
+    want = plan.groupby([plan["doc_id"].fillna(-1), "size"])["copies"].sum()
+    have = got.groupby([got["doc_id"].fillna(-1), size]).size()
+    assert {k: v for k, v in want.items() if v} == dict(have.items())
+
+
 def test_contract(spark, docs, rows):
     got = source_mix.mix(spark, docs).toPandas()
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))

@@ -52,7 +52,7 @@ def rank_in_groups(df: DataFrame, keys: list[str], hashed: Column, ties: list[Co
     ``extra`` adds its columns by ``keys``; it joins the slices, not the rows,
     so that a frequent key is no hot key of that join.
     """
-    df = df.withColumn("_h", hashed).withColumn("_b", F.shiftrightunsigned("_h", 64 - bucket_bits).cast("int"))
+    df = df.withColumn("_h", hashed).withColumn("_b", F.shiftright("_h", 64 - bucket_bits).cast("int"))
     counts = df.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
