@@ -59,6 +59,27 @@ def test_encoder_equals_the_tokenizer(tokenizer, text):
     assert np.frombuffer(encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+WORDS = st.text(st.sampled_from("abcXYZéÀßÿ×÷'’09.,!<|>-_ \n\t\r\x0b\x85日İ́µ"), max_size=40)
+
+
+@given(st.lists(WORDS | st.text(max_size=12), max_size=6))
+@settings(max_examples=150, deadline=None)
+def test_batches_equal_the_tokenizer(texts):
+    encode = packing.Encoder.of(tokenizer_path())
+    for text, ids in zip(texts, encode.batches(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_words_are_forgotten_when_too_many(monkeypatch):
+    monkeypatch.setattr(packing.Encoder, "WORDS", 50)
+    monkeypatch.setattr(packing.Encoder, "BATCH", 200)
+    encode = packing.Encoder(tokenizer_path())
+    texts = [f"w{i}ord the{i % 7} Some-thing x{i * i}, {'long' * (i % 9)}" for i in range(300)]
+    for text, ids in zip(texts, encode.batches(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(encode.key) <= 150
+
+
 def test_all_documents_are_packed_once(spark, docs, rows, tokenizer):
     got = packing.packed_documents(spark, docs, tokenizer_path(), keep_ids=True).toPandas()
     want = []

@@ -22,17 +22,16 @@ further columns are left out.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import kept_in_worker, rank_in_groups, written
+from tracelake.llm.common import kept_in_worker, mixed, rank_in_groups, written
 
 SEQUENCE = 4096
 END = 1
@@ -41,23 +40,33 @@ SEGMENTS = "length long, low long, high long, first long, per long, base long, s
 
 
 class Encoder:
-    """Token ids of texts, as little-endian bytes, remembered by chunk and by word.
+    """Token ids of texts, as little-endian bytes; words are remembered.
 
-    The tokenizer splits at white space and never joins across it, so a
-    text's ids are those of its space-separated chunks in a row. A chunk of
-    plain characters falls into words as the tokenizer's own rule has it
-    (letters, single digits, other signs), and all words not seen yet are
-    tokenised at once; other chunks are tokenised whole.
+    The tokenizer splits at white space and never joins across it. A chunk of
+    plain characters between spaces falls into words as the tokenizer's own
+    rule has it (letters, single digits, other signs), in lower case; other
+    chunks are words as they are. Words of a batch of texts are found with
+    array operations. Those of up to 16 plain characters are two whole
+    numbers, looked up among the known ones; all unknown words of the batch
+    are tokenised at once.
 
-    Both memories have a young and an old part. What is found in the old part
-    moves to the young one; a young part that is full becomes the old one, so
-    frequent words stay and the memory is bounded.
+    Words that a batch has not used are forgotten when there are too many.
     """
 
-    CHUNKS, WORDS = 80_000, 250_000
-    #: Words of lower-case characters for which that rule is sure: no
-    #: apostrophes, and nothing that normalisation changes.
-    WORD = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+    WORDS = 600_000
+    #: Characters of texts that make a batch.
+    BATCH = 4_000_000
+    #: Character classes: 1 space, 2 letter, 3 digit, 4 sign; 0 for those whose words
+    #: are left whole: apostrophes and all that normalisation may change.
+    KINDS = np.zeros(257, np.uint8)
+    KINDS[[0x20, 0x09, 0x0A, 0x0D]] = 1
+    KINDS[[*range(65, 91), *range(97, 123), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]] = 2
+    KINDS[48:58] = 3
+    KINDS[[*range(0x21, 0x27), *range(0x28, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = 4
+    LOWER = np.arange(257).astype(np.uint8)
+    LOWER[[*range(65, 91), *range(0xC0, 0xD7), *range(0xD8, 0xDF)]] += 32
+    #: The first n bytes of a whole number.
+    FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -67,9 +76,11 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.old_chunks, self.old_words = self.chunks, self.words
+        self._remember(*(np.empty(0, t) for t in (np.uint64, np.uint64, np.uint64, np.int64, np.int64, "<u4")))
+
+    def _remember(self, key: np.ndarray, low: np.ndarray, high: np.ndarray, start: np.ndarray, n: np.ndarray, pool: np.ndarray) -> None:
+        """Known words: sorted keys, their characters, and where their ids are in the pool."""
+        self.key, self.low, self.high, self.start, self.n, self.pool = key, low, high, start, n, pool
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -77,45 +88,102 @@ class Encoder:
         return kept_in_worker(f"encoder {path}", lambda: cls(path))
 
     def __call__(self, text: str) -> bytes:
-        chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        new = set(chunks).difference(self.chunks)
-        if new:
-            if len(self.chunks) > self.CHUNKS:
-                self.old_chunks, self.chunks = self.chunks, {}
-                new = set(chunks)
-            if len(self.words) > self.WORDS:
-                self.old_words, self.words = self.words, {}
-            old = {c: self.old_chunks[c] for c in new if c in self.old_chunks}
-            self.chunks.update(old)
-            self._learn(new.difference(old))
-        return b"".join(map(self.chunks.__getitem__, chunks))
-
-    def _learn(self, new: set[str]) -> None:
-        plain, known, old = {}, self.words, self.old_words
-        words: dict[str, None] = {}
-        for chunk in new:
-            low = chunk.lower()
-            parts = self.WORD.findall(low)
-            if sum(map(len, parts)) == len(low) and "<|" not in low:
-                plain[chunk] = parts
-                for w in parts:
-                    if w not in known:
-                        if w in old:
-                            known[w] = old[w]
-                        else:
-                            words[w] = None
-            else:
-                ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-                self.chunks[chunk] = np.array(ids, "<u4").tobytes()
-        if words:
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-            ends = 4 * (np.flatnonzero(self.last[ids]) + 1)
-            raw, at = ids.tobytes(), 0
-            for word, end in zip(words, ends.tolist(), strict=True):
-                self.words[word] = raw[at:end]
-                at = end
-        for chunk, parts in plain.items():
-            self.chunks[chunk] = b"".join([self.words[w] for w in parts])
+        return self.batch([text])[0]
+
+    def batches(self, texts: Sequence[str]) -> Iterator[bytes]:
+        """The ids of each text; texts are taken together up to BATCH characters."""
+        first, size = 0, 0
+        for i, text in enumerate(texts):
+            size += len(text)
+            if size >= self.BATCH:
+                yield from self.batch(texts[first : i + 1])
+                first, size = i + 1, 0
+        yield from self.batch(texts[first:])
+
+    def batch(self, texts: Sequence[str]) -> list[bytes]:
+        whole = " ".join(texts) + " "
+        small = np.minimum(np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4"), 256).astype(np.uint16)
+        low = np.concatenate([self.LOWER[small], np.zeros(16, np.uint8)])
+        starts, ends, plain = self._words(small, low)
+        eight = np.ndarray((len(low) - 7,), "<u8", buffer=low, strides=(1,))  # the eight characters from each place on
+        length = ends - starts
+        first = eight[starts] & self.FIRST[np.minimum(length, 8)]
+        second = eight[np.minimum(starts + 8, len(eight) - 1)] & self.FIRST[np.clip(length - 8, 0, 8)]
+        key = mixed(first * np.uint64(0x9E3779B97F4A7C15) ^ second)
+        short = np.flatnonzero(plain & (length <= 16))
+        at, n = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        distinct, one, which = np.unique(key[short], return_index=True, return_inverse=True)
+        one = short[one]
+        # Equal keys of unequal words, if that happens, are tokenised one by one.
+        same = (first[short] == first[one][which]) & (second[short] == second[one][which])
+        self._learn(distinct, first[one], second[one])
+        found = np.searchsorted(self.key, distinct)
+        same &= ((self.low[found] == first[one]) & (self.high[found] == second[one]))[which] if len(found) else same
+        at[short[same]], n[short[same]] = self.start[found][which[same]], self.n[found][which[same]]
+        singly = np.ones(len(starts), bool)
+        singly[short[same]] = False
+        pool = [self.pool]
+        if singly.any():
+            rows = np.flatnonzero(singly)
+            words = [whole[a:b] for a, b in zip(starts[rows].tolist(), ends[rows].tolist(), strict=True)]
+            number = {w: i for i, w in enumerate(dict.fromkeys(words))}
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(list(number), add_special_tokens=False)]
+            sizes = np.array([len(x) for x in ids], np.int64)
+            which = np.array([number[w] for w in words], np.int64)
+            at[rows], n[rows] = len(self.pool) + (np.cumsum(sizes) - sizes)[which], sizes[which]
+            pool.append(np.array([x for own in ids for x in own], "<u4"))
+        place = np.cumsum(n) - n
+        ids = np.concatenate(pool)[np.repeat(at - place, n) + np.arange(int(n.sum()))]
+        begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        cuts = np.append(place, len(ids))[np.searchsorted(starts, begin)]
+        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def _words(self, small: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, ends, whether plain) of all words."""
+        kind = self.KINDS[small]
+        space = kind == 1
+        odd = kind == 0
+        odd[:-1] |= (low[: len(kind) - 1] == 0x3C) & (low[1 : len(kind)] == 0x7C)  # "<|": may begin a special token
+        chunk = np.cumsum(space, dtype=np.int32)
+        left_whole = np.zeros(int(chunk[-1]) + 1, bool)
+        left_whole[chunk[odd & ~space]] = True
+        left_whole = left_whole[chunk]
+        start = ~space
+        start[1:] &= space[:-1] | (~left_whole[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == 3)))
+        starts = np.flatnonzero(start)
+        ends = np.flatnonzero(~space & np.append(start[1:] | space[1:], True)) + 1
+        return starts, ends, ~left_whole[starts]
+
+    def _learn(self, key: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        """Tokenises the words that are not known yet. ``key`` is sorted."""
+        at = np.minimum(np.searchsorted(self.key, key), max(0, len(self.key) - 1))
+        new = self.key[at] != key if len(self.key) else np.ones(len(key), bool)
+        if not new.any():
+            return
+        low, high = low[new], high[new]
+        words = [w.decode("latin-1") for w in np.column_stack([low, high]).view("S16").ravel().tolist()]
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(words):
+            each = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            ids, ends = np.concatenate(each), np.cumsum([len(x) for x in each])
+        start = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        if len(self.key) + len(words) > self.WORDS:
+            used = np.zeros(len(self.key), bool)
+            used[at[~new]] = True
+            old = np.flatnonzero(used)
+        else:
+            old = np.arange(len(self.key))
+        n = self.n[old]
+        place = np.cumsum(n) - n
+        pool = self.pool[np.repeat(self.start[old] - place, n) + np.arange(int(n.sum()))]
+        every = np.concatenate([self.key[old], key[new]])
+        order = np.argsort(every, kind="stable")
+        both = lambda a, b: np.concatenate([a, b])[order]
+        self._remember(
+            every[order], both(self.low[old], low), both(self.high[old], high), both(place, start + len(pool)),
+            both(n, ends - start), np.concatenate([pool, ids]),
+        )
 
 
 def pieces(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", length: int = SEQUENCE, keep_ids: bool = False) -> DataFrame:
@@ -125,8 +193,8 @@ def pieces(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "d
         encode, end = Encoder.of(tokenizer), np.array([END], "<u4").tobytes()
         for pdf in frames:
             rows = []
-            for key, value in zip(pdf["doc_id"].array, pdf["text"].array, strict=True):
-                ids = encode(value) + end
+            for key, ids in zip(pdf["doc_id"].array, encode.batches(pdf["text"].tolist()), strict=True):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * length)):
                     part = ids[at : at + 4 * length]
                     rows.append((key, piece, at // 4, len(part) // 4, zlib.crc32(part), part)[: 5 + keep_ids])
