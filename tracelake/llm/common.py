@@ -17,13 +17,28 @@ from pyspark.sql.window import Window
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which all executors share.
 
-    Where the session names none (single-machine tests), one is set.
+    An application's folders lie in one, which is deleted when its JVM ends.
+    Where the session names no folder, one is made on a local master (as in
+    tests); on a cluster that is an error.
     """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-tracelake-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    own = f"{root.rstrip('/')}/tracelake-{context.applicationId}"
+    if own not in _OWN:
+        _OWN.add(own)
+        path = context._jvm.org.apache.hadoop.fs.Path(own)
+        system = path.getFileSystem(context._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+_OWN: set[str] = set()
 
 
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
@@ -42,6 +57,12 @@ def parallel(spark: SparkSession) -> int:
     return max(8, shuffle_partitions(spark))
 
 
+def groups_for(spark: SparkSession, docs: DataFrame, text: str, each: int = 64 << 20) -> int:
+    """Groups for keyed Python work on all words: one for ``each`` bytes of text, and for each partition at least."""
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(2 * parallel(spark), -(-size // each))
+
+
 def rank_in_groups(df: DataFrame, keys: list[str], hashed: Column, ties: list[Column], out: str, bucket_bits: int = 8, extra: DataFrame | None = None) -> DataFrame:
     """Adds ``out``: gapless ranks from 0 within ``keys`` in the order of (hashed, ties).
 

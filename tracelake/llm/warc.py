@@ -4,11 +4,16 @@ Pages become gzip members of WARC files, one record each. The first of
 records with equal payloads is a response, the others are revisits. Captures
 are indexed by reversed-host URL key: index lines are range-sorted and cut
 into compressed blocks, and a sparse directory holds the first and last key
-of each block. A lookup searches the directory by bisection, unpacks only
-the blocks that may hold the key, and reads the records' byte ranges.
+of each block. The directory is in parts, one for each partition of the sort.
+A lookup finds a key's part by bisection over the parts' bounds, searches the
+part's entries by bisection, unpacks only the blocks that may hold the key,
+and reads the records' byte ranges.
 
 All files lie in a folder that every executor shares, reached through the
-file system its URI names (local path, HDFS or object store).
+file system its URI names (local path, HDFS or object store). An archive's
+name has the attempt that wrote it, so a retried or speculative task never
+replaces a file whose offsets are in the index; files of attempts that failed
+are in no index line and are deleted once the others stand.
 
 Defined results: null html is an empty payload; of equal payloads the
 smallest page_id (nulls last), then the smallest url, is the response, one
@@ -136,11 +141,9 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str, page_id:
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task = TaskContext.get()
-        name = f"pages-{task.partitionId():06d}.warc.gz"
+        name = f"pages-{task.partitionId():06d}-{task.taskAttemptId()}.warc.gz"
         system, root = store(folder)
         system.create_dir(root, recursive=True)
-        # A retried or speculative task writes a file of its own; the last to end gives the name.
-        own = f"{root}/_{name}.{task.taskAttemptId()}"
         at, done, answered, out = 0, 0, set(), None
         for pdf in frames:
             lines = []
@@ -156,7 +159,7 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str, page_id:
                     answered.add(mine)
                 packer = zlib.compressobj(6, zlib.DEFLATED, 31)
                 member = packer.compress(record(key, r.url, payload, refers)) + packer.flush()
-                out = out or system.open_output_stream(own, compression=None)
+                out = out or system.open_output_stream(f"{root}/{name}", compression=None)
                 out.write(member)
                 lines.append((url_key(r.url), key, r.url, name, at, len(member)))
                 at += len(member)
@@ -164,9 +167,22 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str, page_id:
             yield pd.DataFrame(lines, columns=[c.split()[0] for c in INDEX.split(", ")]).astype({"page_id": "Int64"})
         if out:
             out.close()
-            system.move(own, f"{root}/{name}")
 
-    return written(spark, dealt.mapInPandas(write, INDEX), "warc-captures")
+    captures = written(spark, dealt.mapInPandas(write, INDEX), "warc-captures")
+    drop_strays(captures, folder)
+    return captures
+
+
+def drop_strays(captures: DataFrame, folder: str) -> None:
+    """Deletes archives that no capture line names: those of attempts that did not count."""
+    from pyarrow import fs
+
+    named = {r["archive"] for r in captures.select("archive").distinct().collect()}  # one for each task that wrote
+    if named:
+        system, root = store(folder)
+        for found in system.get_file_info(fs.FileSelector(root)):
+            if found.base_name.endswith(".warc.gz") and found.base_name not in named:
+                system.delete_file(found.path)
 
 
 def line_of(r: tuple) -> str:
@@ -243,35 +259,36 @@ def blocks_of(keys: list[str], first: list[str], last: list[str]) -> list[tuple[
     return [(bisect_left(last, k), bisect_right(first, k)) for k in keys]
 
 
-#: Directory entries that a lookup may hold at once.
-DIRECTORY = 1_000_000
-
-
 def lookup(spark: SparkSession, urls: DataFrame, blocks: DataFrame, directory: DataFrame, folder: str, url: str = "url") -> DataFrame:
     """Records captured under any of the urls' keys.
 
-    The directory has an entry for LINES captures; up to DIRECTORY entries it
-    is held by every task, beyond that blocks are found by a range join.
+    The driver holds the bounds of the directory's parts only, two keys for
+    each partition of the index's sort; a part's entries meet the keys that
+    may be in it in a task of their own.
     """
 
     @F.pandas_udf("string")
     def key(urls: pd.Series) -> pd.Series:
         return pd.Series([url_key(u) for u in urls.array], dtype=object)
 
-    wanted = urls.select(key(F.col(url)).alias("key")).distinct()
-    if directory.count() <= DIRECTORY:
-        held = directory.orderBy("block").toPandas()
-        names, first, last = held["block"].tolist(), held["first_key"].tolist(), held["last_key"].tolist()
+    entries = directory.withColumn("part", F.substring_index("block", "-", 1))
+    held = entries.groupBy("part").agg(F.min("first_key").alias("first"), F.max("last_key").alias("last")).orderBy("part").collect()
+    parts, first, last = ([r[c] for r in held] for c in ("part", "first", "last"))
 
-        def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in frames:
-                keys = pdf["key"].tolist()
-                found = [(k, names[j]) for k, (a, b) in zip(keys, blocks_of(keys, first, last), strict=True) for j in range(a, b)]
-                yield pd.DataFrame(found, columns=["key", "block"])
-
-        hits = wanted.mapInPandas(search, "key string, block string")
-    else:
-        hits = wanted.join(directory, (wanted["key"] >= directory["first_key"]) & (wanted["key"] <= directory["last_key"])).select("key", "block")
+    def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            keys = pdf["key"].tolist()
+            found = [(k, parts[j]) for k, (a, b) in zip(keys, blocks_of(keys, first, last), strict=True) for j in range(a, b)]
+            yield pd.DataFrame(found, columns=["key", "part"])
+
+    def search(part: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("block")
+        names, keys = part["block"].tolist(), asked["key"].tolist()
+        found = [(k, names[j]) for k, (a, b) in zip(keys, blocks_of(keys, part["first_key"].tolist(), part["last_key"].tolist()), strict=True) for j in range(a, b)]
+        return pd.DataFrame(found, columns=["key", "block"])
+
+    wanted = urls.select(key(F.col(url)).alias("key")).distinct().mapInPandas(route, "key string, part string")
+    hits = entries.groupBy("part").cogroup(wanted.groupBy("part")).applyInPandas(search, "key string, block string")
     hits = written(spark, hits, "warc-hits")
     lines = unpacked(blocks.join(hits.select("block").distinct(), "block", "left_semi"))
     return read_records(spark, lines.join(hits.select("key").distinct(), "key", "left_semi"), folder)
