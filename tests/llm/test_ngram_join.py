@@ -31,7 +31,7 @@ def brute_force(rows):
     out = []
     for i, r in enumerate(rows):
         seen, todo = {r[0]}, [r[0]]
-        while sets[i] and todo:
+        while todo:
             new = near[todo.pop()] - seen
             seen |= new
             todo += new
@@ -44,14 +44,15 @@ def result(spark, docs):
 
 
 def test_equals_brute_force(spark, docs, rows):
-    unique = [r for i, r in enumerate(rows) if r[0] != 9 or i == 9]  # repeated ids are checked below
-    got = result(spark, docs.where("doc_id <> 9 or doc_id is null").unionByName(docs.where("doc_id = 9 and length(text) = %d" % len(rows[9][1])).limit(1)))
-    assert got == brute_force(unique)
+    """Repeated ids, with equal and with other texts, included."""
+    assert result(spark, docs) == brute_force(rows)
 
 
 def test_repeated_ids_share_a_component(spark, docs):
-    got = {r["component_id"] for r in ngram_join.join(spark, docs).where("doc_id = 9").collect()}
-    assert got and all(c is not None for c in got)
+    text, other = ("a b c d e f g h i j", "k l m n o p q r s t")
+    rows = [(3, text), (9, other), (9, text), (12, other), (9, ""), (15, "u v w x y z")]
+    got = result(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [r[2] for r in got] == [3, 3, 3, 3, 3, 15]
 
 
 def test_near_copies_in_many_blocks(spark, monkeypatch):
@@ -85,8 +86,18 @@ def test_trie_links(seed):
         keep = base[rng.random(len(base)) < 0.9]
         sets.append(np.unique(np.concatenate([keep, rng.choice(500, rng.integers(0, 4), replace=False).astype(np.uint64), [np.uint64(900)]])))
     similar = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b))
-    assert sorted(ngram_join.linked(sets, None)) == [(i, j) for i in range(60) for j in range(i + 1, 60) if similar(sets[i], sets[j])]
-    assert sorted(ngram_join.linked(sets[:25], sets[25:])) == [(i, j) for i in range(25) for j in range(35) if similar(sets[i], sets[25 + j])]
+    counted = [(g, (g % np.uint64(7)).astype(np.uint8)) for g in sets]  # counts over all buckets order the n-grams
+    pairs = lambda left, right: sorted((int(i), j) for who, j in ngram_join.linked(left, right) for i in who)
+    assert pairs(counted, None) == [(i, j) for i in range(60) for j in range(i + 1, 60) if similar(sets[i], sets[j])]
+    assert pairs(counted[:25], counted[25:]) == [(i, j) for i in range(25) for j in range(35) if similar(sets[i], sets[25 + j])]
+
+
+def test_pairs_that_met_in_a_smaller_centre():
+    centres = [np.array(c) for c in ([1, 5, 9], [5, 9], [9], [1, 9], [2, 9], [2, 5, 9])]
+    want = [[bool({c for c in a if c < 9} & set(b)) for b in map(set, centres)] for a in centres]
+    got = ngram_join.met_before(centres, 9)
+    assert (got == np.array(want)).all()
+    assert ngram_join.met_before([np.array([3, 9]), np.array([4, 9])], 9) is None
 
 
 def test_one_of_each_keeps_smallest_ids(spark, docs, rows):

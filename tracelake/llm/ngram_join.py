@@ -14,11 +14,13 @@ components of these links and every document's number of links.
    linked sets share an n-gram of their prefixes in that order, and so a
    centre, to whose bucket both are sent. Large buckets are dealt as pairs of
    blocks.
-3. In a bucket the sets are stored in a trie, frequent n-grams first, so that
-   similar sets share a path. Blocks of probe sets walk it together: the
+3. In a bucket the sets are stored in a trie, in that global order, frequent
+   n-grams first, so that similar sets share a path. Blocks of probe sets walk it together: the
    overlap with a path counts for all sets below, and a probe leaves a
    subtree when its overlap and the remaining lengths can't reach the
-   threshold.
+   threshold. Links are counted and spanning edges found from the probes that
+   reach a set, without a list of pairs.
+4. Classes that hold one id are joined through it, then components are found.
 
 All filters are exact bounds. N-grams are compared by 64-bit hashes, classes
 by 128-bit digests of their sets.
@@ -26,8 +28,10 @@ by 128-bit digests of their sets.
 Defined results: without words or text a document has no n-grams and links
 with nothing; with fewer words than n the whole sequence is the one n-gram;
 rows without an id get their n_shingles, no links and a null component; rows
-that repeat an id share its component; further columns are left out; an empty
-table gives no rows.
+of one id are one document's, so they share its component whatever their
+texts, and the links of each count for all (n_links is that of the row's own
+text, its copies among the rows included); ties need no rule, as every link
+counts; further columns are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -42,14 +46,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import WordHashes, mixed, parallel, shuffle_partitions, windows, written
+from tracelake.llm.common import WordHashes, groups_for, mixed, shuffle_partitions, windows, written
 from tracelake.llm.components import components
 
 WORDS = 5
 #: Similarity that links, in percent; all bounds are whole-number arithmetic.
 PERCENT = 75
 #: n-grams that a task gathers before it sends them; n-grams in a block of a bucket.
-GATHER, BUCKET = 1_000_000, 200_000
+GATHER, BUCKET = 1_000_000, 40_000
 PROBES = 64
 #: The filter of ids holds 16 MB at most.
 FILTER_BITS = 27
@@ -58,6 +62,7 @@ SALTS = 16
 PACKED = "slot int, block string, kind int, data binary"
 SETS = "doc_id long, cls string, n long, block string, grams binary"
 LINKS = "rep long, root long, cls string, links long"
+NEAR = "cls string, n long, centres array<long>, grams binary"
 
 
 def gram_set(known: WordHashes, text: str | None, k: int = WORDS) -> np.ndarray:
@@ -277,9 +282,10 @@ def _tell(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _centres(sets: pd.DataFrame, told: pd.DataFrame, slots: int, percent: int) -> pd.DataFrame:
-    """cls, n, centres of the n-grams in the prefix of each set that others have too."""
+    """cls, n, centres of the n-grams in the prefix of each set that others have too; and the
+    set's n-grams in global order, the last first, with their counts."""
     if not len(sets) or not len(told):
-        return _frame([], "cls string, n long, centres array<long>")
+        return _frame([], NEAR)
     grams, _, _, _ = _block_grams(sets, slots)
     answers = [pickle.loads(d) for d in told.sort_values("slot")["data"]]
     count, centre = (np.concatenate(x) for x in zip(*answers, strict=True))
@@ -290,11 +296,13 @@ def _centres(sets: pd.DataFrame, told: pd.DataFrame, slots: int, percent: int) -
         at = np.searchsorted(grams, np.frombuffer(raw, np.uint64))
         c = count[at]
         if 100 * int((c > 1).sum()) >= percent * n:
-            prefix = at[np.argsort(c, kind="stable")][: n - -(-percent * n // 100) + 1]
+            ordered = at[np.argsort(c, kind="stable")]
+            prefix = ordered[: n - -(-percent * n // 100) + 1]
             found = np.unique(centre[prefix][count[prefix] > 1])
             if len(found):
-                rows.append((cls, n, found.view(np.int64)))
-    return _frame(rows, "cls string, n long, centres array<long>")
+                ordered = ordered[::-1]
+                rows.append((cls, n, found.view(np.int64), pickle.dumps((grams[ordered], _small(count[ordered])))))
+    return _frame(rows, NEAR)
 
 
 # --- 3. the trie ---------------------------------------------------------------------------
@@ -349,28 +357,49 @@ class Trie:
                 todo += [(a, b, end, who, overlap) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def linked(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Pairs (i, j) of left and right sets (of hashes) that link; without right i < j in left."""
-    every = left + (right or [])
-    if not every:
-        return []
-    _, at, count = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
-    rank = np.empty(len(count), np.int64)
-    rank[np.argsort(-count, kind="stable")] = np.arange(len(count))
-    ends = np.cumsum([len(s) for s in every])
-    coded = [np.sort(x) for x in np.split(rank[at], ends[:-1])]
-    probes, trie = coded[: len(left)], Trie(coded[len(left) :] if right is not None else coded)
-    out = []
+def coded(sets: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list[np.ndarray], int]:
+    """The sets (n-grams, their counts) as sorted places in the global order, and how many places there are."""
+    grams, counts = (np.concatenate(x) for x in zip(*sets, strict=True))
+    distinct, first, at = np.unique(grams, return_index=True, return_inverse=True)
+    rank = np.empty(len(distinct), np.int64)
+    rank[np.lexsort((distinct, counts[first].astype(np.int64)))[::-1]] = np.arange(len(distinct))
+    return [np.sort(x) for x in np.split(rank[at], np.cumsum([len(g) for g, _ in sets])[:-1])], len(distinct)
+
+
+def linked(left: list[tuple[np.ndarray, np.ndarray]], right: list[tuple[np.ndarray, np.ndarray]] | None, percent: int = PERCENT) -> Iterator[tuple[np.ndarray, int]]:
+    """(numbers i, number j) of left and right sets that link; without right i < j in left."""
+    if not left or right == []:
+        return
+    sets, places = coded(left + (right or []))
+    probes, trie = sets[: len(left)], Trie(sets[len(left) :] if right is not None else sets)
     for first in range(0, len(probes), PROBES):
         block = probes[first : first + PROBES]
-        has = np.zeros((len(block), len(count)), bool)
+        has = np.zeros((len(block), places), bool)
         for i, p in enumerate(block):
             has[i, p] = True
-        before = np.zeros((len(block), len(count) + 1), np.int32)
+        before = np.zeros((len(block), places + 1), np.int32)
         np.cumsum(has, axis=1, out=before[:, 1:])
         for who, j in trie.links(has, before, np.array([len(p) for p in block]), percent):
-            out += [(first + int(i), j) for i in who if right is not None or first + i < j]
-    return out
+            who = who + first
+            if right is None:
+                who = who[who < j]
+            if len(who):
+                yield who, j
+
+
+def met_before(centres: list[np.ndarray], centre: int) -> np.ndarray | None:
+    """Which sets have a smaller centre in common, where they meet too; None if no two have."""
+    own = [c[c < centre] for c in centres]
+    every = np.concatenate(own)
+    shared, at, count = np.unique(every, return_inverse=True, return_counts=True)
+    if not (count > 1).any():
+        return None
+    number = np.cumsum(count > 1) - 1
+    row = np.repeat(np.arange(len(own)), [len(c) for c in own])
+    keep = count[at] > 1
+    has = np.zeros((len(own), int(number[-1]) + 1), np.float32)
+    has[row[keep], number[at[keep]]] = 1
+    return has @ has.T > 0
 
 
 def _join_buckets(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
@@ -381,27 +410,21 @@ def _join_buckets(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     rows = []
     for (centre, i, j), part in pdf.groupby(["centre", "i", "j"], sort=False):
         part = part.drop_duplicates("cls").reset_index(drop=True)
-        sets = [np.frombuffer(g, np.uint64) for g in part["grams"]]
-        if i == j:
-            pairs = linked(sets, None, percent)
-        else:
-            a, b = np.flatnonzero(part["own"] == i), np.flatnonzero(part["own"] == j)
-            pairs = [(a[x], b[y]) for x, y in linked([sets[x] for x in a], [sets[y] for y in b], percent)] if len(a) and len(b) else []
-        root, links, centres = list(range(len(part))), [0] * len(part), [set(c) for c in part["centres"]]
-
-        def find(x: int, root: list[int] = root) -> int:
-            while root[x] != x:
-                root[x] = x = root[root[x]]
-            return x
-
-        met = set()
-        for x, y in pairs:
-            if min(centres[x] & centres[y]) == centre:
-                links[x] += int(part["copies"][y])
-                links[y] += int(part["copies"][x])
-                met |= {x, y}
-                root[max(find(x), find(y))] = min(find(x), find(y))
-        rows += [(int(part["rep"][x]), int(part["rep"][find(x)]), part["cls"][x], links[x]) for x in met]
+        sets = [pickle.loads(g) for g in part["grams"]]
+        before = met_before([np.asarray(c, np.int64) for c in part["centres"]], centre)
+        every = np.arange(len(part))
+        a, b = (every, every) if i == j else (every[part["own"] == i], every[part["own"] == j])
+        root, links, copies = every.copy(), np.zeros(len(part), np.int64), part["copies"].to_numpy(np.int64)
+        for who, y in linked([sets[x] for x in a], None if i == j else [sets[x] for x in b], percent):
+            who, y = a[who], b[y]
+            if before is not None:
+                who = who[~before[who, y]]
+            links[who] += copies[y]
+            links[y] += copies[who].sum()
+            roots = np.unique(root[np.append(who, y)])
+            if len(roots) > 1:
+                root[np.isin(root, roots[1:])] = roots[0]
+        rows += [(int(part["rep"][x]), int(part["rep"][root[x]]), part["cls"][x], int(links[x])) for x in np.flatnonzero(links)]
     return _frame(rows, LINKS)
 
 
@@ -410,7 +433,7 @@ def _join_buckets(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
 
 def join(spark: SparkSession, docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable), n_links."""
-    slots = 2 * parallel(spark)
+    slots = groups_for(spark, docs, text)
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     answers = _send(slim, slots, words).groupBy("slot").applyInPandas(_shared, "block string, kind int, data binary")
     table = answers.groupBy("block").applyInPandas(_per_document, "doc_id long, n_shingles long, cls string, shared long")
@@ -426,7 +449,7 @@ def join(spark: SparkSession, docs: DataFrame, text: str = "text", doc_id: str =
     asked = sets.select("block", "cls", "n", "grams").groupBy("block").applyInPandas(lambda pdf: _ask(pdf, slots), PACKED)
     told = asked.groupBy("slot").applyInPandas(_tell, PACKED)
     own = sets.select("block", "cls", "n", "grams").groupBy("block")
-    near = own.cogroup(told.groupBy("block")).applyInPandas(lambda a, b: _centres(a, b, slots, percent), "cls string, n long, centres array<long>")
+    near = own.cogroup(told.groupBy("block")).applyInPandas(lambda a, b: _centres(a, b, slots, percent), NEAR)
     near = written(spark, near.dropDuplicates(["cls"]), "ngram-centres")
     members = near.select("cls", "n", F.explode("centres").alias("centre"))
     buckets = members.groupBy("centre").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("grams")).where("m > 1")
@@ -435,22 +458,28 @@ def join(spark: SparkSession, docs: DataFrame, text: str = "text", doc_id: str =
     dealt = members.select("cls", "centre").join(buckets, "centre").withColumn("own", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("cls", "centre", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    tasks = dealt.join(near.select("cls", "centres"), "cls").join(sets.select("cls", "copies", "rep", "grams"), "cls")
+    tasks = dealt.join(near.select("cls", "centres", "grams"), "cls").join(hopeful.select("cls", "copies", "rep"), "cls")
     tasks = tasks.withColumn("task", F.pmod(F.xxhash64("centre", "i", "j"), F.lit(8 * shuffle_partitions(spark))))
     links = tasks.groupBy("task").applyInPandas(lambda pdf: _join_buckets(pdf, percent), LINKS)
     links = written(spark, links, "ngram-links")
 
-    found = components(spark, links.select(F.col("rep").alias("u"), F.col("root").alias("v")))
+    # Texts of one id belong together: the id is linked with the first id of each of its classes.
+    several = table.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least <> most").select("doc_id")
+    several = written(spark, several, "ngram-several")
+    own = table.where("n_shingles > 0").join(several, "doc_id", "left_semi").select("doc_id", "cls").distinct().join(classes.select("cls", "rep"), "cls")
+    found = components(spark, links.select(F.col("rep").alias("u"), F.col("root").alias("v")).unionByName(own.select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))))
+    several = several.join(found, several["doc_id"] == found["node"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("together"))
     counts = links.groupBy("cls").agg(F.sum("links").alias("links"))
     known = classes.select("cls", "rep", "copies").join(found, classes["rep"] == found["node"], "left").join(counts, "cls", "left")
     known = known.select("cls", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     # A class may be a third of all documents: both sides are salted.
     salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     out = table.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).join(salted, ["cls", "salt"], "left")
+    out = out.join(several, "doc_id", "left")
     taking_part = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     return out.select(
         "doc_id", "n_shingles",
-        F.when(taking_part, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.coalesce("together", F.when(taking_part, F.col("component")).otherwise(F.col("doc_id"))).alias("component_id"),
         F.when(taking_part, F.col("links")).otherwise(F.lit(0)).alias("n_links"),
     )
 
