@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -84,6 +84,50 @@ def rank_in_groups(df: DataFrame, keys: list[str], hashed: Column, ties: list[Co
     return joined.withColumn(out, F.col("_o") + F.row_number().over(within).cast("long") - 1).drop("_h", "_b", "_o")
 
 
+#: Bits of the largest filter of ids: 16 MB.
+FILTER_BITS = 27
+
+
+def _filter_places(ids: pd.Series, bits: int) -> np.ndarray:
+    return (mixed(ids.to_numpy(np.int64).view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def id_filter(ids: DataFrame) -> Callable[[str], Column]:
+    """A condition on a column: true for all ids of ``ids`` (doc_id, none of them null), and for few others.
+
+    A bit set of hashed ids, 2**FILTER_BITS bits at most, united by chunks. It
+    spares a shuffle of the texts that are not needed; what it lets through by
+    chance only costs work, as a join decides.
+    """
+    bits = min(FILTER_BITS, max(12, (16 * ids.count()).bit_length()))
+
+    def mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        whole = np.zeros(1 << bits >> 3, np.uint8)
+        for pdf in frames:
+            at = _filter_places(pdf["doc_id"], bits)
+            np.bitwise_or.at(whole, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        chunks = whole.reshape(-1, min(len(whole), 1 << 13))
+        some = np.flatnonzero(chunks.any(axis=1))
+        yield pd.DataFrame({"chunk": some, "bits": [chunks[i].tobytes() for i in some]})
+
+    def unite(pdf: pd.DataFrame) -> pd.DataFrame:
+        every = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in pdf["bits"]])
+        return pd.DataFrame({"chunk": pdf["chunk"][:1], "bits": [every.tobytes()]})
+
+    parts = ids.select("doc_id").mapInPandas(mark, "chunk long, bits binary").groupBy("chunk").applyInPandas(unite, "chunk long, bits binary")
+    whole = np.zeros(1 << bits >> 3, np.uint8)
+    for r in parts.collect():
+        whole[r["chunk"] * len(r["bits"]) :][: len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
+    marked = ids.sparkSession.sparkContext.broadcast(whole)
+
+    @F.pandas_udf("boolean")
+    def may_be(own: pd.Series) -> pd.Series:
+        at = _filter_places(own, bits)
+        return pd.Series((marked.value[at >> 3] >> (at & 7) & 1).astype(bool))
+
+    return lambda column: may_be(F.coalesce(F.col(column), F.lit(0).cast("long"))) & F.col(column).isNotNull()
+
+
 _KEPT: dict[str, object] = {}
 
 

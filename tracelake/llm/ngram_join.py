@@ -46,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import WordHashes, groups_for, mixed, shuffle_partitions, windows, written
+from tracelake.llm.common import WordHashes, groups_for, id_filter, mixed, shuffle_partitions, windows, written
 from tracelake.llm.components import components
 
 WORDS = 5
@@ -55,8 +55,6 @@ PERCENT = 75
 #: n-grams that a task gathers before it sends them; n-grams in a block of a bucket.
 GATHER, BUCKET = 1_000_000, 40_000
 PROBES = 64
-#: The filter of ids holds 16 MB at most.
-FILTER_BITS = 27
 SALTS = 16
 
 PACKED = "slot int, block string, kind int, data binary"
@@ -191,49 +189,14 @@ def _per_document(pdf: pd.DataFrame) -> pd.DataFrame:
 # --- 2. prefixes and buckets ---------------------------------------------------------------
 
 
-def _places(ids: pd.Series, bits: int) -> np.ndarray:
-    return (mixed(ids.to_numpy(np.int64).view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def _id_filter(hopeful: DataFrame) -> tuple[int, np.ndarray]:
-    """A bit set of hashed ids, 2**FILTER_BITS bits at most, united by chunks.
-
-    It spares a shuffle of the texts that are not needed; what it lets
-    through by chance only costs work, as a join decides.
-    """
-    bits = min(FILTER_BITS, max(12, (16 * hopeful.count()).bit_length()))
-
-    def mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        whole = np.zeros(1 << bits >> 3, np.uint8)
-        for pdf in frames:
-            at = _places(pdf["doc_id"], bits)
-            np.bitwise_or.at(whole, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        chunks = whole.reshape(-1, min(len(whole), 1 << 13))
-        some = np.flatnonzero(chunks.any(axis=1))
-        yield pd.DataFrame({"chunk": some, "bits": [chunks[i].tobytes() for i in some]})
-
-    def unite(pdf: pd.DataFrame) -> pd.DataFrame:
-        every = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in pdf["bits"]])
-        return pd.DataFrame({"chunk": pdf["chunk"][:1], "bits": [every.tobytes()]})
-
-    parts = hopeful.select("doc_id").mapInPandas(mark, "chunk long, bits binary").groupBy("chunk").applyInPandas(unite, "chunk long, bits binary")
-    whole = np.zeros(1 << bits >> 3, np.uint8)
-    for r in parts.collect():
-        whole[r["chunk"] * len(r["bits"]) :][: len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
-    return bits, whole
-
-
 def _survivor_sets(docs: DataFrame, hopeful: DataFrame, k: int) -> DataFrame:
     """Sets of the documents that may stand for surviving classes, in blocks of bounded size."""
-    bits, whole = _id_filter(hopeful)
-    marked = docs.sparkSession.sparkContext.broadcast(whole)
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, part, number, size = WordHashes.kept(), TaskContext.get().partitionId(), 0, 0
         for pdf in frames:
-            at = _places(pdf["doc_id"], bits)
             rows = []
-            for r in pdf[(marked.value[at >> 3] >> (at & 7) & 1).astype(bool)].itertuples(index=False):
+            for r in pdf.itertuples(index=False):
                 grams = gram_set(known, r.text, k)
                 rows.append((r.doc_id, class_of(grams), len(grams), f"{part}-{number}", grams.tobytes()))
                 size += len(grams)
@@ -241,7 +204,7 @@ def _survivor_sets(docs: DataFrame, hopeful: DataFrame, k: int) -> DataFrame:
                     number, size = number + 1, 0
             yield _frame(rows, SETS)
 
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInPandas(batches, SETS)
+    return docs.where(id_filter(hopeful)("doc_id")).select("doc_id", "text").mapInPandas(batches, SETS)
 
 
 def _block_grams(pdf: pd.DataFrame, slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
