@@ -51,7 +51,39 @@ def test_bounds_prune(spark):
     """Far balls are not opened: every leaf beyond the best holds smaller products."""
     rng = np.random.default_rng(2)
     near, far = rng.normal(size=(200, 4)) + 50, rng.normal(size=(2000, 4)) - 50
-    vectors = np.vstack([near, far])
-    q, i, s = topk_search.search_shard(np.arange(2200), np.arange(2200), np.floor(vectors), np.array([-1]), np.full((1, 4), 9.0), np.array([-np.inf]), 3)
-    want = sorted(((-x, n) for n, x in enumerate(np.floor(vectors) @ np.full(4, 9.0))))[:3]
+    vectors = np.floor(np.vstack([near, far]))
+    tree, opened = topk_search.BallTree(vectors, 16), []
+    tree.nodes = Counted(tree.nodes, opened)
+    q, i, s = topk_search.search_shard(tree, np.arange(2200), np.arange(2200), vectors, np.array([-1]), np.full((1, 4), 9.0), np.array([-np.inf]), 3)
+    want = sorted(((-x, n) for n, x in enumerate(vectors @ np.full(4, 9.0))))[:3]
     assert [(-a, b) for a, b in zip(s, i, strict=True)] == want
+    assert len(set(opened)) < len(tree.nodes) / 4
+
+
+class Counted(list):
+    def __init__(self, nodes, opened):
+        super().__init__(nodes)
+        self.opened = opened
+
+    def __getitem__(self, n):
+        self.opened.append(n)
+        return super().__getitem__(n)
+
+
+def test_queries_go_only_to_shards_that_their_bound_reaches(spark, monkeypatch):
+    """Ten far clusters: pairs of queries and shards grow with the cluster's shards, not with all shards."""
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(10, 8)) * 100
+    rows = [(i, (centers[i % 10] + rng.normal(size=8)).tolist()) for i in range(3000)]
+    counts, plain = {}, topk_search.written
+
+    def counted(spark, df, name):
+        out = plain(spark, df, name)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(topk_search, "written", counted)
+    assert found(spark, rows, shard_rows=100) == brute_force(rows, 5)
+    queries = sum(i % 50 == 0 for i, _ in rows)
+    assert counts["topk-trees"] >= 30 and counts["topk-first"] == queries
+    assert counts["topk-pairs"] < queries * counts["topk-trees"] / 4
