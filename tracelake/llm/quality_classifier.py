@@ -8,7 +8,8 @@ added and solved once. Raw scores of a fold that the fit has not seen are
 calibrated by pool-adjacent-violators over score bins.
 
 Learned from at most LABELLED rows (those with the smallest hashes), which
-the caller may change; all documents are scored.
+the caller may change: their statistics are computed first, then all documents
+are scored in one pass over the texts.
 
 Defined results: a null text is scored as an empty one; rows without an id
 are held out of learning and are scored; a document with several labels
@@ -19,7 +20,7 @@ at all every score is 0.5; further columns are left out.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from tracelake.llm.common import written
 
 #: Labelled rows that are learned from at most.
-LABELLED = 200_000
+LABELLED = 50_000
 FEATURES, RIDGE, SEED, BINS = 256, 1.0, 7, 512
 THRESHOLD = 0.3
 BLOCK = 32  # rows of the normal equations that are summed in one group
@@ -69,15 +70,18 @@ def statistics(text: str) -> list[float]:
     ]
 
 
-def with_statistics(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, held_out, f (statistics)."""
+def labelled(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, label: str, limit: int) -> DataFrame:
+    """f (statistics), y, fold of the rows that are learned from. Ids of ``limit`` labels at most go to the documents."""
+    known = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("double").alias("y")).where("doc_id IS NOT NULL AND y IS NOT NULL")
+    known = known.withColumn("fold", fold("doc_id")).where("fold <> 0")
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(limit)
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "f": [statistics(t) for t in pdf["text"].array]})
+            yield pd.DataFrame({"y": pdf["y"], "fold": pdf["fold"], "f": [statistics(t) for t in pdf["text"].array]})
 
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return slim.mapInPandas(batches, "doc_id long, f array<double>").withColumn("held_out", fold("doc_id") == 0)
+    return slim.join(F.broadcast(known), "doc_id").select("text", "y", "fold").mapInPandas(batches, "y double, fold long, f array<double>")
 
 
 def fold(doc_id: str) -> Column:
@@ -121,13 +125,9 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array([p[0] / p[2] for p in pools]), np.array([p[1] / p[2] for p in pools])
 
 
-def fit(spark: SparkSession, table: DataFrame, labels: DataFrame, doc_id: str = "doc_id", label: str = "quality", limit: int = LABELLED) -> Model:
-    """``table`` (a written one) comes from with_statistics(). Folds 1 to 3 fit the
-    scores, fold 4 calibrates them, fold 0 is left out."""
-    known = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("double").alias("y")).where("doc_id IS NOT NULL AND y IS NOT NULL")
-    known = known.withColumn("fold", fold("doc_id")).where("fold <> 0")
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(limit)
-    rows = written(spark, table.select("doc_id", "f").join(known, "doc_id"), "classifier-labelled")
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", limit: int = LABELLED) -> Model:
+    """Folds 1 to 3 fit the scores, fold 4 calibrates them, fold 0 is left out."""
+    rows = written(spark, labelled(docs, labels, text, doc_id, label, limit), "classifier-labelled")
     rng = np.random.default_rng(SEED)
     empty = Model(np.zeros(N_STATISTICS), np.ones(N_STATISTICS), rng.normal(size=(N_STATISTICS, FEATURES)) / np.sqrt(N_STATISTICS), rng.uniform(0, 2 * np.pi, FEATURES), np.zeros(FEATURES + 1), np.empty(0), np.empty(0))
     train, held = rows.where("fold < 4"), rows.where("fold = 4")
@@ -169,26 +169,24 @@ def fit(spark: SparkSession, table: DataFrame, labels: DataFrame, doc_id: str =
     return model
 
 
-def scored(spark: SparkSession, docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", threshold: float = THRESHOLD, limit: int = LABELLED) -> DataFrame:
-    """doc_id, held_out, score, predicted."""
-    table = written(spark, with_statistics(docs, text, doc_id), "classifier-statistics")
-    model = fit(spark, table, labels, doc_id, label, limit)
+def scores(model: Model) -> Callable[[Column], Column]:
+    """The score of a text column, nulls as empty texts."""
 
     @F.pandas_udf("double")
-    def score(f: pd.Series) -> pd.Series:
-        return pd.Series(np.clip(model.score(np.vstack(f.to_numpy())), 0, 1)) if len(f) else pd.Series([], dtype=float)
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.clip(model.score(np.array([statistics(t) for t in texts.array]).reshape(len(texts), N_STATISTICS)), 0, 1))
 
-    out = table.withColumn("score", score("f"))
-    return out.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return lambda text: score(F.coalesce(text, F.lit("")))
 
 
-def accepted(spark: SparkSession, docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", threshold: float = THRESHOLD, limit: int = LABELLED) -> DataFrame:
-    """``docs`` without those scored below the threshold, all their columns."""
-    table = written(spark, with_statistics(docs, text, doc_id), "classifier-statistics")
-    model = fit(spark, table, labels, doc_id, label, limit)
+def scored(spark: SparkSession, docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", threshold: float = THRESHOLD, limit: int = LABELLED) -> DataFrame:
+    """doc_id, held_out, score, predicted."""
+    model = fit(spark, docs, labels, text, doc_id, label, limit)
+    out = docs.select(F.col(doc_id).cast("long").alias("doc_id"), scores(model)(F.col(text)).alias("score"))
+    return out.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.array([statistics(t) for t in texts.array]).reshape(len(texts), N_STATISTICS)))
 
-    return docs.where(score(F.coalesce(F.col(text), F.lit(""))) >= threshold)
+def accepted(spark: SparkSession, docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", threshold: float = THRESHOLD, limit: int = LABELLED) -> DataFrame:
+    """``docs`` without those scored below the threshold, all their columns."""
+    model = fit(spark, docs, labels, text, doc_id, label, limit)
+    return docs.where(scores(model)(F.col(text)) >= threshold)

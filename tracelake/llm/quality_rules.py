@@ -5,12 +5,12 @@ eight-word windows; two of them are limits of their own. Then lines are
 normalised and hashed, and for each host the distinct documents that carry a
 line are counted. Lines above the host's limit are boilerplate: they are
 removed, and a document that keeps too little of its words is rejected.
-Exact copies of a text count as one document, so that copies alone (which
-deduplication removes) make no line boilerplate.
 
 Defined results: a null text is an empty one (no words, base_failed); a null
-host is a host of its own; repeated rows are judged each on their own;
-further columns are left out; an empty table gives no rows; texts are read
+host is a host of its own; every row is a document, with or without an id, so
+repeated rows count each and are judged each on their own; a line that a
+document has several times counts once; nothing is ordered, so ties don't
+matter; further columns are left out; an empty table gives no rows; texts are read
 whole however long.
 """
 
@@ -40,7 +40,7 @@ _SYMBOL[list(b"#*$%&|<>")] = True
 _LEAD = (np.arange(256) & 0xC0) != 0x80  # bytes that begin a code point
 
 COLUMNS = (
-    "doc_id long, host string, text_hash long, n_words long, word_chars long, n_symbols long, "
+    "doc_id long, host string, n_words long, word_chars long, n_symbols long, "
     "n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<long>"
 )
 
@@ -99,7 +99,7 @@ def counted(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", host: s
                         h = line_hash(line)
                         lines[h] = lines.get(h, 0) + n
                 rows.append((
-                    key, at, xxhash.xxh3_64_intdigest(raw) // 2, len(words), int(_LEAD[codes].sum() - _SPACE[codes].sum()), int(_SYMBOL[codes].sum()),
+                    key, at, len(words), int(_LEAD[codes].sum() - _SPACE[codes].sum()), int(_SYMBOL[codes].sum()),
                     dup, repeated_words(known.of(words), words), list(lines), list(lines.values()),
                 ))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in COLUMNS.split(", ")]).astype({"doc_id": "Int64"})
@@ -113,9 +113,8 @@ def boilerplate(table: DataFrame, line_docs: int = LINE_DOCS, line_share: float
 
     At most (lines of a document on average / line_share) rows a host.
     """
-    texts = table.groupBy("host_key", "text_hash").agg(F.min("row").alias("row"))
-    per_host = texts.groupBy("host_key").agg(F.count(F.lit(1)).alias("host_docs"))
-    lines = table.join(texts.select("row"), "row", "left_semi").select("host_key", F.explode("lines").alias("line"))
+    per_host = table.groupBy("host_key").agg(F.count(F.lit(1)).alias("host_docs"))
+    lines = table.select("host_key", F.explode("lines").alias("line"))
     counts = lines.groupBy("host_key", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > line_docs)
     return counts.join(per_host, "host_key").where(F.col("n") > line_share * F.col("host_docs")).select("host_key", "line")
 

@@ -103,9 +103,8 @@ lines AS (SELECT r, l, list_filter(string_split_regex(translate(l, 'ABCDEFGHIJKL
           FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d)),
 worded AS (SELECT r, l, array_to_string(lw, ' ') AS norm, len(lw) AS n FROM lines WHERE len(lw) > 0),
 dup AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM worded GROUP BY r),
-texts AS (SELECT host, t, min(r) AS r FROM d GROUP BY host, t),
-hosts AS (SELECT host, count(*) AS docs FROM texts GROUP BY host),
-common AS (SELECT host, norm FROM (SELECT x.host, o.norm, count(DISTINCT x.r) AS n FROM texts x JOIN worded o ON o.r = x.r GROUP BY ALL) JOIN hosts USING (host) WHERE n > 10 AND n > 0.05 * docs),
+hosts AS (SELECT host, count(*) AS docs FROM d GROUP BY host),
+common AS (SELECT host, norm FROM (SELECT x.host, o.norm, count(DISTINCT x.r) AS n FROM d x JOIN worded o ON o.r = x.r GROUP BY ALL) JOIN hosts USING (host) WHERE n > 10 AND n > 0.05 * docs),
 gone AS (SELECT d.r, sum(o.n) AS n FROM d JOIN worded o ON o.r = d.r JOIN common c ON c.host = d.host AND c.norm = o.norm GROUP BY d.r),
 b AS (SELECT d.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(d.t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
       CAST(length(regexp_replace(d.t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(m.n, 0) AS n_repeat_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS n_removed_words
