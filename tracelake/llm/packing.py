@@ -1,22 +1,24 @@
 """Best-fit packing of tokenised documents into sequences of fixed length.
 
-Documents longer than a sequence are cut; all pieces are packed by best fit
-in descending order, in bulk-synchronous steps. A step takes all pieces of
-one length at once: gaps are kept sorted by size, each with its run of
-sequences, and a successor sweep hands the pieces to the smallest gaps that
-hold them. Pieces that want the same gap are told apart by their rank among
-the pieces of that length: rank r of a run goes to the run's r-th free place.
-Then gaps are updated and the next shorter length follows; what fits nowhere
-opens new sequences.
-
-The sweep needs only how many pieces have each length and runs of equal gaps:
-both are bounded by the sequence length, not by the corpus. All work on
-pieces (tokenising, ranking, looking up a rank's run) is distributed; no
-length, however frequent, is ranked in one task.
+Documents longer than a sequence are cut; all pieces are packed by best fit in
+bulk-synchronous rounds. Pieces and gaps are kept as runs (pieces of one
+length with their ranks, sequences with equal gaps), sorted into ranges of
+sizes. In a round every run of pieces goes to the range of its smallest
+possible gap; each range is swept on its own, longest pieces first, each to
+the successor among the gaps of the range; conflicts between pieces are
+settled by rank. Gaps are updated and sorted again, and rounds repeat until
+no piece has a gap that holds it; then the longest range of what is left opens
+new sequences and the rounds go on.
+
+Runs are bounded by the sequence length, not by the corpus, so rounds move
+little. All work on pieces (tokenising, ranking, looking up a rank's run) is
+distributed; no length, however frequent, is ranked in one task.
 
 Defined results: a null text is an empty one, which is the end token alone;
-equal rows are packed each on their own; an empty table gives no rows;
-further columns are left out.
+equal rows are packed each on their own; pieces of one length are ranked by a
+hash of doc_id, piece and content, then by doc_id (null first) and piece, and
+such as are equal in all of these may swap places; a null doc_id is packed
+like any other; an empty table gives no rows; further columns are left out.
 """
 
 from __future__ import annotations
@@ -24,7 +26,8 @@ from __future__ import annotations
 import os
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -36,7 +39,10 @@ from tracelake.llm.common import kept_in_worker, mixed, rank_in_groups, written
 SEQUENCE = 4096
 END = 1
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-SEGMENTS = "length long, low long, high long, first long, per long, base long, step long"
+#: Runs of pieces (ranks low to high - 1), of gaps (sequences first to first + n - 1), segments that are placed.
+RUNS = "cell int, kind string, size long, low long, high long, first long, per long, base long"
+#: Ranges of sizes: each begins at half of the one before, the last at 1.
+CELLS = 6
 
 
 class Encoder:
@@ -55,7 +61,7 @@ class Encoder:
 
     WORDS = 600_000
     #: Characters of texts that make a batch.
-    BATCH = 4_000_000
+    BATCH = 2_000_000
     #: Character classes: 1 space, 2 letter, 3 digit, 4 sign; 0 for those whose words
     #: are left whole: apostrophes and all that normalisation may change.
     KINDS = np.zeros(257, np.uint8)
@@ -205,57 +211,112 @@ def pieces(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "d
     return slim.mapInPandas(batches, PIECES + ", ids binary" * keep_ids)
 
 
-def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
-    """(length, low, high, first, per, base): where the pieces of each length go.
+def sweep(pieces: list[tuple[int, int, int]], gaps: list[tuple[int, int, int]], capacity: int, opened: int | None = None) -> tuple[list[tuple[int, int, int, int, int, int]], list[tuple[int, int, int]], list[tuple[int, int, int]], int]:
+    """Best fit of piece runs (length, low, high) into gap runs (gap, first, n), longest pieces first.
 
-    Pieces of that length with ranks low to high - 1 go to the sequences from
-    ``first`` on, ``per`` to each, behind the ``base`` tokens already there.
+    With ``opened``, the number of sequences so far, pieces without a gap open
+    new ones. Gives segments (length, low, high, first, per, base): ranks low
+    to high - 1 go to the sequences from ``first`` on, ``per`` to each, behind
+    ``base`` tokens; then the pieces and gaps left, and the sequences opened.
     """
-    gaps: list[int] = []  # sizes that runs have, sorted
-    runs: dict[int, list[tuple[int, int]]] = {}  # by size: first sequence, number of sequences
-    out, opened = [], 0
+    sizes: list[int] = []  # gaps that runs have, sorted
+    runs: dict[int, list[tuple[int, int]]] = {}
+    segments, left, new = [], [], 0
 
     def put(gap: int, first: int, n: int) -> None:
         if gap and n:
             if gap not in runs:
                 runs[gap] = []
-                insort(gaps, gap)
+                insort(sizes, gap)
             runs[gap].append((first, n))
 
-    for length in sorted(counts, reverse=True):
-        low, left = 0, counts[length]
-        while left:
-            j = bisect_left(gaps, length)
-            if j < len(gaps):
-                gap = gaps[j]
+    for run in sorted(gaps, reverse=True):
+        put(*run)
+    for length, low, high in sorted(pieces, key=lambda r: (-r[0], r[1])):
+        while low < high:
+            j = bisect_left(sizes, length)
+            if j < len(sizes):
+                gap = sizes[j]
                 first, n = runs[gap].pop()
                 if not runs[gap]:
-                    del runs[gap], gaps[j]
+                    del runs[gap], sizes[j]
+            elif opened is not None:
+                gap, first = capacity, opened + new
+                n = -(-(high - low) // (capacity // length))
+                new += n
             else:
-                gap, first = capacity, opened
-                n = -(-left // (capacity // length))
-                opened += n
+                left.append((length, low, high))
+                break
             per = gap // length
-            placed = min(left, n * per)
+            placed = min(high - low, n * per)
             full, some = divmod(placed, per)
-            out.append((length, low, low + placed, first, per, capacity - gap))
+            segments.append((length, low, low + placed, first, per, capacity - gap))
             put(gap - per * length, first, full)
             put(gap - some * length, first + full, 1 if some else 0)
             put(gap, first + full + (some > 0), n - full - (some > 0))
-            low, left = low + placed, left - placed
-    return out
+            low += placed
+    return segments, left, [(gap, first, n) for gap, own in runs.items() for first, n in own], new
+
+
+def _sweeper(capacity: int, opened: int | None) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Sweeps a range; range CELLS opens sequences from number ``opened`` on."""
+    return lambda pdf: _swept(pdf, capacity, opened if pdf["cell"].iloc[0] == CELLS else None)
+
+
+def _swept(pdf: pd.DataFrame, capacity: int, opened: int | None) -> pd.DataFrame:
+    """A range's sweep: segments, and the runs left."""
+    of = lambda kind, *columns: list(pdf.loc[pdf["kind"] == kind, list(columns)].astype("int64").itertuples(index=False, name=None))
+    segments, left, gaps, new = sweep(of("piece", "size", "low", "high"), of("gap", "size", "first", "per"), capacity, opened)
+    rows = [(0, "segment", *s) for s in segments] + [(0, "piece", *p, 0, 0, 0) for p in left] + [(0, "gap", g, 0, 0, first, n, 0) for g, first, n in gaps]
+    return pd.DataFrame([*rows, (0, "opened", new, 0, 0, 0, 0, 0)], columns=[c.split()[0] for c in RUNS.split(", ")])
+
+
+def rounds(spark: SparkSession, lengths: DataFrame, capacity: int) -> DataFrame:
+    """size, low, high, first, per, base: the places of all ranks. ``lengths``: length, n."""
+    size = F.col("size")
+    cell = sum(((size <= capacity >> i).cast("int") for i in range(1, CELLS)), F.lit(0))
+    zero = F.lit(0).cast("long")
+    state = lengths.select(F.lit("piece").alias("kind"), F.col("length").alias("size"), zero.alias("low"), F.col("n").alias("high"), zero.alias("first"), zero.alias("per"), zero.alias("base"))
+    placed, opened = [], 0
+    while True:
+        # Of each range only its largest gap and its longest piece come to the driver.
+        largest = {(r["kind"], r["cell"]): r["most"] for r in state.groupBy("kind", cell.alias("cell")).agg(F.max("size").alias("most")).collect()}
+        waiting = [c for kind, c in largest if kind == "piece"]
+        if not waiting:
+            break
+        target, fits = F.lit(-1), False
+        for c in range(CELLS):  # the smallest range at or above the piece's own with a gap that holds it
+            if (most := largest.get(("gap", c))) is not None:
+                target = F.when((cell >= c) & (size <= most), c).otherwise(target)
+                fits = fits or any(p >= c and low_of(p, capacity) <= most for p in waiting)
+        moved = state.withColumn("cell", F.when(F.col("kind") == "piece", target).otherwise(cell).cast("int"))
+        if fits:
+            fits = not moved.where("kind = 'piece' AND cell >= 0").isEmpty()
+        if not fits:
+            moved = moved.withColumn("cell", F.when((F.col("kind") == "piece") & (cell == min(waiting)), CELLS).otherwise(F.col("cell")).cast("int"))
+        number = None if fits else opened
+        swept = moved.select(*(c.split()[0] for c in RUNS.split(", "))).groupBy("cell").applyInPandas(_sweeper(capacity, number), RUNS)
+        swept = written(spark, swept, "pack-round")
+        placed.append(swept.where("kind = 'segment'"))
+        opened += swept.where("kind = 'opened'").agg(F.sum("size")).first()[0]
+        state = swept.where("kind IN ('piece', 'gap')")
+    columns = ["size", "low", "high", "first", "per", "base"]
+    return reduce(DataFrame.unionAll, placed, state.limit(0)).select(*columns)
+
+
+def low_of(cell: int, capacity: int) -> int:
+    """The least size in a range."""
+    return (capacity >> (cell + 1)) + 1 if cell < CELLS - 1 else 1
 
 
 def pack(spark: SparkSession, cut: DataFrame, capacity: int = SEQUENCE) -> DataFrame:
     """``cut`` (a written table of pieces) with sequence_id and offset."""
-    counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
-    step = {length: max(64, -(-n // 4096)) for length, n in counts.items()}
-    found = [(*s, step[s[0]]) for s in best_fit(counts, capacity)]
-    segments = spark.createDataFrame(pd.DataFrame(found, columns=[c.split()[0] for c in SEGMENTS.split(", ")]).astype("int64"), SEGMENTS)
-    steps = spark.createDataFrame(pd.DataFrame({"length": list(step), "step": list(step.values())}).astype("int64"), "length long, step long")
-    ranked = rank_in_groups(cut, ["length"], F.xxhash64("doc_id", "piece", "ids_crc32"), [F.col("doc_id"), F.col("piece")], "rank", extra=steps)
+    lengths = written(spark, cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")), "pack-lengths")  # capacity rows at most
+    segments = written(spark, rounds(spark, lengths, capacity).withColumnRenamed("size", "length"), "pack-segments")
     # Runs are looked up by blocks of ranks, so that one row meets few of them.
-    blocks = segments.withColumn("block", F.explode(F.sequence(F.expr("low div step"), F.expr("(high - 1) div step")))).drop("step")
+    step = lengths.select("length", F.greatest(F.lit(64), F.ceil(F.col("n") / 4096)).cast("long").alias("step"))
+    ranked = rank_in_groups(cut, ["length"], F.xxhash64("doc_id", "piece", "ids_crc32"), [F.col("doc_id"), F.col("piece")], "rank", extra=step)
+    blocks = segments.join(step, "length").withColumn("block", F.explode(F.sequence(F.expr("low div step"), F.expr("(high - 1) div step")))).drop("step")
     ranked = ranked.withColumn("block", F.expr("rank div step"))
     placed = ranked.join(blocks, ["length", "block"]).where("rank >= low AND rank < high")
     return placed.select(
