@@ -56,12 +56,12 @@ class Encoder:
     numbers, looked up among the known ones; all unknown words of the batch
     are tokenised at once.
 
-    Words that a batch has not used are forgotten when there are too many.
+    When there are too many, the words not used for longest are forgotten.
     """
 
-    WORDS = 600_000
+    WORDS = 300_000
     #: Characters of texts that make a batch.
-    BATCH = 2_000_000
+    BATCH = 1_000_000
     #: Character classes: 1 space, 2 letter, 3 digit, 4 sign; 0 for those whose words
     #: are left whole: apostrophes and all that normalisation may change.
     KINDS = np.zeros(257, np.uint8)
@@ -82,11 +82,12 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self._remember(*(np.empty(0, t) for t in (np.uint64, np.uint64, np.uint64, np.int64, np.int64, "<u4")))
+        self.clock = 0  # batches so far
+        self._remember(*(np.empty(0, t) for t in (np.uint64, np.uint64, np.uint64, np.int32, np.int32, np.int32, "<u4")))
 
-    def _remember(self, key: np.ndarray, low: np.ndarray, high: np.ndarray, start: np.ndarray, n: np.ndarray, pool: np.ndarray) -> None:
-        """Known words: sorted keys, their characters, and where their ids are in the pool."""
-        self.key, self.low, self.high, self.start, self.n, self.pool = key, low, high, start, n, pool
+    def _remember(self, key: np.ndarray, low: np.ndarray, high: np.ndarray, start: np.ndarray, n: np.ndarray, used: np.ndarray, pool: np.ndarray) -> None:
+        """Known words: sorted keys, their characters, where their ids are in the pool, and the batch of their last use."""
+        self.key, self.low, self.high, self.start, self.n, self.used, self.pool = key, low, high, start, n, used, pool
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -164,6 +165,8 @@ class Encoder:
         """Tokenises the words that are not known yet. ``key`` is sorted."""
         at = np.minimum(np.searchsorted(self.key, key), max(0, len(self.key) - 1))
         new = self.key[at] != key if len(self.key) else np.ones(len(key), bool)
+        self.clock += 1
+        self.used[at[~new]] = self.clock
         if not new.any():
             return
         low, high = low[new], high[new]
@@ -174,12 +177,11 @@ class Encoder:
             each = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
             ids, ends = np.concatenate(each), np.cumsum([len(x) for x in each])
         start = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-        if len(self.key) + len(words) > self.WORDS:
-            used = np.zeros(len(self.key), bool)
-            used[at[~new]] = True
-            old = np.flatnonzero(used)
-        else:
-            old = np.arange(len(self.key))
+        old = np.arange(len(self.key))
+        if len(old) + len(words) > self.WORDS:
+            kept = int((self.used == self.clock).sum())
+            kept = max(kept, self.WORDS // 2 - len(words))
+            old = np.sort(np.argsort(-self.used, kind="stable")[:kept])
         n = self.n[old]
         place = np.cumsum(n) - n
         pool = self.pool[np.repeat(self.start[old] - place, n) + np.arange(int(n.sum()))]
@@ -187,8 +189,8 @@ class Encoder:
         order = np.argsort(every, kind="stable")
         both = lambda a, b: np.concatenate([a, b])[order]
         self._remember(
-            every[order], both(self.low[old], low), both(self.high[old], high), both(place, start + len(pool)),
-            both(n, ends - start), np.concatenate([pool, ids]),
+            every[order], both(self.low[old], low), both(self.high[old], high), both(place.astype(np.int32), (start + len(pool)).astype(np.int32)),
+            both(n, (ends - start).astype(np.int32)), both(self.used[old], np.full(len(words), self.clock, np.int32)), np.concatenate([pool, ids]),
         )
 
 
