@@ -92,8 +92,8 @@ def _filter_places(ids: pd.Series, bits: int) -> np.ndarray:
     return (mixed(ids.to_numpy(np.int64).view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def id_filter(ids: DataFrame) -> Callable[[str], Column]:
-    """A condition on a column: true for all ids of ``ids`` (doc_id, none of them null), and for few others.
+def id_filter(ids: DataFrame) -> Callable[[pd.Series], np.ndarray]:
+    """For use in tasks: true for all ids of ``ids`` (doc_id, none of them null), and for few others.
 
     A bit set of hashed ids, 2**FILTER_BITS bits at most, united by chunks. It
     spares a shuffle of the texts that are not needed; what it lets through by
@@ -120,12 +120,11 @@ def id_filter(ids: DataFrame) -> Callable[[str], Column]:
         whole[r["chunk"] * len(r["bits"]) :][: len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
     marked = ids.sparkSession.sparkContext.broadcast(whole)
 
-    @F.pandas_udf("boolean")
-    def may_be(own: pd.Series) -> pd.Series:
+    def may_be(own: pd.Series) -> np.ndarray:
         at = _filter_places(own, bits)
-        return pd.Series((marked.value[at >> 3] >> (at & 7) & 1).astype(bool))
+        return (marked.value[at >> 3] >> (at & 7) & 1).astype(bool)
 
-    return lambda column: may_be(F.coalesce(F.col(column), F.lit(0).cast("long"))) & F.col(column).isNotNull()
+    return may_be
 
 
 _KEPT: dict[str, object] = {}
@@ -146,7 +145,7 @@ def kept_in_worker(name: str, make: Callable[[], object]) -> object:
 class WordHashes(dict):
     """word bytes -> 64-bit hash; forgets everything when it grows too large."""
 
-    LIMIT = 300_000
+    LIMIT = 200_000
 
     @classmethod
     def kept(cls) -> WordHashes:

@@ -192,11 +192,13 @@ def _per_document(pdf: pd.DataFrame) -> pd.DataFrame:
 def _survivor_sets(docs: DataFrame, hopeful: DataFrame, k: int) -> DataFrame:
     """Sets of the documents that may stand for surviving classes, in blocks of bounded size."""
 
+    may_be = id_filter(hopeful)
+
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, part, number, size = WordHashes.kept(), TaskContext.get().partitionId(), 0, 0
         for pdf in frames:
             rows = []
-            for r in pdf.itertuples(index=False):
+            for r in pdf[may_be(pdf["doc_id"])].itertuples(index=False):
                 grams = gram_set(known, r.text, k)
                 rows.append((r.doc_id, class_of(grams), len(grams), f"{part}-{number}", grams.tobytes()))
                 size += len(grams)
@@ -204,7 +206,7 @@ def _survivor_sets(docs: DataFrame, hopeful: DataFrame, k: int) -> DataFrame:
                     number, size = number + 1, 0
             yield _frame(rows, SETS)
 
-    return docs.where(id_filter(hopeful)("doc_id")).select("doc_id", "text").mapInPandas(batches, SETS)
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInPandas(batches, SETS)
 
 
 def _block_grams(pdf: pd.DataFrame, slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
