@@ -186,18 +186,19 @@ def mode_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("boundary_agreement", """
 WITH r AS (SELECT user_id AS session, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS idx, event_type FROM events),
-b AS (SELECT session, idx, CASE event_type WHEN 'signup' THEN 90 WHEN 'purchase' THEN 80 WHEN 'error' THEN 60 ELSE 0 END AS w FROM r),
-s AS (SELECT a.session, a.idx, max(a.w) + count(DISTINCT CASE WHEN b.w > 0 AND b.w <> a.w THEN b.w END) * 10 AS score FROM b a JOIN b ON a.session = b.session AND abs(a.idx - b.idx) <= 2 WHERE a.w > 0 GROUP BY a.session, a.idx)
-SELECT session, idx, CAST(score AS BIGINT) AS score FROM s WHERE score >= 80""")
+b AS (SELECT session, idx, CASE event_type WHEN 'signup' THEN 90 WHEN 'purchase' THEN 80 WHEN 'error' THEN 60 WHEN 'click' THEN 50 ELSE 0 END AS w FROM r),
+s AS (SELECT a.session, a.idx, max(b.w) AS most, count(DISTINCT b.w) AS n FROM b a JOIN b ON a.session = b.session AND abs(a.idx - b.idx) <= 2 AND b.w > 0 WHERE a.w > 0 GROUP BY a.session, a.idx)
+SELECT session, idx, CAST(CASE WHEN n >= 3 THEN 95 WHEN n = 2 THEN most + 10 ELSE most END AS BIGINT) AS score FROM s""")
 def boundary_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boundaries whose weight, with 10 for each other signal within two places, reaches 80."""
+    """Confidence of boundaries in hundredths, from the signals within two places: three or more
+    give 95, two the stronger one's weight and 10, one its weight (four kinds of events stand for the signals)."""
     order = sequence.by("session", "event_at", "event_id")
     kind = F.col("type")
-    weight = F.when(kind == "signup", 90).when(kind == "purchase", 80).when(kind == "error", 60).otherwise(0)
+    weight = F.when(kind == "signup", 90).when(kind == "purchase", 80).when(kind == "error", 60).when(kind == "click", 50).otherwise(0)
     rows = recorder_events(spark, sf_dir).select("session", F.row_number().over(order).cast("long").alias("idx"), weight.alias("w"), "event_at", "event_id")
-    near = F.collect_set("w").over(order.rowsBetween(-2, 2))
-    others = F.size(F.filter(near, lambda x: (x > 0) & (x != F.col("w"))))
-    return rows.select("session", "idx", "w", (F.col("w") + 10 * others).cast("long").alias("score")).where("w > 0 AND score >= 80").drop("w")
+    near = F.filter(F.collect_set("w").over(order.rowsBetween(-2, 2)), lambda x: x > 0)
+    score = F.when(F.size("near") >= 3, 95).when(F.size("near") == 2, F.array_max("near") + 10).otherwise(F.array_max("near"))
+    return rows.withColumn("near", near).where("w > 0").select("session", "idx", score.cast("long").alias("score"))
 
 
 @query("token_deltas", f"""

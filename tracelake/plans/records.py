@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -158,20 +159,18 @@ def judge_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def judge_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations in chunks of at most 1500 characters that overlap by two messages.
 
-    Each chunk starts where the one before ended, so a conversation's sizes
-    are walked in order; texts stay behind.
+    Prefix sums of the sizes tell by one search where a chunk from each message
+    would end; those that are reached from the first message are kept.
     """
 
     def chunk(pdf: pd.DataFrame) -> pd.DataFrame:
-        sizes, out, first = pdf.sort_values("turn")["size"].tolist(), [], 0
-        while first < len(sizes):
-            last, total = first, 0
-            while last < len(sizes) and (last == first or total + sizes[last] <= 1500):
-                total, last = total + sizes[last], last + 1
-            out.append((first, last, total))
-            if last == len(sizes):
-                break
-            first = max(first + 1, last - 2)
+        ends = np.concatenate([[0], pdf.sort_values("turn")["size"].fillna(0).cumsum().to_numpy(np.int64)])
+        n = len(ends) - 1
+        stop = np.maximum(np.searchsorted(ends, ends[:-1] + 1500, side="right") - 1, np.arange(1, n + 1))
+        starts = [0]
+        while stop[starts[-1]] < n:
+            starts.append(max(starts[-1] + 1, int(stop[starts[-1]]) - 2))
+        out = [(first, int(stop[first]), int(ends[stop[first]] - ends[first])) for first in starts]
         frame = pd.DataFrame(out, columns=["first", "last", "chars"])
         frame.insert(0, "conv_id", pdf["conv_id"].iloc[0])
         return frame
