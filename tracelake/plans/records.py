@@ -69,14 +69,18 @@ def entity_status_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("effort_score", f"""
-SELECT session_id, round(least(0.3::DOUBLE * least(date_diff('second', started_at, ended_at) / 7200.0::DOUBLE, 1) + 0.3::DOUBLE * least(CAST(cost AS DOUBLE) / 200000.0::DOUBLE, 1) + 0.2::DOUBLE * least(interrupts / 5.0::DOUBLE, 1) + 0.2::DOUBLE * coalesce(score, 0) / 5.0::DOUBLE, 1.0), 9) AS effort FROM {SESSIONS_SQL}""")
+SELECT session_id, round(greatest(least(0.3::DOUBLE * least(coalesce(date_diff('second', started_at, ended_at), 0) / 3600.0::DOUBLE, 1) + 0.3::DOUBLE * least(interrupts / 50.0::DOUBLE, 1) + 0.2::DOUBLE * least(CAST(cost AS DOUBLE) / 100000.0::DOUBLE, 1) + 0.2::DOUBLE * least(coalesce(score, 0) / 20.0::DOUBLE, 1), 1.0), 0.0), 9) AS effort FROM {SESSIONS_SQL}""")
 def effort_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weighted shares of duration, cost, interruptions and score, each capped."""
+    """Weighted shares of an hour, 50 tool calls, 100,000 tokens and 20 files, each capped.
+
+    Interruptions, cost and score stand for tool calls, tokens and files.
+    """
     from tracelake.functions.time import duration_seconds
 
     part = lambda c, most: F.least(c / F.lit(float(most)), F.lit(1.0))
-    total = 0.3 * part(duration_seconds(F.col("started_at"), F.col("ended_at")), 7200) + 0.3 * part(F.col("cost").cast("double"), 200000) + 0.2 * part(F.col("interrupts"), 5) + 0.2 * F.coalesce("score", F.lit(0)) / 5.0
-    return sessions(spark, sf_dir).select("session_id", F.round(F.least(total, F.lit(1.0)), 9).alias("effort"))
+    hour = part(F.coalesce(duration_seconds(F.col("started_at"), F.col("ended_at")), F.lit(0)), 3600)
+    total = 0.3 * hour + 0.3 * part(F.col("interrupts"), 50) + 0.2 * part(F.col("cost").cast("double"), 100_000) + 0.2 * part(F.coalesce("score", F.lit(0)), 20)
+    return sessions(spark, sf_dir).select("session_id", F.round(F.greatest(F.least(total, F.lit(1.0)), F.lit(0.0)), 9).alias("effort"))
 
 
 @query("bundle_digests", f"""
