@@ -115,3 +115,10 @@ def test_mixed_documents_and_empty_table(spark, docs, empty):
     assert mixed.columns == docs.columns
     assert source_mix.mix(spark, empty).count() == 0
     assert source_mix.mixed_documents(spark, empty).count() == 0
+
+
+def test_many_distinct_lengths_meet_the_budget():
+    lengths = np.arange(1, 20_001)
+    counts = np.full(20_000, 3)
+    budget = int((lengths * counts).sum() * 0.37)
+    assert int((lengths * source_mix.fit_budget(lengths, counts, budget)).sum()) == budget

@@ -73,9 +73,12 @@ def bounded_knapsack(lengths: list[int], counts: list[int], budget: int) -> list
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, knapsack: int = KNAPSACK) -> list[int]:
     """How many documents of each length to take once: the largest sum that is at most budget.
 
-    Some best choice differs from the proportional one by fewer documents of
-    each length than the longest has words; a window of that many words, or of
-    the whole budget, needs no doubling.
+    The shares leave less than the longest length of the budget. Ordered so that
+    its running sum stays within that length, a difference between a best choice
+    and the shares repeats a sum once it has twice as many documents as the
+    longest has words, and what lies between can be left out. So some best
+    choice differs by fewer; a window of that many documents of each length, or
+    of the whole budget, needs no doubling.
     """
     ls, ns = [int(x) for x in lengths], [int(x) for x in counts]
     total = sum(x * n for x, n in zip(ls, ns, strict=True))
@@ -85,12 +88,17 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, knapsack: i
         return ns
     unit = gcd(*(x for x, n in zip(ls, ns, strict=True) if n))
     ls, budget, total = [x // unit for x in ls], budget // unit, total // unit
-    share = [n * budget // total for n in ns]
+    # From the longest down, what a share's whole documents leave is carried to the next; in words times total.
+    share, carry = [0] * len(ls), 0
+    for j in sorted(range(len(ls)), key=lambda j: -ls[j]):
+        carry += ls[j] * ns[j] * budget
+        share[j] = min(ns[j], carry // (ls[j] * total)) if ls[j] else 0
+        carry -= share[j] * ls[j] * total
     rest = budget - sum(x * n for x, n in zip(ls, share, strict=True))
     longest, kinds, window = max(ls), sum(x > 0 for x in ls), max(1, knapsack)
     while True:
         # Set aside from the shares, evenly over the lengths, what the window may give back.
-        aside = [min(n, max(1, window // (kinds * x))) if x else 0 for x, n in zip(ls, share, strict=True)]
+        aside = [min(n, window // (kinds * x)) if x else 0 for x, n in zip(ls, share, strict=True)]
         room = rest + sum(x * n for x, n in zip(ls, aside, strict=True))
         kept = [n - a for n, a in zip(share, aside, strict=True)]
         free = [n - k if x <= room else 0 for x, n, k in zip(ls, ns, kept, strict=True)]
@@ -153,7 +161,9 @@ def planned(spark: SparkSession, docs: DataFrame, text: str, doc_id: str, source
         extra = fit_budget(pdf["size"].to_numpy(), pdf["n"].to_numpy(), round(target - base * whole)) if base < MOST else 0
         return pd.DataFrame({"key": pdf["key"], "size": pdf["size"], "n": pdf["n"], "base": base, "extra": extra})
 
-    plans = counts.select("key", "size", "n").join(goals.drop("source"), "key").groupBy("key").applyInPandas(plan, PLAN)
+    # Dealt by number, so that the few counts of many sources aren't merged into one task.
+    dealt = counts.select("key", "size", "n").join(goals.drop("source"), "key").repartition(shuffle_partitions(spark), "key")
+    plans = dealt.groupBy("key").applyInPandas(plan, PLAN)
     return slim, written(spark, plans.join(goals.select("key", "source_size", "target"), "key"), "mix-plan")
 
 
