@@ -95,6 +95,57 @@ def test_whole_texts_are_anonymised_and_normalised(spark, tmp_path):
     assert got["outcome_texts"] == sorted(f"{r[2]} <TS> pid <PID> {r[0]}" for r in rows)
 
 
+@pytest.mark.parametrize("output,want", [
+    ("Exit code 1\nTraceback (most recent call last):\n  File \"/a/b.py\", line 3\nKeyError: 'x'", "keyerror: 'x'"),
+    ("\r\n  Error:\rcannot open /usr/lib/x.so at 0123abc line 42  ", "cannot open <path> at <hex> line #"),
+    ("failed", ""), ("short\n\n", ""), ("", ""), (None, ""), ("x" * 200, "x" * 110),
+    ("EISDIR: reading /a/b", ""), ("The user doesn't want to proceed with this tool use", ""),
+])
+def test_error_signatures(spark, output, want):
+    assert one(spark, text.teachable_error(F.lit(output).cast("string"))) == want
+
+
+@pytest.mark.parametrize("turn,want", [
+    ("no, use the other file", True), ("nothing to add", False), ("ok but that's not what I meant", True), ("Let's use raw traces instead", True),
+    ("can we use gpt instead?", False), ("please write " + "a" * 600 + " try again", False), ("<system-reminder>wrong\n</system-reminder> thanks", False),
+    ("Caveat: this is wrong", False), ("x\nInvoke: redo it", False), ("", False), (None, False), ("it still fails", True),
+])
+def test_corrections(spark, turn, want):
+    assert one(spark, text.is_correction(text.by_user(F.lit(turn).cast("string")))) is want
+
+
+@pytest.mark.parametrize("command,want", [
+    ("cd /x && pytest -q", "test"), ("/usr/bin/git status", "vcs"), ("make; ls -l", "filesystem"), ("a || docker-compose up", "container"),
+    ("unknown --x", "other"), ("", "other"), (None, "other"), ("git push;", "other"), ("rg foo | head", "search"),
+])
+def test_command_categories(spark, command, want):
+    assert one(spark, text.command_category(F.lit(command).cast("string"))) == want
+
+
+@pytest.mark.parametrize("outputs,last,want", [
+    (["3 passed, 1 failed"], "assistant", "tests_failed"), (["BUILD FAILED x::y", "5 passed"], "assistant", "build_failed"), (["FAILED a.py::t"], "assistant", "tests_failed"),
+    (["pytest: all passed"], "user", "tests_passed"), (["passed"], "user", "partial"), (["a", "b", "Permission denied"], "assistant", "errored"),
+    (["Permission denied", "b", "c", "d"], "assistant", "completed"), ([], "user", "analysis_only"), (["Ran 3 tests\nOK"], "assistant", "tests_passed"),
+])
+def test_outcome_badges(spark, tmp_path, outputs, last, want):
+    from tracelake.plans import catalog
+
+    rows = [(1, 0, "user", "12 failed"), *((1, i + 1, "assistant", o) for i, o in enumerate(outputs)), *([(1, 99, "user", None)] if last == "user" else [])]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert [r["badge"] for r in catalog.QUERIES["outcome_badge"](spark, str(tmp_path)).collect()] == [want]
+
+
+def test_badges_stand_in_for_judgements(spark):
+    rows = [("resolved", "errored", "resolved"), ("odd", "errored", "unknown"), (None, "errored", "failed"), (None, "completed", "inconclusive"), (None, "x", "unscored"), (None, None, "unscored")]
+    got = spark.createDataFrame(rows, "j string, b string, want string").select(text.normalized_badge(F.col("j"), F.col("b")), "want").collect()
+    assert all(a == b for a, b in got)
+
+
+def test_control_sequences(spark):
+    raw = "a\x9b1mb\x1bPq#0\x1b\\c\x1b_x\x1b\\d\x1b]0;no end\x85e\tf\n"
+    assert one(spark, text.without_ansi(F.lit(raw))) == "abcd]0;no ende\tf\n"
+
+
 def test_ansi(spark):
     assert one(spark, text.without_ansi(F.lit("\x1b[31mred\x1b[0m\x07 \x1b]0;t\x07ok"))) == "red ok"
 
@@ -189,6 +240,27 @@ def test_rules(spark, text, want):
     assert [(r["rule"], r["entity"]) for r in findings.scan(df).collect()] == want
 
 
+HINTED = [
+    "https://github.com/ann-dev/proj raw.githubusercontent.com/ann/x", "ann.lee@ example", "12345678:" + "Ab-_" * 9, "anns-laptop-2 bob-server", "/home/ann/src/x.py", "/Users/bob/work",
+    "10.٣.2.1 172.16.0.1 172.40.0.1 192.168.٤.5", "AA-BB-CC-DD-EE-FF", "١٢٣-45-6789", "+49 (30) 1234-56789", "db.prod.INTERNAL x.ıntranet y.localnet", "http://172.20.1.1:80/x https://10.0.0.1",
+    "http://127.0.0.1/x", "@scope/pkg-a lib/core@1.2.3-rc1", "gitlab.com/a-b/c/d bitbucket.org/aa/b", "arn:aws:s3:eu:123456789012:x", "123456789012.dkr.ecr.eu-1.amazonaws.com", "projects/abc-defgh1", "4111 1111-1111 1111", "nothing", "",
+]
+
+
+def test_hints_lose_no_finding(spark, small):
+    df = spark.createDataFrame(list(enumerate(HINTED)), "doc_id long, text string")
+    every = [lambda d, h=h: sorted(map(tuple, findings.scan(d, hints=h).collect())) for h in (findings.HINTS, {})]
+    assert every[0](df) == every[1](df)
+    assert {r[1] for r in every[0](df)} >= {"personal_hostname", "aws_arn", "telegram_bot_token", "internal_tld_host", "credit_card", "mac_address", "gcp_project_id"}
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    assert every[0](docs) == every[1](docs)
+
+
+def test_rows_without_an_id_are_scanned(spark):
+    df = spark.createDataFrame([(None, "at 10.1.2.3"), (1, "x@"), (2, None)], "doc_id long, text string")
+    assert [r["entity"] for r in findings.scan(df).collect() if r["doc_id"] is None] == ["10.1.2.3"]
+
+
 def test_spans_point_into_the_text(spark):
     df = spark.createDataFrame([(1, "é 10.1.2.3")], "doc_id long, text string")
     r = findings.scan(df).first()

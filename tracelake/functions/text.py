@@ -12,8 +12,81 @@ ISO_TIMESTAMP = r"\b\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{
 HOME_PATH = r"/(?:Users|home|var|private|tmp)/(?:[^/\s\"'<>(){}\[\],;]+/)*[^/\s\"'<>(){}\[\],;]+"
 PID_INLINE = r"(?i)\b(pid|process)\s*[:=]?\s*\d+\b"
 PID_BRACKETED = r"\[(\d{2,7})\]"
-ANSI = r"\x1B(?:\[[0-?]*[ -/]*[@-~]|\][^\x07\x1B]*(?:\x07|\x1B\\)?|[@-Z\\-_])"
-CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
+
+# Terminal control sequences (7- and 8-bit CSI, OSC, DCS/SOS/PM/APC, other escapes) and control characters.
+ANSI = (
+    r"(?:\x1b\[|\x9b)[0-?]*[ -/]*[@-~]"
+    r"|(?:\x1b\]|\x9d)[^\x07\x1b\x9c]*(?:\x07|\x1b\\|\x9c)"
+    r"|(?:\x1b[PX^_]|[\x90\x98\x9e\x9f])[^\x1b\x9c]*(?:\x1b\\|\x9c)"
+    r"|\x1b[@-Z\\^_]"
+)
+CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]"
+
+# What makes a user's turn a correction, read in its first 600 characters, and turns that no user wrote.
+CORRECTION_HEAD = 600
+CORRECTION_STRONG = (
+    r"(?i)that'?s not|that is not|not what i (?:asked|meant|want)|i asked (?:for|you)|"
+    r"you (?:missed|forgot|didn'?t|should have)|still (?:fail|break|broken|wrong|not work)"
+    r"|(?:doesn'?t|didn'?t|does not|did not) work|\brevert\b|undo (?:that|this)|"
+    r"\bwrong\b|re-?read|fix it in|"
+    r"fix (?:it|this|that) (?:properly|correctly|right|again)|try again|\bredo\b"
+)
+CORRECTION_LEAD = r"(?i)^(?:no\b|nope\b|wait\b|stop\b|actually\b|hmm+,? no|don'?t\b|not\b|wrong\b)"
+CORRECTION_INSTEAD = r"(?i)\binstead\b"
+QUESTION_LEAD = (
+    r"(?i)^(?:another question|how\b|what\b|can (?:we|you|i)\b|could\b|should\b|would\b|"
+    r"is\b|are\b|do\b|does\b|did\b|why\b|when\b|where\b|which\b|who\b)"
+)
+SYSTEM_REMINDER = r"(?s)<system-reminder>.*?</system-reminder>"
+NOT_BY_USER = (
+    r"(?m)\A(?:<command-|<local-command|<task-notification|Caveat:|\[Request interrupted)"
+    r"|^Invoke: |<command-name>|^Base directory for this skill|"
+    r"^This session is being continued from a previous conversation|<teammate-message"
+)
+
+# Error lines that tell nothing, and outputs that are no errors to learn from.
+GENERIC_ERRORS = ("exit code #", "error", "error:", "failed")
+ERROR_PREAMBLES = ("traceback (most recent call last)", 'file "')
+BENIGN_ERROR = r"(?i)no matches found|file does not exist|is a directory\b|eisdir|shorter than the provided offset"
+HUMAN_REJECTION = (
+    r"(?i)permission (?:to use|for this action)|denied by the|doesn'?t want to (?:take this action|proceed)|"
+    r"request interrupted|rejected the tool|tool use will be skipped"
+)
+
+# Categories of commands.
+COMMAND_CATEGORIES = {
+    "test": "pytest jest vitest mocha",
+    "build": "cargo go make cmake tsc webpack vite esbuild gradle mvn",
+    "package": "npm yarn pnpm pip brew apt apt-get",
+    "vcs": "git gh svn",
+    "run": "python python3 node ruby",
+    "container": "docker podman docker-compose",
+    "infra": "terraform kubectl helm aws gcloud az",
+    "network": "curl wget httpie",
+    "filesystem": "mkdir rm mv cp chmod ln touch ls pwd cd",
+    "read": "cat head tail less",
+    "search": "grep rg find fd",
+    "edit": "sed awk",
+}
+
+# Signals of outcomes in outputs. Of a pair both must be found.
+BUILD_FAILED = (r"BUILD FAILED|build failed", r"(?i)(?:compile|compilation)\s+(?:error|failed)", r"error\[E\d+\]", r"error TS\d+:")
+TESTS_FAILED = (r"(?<!BUILD\s)FAILED\s+\S+::", r"\d+\s+failed", r"AssertionError|FAIL:|Tests?:\s*\d+\s+failed", r"FAILURES|failures=\d*[1-9]")
+TESTS_PASSED = (
+    r"\d+\s+passed",
+    (r"\bpassed\b", r"(?i)pytest|jest|mocha|vitest"),
+    (r"\bOK\b", r"(?i)tests?\s+run|Ran\s+\d+"),
+    r"Tests?:\s+\d+\s+passed,\s+\d+\s+total",
+    r"✓|All tests passed|BUILD SUCCESSFUL",
+)
+LATE_ERROR = r"\b(?:Error|Exception|Traceback|FAILED|FATAL|panic|Segmentation fault|Permission denied|No such file|command not found)\b"
+
+# Outcomes as judged, and what the badge of an unjudged session stands for.
+JUDGED_OUTCOMES = ("resolved", "partial", "failed", "abandoned", "exploratory", "trivial")
+BADGE_OUTCOMES = {
+    "tests_passed": "resolved", "tests_failed": "failed", "build_failed": "failed", "errored": "failed",
+    "completed": "inconclusive", "partial": "interrupted", "analysis_only": "exploratory",
+}
 
 # Task types and the words that speak for them; earlier types win ties.
 TASK_WORDS = {
@@ -60,14 +133,54 @@ def task_type(first: Column, rest: Column) -> Column:
     return F.when(best["s"] < 0, best["k"]).otherwise("general")
 
 
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def error_signature(text: Column) -> Column:
-    """The first line that tells of an error, with paths, hex and numbers collapsed, at most 110 characters."""
-    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
-    telling = F.get(F.filter(lines, lambda x: x.rlike(r"(?i)(error|exception|failed|denied|not found)")), F.lit(0))
-    line = F.coalesce(telling, F.get(F.filter(lines, lambda x: x != ""), F.lit(0)))
-    for pattern, name in ((r"(?:/[\w.-]+){2,}", "<path>"), (r"0x[0-9a-fA-F]+", "<hex>"), (r"\d+", "<n>"), (r"\s+", " ")):
-        line = F.regexp_replace(line, pattern, name)
-    return F.substring(line, 1, 110)
+    """The first line that tells of an error, in lower case, with paths, hex and numbers collapsed, at most 110 characters; empty without one."""
+
+    def collapsed(line: Column) -> Column:
+        steps = ((r"(?:/[\p{L}\p{N}_.\-]+){2,}", "<path>"), (r"\b[0-9a-f]{7,}\b", "<hex>"), (r"\p{Nd}+", "#"))
+        return F.lower(reduce(lambda t, s: F.regexp_replace(t, *s), steps, stripped(line)))
+
+    def telling(line: Column) -> Column:
+        preamble = reduce(lambda x, y: x | y, (F.startswith(line, F.lit(p)) for p in ERROR_PREAMBLES))
+        return (F.length(line) >= 8) & ~line.isin(*GENERIC_ERRORS) & ~preamble
+
+    lines = F.filter(F.transform(F.split(text, r"\r\n|\n|\r"), collapsed), telling)
+    return F.coalesce(F.substring(F.get(lines, F.lit(0)), 1, 110), F.lit(""))
+
+
+def teachable_error(text: Column) -> Column:
+    """The signature of an output's error; empty for routine probing and for what a person refused."""
+    return F.when(~text.rlike(HUMAN_REJECTION) & ~text.rlike(BENIGN_ERROR), error_signature(text)).otherwise("")
+
+
+def by_user(text: Column) -> Column:
+    """What the user wrote in a turn, without reminders of the system; empty if another wrote it."""
+    own = stripped(F.regexp_replace(text, SYSTEM_REMINDER, ""))
+    return F.when(own.rlike(NOT_BY_USER), "").otherwise(F.coalesce(own, F.lit("")))
+
+
+def is_correction(text: Column) -> Column:
+    """A redirect by its first words, by a strong phrase, or by ``instead`` outside of a question."""
+    head = F.substring(text, 1, CORRECTION_HEAD)
+    return head.rlike(CORRECTION_LEAD) | head.rlike(CORRECTION_STRONG) | (head.rlike(CORRECTION_INSTEAD) & ~head.rlike(QUESTION_LEAD))
+
+
+def signalled(text: Column, signals: tuple) -> Column:
+    """Whether one of the signals is found; of a pair both."""
+    found = (reduce(lambda x, y: x & y, (text.rlike(p) for p in ((s,) if isinstance(s, str) else s))) for s in signals)
+    return F.coalesce(reduce(lambda x, y: x | y, found), F.lit(False))
+
+
+def normalized_badge(judged: Column, badge: Column) -> Column:
+    """A session's outcome: as judged, else what its badge stands for."""
+    known = F.when(judged.isin(*JUDGED_OUTCOMES), judged).when(judged.isNotNull(), "unknown")
+    for name, outcome in BADGE_OUTCOMES.items():
+        known = known.when(badge == name, outcome)
+    return known.otherwise("unscored")
 
 
 def display_title(text: Column) -> Column:
@@ -77,9 +190,13 @@ def display_title(text: Column) -> Column:
 
 
 def command_category(command: Column) -> Column:
-    """What the last part of a command line runs."""
-    last = F.trim(F.element_at(F.split(command, r"&&|\|\||;"), -1))
-    return F.lower(F.regexp_extract(last, r"^(\S+)", 1))
+    """The category of what the last part of a command line runs; ``other`` where none is known."""
+    last = stripped(F.element_at(F.split(command, r"\s*&&\s*|\s*;\s*|\s*\|\|\s*"), -1))
+    program = F.regexp_extract(last, r"^(?:\S*/)?([^\s/]*)", 1)
+    out = F
+    for name, programs in COMMAND_CATEGORIES.items():
+        out = out.when(program.isin(*programs.split()), name)
+    return out.otherwise("other")
 
 
 def tokens(text: Column) -> Column:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tracelake.functions import text as rules
 from tracelake.operators import sequence
 from tracelake.plans.ordered import loop_runs
 from tracelake.plans.registry import ORACLES, query, table
@@ -41,10 +42,33 @@ def finding_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("doc_id", F.sha2(F.concat_ws("|", F.lit("email"), "doc_id", F.lower("entity")), 256).alias("finding_id"))
 
 
-@query("quick_pii_scan", f"SELECT DISTINCT unnest(regexp_extract_all(text, '{EMAIL}')) AS found FROM documents ORDER BY found LIMIT 20")
+# Name, pattern, group that is reported; parts of addresses that are none; findings of a scan that are shown.
+QUICK_SCANS = (
+    ("emails", r"[a-zA-Z0-9.+-]+@[a-zA-Z0-9.-]+\.[a-z]{2,}", 0),
+    ("jwt_tokens", r"eyJ[A-Za-z0-9_-]{20,}", 0),
+    ("api_keys", r"(ghp_|sk-|hf_)[A-Za-z0-9_-]{10,}", 1),
+    ("ip_addresses", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", 0),
+)
+NO_EMAILS = ("noreply", "pytest.fixture", "mcp.tool", "mcp.resource", "server.tool", "tasks.loop", "github.com")
+SHOWN = 20
+
+
+@query("quick_pii_scan", f"""
+WITH f AS ({" UNION ".join(f"SELECT '{n}' AS scan, unnest(regexp_extract_all(text, '{p}', {g})) AS found FROM documents" for n, p, g in QUICK_SCANS)})
+SELECT scan, found FROM f WHERE scan <> 'emails' OR NOT ({" OR ".join(f"contains(found, '{e}')" for e in NO_EMAILS)}) QUALIFY row_number() OVER (PARTITION BY scan ORDER BY found) <= {SHOWN}""")
 def quick_pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = F.explode(F.regexp_extract_all("text", F.lit(EMAIL), F.lit(0))).alias("found")
-    return table(spark, sf_dir, "documents").select(found).distinct().orderBy("found").limit(20)
+    """The first distinct findings of each quick scan."""
+
+    def scanned(name: str, pattern: str, group: int) -> Column:
+        return F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(group)), lambda x: F.struct(F.lit(name).alias("scan"), x.alias("found")))
+
+    every = F.concat(*(scanned(*s) for s in QUICK_SCANS))
+    f = table(spark, sf_dir, "documents").select(F.explode(every).alias("f")).select("f.*").distinct()
+    none = F.lit(False)
+    for part in NO_EMAILS:
+        none = none | F.contains("found", F.lit(part))
+    nth = F.row_number().over(Window.partitionBy("scan").orderBy("found"))
+    return f.where((F.col("scan") != "emails") | ~none).withColumn("n", nth).where(F.col("n") <= SHOWN).drop("n")
 
 
 FOUND_SQL = f"(SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '{EMAIL}'))) AS entity FROM documents)"
@@ -124,15 +148,20 @@ def parent_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.join(p, F.col("parent_key") == F.col("k"), "left").select("session_id", "parent_id")
 
 
-@query("correction_turns", """
-WITH t AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS n, lag(role) OVER w AS before, lead(role) OVER w AS after FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
-SELECT conv_id, turn, before, after FROM t WHERE role = 'user' AND n > 1 AND regexp_matches(substr(text, 1, 600), '(?i)^(no|not|actually|instead|an?|the)')""")
+CORRECTION_SQL = f"""(regexp_matches(head, $r${rules.CORRECTION_LEAD}$r$) OR regexp_matches(head, $r${rules.CORRECTION_STRONG}$r$) OR (regexp_matches(head, $r${rules.CORRECTION_INSTEAD}$r$) AND NOT regexp_matches(head, $r${rules.QUESTION_LEAD}$r$)))"""
+
+
+@query("correction_turns", f"""
+WITH t AS (SELECT conv_id, turn, role, regexp_replace(regexp_replace(text, $r${rules.SYSTEM_REMINDER}$r$, '', 'g'), '^\\s+|\\s+$', '', 'g') AS own, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS n, lag(role) OVER w AS before, lead(role) OVER w AS after FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+h AS (SELECT conv_id, turn, before, after, substr(CASE WHEN regexp_matches(own, $r${rules.NOT_BY_USER}$r$) THEN '' ELSE coalesce(own, '') END, 1, {rules.CORRECTION_HEAD}) AS head FROM t WHERE role = 'user' AND n > 1)
+SELECT conv_id, turn, before, after, {CORRECTION_SQL} AS correction FROM h""")
 def correction_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User turns after the first whose head reads as a correction, with their neighbours."""
+    """User turns after the first, whether they are corrections, with their neighbours."""
     order = sequence.by("conv_id", "turn")
     nth = F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("turn"))
-    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", nth.alias("n"), F.lag("role").over(order).alias("before"), F.lead("role").over(order).alias("after"))
-    return t.where((F.col("role") == "user") & (F.col("n") > 1) & F.substring("text", 1, 600).rlike("(?i)^(no|not|actually|instead|an?|the)")).select("conv_id", "turn", "before", "after")
+    correction = rules.is_correction(rules.by_user(F.col("text"))).alias("correction")
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", correction, nth.alias("n"), F.lag("role").over(order).alias("before"), F.lead("role").over(order).alias("after"))
+    return t.where((F.col("role") == "user") & (F.col("n") > 1)).select("conv_id", "turn", "before", "after", "correction")
 
 
 @query("always_one_row", f"SELECT 1 AS one, (SELECT max(started_at) FROM {SESSIONS_SQL} WHERE status = 'none') AS latest")

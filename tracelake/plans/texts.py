@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,14 +136,41 @@ def task_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", rules.task_type(first, rest).alias("task_type"))
 
 
-@query("outcome_badge", """
-SELECT conv_id, CASE WHEN bool_or(regexp_matches(text, '(?i)th.*th')) AND arg_max(role, turn) = 'assistant' THEN 'completed' WHEN arg_max(role, turn) = 'user' THEN 'abandoned' ELSE 'unknown' END AS badge FROM conversations GROUP BY conv_id""")
+def signal_sql(signals: tuple, text: str = "text") -> str:
+    """The signals in a dialect without lookbehind: failed builds are taken out first."""
+    parts = []
+    for s in signals:
+        one = [(re.sub(r"^\(\?<!BUILD\\s\)", "", p), f"regexp_replace({text}, 'BUILD\\sFAILED', ' ', 'g')" if p.startswith("(?<!") else text) for p in ((s,) if isinstance(s, str) else s)]
+        parts.append("(" + " AND ".join(f"regexp_matches({t}, $r${p}$r$)" for p, t in one) + ")")
+    return "(" + " OR ".join(parts) + ")"
+
+
+@query("outcome_badge", f"""
+WITH m AS (SELECT conv_id, turn, role, CASE WHEN role = 'assistant' THEN text END AS text, row_number() OVER w - 1 AS idx, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+g AS (SELECT conv_id, count(text) AS outputs, bool_or({signal_sql(rules.TESTS_FAILED)}) AS tests_failed, bool_or({signal_sql(rules.BUILD_FAILED)}) AS build_failed, bool_or({signal_sql(rules.TESTS_PASSED)}) AS tests_passed,
+ bool_or(idx >= n * 2 // 3 AND regexp_matches(text, $r${rules.LATE_ERROR}$r$)) AS late, arg_max(role, turn) FILTER (role IN ('user', 'assistant')) AS last FROM m GROUP BY conv_id)
+SELECT conv_id, CASE WHEN outputs = 0 THEN 'analysis_only' WHEN tests_failed THEN 'tests_failed' WHEN build_failed THEN 'build_failed' WHEN tests_passed THEN 'tests_passed' WHEN last = 'user' THEN 'partial' WHEN late THEN 'errored' ELSE 'completed' END AS badge FROM g""")
 def outcome_badge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A badge from output flags in order of priority and the last speaker."""
-    last = F.max_by("role", "turn")
-    good = F.bool_or(F.col("text").rlike("(?i)th.*th"))
-    badge = F.when(good & (last == "assistant"), "completed").when(last == "user", "abandoned").otherwise("unknown")
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(badge.alias("badge"))
+    """A badge from the signals in outputs, by priority, else from late errors and the last speaker.
+
+    Turns of the assistant stand in for outputs of tools.
+    """
+    from pyspark.sql.window import Window
+
+    own = Window.partitionBy("conv_id")
+    output = F.when(F.col("role") == "assistant", F.col("text"))
+    m = table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", "role", output.isNotNull().alias("output"),
+        *(rules.signalled(output, s).alias(n) for n, s in (("tests_failed", rules.TESTS_FAILED), ("build_failed", rules.BUILD_FAILED), ("tests_passed", rules.TESTS_PASSED), ("late", (rules.LATE_ERROR,)))),
+        (F.row_number().over(own.orderBy("turn")) - 1).alias("idx"), F.count(F.lit(1)).over(own).alias("n"),
+    )
+    any_of = {n: F.bool_or(F.col(n)) for n in ("tests_failed", "build_failed", "tests_passed")}
+    badge = F.when(~F.bool_or("output"), "analysis_only")
+    for name, found in any_of.items():
+        badge = badge.when(found, name)
+    last = F.max(F.when(F.col("role").isin("user", "assistant"), F.struct("turn", "role")))["role"]
+    badge = badge.when(last == "user", "partial").when(F.bool_or(F.col("late") & (F.col("idx") >= F.floor(F.col("n") * 2 / 3))), "errored")
+    return m.groupBy("conv_id").agg(badge.otherwise("completed").alias("badge"))
 
 
 @query("sensitivity", f"""
@@ -153,15 +182,19 @@ def sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", score.alias("sensitivity"))
 
 
-@query("error_signature_clusters", """
-WITH s AS (SELECT user_id AS session, concat(event_type, ' failed at /usr/lib/x', event_id % 7, ' code ', CAST(event_id % 900 AS VARCHAR)) AS line FROM events WHERE event_type IN ('error', 'purchase')),
-g AS (SELECT session, regexp_replace(regexp_replace(line, '(?:/[A-Za-z0-9_.-]+){2,}', '<path>', 'g'), '[0-9]+', '<n>', 'g') AS signature FROM s)
-SELECT signature, count(DISTINCT session) AS sessions, count(*) AS n FROM g GROUP BY signature HAVING count(DISTINCT session) >= 2 ORDER BY sessions DESC, signature LIMIT 3""")
+LINES_SQL = r"list_transform(string_split_regex(text, '\r\n|\n|\r'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g'))"
+COLLAPSED_SQL = rf"list_transform({LINES_SQL}, lambda x: lower(regexp_replace(regexp_replace(regexp_replace(x, '(?:/[\p{{L}}\p{{N}}_.\-]+){{2,}}', '<path>', 'g'), '\b[0-9a-f]{{7,}}\b', '<hex>', 'g'), '\p{{Nd}}+', '#', 'g')))"
+SIGNATURE_SQL = f"""substr(list_filter({COLLAPSED_SQL}, lambda x: length(x) >= 8 AND x NOT IN {rules.GENERIC_ERRORS} AND NOT starts_with(x, '{rules.ERROR_PREAMBLES[0]}') AND NOT starts_with(x, '{rules.ERROR_PREAMBLES[1]}'))[1], 1, 110)"""
+
+
+@query("error_signature_clusters", f"""
+WITH g AS (SELECT doc_id, coalesce({SIGNATURE_SQL}, '') AS signature FROM documents WHERE NOT regexp_matches(text, $r${rules.HUMAN_REJECTION}$r$) AND NOT regexp_matches(text, $r${rules.BENIGN_ERROR}$r$))
+SELECT signature, count(DISTINCT doc_id) AS sessions, count(*) AS n FROM g WHERE signature <> '' GROUP BY signature HAVING count(DISTINCT doc_id) >= 2 ORDER BY sessions DESC, signature LIMIT 3""")
 def error_signature_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where(F.col("event_type").isin("error", "purchase"))
-    line = F.concat("event_type", F.lit(" failed at /usr/lib/x"), (F.col("event_id") % 7).cast("string"), F.lit(" code "), (F.col("event_id") % 900).cast("string"))
-    g = e.select(F.col("user_id").alias("session"), rules.error_signature(line).alias("signature")).groupBy("signature")
-    counts = g.agg(F.countDistinct("session").alias("sessions"), F.count(F.lit(1)).alias("n"))
+    """The signatures that most sessions share; documents stand in for outputs of sessions."""
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    g = d.select("doc_id", rules.teachable_error(F.col("text")).alias("signature")).where("signature <> ''").groupBy("signature")
+    counts = g.agg(F.countDistinct("doc_id").alias("sessions"), F.count(F.lit(1)).alias("n"))
     return counts.where("sessions >= 2").orderBy(F.col("sessions").desc(), "signature").limit(3)
 
 
@@ -227,13 +260,17 @@ def display_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", rules.display_title(F.col("text")).alias("title"))
 
 
-@query("command_categories", """
-SELECT category, count(*) AS n FROM (SELECT lower(regexp_extract(trim(list_last(string_split_regex(c, '&&|\\|\\||;'))), '^(\\S+)', 1)) AS category
- FROM (SELECT concat('cd /x && ', event_type, ' --n ', event_id % 9, CASE WHEN event_id % 4 = 0 THEN '; Git push' ELSE '' END) AS c FROM events)) GROUP BY 1""")
+CATEGORY_SQL = "CASE " + " ".join(f"WHEN program IN {tuple(p.split())} THEN '{c}'" for c, p in rules.COMMAND_CATEGORIES.items()) + " ELSE 'other' END"
+
+
+@query("command_categories", rf"""
+WITH c AS (SELECT regexp_replace(list_last(string_split_regex(unnest(string_split_regex(text, '[.\n]')), '\s*&&\s*|\s*;\s*|\s*\|\|\s*')), '^\s+|\s+$', '', 'g') AS command FROM conversations),
+p AS (SELECT regexp_extract(command, '^(?:\S*/)?([^\s/]*)', 1) AS program FROM c)
+SELECT {CATEGORY_SQL} AS category, count(*) AS n FROM p GROUP BY 1""")
 def command_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    c = F.concat(F.lit("cd /x && "), "event_type", F.lit(" --n "), (F.col("event_id") % 9).cast("string"), F.when(F.col("event_id") % 4 == 0, "; Git push").otherwise(""))
-    return e.groupBy(rules.command_category(c).alias("category")).agg(F.count(F.lit(1)).alias("n"))
+    """What commands run; sentences and lines of conversations stand in for command lines."""
+    c = table(spark, sf_dir, "conversations").select(F.explode(F.split("text", r"[.\n]")).alias("command"))
+    return c.groupBy(rules.command_category(F.col("command")).alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
 
 WORDS_SQL = "list_distinct(list_filter(string_split_regex(lower({0}), '[^a-z]+'), lambda x: length(x) > 3))"
