@@ -135,6 +135,26 @@ def test_outcome_badges(spark, tmp_path, outputs, last, want):
     assert [r["badge"] for r in catalog.QUERIES["outcome_badge"](spark, str(tmp_path)).collect()] == [want]
 
 
+@pytest.mark.parametrize("days,sessions,failures,want", [(6, 30, 9, "fresh"), (20, 4, 4, "quiet"), (8, 5, 2, "waiting"), (8, 5, 3, "due"), (8, 25, 0, "due"), (14, 5, 0, "due")])
+def test_lessons_due(spark, days, sessions, failures, want):
+    from tracelake.plans.gates import lessons_due
+
+    assert one(spark, lessons_due(F.lit(days), F.lit(sessions), F.lit(failures))) == want
+
+
+def test_candidates_rank_by_recurrence(spark):
+    rank = lambda *n: one(spark, ranking.candidate_rank(*(F.lit(x).cast("double") for x in n)))
+    assert [rank(4, 5, 1, 2), rank(4, 5, 1, 9), rank(0, None, 0, None), rank(1, -3, 7, -1)] == pytest.approx([32, 32, 0.5, 1])
+
+
+def test_names_and_risk(spark):
+    names = lambda t, **k: one(spark, text.proper_names(F.lit(t), **k))
+    assert names("xAnn Lee, Ann  Leeds _Bo Li1 Value Error Ann McLee Fix Build") == ["Ann  Leeds", "Bo Li", "Fix Build"]
+    assert names("Fix Build Bo Li", no_first=("fix",)) == ["Bo Li"]
+    risk = lambda *n: one(spark, text.sensitivity(*map(F.lit, n)))
+    assert [risk(0, 0, 0), risk(1, 2, 1), risk(9, 0, 0)] == pytest.approx([0, 0.65, 1])
+
+
 def test_badges_stand_in_for_judgements(spark):
     rows = [("resolved", "errored", "resolved"), ("odd", "errored", "unknown"), (None, "errored", "failed"), (None, "completed", "inconclusive"), (None, "x", "unscored"), (None, None, "unscored")]
     got = spark.createDataFrame(rows, "j string, b string, want string").select(text.normalized_badge(F.col("j"), F.col("b")), "want").collect()

@@ -81,6 +81,23 @@ TESTS_PASSED = (
 )
 LATE_ERROR = r"\b(?:Error|Exception|Traceback|FAILED|FATAL|panic|Segmentation fault|Permission denied|No such file|command not found)\b"
 
+# Addresses that only an inner network knows, names of persons, and pairs of words that are none.
+PRIVATE_URL = (
+    r"https?://(?:[a-zA-Z0-9._-]+\.(?:local|internal|corp|intranet|lan)"
+    r"|localhost(?::\d+)?|(?:10|172\.(?:1[6-9]|2\d|3[01])|192\.168)\.\d+\.\d+)\b"
+)
+PROPER_NAME = r"(?<![A-Za-z])[A-Z][a-z]{1,7}\s+[A-Z][a-z]{1,12}(?![A-Za-z])"
+NO_NAMES = (
+    r"\b(?:United States|New York|San Francisco|Los Angeles|Open Source|Visual Studio|Stack Overflow|Pull Request|Merge Request"
+    r"|Hello World|Status Code|Type Error|Value Error|Key Error|Content Type|Access Control|No Content|Not Found"
+    r"|Read Only|File System|Data Frame|Data Set|Machine Learning|Deep Learning|Neural Network"
+    r"|Test Case|Test Suite|Base Class|Default Value|File Path|Error Message|Return Type|Input Type"
+    r"|Output Format|Source Code|Ground Truth|Command Line|Build Failed|Task Type|Review Status"
+    r"|Start Time|End Time|Display Title|Session Detail|Quality Score|Bundle Preview|Token Usage"
+    r"|Stage Complete|Stage Failed|Translation Pipeline|Output Directory|Input Directory|Current Branch"
+    r"|Final Output|First Pass|Second Pass|Next Steps|Last Updated|Not Applicable)\b"
+)
+
 # Outcomes as judged, and what the badge of an unjudged session stands for.
 JUDGED_OUTCOMES = ("resolved", "partial", "failed", "abandoned", "exploratory", "trivial")
 BADGE_OUTCOMES = {
@@ -175,6 +192,19 @@ def signalled(text: Column, signals: tuple) -> Column:
     return F.coalesce(reduce(lambda x, y: x | y, found), F.lit(False))
 
 
+def proper_names(text: Column, no_names: str = NO_NAMES, no_first: tuple[str, ...] = ()) -> Column:
+    """Pairs of words that read as a person's name. ``no_first``: lower-case words that open phrases of code."""
+    found = F.regexp_extract_all(text, F.lit(PROPER_NAME), F.lit(0))
+    first = lambda x: F.lower(F.regexp_extract(x, r"^(\S+)", 1))
+    return F.filter(found, lambda x: ~x.rlike(no_names) & ~first(x).isin(*no_first) if no_first else ~x.rlike(no_names))
+
+
+def sensitivity(secrets: Column, names: Column, urls: Column) -> Column:
+    """Risk from 0 to 1: each kind's weighted count up to 1, and their sum up to 1."""
+    capped = [F.least(n * w, F.lit(1.0)) for n, w in ((secrets, 0.3), (names, 0.1), (urls, 0.15))]
+    return F.least(capped[0] + capped[1] + capped[2], F.lit(1.0))
+
+
 def normalized_badge(judged: Column, badge: Column) -> Column:
     """A session's outcome: as judged, else what its badge stands for."""
     known = F.when(judged.isin(*JUDGED_OUTCOMES), judged).when(judged.isNotNull(), "unknown")

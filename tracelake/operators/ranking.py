@@ -59,3 +59,10 @@ def within_budget(rows: DataFrame, group: str, order: list[Column], size: str, b
     """Of each group the longest ranked prefix whose sizes (positive) fit into the budget."""
     w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return rows.withColumn("running", F.sum(size).over(w)).where(F.col("running") <= budget)
+
+
+def candidate_rank(support: Column, impact: Column, recency: Column, corrections: Column) -> Column:
+    """Recurrence dominates; severity (1 to 2), recency (0.5 to 1) and corrections (1 to 2) are gentle factors."""
+    severity = 1.0 + F.greatest(F.coalesce(impact, F.lit(0)), F.lit(0)) / 5.0
+    grounding = 1.0 + 0.5 * F.least(F.greatest(F.coalesce(corrections, F.lit(0)), F.lit(0)), F.lit(2))
+    return F.pow(F.greatest(support, F.lit(1)), F.lit(1.5)) * severity * (0.5 + 0.5 * F.least(F.greatest(recency, F.lit(0.0)), F.lit(1.0))) * grounding

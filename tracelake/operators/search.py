@@ -1,4 +1,4 @@
-"""Full-text search over a postings table: BM25, phrases, gates, families.
+"""Full-text search: BM25, phrases, gates, families.
 
 Structured terms stand for the match expression: all of these, any of those,
 none of these, a phrase, a prefix.
@@ -7,6 +7,7 @@ none of these, a phrase, a prefix.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,25 +33,24 @@ class Search:
             raise ValueError("a limit from 1 to 1000")
 
 
-def postings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, term, tf, length: one row for each term of each document, built inside the row."""
-    words = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("t"))
-    exploded = words.select("doc_id", F.size("t").alias("length"), F.explode("t").alias("term"))
-    return exploded.groupBy("doc_id", "term", "length").agg(F.count(F.lit(1)).alias("tf"))
+def bm25(docs: DataFrame, spec: Search, terms: tuple[str, ...], doc_id: str, text: str) -> DataFrame:
+    """doc_id, score of the documents that satisfy the spec; smaller is better.
 
+    Counts of the terms and whether a document satisfies the spec come from
+    each row itself, so that no posting is shuffled; document counts of the
+    terms are one row.
+    """
+    times = lambda t, w: F.size(F.filter(t, lambda x: x == w))
+    counts = [F.col(f"tf{i}") for i in range(len(terms))]
 
-def bm25(docs: DataFrame, terms: tuple[str, ...], doc_id: str, text: str) -> DataFrame:
-    """doc_id, score of the documents that hold any of the terms; smaller is better.
+    def facts(t: Column) -> Column:
+        return F.struct(F.size(t).alias("length"), satisfied(t, spec).alias("hit"), *(times(t, w).alias(f"tf{i}") for i, w in enumerate(terms)))
 
-    Counts of the terms come from each row itself, so that no posting is
-    shuffled; document counts of the terms are one row.
-    """
-    t = F.col("t")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("t"))
-    times = lambda w: F.size(F.filter(t, lambda x: x == w))
-    rows = rows.select("doc_id", F.size(t).alias("length"), *(times(w).alias(f"tf{i}") for i, w in enumerate(terms)))
-    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("total"), *(F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(terms))))
-    joined = rows.crossJoin(F.broadcast(stats))  # one row
+    # Exploded, as filters on these columns would find a text's terms again for each of them.
+    counted = docs.select(F.col(doc_id).alias("doc_id"), F.explode(F.transform(F.array(tokens(F.col(text))), facts)).alias("facts")).select("doc_id", "facts.*")
+    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("total"), *(F.count(F.when(tf > 0, 1)).alias(f"df{i}") for i, tf in enumerate(counts)))
+    hits = counted.where(F.col("hit") & (reduce(lambda a, b: a + b, counts) > 0))
+    joined = hits.crossJoin(F.broadcast(stats))  # one row
     mean = F.col("total") / F.col("n")
 
     def part(i: int) -> Column:
@@ -58,14 +58,12 @@ def bm25(docs: DataFrame, terms: tuple[str, ...], doc_id: str, text: str) -> Dat
         idf = F.greatest(F.log((n - df + 0.5) / (df + 0.5)), F.lit(1e-6))
         return idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("length") / mean))
 
-    score = sum((part(i) for i in range(1, len(terms))), part(0))
-    any_of = sum((F.col(f"tf{i}") for i in range(1, len(terms))), F.col("tf0")) > 0
-    return joined.where(any_of).select("doc_id", (-score).alias("score"))
+    score = reduce(lambda a, b: a + b, map(part, range(len(terms))))
+    return joined.select("doc_id", (-score).alias("score"))
 
 
-def matches(text: Column, spec: Search) -> Column:
-    """Whether a text satisfies the spec; phrases are consecutive terms."""
-    t = tokens(text)
+def satisfied(t: Column, spec: Search) -> Column:
+    """Whether a text's terms satisfy the spec; phrases are consecutive terms."""
     every = F.lit(True)
     for w in spec.all_of:
         every = every & F.array_contains(t, w)
@@ -81,11 +79,17 @@ def matches(text: Column, spec: Search) -> Column:
     return every
 
 
+def matches(text: Column, spec: Search) -> Column:
+    return satisfied(tokens(text), spec)
+
+
 def search(docs: DataFrame, spec: Search, doc_id: str, text: str) -> DataFrame:
     """The best documents by BM25 over all the spec's terms, ties by id."""
     terms = tuple(dict.fromkeys((*spec.all_of, *spec.any_of, *spec.phrase)))
-    hits = docs.where(matches(F.col(text), spec)).select(F.col(doc_id).alias("doc_id"))
-    scored = bm25(docs, terms, doc_id, text).join(hits, "doc_id") if terms else hits.withColumn("score", F.lit(0.0))
+    if terms:
+        scored = bm25(docs, spec, terms, doc_id, text)
+    else:
+        scored = docs.where(matches(F.col(text), spec)).select(F.col(doc_id).alias("doc_id"), F.lit(0.0).alias("score"))
     return scored.orderBy("score", "doc_id").limit(spec.limit)
 
 

@@ -128,3 +128,8 @@ def error_recovery(events: DataFrame, ok: Column, teachable: Column) -> DataFram
         F.max_by(F.when(F.col("bad"), F.col("event_id")), F.when(F.col("bad"), at)).alias("error_event"), F.max(F.when(F.col("ok"), F.col("event_id"))).alias("success_event")
     )
     return pairs.where("error_event IS NOT NULL AND success_event IS NOT NULL").drop("group")
+
+
+def tool_mode(calls: Column, light: int = 3) -> Column:
+    """Questions and answers, light or heavy use of tools in an exchange."""
+    return F.when(calls == 0, "qa").when(calls <= light, "light").otherwise("heavy")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tracelake.functions.time import age_label, recency_weight
 from tracelake.operators import gates, ranking
@@ -91,12 +92,14 @@ def week_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("rank_candidates", f"""
-WITH c AS (SELECT task_type, model, count(*) AS freq, max(started_at) AS latest, CAST(sum(interrupts) AS BIGINT) AS severity FROM {SESSIONS_SQL} WHERE outcome = 'failed' GROUP BY ALL)
-SELECT task_type, model, round(pow(freq, 1.5::DOUBLE) * severity * (1.0::DOUBLE / (1.0::DOUBLE + greatest(epoch({NOW_SQL} - latest) / 86400.0::DOUBLE, 0))), 6) AS rank FROM c ORDER BY 3 DESC, 1, 2 LIMIT 10""")
+WITH c AS (SELECT task_type, model, count(*) AS freq, max(started_at) AS latest, greatest(coalesce(max(score), 0), 0) AS impact, greatest(CAST(sum(interrupts) AS BIGINT), 0) AS corrections FROM {SESSIONS_SQL} WHERE outcome = 'failed' GROUP BY ALL)
+SELECT task_type, model, round(pow(freq, 1.5::DOUBLE) * (1.0::DOUBLE + impact / 5.0::DOUBLE) * (0.5::DOUBLE + 0.5::DOUBLE * least(greatest(1.0::DOUBLE / (1.0::DOUBLE + greatest(epoch({NOW_SQL} - latest) / 86400.0::DOUBLE, 0)), 0), 1)) * (1.0::DOUBLE + 0.5::DOUBLE * least(corrections, 2)), 6) AS rank FROM c ORDER BY 3 DESC, 1, 2 LIMIT 10""")
 def rank_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frequency to the power 1.5, times severity, times recency."""
-    c = sessions(spark, sf_dir).where("outcome = 'failed'").groupBy("task_type", "model").agg(F.count(F.lit(1)).alias("freq"), F.max("started_at").alias("latest"), F.sum("interrupts").alias("severity"))
-    rank = F.pow("freq", F.lit(1.5)) * F.col("severity") * recency_weight(F.col("latest"), now())
+    """Failed work by frequency first, then severity, recency and corrections (scores and interrupts stand in for impact and corrections)."""
+    c = sessions(spark, sf_dir).where("outcome = 'failed'").groupBy("task_type", "model").agg(
+        F.count(F.lit(1)).alias("freq"), F.max("started_at").alias("latest"), F.max("score").alias("impact"), F.sum("interrupts").alias("corrections")
+    )
+    rank = ranking.candidate_rank(F.col("freq"), F.col("impact"), recency_weight(F.col("latest"), now()), F.col("corrections"))
     return c.select("task_type", "model", F.round(rank, 6).alias("rank")).orderBy(F.col("rank").desc(), "task_type", "model").limit(10)
 
 
@@ -184,14 +187,32 @@ def checkpoint_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions(spark, sf_dir).groupBy("logical_id").agg(n.alias("members"), F.sha2(F.array_join(members, ","), 256).alias("revision"), (n == F.countDistinct("started_at")).alias("ordered"))
 
 
+# When lessons are due, in days since they were refreshed and sessions since then.
+MIN_DAYS, STALE_DAYS, MIN_SESSIONS, BURST_SESSIONS, FAILURE_SESSIONS = 7, 14, 5, 25, 3
+
+
 @query("lesson_due", f"""
-WITH a AS (SELECT model, count(CASE WHEN outcome = 'failed' THEN 1 END) AS failures, max(started_at) AS latest FROM {SESSIONS_SQL} WHERE started_at >= {NOW_SQL} - INTERVAL 90 DAY AND started_at < {NOW_SQL} GROUP BY model)
-SELECT model, failures, CASE WHEN failures < 3 THEN 'too_few' WHEN date_diff('day', CAST(latest AS DATE), CAST({NOW_SQL} AS DATE)) > 2 THEN 'not_recent' ELSE 'due' END AS decision FROM a""")
+WITH s AS (SELECT model, length(model) AS days, score >= 3 OR outcome IN ('failed', 'abandoned') AS failure, row_number() OVER (PARTITION BY model ORDER BY started_at DESC, session_id) AS n FROM {SESSIONS_SQL} WHERE started_at < {NOW_SQL} AND started_at > {NOW_SQL} - to_days(CAST(length(model) AS INTEGER))),
+a AS (SELECT model, any_value(days) AS days, count(*) AS sessions, count(CASE WHEN failure THEN 1 END) AS failures FROM s WHERE n <= {BURST_SESSIONS} GROUP BY model)
+SELECT model, sessions, failures, CASE WHEN days < {MIN_DAYS} THEN 'fresh' WHEN sessions < {MIN_SESSIONS} THEN 'quiet' WHEN failures >= {FAILURE_SESSIONS} OR sessions >= {BURST_SESSIONS} OR days >= {STALE_DAYS} THEN 'due' ELSE 'waiting' END AS decision FROM a""")
 def lesson_due(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = sessions(spark, sf_dir).where((F.col("started_at") >= now() - F.expr("INTERVAL 90 DAY")) & (F.col("started_at") < now()))
-    a = s.groupBy("model").agg(F.count(F.when(F.col("outcome") == "failed", 1)).alias("failures"), F.max("started_at").alias("latest"))
-    age = F.datediff(F.to_date(now()), F.to_date("latest"))
-    return a.select("model", "failures", F.when(F.col("failures") < 3, "too_few").when(age > 2, "not_recent").otherwise("due").alias("decision"))
+    """Whether each model's lessons are due, by the newest sessions since they were refreshed.
+
+    A model's name as many days long as its letters stands in for the time since then.
+    """
+    days = F.length("model")
+    s = sessions(spark, sf_dir).where((F.col("started_at") < now()) & (F.col("started_at") > now() - F.make_dt_interval(days)))
+    newest = F.row_number().over(Window.partitionBy("model").orderBy(F.col("started_at").desc(), "session_id"))
+    failure = (F.col("score") >= 3) | F.col("outcome").isin("failed", "abandoned")
+    kept = s.select("model", days.alias("days"), failure.alias("failure"), newest.alias("n")).where(F.col("n") <= BURST_SESSIONS)
+    a = kept.groupBy("model", "days").agg(F.count(F.lit(1)).alias("sessions"), F.count(F.when(F.col("failure"), 1)).alias("failures"))
+    return a.select("model", "sessions", "failures", lessons_due(F.col("days"), F.col("sessions"), F.col("failures")).alias("decision"))
+
+
+def lessons_due(days: Column, sessions: Column, failures: Column) -> Column:
+    """Fresh lessons and few sessions wait; failures, a burst of sessions or stale lessons are due."""
+    urgent = (failures >= FAILURE_SESSIONS) | (sessions >= BURST_SESSIONS) | (days >= STALE_DAYS)
+    return F.when(days < MIN_DAYS, "fresh").when(sessions < MIN_SESSIONS, "quiet").when(urgent, "due").otherwise("waiting")
 
 
 @query("age_labels", f"""

@@ -175,13 +175,21 @@ def session_window_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("mode_shift", """
-WITH t AS (SELECT conv_id, turn, CASE WHEN length(text) > 300 THEN 'heavy' ELSE 'qa' END AS mode FROM conversations WHERE role = 'assistant'),
-p AS (SELECT *, lag(mode) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM t)
-SELECT conv_id, turn, previous, mode FROM p WHERE previous <> mode""")
+WITH t AS (SELECT conv_id, turn, role, text, count(CASE WHEN role = 'user' THEN 1 END) OVER (PARTITION BY conv_id ORDER BY turn) AS exchange FROM conversations),
+e AS (SELECT conv_id, exchange, min(turn) AS turn, coalesce(CAST(sum(CASE WHEN role = 'assistant' THEN length(text) // 100 END) AS BIGINT), 0) AS tools FROM t WHERE exchange > 0 GROUP BY ALL),
+p AS (SELECT conv_id, exchange, turn, CASE WHEN tools = 0 THEN 'qa' WHEN tools <= 3 THEN 'light' ELSE 'heavy' END AS mode FROM e)
+SELECT conv_id, turn, previous, mode FROM (SELECT *, lag(mode) OVER (PARTITION BY conv_id ORDER BY exchange) AS previous FROM p) WHERE previous <> mode""")
 def mode_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mode = F.when(F.length("text") > 300, "heavy").otherwise("qa")
-    t = table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", mode.alias("mode"))
-    return t.withColumn("previous", F.lag("mode").over(sequence.by("conv_id", "turn"))).where("previous <> mode")
+    """Exchanges, from a user's turn to the next, whose use of tools differs from the one before.
+
+    Every 100 characters of the assistant stand in for a call.
+    """
+    calls = F.when(F.col("role") == "assistant", F.floor(F.length("text") / 100))
+    exchange = F.count(F.when(F.col("role") == "user", 1)).over(sequence.by("conv_id", "turn"))
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", exchange.alias("exchange"), calls.alias("calls")).where("exchange > 0")
+    e = t.groupBy("conv_id", "exchange").agg(F.min("turn").alias("turn"), F.coalesce(F.sum("calls"), F.lit(0)).alias("tools"))
+    e = e.withColumn("mode", sequence.tool_mode(F.col("tools")))
+    return e.select("conv_id", "turn", F.lag("mode").over(sequence.by("conv_id", "exchange")).alias("previous"), "mode").where("previous <> mode")
 
 
 @query("boundary_agreement", """

@@ -54,18 +54,17 @@ def findings_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("allowlist_match", f"""
 WITH f AS (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(text, '{SHARED[0][1]}'))) AS entity, 'email' AS entity_type FROM documents),
-a AS (SELECT entity, CASE WHEN n % 2 = 0 THEN 'email' END AS entity_type, n AS added_at, 1000 + n AS entry_id FROM (SELECT entity, row_number() OVER (ORDER BY entity, k) AS n FROM (SELECT DISTINCT entity FROM f), (VALUES (1), (2), (3)) k(k))),
+a AS (SELECT entity, CASE WHEN (length(entity) + k) % 2 = 0 THEN 'email' END AS entity_type, (7 * length(entity) + 5 * k) % 11 AS added_at, concat(entity, '#', k) AS entry_id FROM (SELECT DISTINCT entity FROM f), (VALUES (1), (2), (3)) k(k)),
 t AS (SELECT entity, entity_type, arg_min(entry_id, (added_at, entry_id)) AS id FROM a GROUP BY ALL)
 SELECT f.doc_id, f.entity, coalesce(x.id, y.id) AS entry_id FROM f LEFT JOIN t x ON x.entity = f.entity AND x.entity_type = f.entity_type LEFT JOIN t y ON y.entity = f.entity AND y.entity_type IS NULL""")
 def allowlist_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings with their allow-list entry; entries stand in for three of each entity."""
-    from pyspark.sql.window import Window
-
     found = F.explode(F.regexp_extract_all("text", F.lit(SHARED[0][1]), F.lit(0))).alias("entity")
     f = table(spark, sf_dir, "documents").select("doc_id", found).withColumn("entity", F.lower("entity")).distinct().withColumn("entity_type", F.lit("email"))
     three = f.select("entity").distinct().withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(3))))
-    n = F.row_number().over(Window.orderBy("entity", "k"))
-    entries = three.withColumn("added_at", n.cast("long")).select("entity", F.when(F.col("added_at") % 2 == 0, "email").alias("entity_type"), "added_at", (F.col("added_at") + 1000).alias("entry_id"))
+    kind = F.when((F.length("entity") + F.col("k")) % 2 == 0, "email").alias("entity_type")
+    added = ((7 * F.length("entity") + 5 * F.col("k")) % 11).alias("added_at")
+    entries = three.select("entity", kind, added, F.concat_ws("#", "entity", F.col("k").cast("string")).alias("entry_id"))
     return findings.allowed(f, entries).select("doc_id", "entity", "entry_id")
 
 
@@ -174,12 +173,15 @@ def outcome_badge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("sensitivity", f"""
-SELECT doc_id, least(CAST(3 * least(len(regexp_extract_all(text, '{SHARED[0][1]}')), 2) + 1 * least(len(regexp_extract_all(text, '{SHARED[2][1]}')), 3) + 5 * least(len(regexp_extract_all(text, '{SHARED[1][1]}')), 1) AS BIGINT), 10) AS sensitivity FROM documents""")
+WITH l AS (SELECT doc_id, text, regexp_replace(text, '[^A-Za-z\\s]', '.', 'g') AS letters FROM documents),
+n AS (SELECT doc_id, len(regexp_extract_all(text, '{SHARED[1][1]}')) AS secrets, len(regexp_extract_all(text, $r${rules.PRIVATE_URL}$r$)) AS urls,
+ len(list_filter(regexp_extract_all(letters, '\\b[A-Z][a-z]{{1,7}}\\s+[A-Z][a-z]{{1,12}}\\b'), lambda x: NOT regexp_matches(x, $r${rules.NO_NAMES}$r$))) AS names FROM l)
+SELECT doc_id, round(least(least(secrets * 0.3::DOUBLE, 1) + least(names * 0.1::DOUBLE, 1) + least(urls * 0.15::DOUBLE, 1), 1), 9) AS sensitivity FROM n""")
 def sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tenths of risk: weighted counts, each capped, the sum capped."""
-    n = lambda i, most: F.least(F.regexp_count("text", F.lit(SHARED[i][1])), F.lit(most))
-    score = F.least((3 * n(0, 2) + n(2, 3) + 5 * n(1, 1)).cast("long"), F.lit(10).cast("long"))
-    return table(spark, sf_dir, "documents").select("doc_id", score.alias("sensitivity"))
+    """Risk from 0 to 1 by counts of secrets, names and private addresses (long hex strings stand in for secrets)."""
+    text = F.col("text")
+    score = rules.sensitivity(F.regexp_count(text, F.lit(SHARED[1][1])), F.size(rules.proper_names(text)), F.regexp_count(text, F.lit(rules.PRIVATE_URL)))
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(score, 9).alias("sensitivity"))
 
 
 LINES_SQL = r"list_transform(string_split_regex(text, '\r\n|\n|\r'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g'))"
@@ -193,7 +195,9 @@ SELECT signature, count(DISTINCT doc_id) AS sessions, count(*) AS n FROM g WHERE
 def error_signature_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The signatures that most sessions share; documents stand in for outputs of sessions."""
     d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    g = d.select("doc_id", rules.teachable_error(F.col("text")).alias("signature")).where("signature <> ''").groupBy("signature")
+    # Exploded, as a filter on the column would work it out twice.
+    signature = F.explode(F.array_remove(F.array(rules.teachable_error(F.col("text"))), "")).alias("signature")
+    g = d.select("doc_id", signature).groupBy("signature")
     counts = g.agg(F.countDistinct("doc_id").alias("sessions"), F.count(F.lit(1)).alias("n"))
     return counts.where("sessions >= 2").orderBy(F.col("sessions").desc(), "signature").limit(3)
 
