@@ -12,6 +12,7 @@ ISO_TIMESTAMP = r"\b\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{
 HOME_PATH = r"/(?:Users|home|var|private|tmp)/(?:[^/\s\"'<>(){}\[\],;]+/)*[^/\s\"'<>(){}\[\],;]+"
 PID_INLINE = r"(?i)\b(pid|process)\s*[:=]?\s*\d+\b"
 PID_BRACKETED = r"\[(\d{2,7})\]"
+OUTCOME_STEPS = ((ISO_TIMESTAMP, "<TS>"), (HOME_PATH, "<PATH>"), (PID_INLINE, "$1 <PID>"), (PID_BRACKETED, "[<PID>]"), (r"\s+", " "))
 
 # Terminal control sequences (7- and 8-bit CSI, OSC, DCS/SOS/PM/APC, other escapes) and control characters.
 ANSI = (
@@ -122,8 +123,7 @@ TASK_WORDS = {
 
 def normalized_outcome(text: Column) -> Column:
     """Timestamps, home paths and process ids as placeholders, single spaces."""
-    steps = ((ISO_TIMESTAMP, "<TS>"), (HOME_PATH, "<PATH>"), (PID_INLINE, "$1 <PID>"), (PID_BRACKETED, "[<PID>]"), (r"\s+", " "))
-    return F.trim(reduce(lambda t, s: F.regexp_replace(t, *s), steps, F.coalesce(text, F.lit(""))))
+    return F.trim(reduce(lambda t, s: F.regexp_replace(t, *s), OUTCOME_STEPS, F.coalesce(text, F.lit(""))))
 
 
 def without_ansi(text: Column) -> Column:

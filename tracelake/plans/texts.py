@@ -77,27 +77,28 @@ def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("anonymize_paths", """
 SELECT user_id AS session, regexp_replace(concat('open /home/user', user_id, '/src then /home/user', user_id, '2/x by user', user_id, '.'), concat('(^|[^A-Za-z0-9_])user', user_id, '($|[^A-Za-z0-9_])'), '\\1[USER]\\2', 'g') AS line
-FROM (SELECT DISTINCT user_id FROM events WHERE user_id IN (7, 77, 107))""")
+FROM (SELECT DISTINCT user_id FROM events)""")
 def anonymize_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paths and names of users: whole names only, whatever they stand next to."""
-    s = table(spark, sf_dir, "events").select(F.col("user_id").alias("session")).where(F.col("session").isin(7, 77, 107)).distinct()
+    """Paths and names of all users: whole names only, whatever they stand next to."""
+    s = table(spark, sf_dir, "events").select(F.col("user_id").alias("session")).distinct()
     u = F.concat(F.lit("user"), F.col("session").cast("string"))
     line = F.concat(F.lit("open /home/"), u, F.lit("/src then /home/"), u, F.lit("2/x by "), u, F.lit("."))
-    lines = s.select("session", line.alias("line"))
-    out = F.col("line")
-    for user in (7, 77, 107):
-        out = F.when(F.col("session") == user, rules.anonymized(F.col("line"), f"user{user}")).otherwise(out)
-    return lines.select("session", out.alias("line"))
+    return s.select("session", rules.anonymized(line, u).alias("line"))
 
 
-@query("outcome_normalized", """
-SELECT conv_id, turn, trim(regexp_replace(regexp_replace(concat('at 2026-04-21T10:00:0', turn % 10, 'Z [', 1000 + turn, ']  ', text), '\\b\\d{4}-\\d{2}-\\d{2}[T ]\\d{2}:\\d{2}:\\d{2}(?:\\.\\d+)?(?:Z|[+-]\\d{2}:?\\d{2})?\\b', '<TS>', 'g'), '\\[(\\d{2,7})\\]', '[<PID>]', 'g')) AS line
-FROM (SELECT conv_id, turn, role AS text FROM conversations)""")
+def normalized_sql(text: str) -> str:
+    for pattern, name in rules.OUTCOME_STEPS:
+        text = f"regexp_replace({text}, $r${pattern}$r$, '{name.replace('$', chr(92))}', 'g')"
+    return f"trim({text})"
+
+
+@query("outcome_normalized", f"""
+SELECT conv_id, turn, {normalized_sql("concat('at 2026-04-21T10:00:0', turn % 10, 'Z [', 1000 + turn, '] pid ', turn, ' /home/', role, '/x y  ', text)")} AS line FROM conversations""")
 def outcome_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcome texts whose volatile parts are placeholders; runs of blanks collapse."""
+    """All texts behind a head with volatile parts, which become placeholders; runs of blanks collapse."""
+    head = F.format_string("at 2026-04-21T10:00:0%dZ [%d] pid %d /home/%s/x y  ", F.col("turn") % 10, F.col("turn") + 1000, "turn", "role")
     c = table(spark, sf_dir, "conversations")
-    line = F.concat(F.lit("at 2026-04-21T10:00:0"), (F.col("turn") % 10).cast("string"), F.lit("Z ["), (F.col("turn") + 1000).cast("string"), F.lit("]  "), "role")
-    return c.select("conv_id", "turn", F.regexp_replace(rules.normalized_outcome(line), r"\] ", "]  ").alias("line"))
+    return c.select("conv_id", "turn", rules.normalized_outcome(F.concat(head, F.coalesce("text", F.lit("")))).alias("line"))
 
 
 @query("anonymize_texts")
