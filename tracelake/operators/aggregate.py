@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 MAX_DIMS, DEFAULT_LIMIT, MAX_LIMIT = 3, 10, 1000
 OPERATORS: dict[str, Callable[[Column, object], Column]] = {
@@ -117,7 +118,8 @@ def with_totals(df: DataFrame, spec: Spec, domain: Domain) -> DataFrame:
     kept = _filtered(df, spec, domain)
     total = kept.agg(spec.metrics[0].column(domain.fields).alias("total"), F.count(F.lit(1)).alias("rows_scanned"))
     buckets = aggregate(df, spec, domain)
-    shown = buckets.agg(F.coalesce(F.sum(spec.metrics[0].name), F.lit(0)).alias("shown"))
-    other = F.greatest(F.col("total") - F.col("shown"), F.lit(0)).alias("other_count")
-    # One row each, so these products have as many rows as there are buckets.
-    return buckets.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(shown)).select(*buckets.columns, "total", "rows_scanned", other)
+    # Over the buckets that the limit left.
+    shown = F.sum(spec.metrics[0].name).over(Window.partitionBy(F.lit(0)))
+    other = F.greatest(F.col("total") - F.coalesce(shown, F.lit(0)), F.lit(0)).alias("other_count")
+    # One row of totals, so the product has as many rows as there are buckets.
+    return buckets.crossJoin(F.broadcast(total)).select(*buckets.columns, "total", "rows_scanned", other)
