@@ -75,6 +75,15 @@ def test_outcome_normalisation(spark):
     assert one(spark, text.normalized_outcome(F.lit(raw))) == "<TS> open <PATH> PID <PID> [<PID>]"
 
 
+@pytest.mark.parametrize("raw,want", [
+    ('open "/Users/ann/My Docs/a, b.txt" now', 'open "<PATH>" now'), ("open /Users/ann/My Docs/a.txt now", "open <PATH> now"), ("/home/ann/ x", "<PATH>/ x"),
+    ("see (/tmp/a b/c)", "see (<PATH>)"), ("/home/ alone", "/home/ alone"), ("/tmp/a  b/c", "<PATH> b/c"), ("`/var/x y`", "`<PATH>`"),
+    ("/tmp/" + "word " * 50_000 + "/end", "<PATH> " + "word " * 49_999 + "/end"), ("/tmp/" + "and/or " * 50_000 + "x", "<PATH> x"),
+])
+def test_paths_in_outcomes(spark, raw, want):
+    assert one(spark, text.normalized_outcome(F.lit(raw))) == want
+
+
 def test_names_next_to_other_scripts(spark):
     assert one(spark, text.anonymized(F.lit("用户alice说 alices /home/alice/x"), "alice")) == "用户[USER]说 alices /home/[USER]/x"
 

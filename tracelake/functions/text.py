@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 
 # Patterns that outcome texts are normalised by, in this order.
 ISO_TIMESTAMP = r"\b\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?\b"
-HOME_PATH = r"/(?:Users|home|var|private|tmp)/(?:[^/\s\"'<>(){}\[\],;]+/)*[^/\s\"'<>(){}\[\],;]+"
+PATH_ROOT = r"/(?:Users|home|var|private|tmp)/"
+PATH_CHARS = r"[^/\s\"'<>(){}\[\],;]"
+QUOTED_PATH = PATH_ROOT + r"[^\"'`]+"
+# Parts of a path may hold single blanks, its last one none. Possessive, so that long texts need no stack.
+PLAIN_PATH = rf"{PATH_ROOT}(?:{PATH_CHARS}++(?: {PATH_CHARS}++)*+/(?={PATH_CHARS}))*+{PATH_CHARS}+"
+HOME_PATH = rf"(?<=[\"'`]){QUOTED_PATH}(?=[\"'`])|{PLAIN_PATH}"
 PID_INLINE = r"(?i)\b(pid|process)\s*[:=]?\s*\d+\b"
 PID_BRACKETED = r"\[(\d{2,7})\]"
 OUTCOME_STEPS = ((ISO_TIMESTAMP, "<TS>"), (HOME_PATH, "<PATH>"), (PID_INLINE, "$1 <PID>"), (PID_BRACKETED, "[<PID>]"), (r"\s+", " "))
@@ -95,7 +100,7 @@ NO_NAMES = (
     r"|Test Case|Test Suite|Base Class|Default Value|File Path|Error Message|Return Type|Input Type"
     r"|Output Format|Source Code|Ground Truth|Command Line|Build Failed|Task Type|Review Status"
     r"|Start Time|End Time|Display Title|Session Detail|Quality Score|Bundle Preview|Token Usage"
-    r"|Stage Complete|Stage Failed|Translation Pipeline|Output Directory|Input Directory|Current Branch"
+    r"|Claude Code|Trace Card|Badge Chip|Stage Complete|Stage Failed|Translation Pipeline|Output Directory|Input Directory|Current Branch"
     r"|Final Output|First Pass|Second Pass|Next Steps|Last Updated|Not Applicable)\b"
 )
 

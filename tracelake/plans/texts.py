@@ -87,7 +87,10 @@ def anonymize_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalized_sql(text: str) -> str:
+    # In a dialect without lookaround and possessive repeats.
+    path = rf"([\"'`]){rules.QUOTED_PATH}([\"'`])|{rules.PATH_ROOT}(?:{rules.PATH_CHARS}+(?: {rules.PATH_CHARS}+)*/)*{rules.PATH_CHARS}+"
     for pattern, name in rules.OUTCOME_STEPS:
+        pattern, name = (path, "$1<PATH>$2") if pattern == rules.HOME_PATH else (pattern, name)
         text = f"regexp_replace({text}, $r${pattern}$r$, '{name.replace('$', chr(92))}', 'g')"
     return f"trim({text})"
 
