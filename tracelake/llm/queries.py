@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import ngram_join, packing, passage_dedup, quality_classifier, quality_rules, secret_scan, sharding, source_mix, topk_search, warc
+from tracelake.llm import chat_format, hard_negatives, ngram_join, packing, passage_dedup, prefix_trie, quality_classifier, quality_rules, secret_scan, sharding, source_mix, topk_search, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -153,3 +153,68 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document by patterns and by entropy."""
     return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@registered
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, rebuilt with heads shared by twenty ids each."""
+    head = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4
+    turns, convs = prefix_trie.with_shared_heads(spark, table(spark, sf_dir, "conversations"), every=20, most=4, head=head)
+    return prefix_trie.trie(spark, turns, convs)
+
+
+ORACLES["op11_prefix_trie"] = r"""
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, turn, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k FROM conversations WHERE conv_id IS NOT NULL),
+w AS (SELECT c, {'k': k, 'w': len(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> ''))} AS s, turn, k FROM t),
+own AS (SELECT c, list(s ORDER BY turn NULLS FIRST, k) AS ts FROM w GROUP BY c),
+h AS (SELECT *, CAST(xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: [CAST(ascii(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+                                  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295) AS BIGINT) % 4 AS h FROM own),
+r AS (SELECT h.c, list_concat(list_slice(coalesce(b.ts, []), 1, h.h), list_slice(h.ts, h.h + 1, len(h.ts))) AS ts FROM h LEFT JOIN own b ON b.c = h.c - h.c % 20),
+p AS (SELECT c, d, len(ts) = d AS ended, CASE WHEN d > 0 THEN ts[d].w ELSE 0 END AS w, array_to_string(list_transform(list_slice(ts, 1, d), lambda x: x.k), '') AS id FROM (SELECT c, ts, unnest(range(0, len(ts) + 1)) AS d FROM r)),
+n AS (SELECT id, d, min(c) AS c, count(*) AS n_convs, any_value(w) AS w, string_agg(CASE WHEN ended THEN CAST(c AS VARCHAR) END, ',' ORDER BY c) AS ends FROM p GROUP BY id, d),
+k AS (SELECT substr(id, 1, 64 * (d - 1)) AS id, count(*) AS n FROM n WHERE d > 0 GROUP BY 1),
+m AS (SELECT n.*, coalesce(k.n, 0) AS n_children FROM n LEFT JOIN k USING (id)),
+u AS (SELECT substr(id, 1, 64 * e) AS id, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * w) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM m) GROUP BY 1)
+SELECT m.c AS conv_id, m.d AS depth, CASE WHEN m.d > 0 THEN q.c END AS parent_conv_id, m.n_convs, m.n_children, CAST(u.n_leaves AS BIGINT) AS n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens, sha256(coalesce(m.ends, '')) AS ends_sha256
+FROM m JOIN u USING (id) LEFT JOIN m q ON q.id = substr(m.id, 1, 64 * (m.d - 1)) AND q.d = m.d - 1
+"""
+
+
+@registered
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that consists of control strings, formatted and read back from the written text."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = "\\### Assistant: </turn> ok"
+    hard = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    return chat_format.read_back(spark, chat_format.formatted(spark, rows.unionByName(hard)))
+
+
+ORACLES["op12_chat_format"] = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '\### Assistant: </turn> ok'),
+k AS (SELECT *, sha256(strlen(role) || ':' || role || text) AS k,
+             length('### : ' || url_encode(role) || regexp_replace(text, '(\\*(?:</turn>|### [A-Za-z0-9%._~-]*: ))', '\\\1', 'g')) + CASE WHEN regexp_matches(role, '^[A-Z]') THEN 2 ELSE 0 END + length('./turn../') AS f FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, k)) AS turns_sha256,
+       CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, k), '')) AS loss_sha256, CAST(sum(f) AS BIGINT) AS formatted_chars
+FROM k GROUP BY conv_id
+"""
+
+
+@registered
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every 50th vector, its 5 best of the same label and 3 hard negatives for each."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.sound(spark, table(spark, sf_dir, "embeddings"), label)
+    return hard_negatives.hard_negatives(spark, rows, F.col("vec_id") % 50 == 0, positives=5, negatives=3, low=50, high=95)
+
+
+ORACLES["op13_hard_negatives"] = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_inner_product(a.e, c.e) AS BIGINT) AS score FROM v a JOIN v c ON a.vec_id % 50 = 0 AND c.vec_id <> a.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT * FROM n WHERE rank <= 3
+"""
