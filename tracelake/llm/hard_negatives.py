@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tracelake.llm.common import shuffle_partitions, written
+from tracelake.llm.common import written
 
 #: Rows of a block of candidates and of anchors; components of either; anchors scored at a time.
 BLOCK, ANCHORS, COMPONENTS, SLICE = 8192, 2048, 1 << 21, 64
@@ -170,30 +170,38 @@ def _negatives(a: dict, c: dict, scores: np.ndarray, i: int, k: int, low: int, h
     return out
 
 
-def _met(spark: SparkSession, anchors: DataFrame, candidates: DataFrame, meet: Column, select: Callable[..., list[tuple]]) -> DataFrame:
-    """What ``select`` gives for each anchor over the scores of each block that ``meet`` joins with the anchor's."""
+def _met(spark: SparkSession, anchors: DataFrame, candidates: DataFrame, slots: int, meet: Column, k: int, select: Callable[..., list[tuple]]) -> DataFrame:
+    """For each anchor and place, the k best of what ``select`` gives over the scores of each block that ``meet`` joins with the anchor's.
+
+    Blocks of candidates are dealt into ``slots``; a task has one slot and one
+    block of anchors, scores block after block and keeps the best.
+    """
+    columns = [f.split()[0] for f in FOUND.split(", ")]
 
     def scored(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         if len(left) and len(right):
-            (x, a), (y, c) = pickle.loads(left["data"].iloc[0]), pickle.loads(right["data"].iloc[0])
+            x, a = pickle.loads(right["data"].iloc[0])
             x = x.astype(np.float64)
-            scorer = Scorer(y.astype(np.float64), int(np.abs(x).max()) if x.size else 0)
-            for first in range(0, len(x), SLICE):
-                scores = scorer.scores(x[first : first + SLICE])
-                for i in range(len(scores)):
-                    out += select(a, c, scores[i], first + i)
-        return pd.DataFrame(out, columns=[f.split()[0] for f in FOUND.split(", ")])
-
-    # Blocks meet in slots, so that no task makes all pairs; only numbers of blocks are joined here.
-    slots = shuffle_partitions(spark)
-    slot = F.pmod(F.xxhash64("block"), F.lit(slots)).cast("int")
+            for data in left["data"]:
+                y, c = pickle.loads(data)
+                scorer = Scorer(y.astype(np.float64), int(np.abs(x).max()) if x.size else 0)
+                for first in range(0, len(x), SLICE):
+                    scores = scorer.scores(x[first : first + SLICE])
+                    for i in range(len(scores)):
+                        out += select(a, c, scores[i], first + i)
+        found = pd.DataFrame(out, columns=columns)
+        return found.sort_values(["score", "vec_id"], ascending=[False, True]).groupby(["anchor_row", "place"]).head(k) if len(left) > 1 else found
+
+    # Only numbers of blocks are joined here, slot by slot, so that no task makes all pairs.
+    slot = F.pmod(F.xxhash64("block"), F.lit(slots)).cast("int").alias("slot")
     a = anchors.select(F.col("block").alias("a"), "dim", F.col("low").alias("a_low"), F.col("high").alias("a_high"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
-    c = candidates.select(F.col("block").alias("c"), "dim", F.col("low").alias("c_low"), F.col("high").alias("c_high"), slot.alias("slot"))
-    pairs = written(spark, a.join(c, ["dim", "slot"]).where(meet).select("a", "c"), "block-pairs")
-    left = pairs.join(anchors.select(F.col("block").alias("a"), "data"), "a").groupBy("a", "c")
-    again = pairs.select(F.col("a").alias("_a"), F.col("c").alias("_c")).toDF("a", "c")  # fresh columns
-    right = again.join(candidates.select(F.col("block").alias("c"), "data"), "c").groupBy("a", "c")
+    c = candidates.select(F.col("block").alias("c"), "dim", F.col("low").alias("c_low"), F.col("high").alias("c_high"), slot)
+    pairs = written(spark, a.join(c, ["dim", "slot"]).where(meet).select("a", "slot", "c"), "block-pairs")
+    left = pairs.join(candidates.select(F.col("block").alias("c"), "data"), "c").groupBy("a", "slot")
+    # Fresh columns: both sides come from the same pairs.
+    met = pairs.select(F.col("a").alias("_a"), F.col("slot").alias("_slot")).distinct().toDF("a", "slot")
+    right = met.join(anchors.select(F.col("block").alias("a"), "data"), "a").groupBy("a", "slot")
     return left.cogroup(right).applyInPandas(scored, FOUND)
 
 
@@ -212,12 +220,13 @@ def hard_negatives(spark: SparkSession, rows: DataFrame, is_anchor: Column, posi
     candidates = blocks(spark, rows, BLOCK, "candidate-blocks")
     # Fresh columns: anchors and candidates come from the same table.
     anchors = rows.where(is_anchor).select(*(F.col(c).alias(f"_{c}") for c in rows.columns)).toDF(*rows.columns)
+    slots = max(1, -(-rows.count() // BLOCK))
     overlap = (F.col("a_low") <= F.col("c_high")) & (F.col("c_low") <= F.col("a_high"))
-    found = _met(spark, blocks(spark, anchors, ANCHORS, "anchor-blocks"), candidates, overlap, lambda a, c, s, i: _positives(a, c, s, i, positives))
+    found = _met(spark, blocks(spark, anchors, ANCHORS, "anchor-blocks"), candidates, slots, overlap, positives, lambda a, c, s, i: _positives(a, c, s, i, positives))
     own = _ranked(found, positives).groupBy(F.col("anchor_row").alias("row")).agg(F.collect_list(F.struct(F.col("rank").alias("place"), "vec_id", "score")).cast(POSITIVES).alias("positives"))
     with_positives = written(spark, anchors.join(own, "row"), "anchors")
     differ = ~((F.col("a_low") == F.col("a_high")) & (F.col("c_low") == F.col("c_high")) & (F.col("a_low") == F.col("c_low")))
-    found = _met(spark, blocks(spark, with_positives, ANCHORS, "anchor-blocks"), candidates, differ, lambda a, c, s, i: _negatives(a, c, s, i, negatives, low, high))
+    found = _met(spark, blocks(spark, with_positives, ANCHORS, "anchor-blocks"), candidates, slots, differ, negatives, lambda a, c, s, i: _negatives(a, c, s, i, negatives, low, high))
     return _ranked(found, negatives).select(
         "anchor_id", "positive_id", "rank", F.col("vec_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score")
     )
