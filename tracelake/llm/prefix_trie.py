@@ -54,11 +54,11 @@ NO_ENDS = hashlib.sha256(b"").hexdigest()
 class Bitmaps:
     """A shard's postings over the turns of one segment; bit i is the i-th conversation by id."""
 
-    def __init__(self, pdf: pd.DataFrame) -> None:
+    def __init__(self, pdf: pd.DataFrame, segment: int) -> None:
         pdf = pdf.sort_values(["conv_id", "pos"])
         self.ids, which = np.unique(pdf["conv_id"].to_numpy(), return_inverse=True)
-        self.first = int(pdf["seg"].iloc[0]) * SEGMENT
-        self.last = self.first + SEGMENT
+        self.first = int(pdf["seg"].iloc[0]) * segment
+        self.last = self.first + segment
         self.postings: dict[tuple[int, int, int], int] = {}
         self.turns: dict[tuple[int, int], tuple[int, int, int]] = {}
         self.ending: dict[int, int] = {}
@@ -97,9 +97,9 @@ class Bitmaps:
         return np.flatnonzero(np.unpackbits(raw, bitorder="little"))
 
 
-def _descend(pdf: pd.DataFrame) -> pd.DataFrame:
+def _descend(pdf: pd.DataFrame, segment: int) -> pd.DataFrame:
     """Nodes as far as the shard has them."""
-    maps, out = Bitmaps(pdf), []
+    maps, out = Bitmaps(pdf, segment), []
     shard = int(pdf["shard"].iloc[0])
     for bits, a, b, pa, pb, depth, words, parent in maps.nodes():
         if parent < 0 and maps.first:
@@ -110,17 +110,17 @@ def _descend(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=[c.split()[0] for c in PARTIAL.split(", ")])
 
 
-def _sum(pdf: pd.DataFrame) -> pd.DataFrame:
+def _sum(pdf: pd.DataFrame, segment: int) -> pd.DataFrame:
     """What a shard's conversations add to n_leaves and saved_tokens of its nodes."""
-    maps = Bitmaps(pdf)
+    maps = Bitmaps(pdf, segment)
     one = pdf.drop_duplicates("conv_id").sort_values("conv_id")
     leaf, later = 0, one["later"].to_numpy()
-    sharing = [0] * (SEGMENT + 2)  # by depth - first: who owns no node there
+    sharing = [0] * (segment + 2)  # by depth - first: who owns no node there
     for i, (owns_from, owns_leaf) in enumerate(zip(one["owns_from"].tolist(), one["owns_leaf"].tolist(), strict=True)):
         leaf |= owns_leaf << i
         if owns_from > maps.first:
-            sharing[min(owns_from - maps.first, SEGMENT + 1) - 1] |= 1 << i
-    for d in range(SEGMENT, -1, -1):
+            sharing[min(owns_from - maps.first, segment + 1) - 1] |= 1 << i
+    for d in range(segment, -1, -1):
         sharing[d] |= sharing[d + 1]
     nodes, leaves, saved = [], [], []
     for bits, a, b, _, _, depth, words, parent in maps.nodes():
@@ -184,17 +184,17 @@ def with_shared_heads(spark: SparkSession, conversations: DataFrame, every: int,
     return rows, convs.select("conv_id", "length", F.col("first_part").alias("part"))
 
 
-def trie(spark: SparkSession, turns: DataFrame, convs: DataFrame) -> DataFrame:
+def trie(spark: SparkSession, turns: DataFrame, convs: DataFrame, segment: int = SEGMENT, shard: int = SHARD) -> DataFrame:
     """conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 of every node.
 
     turns: conv_id, pos (from 1, gapless), key, words; convs: conv_id, length,
     part (ascending with conv_id), all conversations, also those without turns.
     """
     so_far = Window.partitionBy("part").orderBy("conv_id").rowsBetween(Window.unboundedPreceding, -1)
-    size = F.least(F.greatest("length", F.lit(1)), F.lit(SEGMENT))
-    cut = F.floor(F.coalesce(F.sum(size).over(so_far), F.lit(0)) / SHARD)
+    size = F.least(F.greatest("length", F.lit(1)), F.lit(segment))
+    cut = F.floor(F.coalesce(F.sum(size).over(so_far), F.lit(0)) / shard)
     convs = written(spark, convs.withColumn("shard", F.shiftleft(F.col("part").cast("long"), 32) + cut).select("conv_id", "length", "shard"), "trie-convs")
-    rows = turns.withColumn("seg", F.floor((F.col("pos") - 1) / SEGMENT)).withColumns({"a": F.xxhash64(F.lit(1), "pos", "key"), "b": F.xxhash64(F.lit(2), "pos", "key")}).drop("key")
+    rows = turns.withColumn("seg", F.floor((F.col("pos") - 1) / segment)).withColumns({"a": F.xxhash64(F.lit(1), "pos", "key"), "b": F.xxhash64(F.lit(2), "pos", "key")}).drop("key")
     earlier = Window.partitionBy("conv_id").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
     segs = rows.groupBy("conv_id", "seg").agg(F.bit_xor("a").alias("x"), F.bit_xor("b").alias("y"))
     segs = segs.select("conv_id", "seg", *(F.coalesce(F.bit_xor(c).over(earlier), F.lit(0)).alias(n) for c, n in (("x", "in_a"), ("y", "in_b"))))
@@ -202,7 +202,7 @@ def trie(spark: SparkSession, turns: DataFrame, convs: DataFrame) -> DataFrame:
     placed = rows.join(segs.join(convs, "conv_id"), ["conv_id", "seg"]).unionByName(bare)
     placed = written(spark, placed, "trie-turns")
 
-    found = written(spark, placed.groupBy("shard", "seg").applyInPandas(_descend, PARTIAL), "trie-shards")
+    found = written(spark, placed.groupBy("shard", "seg").applyInPandas(lambda pdf: _descend(pdf, segment), PARTIAL), "trie-shards")
     same = ("parent_a", "parent_b", "depth", "words")
     nodes = found.groupBy("a", "b").agg(*(F.min(c).alias(c) for c in same), F.min("conv_id").alias("conv_id"), F.sum("n_convs").alias("n_convs"))
     children = nodes.where("depth > 0").groupBy(F.col("parent_a").alias("a"), F.col("parent_b").alias("b")).agg(F.count(F.lit(1)).alias("n_children"))
@@ -215,7 +215,7 @@ def trie(spark: SparkSession, turns: DataFrame, convs: DataFrame) -> DataFrame:
     after = Window.partitionBy("conv_id").orderBy(F.col("seg").desc()).rowsBetween(Window.unboundedPreceding, -1)
     shared = owning.groupBy("conv_id", "seg").agg(F.coalesce(F.sum(F.when(F.col("pos") < F.col("owns_from"), F.col("words"))), F.lit(0)).alias("w"))
     later = shared.select("conv_id", "seg", F.coalesce(F.sum("w").over(after), F.lit(0)).alias("later"))
-    sums = owning.join(later, ["conv_id", "seg"]).groupBy("shard", "seg").applyInPandas(_sum, SUMS)
+    sums = owning.join(later, ["conv_id", "seg"]).groupBy("shard", "seg").applyInPandas(lambda pdf: _sum(pdf, segment), SUMS)
     sums = sums.groupBy("a", "b").agg(F.sum("n_leaves").alias("n_leaves"), F.sum("saved_tokens").alias("saved_tokens"))
 
     lists = found.where(F.col("ends").isNotNull()).select("a", "b", "shard", "ends")
