@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -234,9 +235,27 @@ def command_category(command: Column) -> Column:
     return out.otherwise("other")
 
 
+def _accented() -> tuple[str, str]:
+    """Latin letters with marks, and the same letters without."""
+    pairs = []
+    for c in map(chr, (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))):
+        base, *marks = unicodedata.normalize("NFD", c)
+        if marks and all(map(unicodedata.combining, marks)):
+            pairs.append((c, base))
+    return "".join(c for c, _ in pairs), "".join(b for _, b in pairs)
+
+
+ACCENTED, BARE = _accented()
+
+
+def without_marks(text: Column) -> Column:
+    """Latin letters without diacritics; other texts are not looked at closer."""
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(text, ACCENTED, BARE), r"\p{Mn}+", "")).otherwise(text)
+
+
 def tokens(text: Column) -> Column:
-    """Search terms: lower case, hyphens and underscores kept."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_-]+"), lambda t: t != "")
+    """Search terms: lower case, without diacritics; hyphens and underscores kept."""
+    return F.filter(F.split(F.lower(without_marks(text)), r"[^\p{L}\p{N}_-]+"), lambda t: t != "")
 
 
 def shannon_entropy(text: Column) -> Column:

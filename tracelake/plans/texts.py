@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.functions import text as rules
-from tracelake.operators import findings, ranking, search
+from tracelake.operators import findings, index, ranking, search
 from tracelake.plans.registry import query, table
 from tracelake.sources.adapters import SESSIONS_SQL, sessions
+from tracelake.sources.store import scratch
 
 #: Rules that both engines' regular expressions can express, with spans left out.
 SHARED = (("email", r"[A-Za-z0-9_.+-]{3,}@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL]"), ("token", r"[0-9a-f]{32,}", "[TOKEN]"), ("number", r"[0-9]{5,}", "[NUMBER]"))
@@ -206,7 +207,7 @@ def error_signature_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.where("sessions >= 2").orderBy(F.col("sessions").desc(), "signature").limit(3)
 
 
-TERMS_SQL = "list_filter(string_split_regex(lower({0}), '[^\\p{{L}}\\p{{N}}_-]+'), lambda x: x <> '')"
+TERMS_SQL = "list_filter(string_split_regex(lower(strip_accents({0})), '[^\\p{{L}}\\p{{N}}_-]+'), lambda x: x <> '')"
 
 
 def bm25_sql(terms: tuple[str, ...], limit: int, where: str = "TRUE") -> str:
@@ -218,22 +219,82 @@ def bm25_sql(terms: tuple[str, ...], limit: int, where: str = "TRUE") -> str:
 SELECT doc_id, round(-({part}), 9) AS score FROM r, s WHERE {some} > 0 AND {where} ORDER BY -({part}), doc_id LIMIT {limit}"""
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the index over all documents; built once for an application and its input."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        folder = scratch(spark, "index")
+        index.update(spark, folder, table(spark, sf_dir, "documents"), 0)
+        _INDEXES[key] = folder
+    return _INDEXES[key]
+
+
+def found(spark: SparkSession, sf_dir: str, what: index.Expression, limit: int) -> DataFrame:
+    hits = index.search(spark, indexed(spark, sf_dir), index.Request(what, limit))
+    return hits.select("doc_id", F.round("score", 9).alias("score"))
+
+
 @query("search_bm25", bm25_sql(("the", "ndst", "that"), 50))
 def search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = search.search(table(spark, sf_dir, "documents"), search.Search(any_of=("the", "ndst", "that")), "doc_id", "text")
-    return hits.select("doc_id", F.round("score", 9).alias("score"))
+    return found(spark, sf_dir, index.Some(tuple(map(index.word, ("the", "ndst", "that")))), 50)
 
 
 @query("search_all_none", bm25_sql(("of", "that"), 20, "list_contains(t, 'of') AND list_contains(t, 'that') AND NOT list_contains(t, 'is')"))
 def search_all_none(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = search.search(table(spark, sf_dir, "documents"), search.Search(all_of=("of", "that"), none_of=("is",), limit=20), "doc_id", "text")
-    return hits.select("doc_id", F.round("score", 9).alias("score"))
+    return found(spark, sf_dir, index.Without(index.Every((index.word("of"), index.word("that"))), index.word("is")), 20)
 
 
 @query("search_phrase", f"""SELECT doc_id FROM (SELECT doc_id, concat(' ', array_to_string({TERMS_SQL.format('text')}, ' '), ' ') AS t FROM documents) WHERE contains(t, ' of the ')""")
 def search_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return docs.where(search.matches(F.col("text"), search.Search(phrase=("of", "the")))).select("doc_id")
+    return index.matched(spark, indexed(spark, sf_dir), index.Phrase(("of", "the"))).select("doc_id")
+
+
+@query("search_near", f"""
+WITH w AS (SELECT doc_id, {TERMS_SQL.format('text')} AS t FROM documents),
+p AS (SELECT doc_id, list_filter(range(1, len(t) + 1), lambda i: t[i] = 'with') AS a, list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = 'the') AS b FROM w)
+SELECT doc_id FROM p WHERE len(list_filter(a, lambda x: len(list_filter(b, lambda y: greatest(x, y) - x - 1 <= 3 AND greatest(x, y) - y - 2 <= 3)) > 0)) > 0""")
+def search_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A term and a phrase with at most three terms between them."""
+    return index.matched(spark, indexed(spark, sf_dir), index.Near((index.word("with"), index.Phrase(("of", "the"))), 3)).select("doc_id")
+
+
+@query("search_prefix", f"""
+WITH w AS (SELECT doc_id, {TERMS_SQL.format('text')} AS t FROM documents)
+SELECT doc_id FROM w WHERE (len(list_filter(t, lambda x: starts_with(x, 'pro'))) > 0 OR list_contains(t, 'ndst')) AND NOT len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND starts_with(t[i + 1], 'th'))) > 0""")
+def search_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms by their start, one of them the last of a phrase, in a nested expression."""
+    what = index.Without(index.Some((index.Phrase(("pro",), True), index.word("ndst"))), index.Phrase(("of", "th"), True))
+    return index.matched(spark, indexed(spark, sf_dir), what).select("doc_id")
+
+
+@query("search_gated", f"""
+WITH w AS (SELECT doc_id, lang, {TERMS_SQL.format('text')} AS t FROM documents), r AS (SELECT doc_id, lang, len(t) AS length, len(list_filter(t, lambda x: x = 'that')) AS f FROM w),
+s AS (SELECT count(*) AS n, sum(length) AS total, count(CASE WHEN f > 0 THEN 1 END) AS df FROM r),
+m AS (SELECT doc_id, -greatest(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 1e-6::DOUBLE) * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / (total::DOUBLE / n))) AS score FROM r, s
+      WHERE f > 0 AND lang IN ('en', 'fr') AND doc_id NOT IN (SELECT session_id FROM {SESSIONS_SQL} WHERE hold_state = 'pending_review' OR hold_state = 'embargoed' AND (embargo_until IS NULL OR embargo_until > DATE '1995-06-01')))
+SELECT doc_id, round(score, 9) AS score, (SELECT count(*) FROM m) AS rows_matched FROM m ORDER BY m.score, doc_id LIMIT 25""")
+def search_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search among the events of some clients whose sessions are not held; documents stand for events, orders for their sessions."""
+    held = sessions(spark, sf_dir).select(F.col("session_id").alias("session"), "hold_state", "embargo_until")
+    events = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("session"), F.col("lang").alias("client"))
+    among = index.allowed(events, "doc_id", F.lit("1995-06-01").cast("date"), held, client=("en", "fr"))
+    hits = index.search(spark, indexed(spark, sf_dir), index.Request(index.word("that"), 25), among)
+    return hits.select("doc_id", F.round("score", 9).alias("score"), "rows_matched")
+
+
+@query("search_upkeep", bm25_sql(("the", "that"), 40).replace("FROM documents", "FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text ELSE substr(text, 1, length(text) // 2) END AS text FROM documents WHERE doc_id % 7 <> 0)"))
+def search_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index that got half of each text, then the whole of every second one, then lost every seventh document, and was compacted."""
+    docs, folder = table(spark, sf_dir, "documents").select("doc_id", "text"), scratch(spark, "index")
+    index.update(spark, folder, docs.withColumn("text", F.expr("substr(text, 1, length(text) div 2)")), 0)
+    index.update(spark, folder, docs.where("doc_id % 2 = 0"), 1)
+    index.update(spark, folder, docs.limit(0), 2, deleted=docs.where("doc_id % 7 = 0").select("doc_id"))
+    index.compact(spark, folder, f"{folder}/compact")
+    hits = index.search(spark, f"{folder}/compact", index.Request(index.Some((index.word("the"), index.word("that"))), 40))
+    return hits.select("doc_id", F.round("score", 9).alias("score"))
 
 
 @query("search_gate", f"""
@@ -281,7 +342,7 @@ def command_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy(rules.command_category(F.col("command")).alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
 
-WORDS_SQL = "list_distinct(list_filter(string_split_regex(lower({0}), '[^a-z]+'), lambda x: length(x) > 3))"
+WORDS_SQL = "list_distinct(list_filter(string_split_regex(lower(strip_accents({0})), '[^a-z]+'), lambda x: length(x) > 3))"
 
 
 @query("jaccard_pairs", f"""
