@@ -122,3 +122,18 @@ def test_many_distinct_lengths_meet_the_budget():
     counts = np.full(20_000, 3)
     budget = int((lengths * counts).sum() * 0.37)
     assert int((lengths * source_mix.fit_budget(lengths, counts, budget)).sum()) == budget
+
+
+@pytest.mark.parametrize("n, most", [(50, 0.3), (400, 0.1), (5000, 0.05)])
+def test_documents_of_all_lengths_are_taken_alike(n, most):
+    """Each quarter of a source's documents by length is taken at the source's share; budgets are met."""
+    rng = np.random.default_rng(n)
+    for share in (0.1, 0.35, 0.5, 0.72):
+        sizes = np.sort(np.maximum(1, rng.lognormal(5, 1.1, n).astype(int)))
+        lengths, counts = np.unique(sizes, return_counts=True)
+        budget = round(share * sizes.sum())
+        take = np.array(source_mix.fit_budget(lengths, counts, budget))
+        assert budget - (take * lengths).sum() <= (1 if n == 50 else 0)
+        quarter = (np.cumsum(counts) - 1) * 4 // n
+        taken = [take[quarter == q].sum() / counts[quarter == q].sum() for q in range(4)]
+        assert max(abs(t - share) for t in taken) <= most, (share, taken)

@@ -3,10 +3,11 @@
 Each source has a budget of words. Whole repeats of the source come first;
 what is left of the budget is spent on a subset of its documents. Documents
 are counted by exact length, every length gives its proportional share, and a
-bounded knapsack over exact lengths decides what remains together with a
-window of documents set aside from the shares. While the budget isn't met the
-window doubles, until it holds all that the best sum can need; so no set of
-lengths is given up. The chosen number of documents of each length is taken
+bounded knapsack over exact lengths decides what remains together with a few
+documents set aside from the shares, whose choice it prefers. While the budget
+isn't met that window doubles, until it holds all that the best sum can need;
+so documents of all lengths are taken alike, and no set of lengths is given
+up. The chosen number of documents of each length is taken
 in seeded order. Only counts by (source, length) reach the knapsack, one
 source a task.
 
@@ -16,7 +17,8 @@ count each; documents of one source and length are taken in the order of a
 seeded hash of id and text, then of the id (null first), and rows equal in
 all of these may stand for each other; a null id is taken like any other; an
 empty table gives no rows; further columns are left out; a source whose
-target is 0 takes nothing.
+target is 0 takes nothing; texts of any length are counted whole, and of a
+source of a few very long ones the largest sum within the budget is taken.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Words of the knapsack's first window.
 KNAPSACK = 65_536
+#: Percent of a length's documents that may be taken beyond its share.
+SPREAD = 8
 #: Rows of a plan that are broadcast; a larger one is joined by shuffling.
 BROADCAST = 1_000_000
 PLAN = "key string, size long, n long, base long, extra long"
@@ -70,15 +74,49 @@ def bounded_knapsack(lengths: list[int], counts: list[int], budget: int) -> list
     return taken
 
 
+def even_shares(lengths: list[int], counts: list[int], budget: int) -> tuple[list[int], int]:
+    """(documents of each length in proportion to their counts, what is left of the budget: less than the longest length that isn't taken whole).
+
+    From the longest down, what whole documents leave of a length's share is
+    carried to the next lengths, which take at most SPREAD more of their
+    documents for it, so that a very long document that isn't taken is made up
+    for by many lengths. What is left in the end is dealt again, in the same
+    way without that limit, while it has room for the longest document left.
+    """
+    share, rest, spread = [0] * len(lengths), budget, SPREAD
+    order = sorted(range(len(lengths)), key=lambda j: -lengths[j])
+    while True:
+        open_ = [j for j in order if 0 < lengths[j] <= rest and share[j] < counts[j]]
+        total = sum(lengths[j] * (counts[j] - share[j]) for j in open_)
+        goal, carry, taken, allowed = min(rest, total), 0, 0, 0
+        for j in open_:
+            free = counts[j] - share[j]
+            carry += lengths[j] * free * goal  # in words times total
+            allowed += free * (goal * 100 + spread * total)  # in documents times total times 100
+            n = min(free, carry // (lengths[j] * total), max(0, (allowed + 50 * total) // (100 * total)) if spread else free)
+            carry -= n * lengths[j] * total
+            allowed -= n * 100 * total
+            share[j], taken = share[j] + n, taken + n * lengths[j]
+        rest -= taken
+        if rest < max((lengths[j] for j in order if share[j] < counts[j]), default=0) or not (taken or spread):
+            return share, rest
+        spread = 0
+
+
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, knapsack: int = KNAPSACK) -> list[int]:
-    """How many documents of each length to take once: the largest sum that is at most budget.
-
-    The shares leave less than the longest length of the budget. Ordered so that
-    its running sum stays within that length, a difference between a best choice
-    and the shares repeats a sum once it has twice as many documents as the
-    longest has words, and what lies between can be left out. So some best
-    choice differs by fewer; a window of that many documents of each length, or
-    of the whole budget, needs no doubling.
+    """How many documents of each length to take once: the largest sum that is at most budget, close to even shares.
+
+    What the shares leave is less than the longest length. The knapsack works
+    on it and on some of the shares' own documents, set aside evenly over the
+    lengths: these come first, then the others by how near their length is to
+    what is left, so that a choice changes few words of the shares. Only while
+    the sum misses, the window of what is set aside doubles.
+
+    Ordered so that its running sum stays within the longest length, a
+    difference between a best choice and the shares repeats a sum once it has
+    twice as many documents as the longest has words, and what lies between can
+    be left out. So some best choice differs by fewer; a window of that many
+    documents of each length, or of all shares, needs no doubling.
     """
     ls, ns = [int(x) for x in lengths], [int(x) for x in counts]
     total = sum(x * n for x, n in zip(ls, ns, strict=True))
@@ -87,25 +125,27 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, knapsack: i
     if budget >= total:
         return ns
     unit = gcd(*(x for x, n in zip(ls, ns, strict=True) if n))
-    ls, budget, total = [x // unit for x in ls], budget // unit, total // unit
-    # From the longest down, what a share's whole documents leave is carried to the next; in words times total.
-    share, carry = [0] * len(ls), 0
-    for j in sorted(range(len(ls)), key=lambda j: -ls[j]):
-        carry += ls[j] * ns[j] * budget
-        share[j] = min(ns[j], carry // (ls[j] * total)) if ls[j] else 0
-        carry -= share[j] * ls[j] * total
-    rest = budget - sum(x * n for x, n in zip(ls, share, strict=True))
-    longest, kinds, window = max(ls), sum(x > 0 for x in ls), max(1, knapsack)
+    ls, budget = [x // unit for x in ls], budget // unit
+    share, rest = even_shares(ls, ns, budget)
+    longest, kinds = max(ls), sum(x > 0 for x in ls)
+    window = max(1, knapsack)
+    held = [j for j in range(len(ls)) if share[j] and ls[j]]
+    usual = sorted(x for x, n in zip(ls, ns, strict=True) if x and n)[kinds // 2]
     while True:
-        # Set aside from the shares, evenly over the lengths, what the window may give back.
         aside = [min(n, window // (kinds * x)) if x else 0 for x, n in zip(ls, share, strict=True)]
+        # One document each of lengths at even distances, as many as fit the window.
+        spaced, step = window, max(1, sum(ls[j] for j in held) // window)
+        for j in held[::step]:
+            if not aside[j] and ls[j] <= spaced:
+                aside[j], spaced = 1, spaced - ls[j]
         room = rest + sum(x * n for x, n in zip(ls, aside, strict=True))
         kept = [n - a for n, a in zip(share, aside, strict=True)]
-        free = [n - k if x <= room else 0 for x, n, k in zip(ls, ns, kept, strict=True)]
-        order = sorted((j for j in range(len(ls)) if free[j] and ls[j]), key=lambda j: -ls[j])
-        more = bounded_knapsack([ls[j] for j in order], [free[j] for j in order], room)
+        own = [j for j in held if aside[j]]
+        new = sorted((j for j in range(len(ls)) if 0 < ls[j] <= room and share[j] < ns[j]), key=lambda j: abs(ls[j] - rest - usual))
+        order = own + new
+        more = bounded_knapsack([ls[j] for j in order], [aside[j] for j in own] + [ns[j] - share[j] for j in new], room)
         got = sum(ls[j] * m for j, m in zip(order, more, strict=True))
-        if got == room or not any(k for x, k in zip(ls, kept, strict=True) if x) or window >= 2 * kinds * longest**2:
+        if got == room or not any(kept[j] for j in held) or window >= 2 * kinds * longest**2:
             for j, m in zip(order, more, strict=True):
                 kept[j] += m
             return kept
