@@ -222,13 +222,6 @@ def test_runs_break_at_messages(spark):
     assert sorted((r["fingerprint"], r["count"], r["first_event"], r["last_event"]) for r in got) == [("a", 3, 0, 2), ("b", 3, 6, 8)]
 
 
-def test_checkpoints_close_at_whole_turns(spark):
-    rows = [(1, i, "user" if i % 3 == 0 else "assistant", "x" * 10) for i in range(12)]
-    df = spark.createDataFrame(rows, "s long, i long, role string, text string")
-    got = sequence.checkpoints(df, "s", "i", "text", "role", most=4, users=20, chars=10**6).orderBy("i").collect()
-    assert [r["segment"] for r in got] == [0] * 6 + [1] * 6
-
-
 def test_error_then_recovery(spark):
     rows = [(1, "t", i, i, k) for i, k in enumerate(["e", "b", "e", "s", "e", "s", "s"])]
     df = spark.createDataFrame(rows, "session int, tool string, event_at int, event_id int, k string")

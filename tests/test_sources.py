@@ -3,9 +3,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tracelake.functions import variant
 from tracelake.functions.text import shannon_entropy
 from tracelake.plans import catalog
-from tracelake.sources import jsonl, store
+from tracelake.sources import events, jsonl, store
 from tracelake.streaming import ingest
 
 
@@ -21,9 +22,8 @@ def test_lines_break_at_line_feeds_only(spark, tmp_path):
 
 def test_broken_lines(spark):
     df = lines(spark, [{"type": "user"}, "{broken", "[1]", {"type": "novel"}])
-    got = [(r["event_type"], r["confidence"]) for r in jsonl.classified(df, "claude").collect()]
-    assert got[0] == ("user_message", "high") and got[2] == ("schema_unknown", "missing") and got[3] == ("schema_unknown", "low")
-    assert got[1][0] == "schema_unknown"
+    got = [(r["event_type"], r["confidence"]) for r in events.classified(df, "claude").collect()]
+    assert got == [("schema_unknown", "low"), ("schema_unknown", "missing"), ("schema_unknown", "missing"), ("schema_unknown", "low")]
     with pytest.raises(Exception, match="MALFORMED|malformed"):
         jsonl.parsed(df.where("value like '{broken%'"), "type string", strict=True).collect()
 
@@ -36,7 +36,7 @@ def test_every_event_of_a_line(spark):
         {"type": "user", "message": {"role": "bashExecution", "command": "ls", "output": "a", "exitCode": 0}}, {"type": "compaction"}, {"type": "assistant", "message": {"content": "x"}}, "{broken", "[1]",
     ]
     df = lines(spark, rows).coalesce(1)
-    got = [(r["event_type"], r["event_key"], r["confidence"], r["lossiness"]) for r in jsonl.classified_events(df, "claude").collect()]
+    got = [(r["event_type"], r["event_key"], r["confidence"], r["lossiness"]) for r in events.classified(df, "claude").collect()]
     sure = ("high", "none")
     assert got == [
         ("assistant_message", None, *sure), ("tool_call", "tool_call:t1", *sure), ("file_read", "file_read:t1", *sure), ("tool_call", "tool_call:t2", *sure), ("patch", "patch:t2", *sure), ("tool_call", None, *sure), ("command_start", None, *sure),
@@ -45,10 +45,71 @@ def test_every_event_of_a_line(spark):
     ]
     item = lambda **p: {"type": "response_item", "payload": p}
     rows = [item(type="function_call", call_id="c", name="shell"), item(type="function_call_output", call_id="c", output="Exit code: 0\nok"), item(type="custom_tool_call", name="edit"), item(type="reasoning"), item(type="message"), {"type": "turn_context"}, {"type": "event_msg", "payload": {"type": "agent_message"}}]
-    got = [(r["event_type"], r["event_key"]) for r in jsonl.classified_events(lines(spark, rows).coalesce(1), "codex").collect()]
+    got = [(r["event_type"], r["event_key"]) for r in events.classified(lines(spark, rows).coalesce(1), "codex").collect()]
     assert got == [("tool_call", "tool_call:c"), ("command_start", "command_start:c"), ("tool_result", "tool_result:c"), ("command_exit", "command_exit:c"), ("tool_call", None), ("file_write", None), ("assistant_message", None), ("schema_unknown", None), ("schema_unknown", None), ("assistant_message", None)]
 
 
+def test_exit_codes_and_shapes(spark):
+    item = lambda output: {"type": "response_item", "payload": {"type": "function_call_output", "call_id": "c", "output": output}}
+    outputs = ["a\nExit code: 1", "Exit code 1", '{"metadata":{"exit_code":null}}', '{"metadata":{}}', '{"metadata":3}', [{"type": "input_text", "text": "x\r\nExit code: 0"}], [{"type": "text", "text": "Exit code: 0"}, 3], None, 5]
+    got = events.classified(lines(spark, [item(o) for o in outputs]).withColumn("n", F.monotonically_increasing_id()).coalesce(1), "codex").collect()
+    exits = [any(r["event_type"] == "command_exit" for r in got if r["n"] == n) for n in sorted({r["n"] for r in got})]
+    assert exits == [True, False, True, False, False, True, False, False, False]
+
+
+def test_openclaw_lines(spark):
+    m = lambda **x: {"type": "message", "timestamp": 1767225600000, "message": x}
+    rows = [
+        {"type": "session", "version": "2"}, m(role="user", content=[{"type": "image"}, {"type": "odd", "text": "hi"}]), m(role="user", content=" "), m(role="assistant", content="text"),
+        m(role="assistant", content=[{"type": "thinking", "thinking": "hm"}, {"type": "toolCall", "id": "k", "name": "multi-edit"}, {"type": "tool_use", "id": "z", "name": "bash"}, 3]), m(role="toolResult", toolCallId=" "),
+        m(role="bashExecution", command="ls", exitCode=None), m(role="approval_decision"), m(role="other"), {"type": "message", "message": 3}, {"type": "compaction", "timestamp": "2026-01-01T00:00:00"}, {"type": "closed"}, {"type": 5},
+    ]
+    df = lines(spark, rows).coalesce(1)
+    got = [(r["event_type"], r["event_key"], r["confidence"], r["lossiness"]) for r in events.classified(df, "openclaw").collect()]
+    sure, unknown = ("high", "none"), ("schema_unknown", None, "low", "none")
+    assert got == [
+        ("session_open", None, *sure), ("user_message", None, *sure), unknown, unknown, ("assistant_message", None, *sure), ("tool_call", "tool_call:k", *sure), ("tool_result", None, *sure), ("command_start", None, *sure),
+        ("approval_decision", None, *sure), unknown, unknown, ("compaction", None, "low", "compacted"), unknown, unknown,
+    ]
+    meta = [(r["client_version"], r["closure_seen"]) for r in events.session_meta(df, "openclaw").collect()]
+    assert meta[0] == ("2", False) and meta[-2] == (None, True)
+    df = lines(spark, [{"type": "user", "parentSessionId": " ", "message": {"parent_session_id": "p"}, "version": " "}, {"type": "event_msg", "payload": {"type": "session_end", "version": "9"}}])
+    assert [r["parent_session_id"] for r in events.session_meta(df, "claude").collect()] == ["p", None]
+    assert [(r["client_version"], r["closure_seen"]) for r in events.session_meta(df, "codex").collect()] == [(None, False), ("9", True)]
+
+
+def test_times_of_lines(spark):
+    """The message's time comes first; one without a zone ends the search; digits in quotes are no time."""
+    rows = [
+        {"type": "compaction", "timestamp": "2026-01-01T02:00:00+02:00", "message": {"timestamp": 1767225600000}}, {"type": "compaction", "timestamp": 1767225600000, "message": {"timestamp": "2026-01-01T00:00:00"}},
+        {"type": "compaction", "timestamp": 1767225600000, "message": {"timestamp": "never"}}, {"type": "compaction", "timestamp": "1767225600000"}, {"type": "compaction", "timestamp": None},
+    ]
+    got = events.classified(lines(spark, rows).coalesce(1), "claude").select(F.unix_seconds("event_at"), "confidence").collect()
+    assert [tuple(r) for r in got] == [(1767225600, "high"), (None, "low"), (1767225600, "high"), (None, "high"), (None, "high")]
+
+
+def test_canonical_json_and_typed_values(spark):
+    df = spark.createDataFrame([('{"b": [1.0, {"y": null, "x": "\u00e9"}], "a": true}',), ('{ "a":true,"b":[1,{"x":"é","y":null}]}',), ("{bad",), (None,)], "v string")
+    got = [r[0] for r in df.select(variant.canonical(F.col("v"))).collect()]
+    assert got == ['{"a":true,"b":[1,{"x":"é","y":null}]}'] * 2 + [None, None]
+    values = {"7": 7, "7.0": 7, "7e2": 700, "7.5": None, "true": None, '"7"': None, "null": None, "[7]": None, "-3": -3, "9007199254740993": 9007199254740993}
+    df = spark.createDataFrame([(f'{{"n": {v}}}',) for v in values], "v string")
+    assert [r[0] for r in df.select(variant.integer_at(variant.json_value(F.col("v")), "$.n")).collect()] == list(values.values())
+    df = spark.createDataFrame([('{"a": 1, "b": " ", "c": "x"}',)], "v string")
+    assert df.select(variant.filled_at(variant.json_value(F.col("v")), "$.a", "$.b", "$.c")).first()[0] == "x"
+
+
+def test_calls_of_lines_with_equal_or_no_times(spark):
+    call = lambda i, n: {"type": "tool_use", "id": i, "name": n, "input": {"p": 1}}
+    rows = [
+        {"type": "assistant", "timestamp": "1", "sessionId": "s", "message": {"content": [call("c1", "Read"), {"type": "thinking", "thinking": "why"}]}}, {"type": "assistant", "timestamp": "1", "sessionId": "s", "message": {"content": [{"type": "text", "text": "b"}, call("c2", "Bash"), call("c0", "Edit")]}},
+        {"type": "assistant", "sessionId": "s", "message": {"content": [call("c3", "Read")]}}, {"type": "assistant", "message": {"content": [call("c1", "Read")]}}, {"type": "user", "sessionId": "s", "message": {"content": [{"type": "tool_result", "tool_use_id": i, "content": f"of {i}"} for i in ("c1", "c3")]}},
+    ]
+    got = jsonl.claude_messages(lines(spark, rows).coalesce(1)).orderBy("line").collect()
+    assert [[tuple(t) for t in r["tools"]] for r in got] == [[("c1", "Read", "of c1")], [("c2", "Bash", None), ("c0", "Edit", None)], [("c3", "Read", "of c3")], [("c1", "Read", None)]]
+    assert [(r["text"], r["thinking"]) for r in got[:2]] == [("", "why"), ("b", "")]
+
+
 def test_tool_results_join_their_calls(spark):
     rows = [
         {"type": "user", "timestamp": "1", "sessionId": "s", "message": {"role": "user", "content": "hi"}},

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
@@ -89,29 +88,6 @@ def gap_segments(events: DataFrame, key: str, ts: str, seconds: int, *ties: str)
     return starts.withColumn("segment", F.sum("_s").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_s")
 
 
-def checkpoints(messages: DataFrame, key: str, order: str, text: str, role: str, most: int = 40, users: int = 20, chars: int = 4 << 20) -> DataFrame:
-    """``segment`` of each message: closes at the first whole turn beyond any limit.
-
-    The counters restart with each segment, which no window can express; each
-    session's rows, without their texts, are walked in order.
-    """
-
-    def segment(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_o")
-        out, n, u, c, at = [], 0, 0, 0, 0
-        roles = pdf["_r"].tolist()
-        for i, (r, size) in enumerate(zip(roles, pdf["_c"], strict=True)):
-            if r == "user" and i and (n >= most or u >= users or c >= chars):
-                at, n, u, c = at + 1, 0, 0, 0
-            n, u, c = n + 1, u + (r == "user"), c + int(size)
-            out.append(at)
-        return pd.DataFrame({"_k": pdf["_k"], "_o": pdf["_o"], "segment": out})
-
-    slim = messages.select(F.col(key).alias("_k"), F.col(order).alias("_o"), F.col(role).alias("_r"), F.coalesce(F.length(text), F.lit(0)).alias("_c"))
-    walked = slim.groupBy("_k").applyInPandas(segment, "_k long, _o long, segment int")
-    return walked.select(F.col("_k").alias(key), F.col("_o").alias(order), "segment")
-
-
 def token_deltas(snapshots: DataFrame, key: str, order: list[str], total: str) -> DataFrame:
     """``delta``: growth of a running total since the row before, never below 0."""
     return snapshots.withColumn("delta", F.greatest(F.col(total) - F.coalesce(F.lag(total).over(by(key, *order)), F.lit(0)), F.lit(0)))

@@ -10,6 +10,7 @@ from tracelake.functions import money
 from tracelake.operators import canonical, graph, sequence
 from tracelake.plans.registry import query, table
 from tracelake.sources.adapters import RECORDER_EVENTS_SQL, SESSIONS_SQL, USAGE_SQL, recorder_events, sessions, usage_ledger
+from tracelake.streaming import checkpoints
 
 RANK_SQL = "(CASE {0} WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END)"
 OVERRIDES_SQL = f"""(SELECT session, event_key, 'corrected' AS type, confidence, event_id AS write_seq FROM {RECORDER_EVENTS_SQL} WHERE event_key IS NOT NULL AND event_id % 5 = 0
@@ -220,8 +221,10 @@ def token_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("append_checkpoints")
 def append_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations closed at the first whole turn beyond 4 messages or 800 characters (tested against a plain loop)."""
-    return sequence.checkpoints(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", "role", most=4, users=20, chars=800)
+    """Conversations closed at the first whole turn beyond 4 messages or 800 bytes (tested against the rule; trace_checkpoints has SQL)."""
+    c = table(spark, sf_dir, "conversations")
+    messages = c.select(F.col("conv_id").alias("session"), F.col("turn").alias("place"), "role", F.octet_length("text").alias("text_bytes"), F.lit(0).alias("raw_start"), F.lit(0).alias("raw_end"))
+    return checkpoints.segments(messages, checkpoints.Limits(messages=4, text_bytes=800)).drop("raw_start", "raw_end")
 
 
 @query("error_recovery", f"""

@@ -2,30 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelake.functions import variant
 from tracelake.functions.time import vendor_timestamp
-from tracelake.plans.registry import query, table
-from tracelake.sources import jsonl, store
+from tracelake.operators import canonical, loops
+from tracelake.plans.ordered import overrides
+from tracelake.plans.registry import ORACLES, query, table
+from tracelake.sources import events, jsonl, lines, store
 from tracelake.sources.adapters import RECORDER_EVENTS_SQL, SESSIONS_SQL, recorder_events, sessions
-from tracelake.streaming import ingest
+from tracelake.streaming import checkpoints, frontier, ingest
 
 
 def claude_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as a client's log lines; every fifth answer calls a tool."""
+    """Conversations as a client's log lines; every fifth answer calls a tool, most lines share their times, some have none."""
     c = table(spark, sf_dir, "conversations")
-    call = F.to_json(F.struct(F.array(
-        F.struct(F.lit("text").alias("type"), F.col("text").alias("text"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("name")),
-        F.struct(F.lit("tool_use").alias("type"), F.lit(None).cast("string").alias("text"), F.concat(F.lit("t"), F.col("turn").cast("string")).alias("id"), F.lit("Read").alias("name")),
-    ).alias("x")))
-    content = F.when((F.col("role") == "assistant") & (F.col("turn") % 5 == 1), F.get_json_object(call, "$.x")).otherwise(F.col("text"))
-    usage = F.struct(F.length("text").alias("input_tokens"), (F.col("turn") + 1).alias("output_tokens"))
-    line = F.struct(
-        F.col("role").alias("type"), F.format_string("2026-01-01T00:00:%02dZ", F.col("turn").cast("int")).alias("timestamp"), F.col("conv_id").cast("string").alias("sessionId"),
-        F.struct("role", F.lit("claude-opus-4-1").alias("model"), content.alias("content"), usage.alias("usage")).alias("message"),
-    )
-    return c.select(F.to_json(line).alias("value"))
+    quoted = lambda t: F.regexp_replace(F.to_json(F.array(t)), r"(?s)^\[(.*)\]$", "$1")
+    text, call = F.struct(F.lit("text").alias("type"), F.col("text").alias("text")), F.concat(F.lit("t"), F.col("turn").cast("string"))
+    tool = F.concat(F.lit('{"type":"tool_use","id":"'), call, F.lit('","name":"Read","input":{"path":"a"}}'))
+    blocks = F.concat(F.lit("["), F.to_json(text), F.lit(","), tool, F.lit("]"))
+    content = F.when((F.col("role") == "assistant") & (F.col("turn") % 5 == 1), blocks).otherwise(quoted(F.col("text")))
+    usage = F.to_json(F.struct(F.length("text").alias("input_tokens"), (F.col("turn") + 1).alias("output_tokens")))
+    time = F.when(F.col("turn") % 4 < 3, F.format_string('"timestamp":"2026-01-01T00:00:%02dZ",', (F.col("turn") / 4).cast("int"))).otherwise("")
+    return c.select(F.concat(
+        F.lit('{"type":'), quoted(F.col("role")), F.lit(","), time, F.lit('"sessionId":"'), F.col("conv_id").cast("string"), F.lit('","message":{"role":'), quoted(F.col("role")),
+        F.lit(',"model":"claude-opus-4-1","content":'), content, F.lit(',"usage":'), usage, F.lit("}}"),
+    ).alias("value"))
 
 
 @query("claude_messages", """
@@ -57,19 +60,185 @@ def codex_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("classified_lines", """
-SELECT CASE role WHEN 'user' THEN 'user_message' WHEN 'assistant' THEN 'assistant_message' WHEN 'system' THEN 'system_message' ELSE 'schema_unknown' END AS event_type, 'high' AS confidence, count(*) AS n FROM conversations GROUP BY 1, 2""")
+SELECT CASE WHEN role = 'user' AND trim(text) <> '' THEN 'user_message' WHEN role = 'assistant' AND turn % 5 = 1 THEN 'assistant_message' ELSE 'schema_unknown' END AS event_type,
+       CASE WHEN role = 'user' AND trim(text) <> '' OR role = 'assistant' AND turn % 5 = 1 THEN 'high' ELSE 'low' END AS confidence, count(*) AS n FROM conversations GROUP BY 1, 2""")
 def classified_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = jsonl.classified(claude_lines(spark, sf_dir), "claude")
+    """Lines by their first event; answers that are plain text are unknown, as their content is a list of blocks."""
+    rows = events.classified(claude_lines(spark, sf_dir), "claude").where("event_no = 0")
     return rows.groupBy("event_type", "confidence").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("classified_events")
+def event_counts(rows: DataFrame) -> DataFrame:
+    keyed = F.regexp_replace("event_key", r"\d+", "N").alias("event_key")
+    return rows.groupBy("event_type", keyed, "confidence", "lossiness").agg(F.count(F.lit(1)).alias("n"))
+
+
+def counts_sql(cases: list[tuple[str, str, str | None, str, str]], table_: str) -> str:
+    """One row for each (condition, type, key, confidence, lossiness), summed up."""
+    parts = [f"SELECT '{kind}' AS event_type, {'NULL' if key is None else repr(key)} AS event_key, '{sure}' AS confidence, '{lossy}' AS lossiness FROM {table_} WHERE {condition}" for condition, kind, key, sure, lossy in cases]
+    return f"SELECT event_type, event_key, confidence, lossiness, count(*) AS n FROM ({' UNION ALL '.join(parts)}) GROUP BY ALL"
+
+
+@query("classified_events", counts_sql([
+    ("role = 'user' AND trim(text) <> ''", "user_message", None, "high", "none"), ("role = 'assistant' AND turn % 5 = 1 AND trim(text) <> ''", "assistant_message", None, "high", "none"),
+    ("role = 'assistant' AND turn % 5 = 1", "tool_call", "tool_call:tN", "high", "none"), ("role = 'assistant' AND turn % 5 = 1", "file_read", "file_read:tN", "high", "none"),
+    ("role NOT IN ('user', 'assistant') OR role = 'assistant' AND turn % 5 <> 1 OR role = 'user' AND trim(text) = ''", "schema_unknown", None, "low", "none"),
+], "conversations"))
 def classified_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All events of the lines, also those of content blocks (tested on a small fixture)."""
-    j = jsonl.parsed(claude_lines(spark, sf_dir), jsonl.CLAUDE)
-    message = F.struct("j.message.role", jsonl.blocks(F.col("j.message.content")).alias("content"))
-    rows = jsonl.classified_events(j.select(F.to_json(F.struct("j.type", "j.timestamp", message.alias("message"))).alias("value")), "claude")
-    return rows.groupBy("event_type", "confidence").agg(F.count(F.lit(1)).alias("n"))
+    """All events of the lines, also those of content blocks."""
+    return event_counts(events.classified(claude_lines(spark, sf_dir), "claude"))
+
+
+def obj(**fields: object) -> Column:
+    return F.struct(*((v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in fields.items()))
+
+
+def codex_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as rollout lines: starts, calls of tools, their results, messages, thoughts; some times have no zone."""
+    e, n = table(spark, sf_dir, "events"), F.col("event_id")
+    at = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.when(n % 7 == 0, "").otherwise("Z"))
+    call = F.concat(F.lit("c"), n.cast("string"))
+    name = F.element_at(F.array(*map(F.lit, ("Read", "edit", "apply-patch", " Bash ", "search"))), (n % 5 + 1).cast("int"))
+    output = F.when(n % 3 == 0, F.concat(F.lit("done\nExit code: "), (n % 2).cast("string"))).when(n % 3 == 1, '{"output":"x","metadata":{"exit_code":0}}').otherwise("Exit code unknown")
+    item = lambda **p: F.to_json(obj(timestamp=at, type="response_item", payload=obj(**p)))
+    kind = F.col("event_type")
+    value = (
+        F.when(kind == "signup", F.to_json(obj(timestamp=at, type="session_meta", payload=obj(version="1.2")))).when(kind == "click", item(type="function_call", call_id=call, name=name))
+        .when(kind == "purchase", item(type="function_call_output", call_id=call, output=output)).when(kind == "error", item(type="reasoning"))
+        .otherwise(F.when(n % 2 == 0, F.to_json(obj(timestamp=at, type="event_msg", payload=obj(type="agent_message")))).otherwise("{broken"))
+    )
+    return e.select("user_id", "event_id", value.alias("value"))
+
+
+def both_times(condition: str, kind: str, key: str | None) -> list[tuple[str, str, str | None, str, str]]:
+    return [(f"({condition}) AND event_id % 7 <> 0", kind, key, "high", "none"), (f"({condition}) AND event_id % 7 = 0", kind, key, "low", "unknown")]
+
+
+@query("classified_codex", counts_sql([
+    *both_times("event_type = 'signup'", "session_open", None), *both_times("event_type = 'click'", "tool_call", "tool_call:cN"),
+    *(x for i, kind in enumerate(("file_read", "file_write", "patch", "command_start")) for x in both_times(f"event_type = 'click' AND event_id % 5 = {i}", kind, f"{kind}:cN")),
+    *both_times("event_type = 'purchase'", "tool_result", "tool_result:cN"), *both_times("event_type = 'purchase' AND event_id % 3 <> 2", "command_exit", "command_exit:cN"),
+    ("event_type = 'error'", "assistant_message", None, "medium", "partial"), *both_times("event_type = 'view' AND event_id % 2 = 0", "assistant_message", None),
+    ("event_type = 'view' AND event_id % 2 = 1", "schema_unknown", None, "missing", "none"),
+], "events"))
+def classified_codex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_counts(events.classified(codex_lines(spark, sf_dir), "codex"))
+
+
+def openclaw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as a client's messages; odd answers call a shell, system lines are results or commands of users."""
+    c, n = table(spark, sf_dir, "conversations"), F.col("turn")
+    call = F.concat(F.lit("k"), n.cast("string"))
+    line = lambda **m: F.to_json(obj(type="message", timestamp=F.lit(1767225600000) + n, message=obj(**m)))
+    block = lambda **b: obj(type=b.get("type"), text=b.get("text", F.lit(None).cast("string")), id=b.get("id", F.lit(None).cast("string")), name=b.get("name", F.lit(None).cast("string")))
+    answer = line(role="assistant", content=F.array(block(type="text", text=F.col("text")), block(type="toolCall", id=call, name="exec_command")))
+    value = (
+        F.when(F.col("role") == "user", line(role="user", content=F.col("text"))).when((F.col("role") == "assistant") & (n % 2 == 1), answer)
+        .when(F.col("role") == "assistant", F.to_json(obj(type="compaction", timestamp="2026-01-01T00:00:00Z")))
+        .when(F.col("conv_id") % 2 == 0, line(role="toolResult", toolCallId=call)).otherwise(line(role="bashExecution", command=F.col("text"), output="out", exitCode=F.lit(1)))
+    )
+    return c.select("conv_id", "turn", value.alias("value"))
+
+
+@query("classified_openclaw", counts_sql([
+    ("role = 'user' AND trim(text) <> ''", "user_message", None, "high", "none"), ("role = 'user' AND trim(text) = ''", "schema_unknown", None, "low", "none"),
+    ("role = 'assistant' AND turn % 2 = 1 AND trim(text) <> ''", "assistant_message", None, "high", "none"), ("role = 'assistant' AND turn % 2 = 1", "tool_call", "tool_call:kN", "high", "none"),
+    ("role = 'assistant' AND turn % 2 = 1", "command_start", "command_start:kN", "high", "none"), ("role = 'assistant' AND turn % 2 = 0", "compaction", None, "high", "compacted"),
+    ("role NOT IN ('user', 'assistant') AND conv_id % 2 = 0", "tool_result", "tool_result:kN", "high", "none"), ("role NOT IN ('user', 'assistant') AND conv_id % 2 = 1 AND trim(text) <> ''", "command_start", None, "high", "none"),
+    ("role NOT IN ('user', 'assistant') AND conv_id % 2 = 1", "stdout_chunk", None, "low", "unknown"), ("role NOT IN ('user', 'assistant') AND conv_id % 2 = 1", "command_exit", None, "high", "none"),
+], "conversations"))
+def classified_openclaw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_counts(events.classified(openclaw_lines(spark, sf_dir), "openclaw"))
+
+
+@query("session_meta_lines", """
+SELECT CASE event_type WHEN 'signup' THEN '1.2' END AS client_version, CAST(NULL AS VARCHAR) AS parent_session_id, false AS closure_seen, count(*) AS n FROM events GROUP BY ALL""")
+def session_meta_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    meta = events.session_meta(codex_lines(spark, sf_dir), "codex")
+    return meta.groupBy("client_version", "parent_session_id", "closure_seen").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("canonical_json", """
+SELECT md5(concat('{"a":', event_id % 5, ',"k":', CAST(props->>'$.k' AS VARCHAR), ',"z":[true,null]}')) AS digest, count(*) AS n FROM events GROUP BY 1""")
+def canonical_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of objects whose keys come in another order and whose numbers have another form."""
+    k, a = F.get_json_object("props", "$.k"), (F.col("event_id") % 5).cast("string")
+    text = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"z": [true, null], "k": '), k, F.lit(', "a": '), a, F.lit(".0}"))).otherwise(F.concat(F.lit('{"a":'), a, F.lit(', "z":[ true,null],"k":'), k, F.lit("}")))
+    return table(spark, sf_dir, "events").groupBy(F.md5(variant.canonical(text)).alias("digest")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("typed_integers", """
+SELECT event_id, CASE event_id % 6 WHEN 0 THEN event_id WHEN 1 THEN event_id WHEN 2 THEN -1 WHEN 3 THEN -1 WHEN 4 THEN -1 ELSE 1000000 END AS n FROM events""")
+def typed_integers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole numbers and integral floats count; booleans, strings and fractions give way to the next path."""
+    i = F.col("event_id").cast("string")
+    n = F.col("event_id") % 6
+    value = F.when(n == 0, i).when(n == 1, F.concat(i, F.lit(".0"))).when(n == 2, "true").when(n == 3, F.concat(F.lit('"'), i, F.lit('"'))).when(n == 4, F.concat(i, F.lit(".5"))).otherwise("1e6")
+    v = variant.json_value(F.concat(F.lit('{"usage": {"input": '), value, F.lit('}, "other": -1}')))
+    return table(spark, sf_dir, "events").select("event_id", variant.integer_at(v, "$.usage.input", "$.other").alias("n"))
+
+
+@query("line_cursor_ingest", """SELECT conv_id, turn, role, md5(text) AS digest, CAST(1 AS BIGINT) AS times FROM conversations""")
+def line_cursor_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations written as growing sets of JSON lines, followed by line cursors in two runs of one query."""
+    folder, c = store.scratch(spark, "lines"), table(spark, sf_dir, "conversations")
+    rows = c.select((F.col("turn") % 2).alias("run"), F.to_json(F.struct("conv_id", "turn", "role", "text")).alias("value"))
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/kept/batch={number}")
+
+    for run in (0, 1):
+        rows.where(F.col("run") == run).select("value").write.mode("append").text(f"{folder}/in")
+        stream = lines.line_stream(spark, f"{folder}/in", glob="*.txt", split=1 << 20).writeStream.foreachBatch(keep)
+        stream.option("checkpointLocation", f"{folder}/cursors").trigger(availableNow=True).start().awaitTermination()
+    kept = spark.read.schema("path string, offset long, line string, batch int").parquet(f"{folder}/kept")
+    parsed = kept.select(F.from_json("line", "conv_id long, turn long, role string, text string").alias("j"))
+    return parsed.groupBy("j.conv_id", "j.turn", "j.role", F.md5("j.text").alias("digest")).agg(F.count(F.lit(1)).alias("times"))
+
+
+TRACE_SQL = """
+WITH RECURSIVE m AS (SELECT CAST(user_id AS VARCHAR) AS session, event_id AS place, CASE WHEN event_type IN ('click', 'view') THEN 'user' ELSE 'assistant' END AS role, strlen(props) AS bytes, event_id * 1000 AS raw,
+  row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+w(session, n, segment, first, messages, users, bytes, raw_start, closable) AS (
+  SELECT session, n, 0, place, 1, CASE WHEN role = 'user' THEN 1 ELSE 0 END, bytes, CAST(0 AS BIGINT), role = 'assistant' AND raw + 1000 >= 8388608 FROM m WHERE n = 1
+  UNION ALL
+  SELECT session, n, segment, first, messages, users, bytes, raw_start, role = 'assistant' AND (messages >= 40 OR users >= 20 OR raw + 1000 - raw_start >= 8388608) FROM (
+    SELECT m.session, m.n, m.role, m.raw, w.segment + k AS segment, CASE WHEN k = 1 THEN m.place ELSE w.first END AS first, CASE WHEN k = 1 THEN 0 ELSE w.messages END + 1 AS messages,
+           CASE WHEN k = 1 THEN 0 ELSE w.users END + CASE WHEN m.role = 'user' THEN 1 ELSE 0 END AS users, CASE WHEN k = 1 THEN 0 ELSE w.bytes END + m.bytes AS bytes, CASE WHEN k = 1 THEN m.raw ELSE w.raw_start END AS raw_start
+    FROM w JOIN m ON m.session = w.session AND m.n = w.n + 1, LATERAL (SELECT CASE WHEN w.closable AND m.role = 'user' THEN 1 ELSE 0 END AS k) x)),
+s AS (SELECT w.session, segment, min(first) AS first, max(m.place) AS last, max(messages) AS messages, max(users) AS users, max(w.bytes) AS text_bytes, min(raw_start) AS raw_start FROM w JOIN m USING (session, n) GROUP BY 1, 2),
+e AS (SELECT *, lead(raw_start) OVER (PARTITION BY session ORDER BY segment) AS raw_end FROM s)
+SELECT session, segment, CASE WHEN segment = 0 THEN session ELSE session || '_seg-' || lpad(CAST(segment AS VARCHAR), 4, '0') END AS segment_id, first, last, messages, users, text_bytes,
+       CASE WHEN raw_end IS NOT NULL THEN raw_start END AS raw_start, raw_end, raw_end IS NOT NULL AS sealed FROM e"""
+
+
+def trace_messages(rows: DataFrame) -> DataFrame:
+    """Events as messages of a trace: clicks and views of users, the rest of assistants; 1000 bytes each."""
+    role = F.when(F.col("event_type").isin("click", "view"), "user").otherwise("assistant")
+    raw = F.col("event_id") * 1000
+    return rows.select(F.col("user_id").alias("session"), F.col("event_id").alias("place"), role.alias("role"), F.octet_length("props").alias("text_bytes"), raw.alias("raw_start"), (raw + 1000).alias("raw_end"))
+
+
+@query("trace_checkpoints", TRACE_SQL)
+def trace_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checkpoints.segments(trace_messages(table(spark, sf_dir, "events")))
+
+
+@query("trace_checkpoints_stream", TRACE_SQL)
+def trace_checkpoints_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from two runs of a stateful stream, the second of which sees old messages again."""
+    folder, e = store.scratch(spark, "traces"), table(spark, sf_dir, "events")
+    middle = e.agg(F.percentile_approx("event_id", 0.5)).first()[0] or 0
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/kept/batch={number}")
+
+    for rows in (e.where(F.col("event_id") <= middle), e.where((F.col("event_id") > middle) | (F.col("event_id") % 10 == 0))):
+        rows.write.mode("append").parquet(f"{folder}/in")
+        source = spark.readStream.schema(e.schema).parquet(f"{folder}/in")
+        stream = checkpoints.stream_segments(trace_messages(source)).writeStream.outputMode("update").foreachBatch(keep)
+        stream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return checkpoints.current(spark.read.parquet(f"{folder}/kept").drop("batch"))
 
 
 @query("vendor_timestamps", """
@@ -130,3 +299,65 @@ SELECT user_id, count(*) AS events, min(ts) AS started_at, max(ts) AS ended_at,
 def stream_ingest_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events streamed in by file; the result equals one batch over all of them."""
     return ingest.ingest(spark, f"{sf_dir}/events.parque[t]", ["event_id"])
+
+
+def loop_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as calls on three clients' lines: clicks run a command, whose description drifts, views read a file; signups are users' messages."""
+    e, n = table(spark, sf_dir, "events"), F.col("event_id")
+    client = F.element_at(F.array(F.lit("claude"), F.lit("codex"), F.lit("openclaw")), (F.col("user_id") % 3 + 1).cast("int"))
+    tool, click = F.concat(F.lit("t"), n.cast("string")), F.col("event_type") == "click"
+    command = F.when(n % 7 == 0, "make lint").otherwise("make test")
+    args = F.when(click, F.to_json(obj(description=F.concat(F.lit("try "), n.cast("string")), command=command))).when(n % 2 == 0, '{"path":"a","n":1}').otherwise('{"n": 1, "path": "a"}')
+    name = F.when(click, "Bash").otherwise("Read")
+    block = lambda kind, field: F.concat(F.lit(f'{{"message":{{"content":[{{"type":"{kind}","id":"'), tool, F.lit('","name":"'), name, F.lit(f'","{field}":'), args, F.lit("}]}}"))
+    item = F.to_json(obj(payload=obj(type="function_call", call_id=tool, name=name, arguments=args)))
+    value = F.when(client == "claude", block("tool_use", "input")).when(client == "openclaw", block("toolCall", "arguments")).otherwise(item)
+    kind = F.when(click, "command_start").when(F.col("event_type") == "view", "tool_call").when(F.col("event_type") == "signup", "user_message")
+    at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    columns = [F.col("user_id").alias("session"), client.alias("client")]
+    calls = e.where(kind.isNotNull()).select(*columns, n.alias("event_id"), kind.alias("event_type"), F.concat(kind, F.lit(":"), tool).alias("event_key"), at.alias("event_at"), value.alias("value"), F.lit(None).cast("string").alias("payload"), F.lit(0).cast("long").alias("seq"))
+    said = F.concat(F.lit("done by pid "), n.cast("string"))
+    result = (
+        F.when(client == "claude", F.to_json(obj(message=obj(content=F.array(obj(type="tool_result", tool_use_id=tool, content=said))))))
+        .when(client == "openclaw", F.to_json(obj(message=obj(role="toolResult", toolCallId=tool, content=said)))).otherwise(F.to_json(obj(payload=obj(type="function_call_output", call_id=tool, output=F.concat(F.lit("Exit code: 0\nOutput:\n"), said)))))
+    )
+    results = e.where(click & (n % 4 > 0)).select(*columns, (-n).alias("event_id"), F.lit("tool_result").alias("event_type"), F.concat(F.lit("tool_result:"), tool).alias("event_key"), at.alias("event_at"), result.alias("value"), F.lit(None).cast("string").alias("payload"), F.lit(0).cast("long").alias("seq"))
+    hooks = e.where(n % 53 == 0).select(*columns, F.lit(None).cast("long").alias("event_id"), F.lit("command_start").alias("event_type"), F.lit(None).cast("string").alias("event_key"), at.alias("event_at"), F.lit(None).cast("string").alias("value"), F.lit("{}").alias("payload"), n.alias("seq"))
+    return calls.unionByName(results).unionByName(hooks)
+
+
+@query("loop_incidents", """
+WITH b AS (SELECT user_id AS session, ts, event_id, 0 AS hook, event_id AS seq, CASE event_type WHEN 'click' THEN 'command_start' WHEN 'view' THEN 'tool_call' WHEN 'signup' THEN 'user_message' END AS kind,
+  CASE event_type WHEN 'click' THEN concat(CASE WHEN event_id % 7 = 0 THEN 'make lint' ELSE 'make test' END, '|', event_id % 4 > 0) WHEN 'view' THEN 'Read|false' END AS fp FROM events),
+h AS (SELECT * FROM b WHERE kind IS NOT NULL UNION ALL SELECT user_id, ts, NULL, 1, event_id, 'command_start', NULL FROM events WHERE event_id % 53 = 0),
+c AS (SELECT h.*, r.rule FROM h JOIN (VALUES ('command_start', 3), ('tool_call', 5)) r(rule, least) ON h.kind = r.rule OR h.kind = 'user_message'),
+m AS (SELECT *, CASE WHEN fp IS NULL OR fp IS DISTINCT FROM lag(fp) OVER w THEN 1 ELSE 0 END AS new FROM c WINDOW w AS (PARTITION BY session, rule ORDER BY ts, hook, seq)),
+i AS (SELECT *, sum(new) OVER (PARTITION BY session, rule ORDER BY ts, hook, seq ROWS UNBOUNDED PRECEDING) AS island FROM m),
+g AS (SELECT session, rule, fp, count(*) AS n, arg_min(event_id, (ts, event_id)) AS first, arg_max(event_id, (ts, event_id)) AS last FROM i WHERE fp IS NOT NULL GROUP BY session, rule, island, fp)
+SELECT session, rule AS event_type, 'sha256:' || substr(sha256(split_part(fp, '|', 1)), 1, 16) AS what, n AS count, first AS first_event_id, last AS last_event_id, CASE WHEN fp LIKE '%true' THEN 'high' ELSE 'medium' END AS confidence
+FROM g WHERE n >= CASE rule WHEN 'command_start' THEN 3 ELSE 5 END""")
+def loop_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loops on the lines of three clients, with rows known from hooks only placed by their times."""
+    found = loops.loops(loop_events(spark, sf_dir))
+    return found.select("session", "event_type", F.col("fingerprint")[1].alias("what"), "count", "first_event_id", "last_event_id", "confidence")
+
+
+@query("frontier_consumer", f"SELECT session, type, origin, count(*) AS n FROM ({ORACLES['canonical_override_merge']}) GROUP BY ALL")
+def frontier_consumer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical types of each session by a consumer that saw half of the events, then the rest, then all corrections but the first ones."""
+    folder, e, o = store.scratch(spark, "consumer"), recorder_events(spark, sf_dir), overrides(spark, sf_dir)
+    middle = e.agg(F.percentile_approx("event_id", 0.5)).first()[0] or 0
+
+    def compute(rows: DataFrame, corrections: DataFrame | None) -> DataFrame:
+        return canonical.merged(rows, corrections).groupBy("session", "type", "origin").agg(F.count(F.lit(1)).alias("n"))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in compute(e, o).schema)
+    consumer = frontier.Consumer(spark, folder, compute, schema)
+    steps = [(e.where(F.col("event_id") <= middle), o.where(F.col("write_seq") <= middle / 2)), (e.where(F.col("event_id") > middle), None), (None, o.where(F.col("write_seq") > middle / 2))]
+    for events_, corrections in steps:
+        if events_ is not None:
+            frontier.append(events_, f"{folder}/events")
+        if corrections is not None:
+            frontier.append(corrections, f"{folder}/overrides")
+        consumer.advance(*(spark.read.parquet(f"{folder}/{n}") for n in ("events", "overrides")))
+    return consumer.results()

@@ -2,14 +2,9 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.functions.time import vendor_timestamp
 from tracelake.operators.sequence import asof_fill
 
 
@@ -32,24 +27,31 @@ CLAUDE = "type string, timestamp string, sessionId string, cwd string, gitBranch
 def blocks(content: Column) -> Column:
     """A message's content as blocks; plain text is one text block."""
     text = F.array(F.struct(F.lit("text").alias("type"), content.alias("text"), *(F.lit(None).cast("string").alias(n) for n in ("thinking", "id", "name", "input", "tool_use_id", "content"))))
-    return F.when(content.startswith("["), F.from_json(content, BLOCK)).otherwise(text)
+    found = F.when(content.rlike(r"^\[\s*[{\]]"), F.from_json(content, BLOCK))
+    return F.coalesce(found, text)
 
 
 def claude_messages(lines: DataFrame) -> DataFrame:
-    """session, at, role, text, model, tools (name, id, result) of a client's log lines.
+    """line, session, at, role, text, thinking, model, tools (name, id, result) of a client's log lines.
 
     Tool results stand in later lines; they are joined to their calls by id.
+    Only lines with calls are shuffled, and come together again by the number
+    of their line, whatever their times.
     """
-    rows = parsed(lines, CLAUDE).where("j.type IN ('user', 'assistant')")
-    rows = rows.select(F.col("j.sessionId").alias("session"), F.col("j.timestamp").alias("at"), F.col("j.type").alias("role"), F.col("j.message.model").alias("model"), blocks(F.col("j.message.content")).alias("b"))
+    rows = parsed(lines.withColumn("_line", F.monotonically_increasing_id()), CLAUDE).where("j.type IN ('user', 'assistant')")
+    rows = rows.select(F.col("_line").alias("line"), F.col("j.sessionId").alias("session"), F.col("j.timestamp").alias("at"), F.col("j.type").alias("role"), F.col("j.message.model").alias("model"), blocks(F.col("j.message.content")).alias("b"))
     results = rows.select("session", F.explode("b").alias("r")).where("r.type = 'tool_result'")
-    results = results.groupBy("session", F.col("r.tool_use_id").alias("id")).agg(F.first("r.content", ignorenulls=True).alias("result"))
-    text = F.array_join(F.transform(F.filter("b", lambda x: x["type"] == "text"), lambda x: x["text"]), "\n")
-    messages = rows.withColumn("text", text).where("text <> '' OR exists(b, x -> x.type = 'tool_use')")
-    calls = messages.select("session", "at", F.explode(F.filter("b", lambda x: x["type"] == "tool_use")).alias("c"))
-    calls = calls.select("session", "at", F.col("c.id").alias("id"), F.col("c.name").alias("name")).join(results, ["session", "id"], "left")
-    tools = calls.groupBy("session", "at").agg(F.array_sort(F.collect_list(F.struct("id", "name", "result"))).alias("tools"))
-    return messages.select("session", "at", "role", "text", "model").join(tools, ["session", "at"], "left")
+    results = results.groupBy(F.col("session").alias("_s"), F.col("r.tool_use_id").alias("_id")).agg(F.first("r.content", ignorenulls=True).alias("result"))
+    joined = lambda kind, field: F.array_join(F.transform(F.filter("b", lambda x: x["type"] == kind), lambda x: x[field]), "\n")
+    calls = F.transform(F.filter("b", lambda x: x["type"] == "tool_use"), lambda x: F.struct(x["id"].alias("id"), x["name"].alias("name")))
+    rows = rows.select("line", "session", "at", "role", joined("text", "text").alias("text"), joined("thinking", "thinking").alias("thinking"), "model", calls.alias("calls"))
+    tool = "array<struct<id: string, name: string, result: string>>"
+    plain = rows.where("size(calls) = 0 AND (text <> '' OR thinking <> '')").drop("calls").withColumn("tools", F.lit(None).cast(tool))
+    each = rows.where("size(calls) > 0").select("*", F.posexplode("calls").alias("_n", "_c"))
+    each = each.join(results, each["session"].eqNullSafe(results["_s"]) & (F.col("_c.id") == results["_id"]), "left")
+    first = [F.first(c).alias(c) for c in ("session", "at", "role", "text", "thinking", "model")]
+    tools = F.transform(F.array_sort(F.collect_list(F.struct("_n", "_c", "result"))), lambda x: F.struct(x["_c"]["id"].alias("id"), x["_c"]["name"].alias("name"), x["result"].alias("result")))
+    return plain.unionByName(each.groupBy("line").agg(*first, tools.cast(tool).alias("tools")))
 
 
 def claude_usage(lines: DataFrame) -> DataFrame:
@@ -76,139 +78,3 @@ def codex_usage(lines: DataFrame, session: str, order: str) -> DataFrame:
     total = "j.payload.info.total_token_usage."
     last = F.max_by("model", order)
     return counts.groupBy(session).agg(last.alias("model"), F.max(total + "input_tokens").alias("input"), F.max(total + "output_tokens").alias("output"))
-
-
-# Event types that log lines are classified into, by client and line type.
-EVENT_TYPES = {
-    "claude": {"user": "user_message", "assistant": "assistant_message", "summary": "compaction", "system": "system_message"},
-    "codex": {"session_meta": "session_open", "turn_context": "turn_context", "response_item": "assistant_message", "event_msg": "status"},
-    "openclaw": {"session": "session_open", "message": "assistant_message", "compaction": "compaction"},
-}
-
-
-def classified(lines: DataFrame, client: str) -> DataFrame:
-    """type and confidence of each line; lines that are unknown or broken are ``schema_unknown``."""
-    rows = parsed(lines, "type string, timestamp string")
-    names = EVENT_TYPES[client]
-    known = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
-    kind = F.coalesce(F.try_element_at(known, F.col("j.type")), F.lit("schema_unknown"))
-    sure = F.when(F.col("j").isNull(), "missing").when(kind == "schema_unknown", "low").otherwise("high")
-    return rows.select(*(c for c in rows.columns if c != "j"), kind.alias("event_type"), F.col("j.timestamp").alias("event_at"), sure.alias("confidence"))
-
-
-READ_TOOLS = {"read", "read_file", "readmanyfiles", "view", "view_image"}
-WRITE_TOOLS = {"write", "write_file", "edit", "edit_file", "multiedit", "notebookedit"}
-PATCH_TOOLS = {"apply_patch", "patch"}
-SHELL_TOOLS = {"bash", "exec", "exec_command", "shell", "shell_command"}
-#: An event's confidence and lossiness are those of the line's time where null.
-EVENT = "event_type string, event_key string, confidence string, lossiness string"
-UNKNOWN = ("schema_unknown", None, "low", "none")
-
-
-def _text(*values: object) -> str | None:
-    return next((v for v in values if isinstance(v, str) and v.strip()), None)
-
-
-def _event(kind: str, key: str | None = None, confidence: str | None = None, lossiness: str | None = None) -> tuple:
-    return (kind, None if key is None else f"{kind}:{key}", confidence, lossiness)
-
-
-def _tool_events(name: object, key: str | None) -> Iterator[tuple]:
-    name = name.strip().lower().replace("-", "_") if isinstance(name, str) else ""
-    yield _event("tool_call", key)
-    for kind, names in (("file_read", READ_TOOLS), ("file_write", WRITE_TOOLS), ("patch", PATCH_TOOLS), ("command_start", SHELL_TOOLS)):
-        if name in names:
-            yield _event(kind, key)
-
-
-def claude_events(line: dict) -> list[tuple]:
-    kind, message = line.get("type"), line.get("message", {})
-    if kind == "compaction":
-        return [_event(kind, lossiness="compacted")]
-    if kind in ("session_close", "session_end"):
-        return [_event("session_close")]
-    role = message.get("role") if isinstance(message, dict) else None
-    if role == "bashExecution":
-        out = [_event("command_start", None, "high", "none")] if _text(message.get("command")) else []
-        out += [_event("stdout_chunk", None, "low", "unknown")] if _text(message.get("output")) else []
-        out += [_event("command_exit", None, "high", "none")] if message.get("exitCode") is not None else []
-        return out or [UNKNOWN]
-    if kind in ("approval_request", "approval_decision"):
-        return [_event(kind)]
-    if kind not in ("user", "assistant") or not isinstance(message, dict):
-        return [UNKNOWN]
-    content, out, said = message.get("content"), [], False
-    if kind == "user" and isinstance(content, str):
-        said = bool(content.strip())
-    for b in content if isinstance(content, list) else []:
-        block = b.get("type") if isinstance(b, dict) else None
-        if block == "text" and _text(b.get("text"), b.get("thinking") if kind == "assistant" else None) or block == "thinking" and kind == "assistant" and _text(b.get("text"), b.get("thinking")):
-            said = True
-        elif block == "tool_result" and kind == "user":
-            out.append(_event(block, _text(b.get("tool_use_id"), b.get("toolUseId"))))
-        elif block in ("tool_use", "toolCall") and kind == "assistant":
-            out += _tool_events(b.get("name"), _text(b.get("id"), b.get("toolUseId")))
-    return ([_event(f"{kind}_message")] if said else []) + out or [UNKNOWN]
-
-
-def _has_exit(output: object) -> bool:
-    tells = lambda text: any(x.startswith("Exit code: ") for x in text.splitlines())
-    if isinstance(output, str):
-        if tells(output):
-            return True
-        try:
-            j = json.loads(output)
-        except ValueError:
-            return False
-        data = j.get("metadata", {}) if isinstance(j, dict) else {}
-        return isinstance(data, dict) and "exit_code" in data
-    blocks_ = output if isinstance(output, list) else []
-    return any(isinstance(b, dict) and b.get("type") == "input_text" and isinstance(b.get("text"), str) and tells(b["text"]) for b in blocks_)
-
-
-def codex_events(line: dict) -> list[tuple]:
-    kind, payload = line.get("type"), line.get("payload")
-    if kind == "session_meta":
-        return [_event("session_open")]
-    if kind in ("response_item", "event_msg"):
-        if not isinstance(payload, dict):
-            return [UNKNOWN]
-        item, kind = kind == "response_item", payload.get("type")
-        key = _text(payload.get("call_id"))
-        if item and kind in ("function_call", "custom_tool_call"):
-            return list(_tool_events(payload.get("name"), key))
-        if item and kind in ("function_call_output", "custom_tool_call_output"):
-            return [_event("tool_result", key)] + ([_event("command_exit", key)] if _has_exit(payload.get("output")) else [])
-        if kind == ("reasoning" if item else "agent_reasoning"):
-            return [_event("assistant_message", None, "medium", "partial")]
-        if not item and kind in ("user_message", "agent_message"):
-            return [_event("user_message" if kind == "user_message" else "assistant_message")]
-    if kind in ("session_close", "session_end"):
-        return [_event("session_close")]
-    return [_event(kind)] if kind in ("approval_request", "approval_decision") else [UNKNOWN]
-
-
-def classified_events(lines: DataFrame, client: str) -> DataFrame:
-    """All events of each line (claude or codex), in order, with keys; broken lines are one ``schema_unknown``."""
-    of = {"claude": claude_events, "codex": codex_events}[client]
-
-    def parse(value: str | None) -> list[tuple]:
-        try:
-            j = json.loads(value or "")
-        except (ValueError, RecursionError):
-            j = None
-        return of(j) if isinstance(j, dict) else [("schema_unknown", None, "missing", "none")]
-
-    names = [c.split()[0] for c in EVENT.split(", ")]
-
-    def every(values: pd.Series) -> pd.Series:
-        return pd.Series([[dict(zip(names, e, strict=True)) for e in parse(v)] for v in values.array], dtype=object)
-
-    found = F.pandas_udf(every, f"array<struct<{EVENT}>>")
-    (at, naive), (outer, outer_naive) = (vendor_timestamp(F.get_json_object("value", p)) for p in ("$.message.timestamp" if client == "claude" else "$.timestamp", "$.timestamp"))
-    unsure = at.isNull() & (naive | (outer.isNull() & outer_naive))
-    rows = lines.withColumn("event_at", F.coalesce(at, F.when(~F.coalesce(naive, F.lit(False)), outer))).withColumn("_u", F.coalesce(unsure, F.lit(False)))
-    rows = rows.select("*", F.posexplode(found("value")).alias("event_no", "_e"))
-    sure = F.coalesce("_e.confidence", F.when(F.col("_u"), "low").otherwise("high"))
-    lossy = F.coalesce("_e.lossiness", F.when(F.col("_u"), "unknown").otherwise("none"))
-    return rows.select(*lines.columns, "event_no", "_e.event_type", "_e.event_key", "event_at", sure.alias("confidence"), lossy.alias("lossiness"))
