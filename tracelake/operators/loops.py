@@ -59,14 +59,19 @@ def signature(what: Column, args: Column) -> Column:
     return F.when(F.coalesce(what, F.lit("")) != "", F.struct(what.alias("what"), args.alias("args")))
 
 
-def shell_signature(args: Column) -> Column:
-    """Of a shell call's arguments: the command, and the fields that identify it."""
-    parts = lambda name: items_at(args, f"$.{name}")
-    joined = lambda name: F.trim(F.array_join(F.transform(parts(name), lambda x: F.coalesce(F.try_variant_get(x, "$", "string"), F.lit("None"))), " "))
+def shell_signature(args: str) -> Column:
+    """Of a shell call's arguments (a column): the command, and the fields that identify it."""
     blank = lambda t: F.when(F.trim(t, F.lit(" \t\r\n")) != "", F.trim(t, F.lit(" \t\r\n")))
-    command = F.coalesce(*(F.coalesce(blank(joined(name)), blank(text_at(args, f"$.{name}"))) for name in ("command", "cmd")))
-    fields = F.concat_ws(",", *(F.concat(F.lit(f"{name}:"), F.to_json(at(args, f"$.{name}"))) for name in SHELL_FIELDS))
-    return signature(command, fields)
+
+    def of(field: str) -> Column:
+        value = F.try_variant_get(args, f"$.{field}", "string")
+        words = F.try_variant_get(args, f"$.{field}", "array<variant>")
+        joined = F.array_join(F.transform(words, lambda x: F.coalesce(F.try_variant_get(x, "$", "string"), F.lit("None"))), " ")
+        kind = kind_at(F.col(args), f"$.{field}")
+        return F.when(kind == "STRING", blank(value)).when(kind.startswith("ARRAY"), blank(joined))
+
+    fields = F.concat_ws(",", *(F.concat(F.lit(f"{name}:"), F.to_json(at(F.col(args), f"$.{name}"))) for name in SHELL_FIELDS))
+    return signature(F.coalesce(of("command"), of("cmd")), fields)
 
 
 def block_of(v: Column, kinds: tuple[str, ...], ids: tuple[str, ...], wanted: Column) -> Column:
@@ -82,41 +87,45 @@ def flat_text(v: Column, path: str) -> Column:
     return F.coalesce(text_at(v, path), F.when(F.size(texts) > 0, F.array_join(texts, "\n")))
 
 
-def call(v: Column) -> Column:
-    """The signature of the event's call in a line: a struct of what and args, or null."""
-    shell, codex = F.col("event_type") == "command_start", F.col("client") == "codex"
-    block = block_of(v, ("tool_use", "toolCall"), CALL_IDS, key_id("command_start", "tool_call"))
-    own_name = text_at(block, "$.name")
-    own_args = F.when(kind_at(block, "$.input").isNotNull(), at(block, "$.input")).otherwise(at(block, "$.arguments"))
-    typed = filled_at(v, "$.message.command")
-    ran = F.when(text_at(v, "$.message.role") == "bashExecution", signature(typed, F.concat(F.lit("command:"), typed)))
-    of_block = F.when(shell, F.when(is_shell(own_name), shell_signature(own_args))).otherwise(signature(own_name, json_text(own_args)))
-
-    name, text = text_at(v, "$.payload.name"), text_at(v, "$.payload.arguments")
-    parsed = F.coalesce(json_value(text), F.when(kind_at(v, "$.payload.arguments").startswith("OBJECT"), at(v, "$.payload.arguments")))
-    raw = F.trim(text, F.lit(" \t\r\n"))
-    as_shell = F.when(is_shell(name), F.when(parsed.isNotNull(), shell_signature(parsed)).otherwise(signature(raw, raw)))
-    as_tool = signature(name, F.when(parsed.isNotNull(), json_text(parsed)).otherwise(F.coalesce(raw, json_text(at(v, "$.payload.arguments")))))
-    of_item = F.when(text_at(v, "$.payload.type").isin(*CODEX_CALLS), F.when(shell, as_shell).otherwise(as_tool))
-    return F.when(codex, of_item).otherwise(F.when(shell, F.coalesce(ran, of_block)).otherwise(of_block))
-
-
-def result_text(v: Column) -> Column:
-    """The text of a result in a line, for the id in the event's key; null where none can be seen."""
-    wanted = key_id("tool_result")
-    message_id = filled_at(at(v, "$.message"), *MESSAGE_IDS)
-    is_message = (F.col("client") == "openclaw") & (text_at(v, "$.message.role") == "toolResult")
-    other = is_message & (message_id != wanted)
-    of_block = flat_text(block_of(v, ("tool_result",), RESULT_IDS, wanted), "$.content")
-    of_message = F.when(F.coalesce(other, F.lit(False)), None).otherwise(F.coalesce(F.when(is_message, flat_text(v, "$.message.content")), of_block))
+def with_calls(rows: DataFrame, line: str, out: str) -> DataFrame:
+    """Adds ``out``: the signature (what, args) of the event's call in a line (a column), or null.
 
-    told = lambda t: F.when(t.rlike(PREAMBLE), F.when(t.rlike(OUTPUT), F.trim(F.regexp_extract(t, OUTPUT, 1), F.lit(" \t\r\n")))).otherwise(t)
-    output = text_at(v, "$.payload.output")
-    wrapped = json_value(output)
-    inner = F.when(F.schema_of_variant(wrapped).startswith("OBJECT"), F.coalesce(text_at(wrapped, "$.output"), F.to_json(wrapped))).otherwise(output)
-    of_text = F.when(wrapped.isNotNull(), inner).otherwise(told(output))
-    of_item = F.when(text_at(v, "$.payload.type").isin(*CODEX_RESULTS), F.coalesce(of_text, F.when(output.isNull(), told(flat_text(v, "$.payload.output")))))
-    return F.when(F.col("client") == "codex", of_item).otherwise(of_message)
+    Step by step, so that each step's value is found once a row.
+    """
+    v, shell, codex = F.col(line), F.col("event_type") == "command_start", F.col("client") == "codex"
+    names = ["_block", "_text", "_name", "_args", "_typed"]
+    rows = rows.withColumns({
+        "_block": F.when(~codex, block_of(v, ("tool_use", "toolCall"), CALL_IDS, key_id("command_start", "tool_call"))),
+        "_text": F.when(codex & text_at(v, "$.payload.type").isin(*CODEX_CALLS), F.trim(text_at(v, "$.payload.arguments"), F.lit(" \t\r\n"))),
+        "_name": F.when(codex & text_at(v, "$.payload.type").isin(*CODEX_CALLS), text_at(v, "$.payload.name")),
+        "_typed": F.when(~codex & shell & (text_at(v, "$.message.role") == "bashExecution"), filled_at(v, "$.message.command")),
+    })
+    block, given = F.col("_block"), at(v, "$.payload.arguments")
+    own = F.when(kind_at(block, "$.input").isNotNull(), at(block, "$.input")).otherwise(at(block, "$.arguments"))
+    rows = rows.withColumns({"_name": F.coalesce("_name", text_at(block, "$.name")), "_args": F.when(~codex, own).when(F.col("_text").isNotNull(), json_value(F.col("_text"))).when(F.col("_name").isNotNull(), given)})
+    runs = (
+        F.when(F.col("_typed").isNotNull(), signature(F.col("_typed"), F.concat(F.lit("command:"), F.col("_typed")))).when(is_shell(F.col("_name")), F.when(F.col("_args").isNull(), signature(F.col("_text"), F.col("_text"))).otherwise(shell_signature("_args")))
+    )
+    calls = signature(F.col("_name"), F.coalesce(F.when(F.col("_args").isNotNull(), json_text(F.col("_args"))), F.col("_text"), F.lit("")))
+    return rows.withColumn(out, F.when(shell, runs).when(F.col("event_type") == "tool_call", calls)).drop(*names)
+
+
+def with_results(rows: DataFrame, line: str, out: str) -> DataFrame:
+    """Adds ``out``: the text of a result in a line (a column), for the id in the event's key; null where none can be seen."""
+    v, codex, wanted = F.col(line), F.col("client") == "codex", key_id("tool_result")
+    is_message = (F.col("client") == "openclaw") & (text_at(v, "$.message.role") == "toolResult")
+    other = is_message & (filled_at(at(v, "$.message"), *MESSAGE_IDS) != wanted)
+    rows = rows.withColumns({
+        "_other": F.coalesce(other, F.lit(False)), "_told": F.when(is_message, flat_text(v, "$.message.content")), "_block": F.when(~codex, block_of(v, ("tool_result",), RESULT_IDS, wanted)),
+        "_output": F.when(codex & text_at(v, "$.payload.type").isin(*CODEX_RESULTS), text_at(v, "$.payload.output")), "_listed": F.when(codex & text_at(v, "$.payload.type").isin(*CODEX_RESULTS), flat_text(v, "$.payload.output")),
+    }).withColumn("_wrapped", json_value(F.col("_output")))
+    wrapped = F.col("_wrapped")
+    inner = F.when(F.schema_of_variant(wrapped).startswith("OBJECT"), F.coalesce(text_at(wrapped, "$.output"), F.to_json(wrapped))).otherwise(F.col("_output"))
+    plain = F.col("_listed")  # the same text, if it is one
+    told = F.when(plain.rlike(PREAMBLE), F.when(plain.rlike(OUTPUT), F.trim(F.regexp_extract(plain, OUTPUT, 1), F.lit(" \t\r\n")))).otherwise(plain)
+    of_item = F.when(wrapped.isNotNull(), inner).otherwise(told)
+    of_message = F.when(~F.col("_other"), F.coalesce("_told", flat_text(F.col("_block"), "$.content")))
+    return rows.withColumn(out, F.when(codex, of_item).otherwise(of_message)).drop("_other", "_told", "_block", "_output", "_listed", "_wrapped")
 
 
 def slot(text: Column) -> Column:
@@ -126,12 +135,14 @@ def slot(text: Column) -> Column:
 def fingerprints(events: DataFrame) -> DataFrame:
     """The events that matter to loops, with ``fingerprint`` (type, what, args, whether an outcome was seen, outcome) where they have one."""
     rows = events.withColumn("_p", json_value(F.col("payload"))).withColumn("_v", json_value(F.col("value")))
-    either = lambda of: F.coalesce(of(F.col("_p")), of(F.col("_v")))
-    calls = rows.where(F.col("event_type").isin(*THRESHOLDS, *BREAKERS))
-    bare = F.when(F.col("event_type") == "command_start", F.coalesce(*(F.when(text_at(v, "$.message.role") == "bashExecution", flat_text(v, "$.message.output")) for v in (F.col("_p"), F.col("_v")))))
     columns = ["session", "client", "event_id", "event_type", "event_at", "seq"]
-    calls = calls.select(*columns, key_id("command_start", "tool_call").alias("_id"), F.when(F.col("client") != "codex", bare).alias("_inline"), F.when(F.col("event_type").isin(*THRESHOLDS), either(call)).alias("_call"))
-    results = rows.where("event_type = 'tool_result'").select("session", key_id("tool_result").alias("_id"), either(result_text).alias("_text"), F.struct(*(c.alias(f"o{i}") for i, c in enumerate((F.col("event_at").isNull(), F.col("event_at"), F.col("event_id").isNull(), F.col("event_id"), F.col("seq"))))).alias("_o"))
+    calls = with_calls(with_calls(rows.where(F.col("event_type").isin(*THRESHOLDS, *BREAKERS)), "_p", "_c"), "_v", "_d")
+    inline = F.coalesce(*(F.when(text_at(v, "$.message.role") == "bashExecution", flat_text(v, "$.message.output")) for v in (F.col("_p"), F.col("_v"))))
+    inline = F.when((F.col("event_type") == "command_start") & (F.col("client") != "codex"), inline)
+    calls = calls.select(*columns, key_id("command_start", "tool_call").alias("_id"), inline.alias("_inline"), F.coalesce("_c", "_d").alias("_call"))
+    results = with_results(with_results(rows.where("event_type = 'tool_result'"), "_p", "_c"), "_v", "_d")
+    place = F.struct(*(c.alias(f"o{i}") for i, c in enumerate((F.col("event_at").isNull(), F.col("event_at"), F.col("event_id").isNull(), F.col("event_id"), F.col("seq")))))
+    results = results.select("session", key_id("tool_result").alias("_id"), F.coalesce("_c", "_d").alias("_text"), place.alias("_o"))
     first = results.where("_id IS NOT NULL AND _text IS NOT NULL").groupBy("session", "_id").agg(F.min_by("_text", "_o").alias("_text"))
     joined = calls.join(first, ["session", "_id"], "left")
     outcome = F.coalesce("_inline", "_text")
