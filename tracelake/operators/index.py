@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions.text import tokens
 from tracelake.operators.search import K1, B
-from tracelake.sources.store import exists
+from tracelake.sources.store import exists, spread
 
 #: Folders that postings are dealt into; documents inverted at a time.
 BUCKETS, DOCUMENTS = 64, 256
@@ -135,9 +135,7 @@ def update(spark: SparkSession, folder: str, docs: DataFrame, version: int, doc_
     one id in a batch, the one with the greatest text is indexed.
     """
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
-    if rows.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:  # a small table in few files
-        rows = rows.repartition(spark.sparkContext.defaultParallelism)
-    rows = rows.groupBy("doc_id").agg(F.max("text").alias("text"))
+    rows = spread(rows).groupBy("doc_id").agg(F.max("text").alias("text"))
     termed = rows.select("doc_id", tokens(F.col("text")).alias("terms"))
     docs_path = f"{folder}/docs/version={version}"
     lists = termed.mapInArrow(_inverted, "term string, doc_id long, length int, positions array<int>")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.functions import text as rules
-from tracelake.operators import findings, index, ranking, search
+from tracelake.operators import findings, index, ranking, redaction, search
 from tracelake.plans.registry import query, table
 from tracelake.sources.adapters import SESSIONS_SQL, sessions
 from tracelake.sources.store import scratch
@@ -387,3 +387,50 @@ def priority_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = c.select("conv_id", F.col("turn").alias("idx"), "role", near.alias("near"), last.alias("last"))
     p = F.when((F.col("idx") == 0) | (F.col("idx") == F.col("last")), 1000).when(F.col("near") == 1, 850).when(F.col("role") == "user", 350).when(F.col("idx") % 2 == 0, 100)
     return rows.select("conv_id", "idx", p.alias("priority")).where("priority IS NOT NULL")
+
+
+def shared_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of the rules that both engines have, in all documents."""
+    every = F.array(*(F.struct(F.lit(kind).alias("entity_type"), F.regexp_extract_all("text", F.lit(f"({p})"), F.lit(1)).alias("e")) for kind, p, _ in SHARED))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(every).alias("m"))
+    return rows.select("doc_id", "m.entity_type", F.explode("m.e").alias("entity"), F.lit(1.0).alias("confidence"))
+
+
+FOUND_SQL = " UNION ALL ".join(f"SELECT doc_id, '{kind}' AS entity_type, unnest(regexp_extract_all(text, '{p}')) AS entity FROM documents" for kind, p, _ in SHARED)
+
+
+@query("findings_user_allowlist", f"""
+SELECT entity_type, entity, count(*) AS n FROM ({FOUND_SQL}) WHERE NOT (entity IN ('11111', '22222') OR entity_type = 'token' OR regexp_matches(entity, '^[0-4]') OR regexp_matches(entity, '[.]org$')) GROUP BY ALL""")
+def findings_user_allowlist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings that a user's list of texts, types and patterns doesn't allow."""
+    kept = redaction.without_allowed(shared_findings(spark, sf_dir), exact=("11111", "22222"), categories=("token",), patterns=("^[0-4]", "[.]org$", "(broken"))
+    return kept.groupBy("entity_type", "entity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("findings_merged", f"""
+WITH f AS (SELECT DISTINCT doc_id, lower(entity) AS entity FROM ({FOUND_SQL}))
+SELECT doc_id, entity FROM f WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.doc_id = f.doc_id AND g.entity <> f.entity AND contains(g.entity, f.entity))""")
+def findings_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redaction.merged(shared_findings(spark, sf_dir)).select("doc_id", F.lower("entity").alias("entity"))
+
+
+@query("redaction_chain")
+def redaction_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scanned, merged and redacted in one pass each (tested against one entity after the other)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = redaction.merged(redaction.without_allowed(findings.scan(docs), patterns=("example[.]",)))
+    return redaction.redacted(docs, found).select("doc_id", "n_redacted", F.md5("text").alias("digest"))
+
+
+@query("redaction_until_clean")
+def redaction_until_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents masked until a scan finds nothing, three passes at most; ``left``: findings that stay."""
+    folder = scratch(spark, "redaction")
+
+    def write(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    docs, left = redaction.until_clean(table(spark, sf_dir, "documents").select("doc_id", "text"), findings.scan, write)
+    counts = left.groupBy("doc_id").agg(F.count(F.lit(1)).alias("left"))
+    return docs.join(counts, "doc_id", "left").select("doc_id", F.md5("text").alias("digest"), F.coalesce("left", F.lit(0)).alias("left"))

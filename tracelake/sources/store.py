@@ -18,6 +18,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows over all cores where a small table lies in fewer files than there are cores; else as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, by the file system that its URI names."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
