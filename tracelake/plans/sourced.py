@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import variant
 from tracelake.functions.time import vendor_timestamp
-from tracelake.operators import canonical, loops
+from tracelake.operators import canonical, loops, training
 from tracelake.plans.ordered import overrides
 from tracelake.plans.registry import ORACLES, query, table
 from tracelake.sources import events, jsonl, lines, store
@@ -274,11 +274,32 @@ def snapshot_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("training_turns", """
-WITH t AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM conversations)
-SELECT concat(conv_id, '-', CAST(g AS BIGINT)) AS turn_id, arg_min(text, turn) AS input, count(*) - 1 AS replies FROM t WHERE g > 0 GROUP BY conv_id, g""")
+WITH t AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM conversations), f AS (SELECT *, min(turn) OVER (PARTITION BY conv_id, g) AS first FROM t WHERE g > 0)
+SELECT concat(conv_id, '-', CAST(g AS BIGINT)) AS turn_id, arg_min(text, turn) AS input, count(*) - 1 AS replies, coalesce(string_agg(CASE WHEN turn > first THEN text END, '|' ORDER BY turn), '') AS output FROM f GROUP BY conv_id, g""")
 def training_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = store.training_turns(table(spark, sf_dir, "conversations"), "conv_id", "turn")
-    return turns.select("turn_id", "input", F.size("output").cast("long").alias("replies"))
+    return turns.select("turn_id", "input", F.size("output").cast("long").alias("replies"), F.array_join("output", "|").alias("output"))
+
+
+@query("async_collapse", """
+WITH c AS (SELECT user_id AS session, event_id // 3000 AS turn, event_id AS place, event_type AS kind, concat('s', event_id % 3) AS sid FROM events),
+w AS (SELECT *, lag(place) OVER k AS before, lag(kind) OVER k = 'click' AS waits, lead(place) OVER k IS NULL AS last FROM c WHERE kind IN ('click', 'view') WINDOW k AS (PARTITION BY session, turn, sid ORDER BY place)),
+r AS (SELECT session, turn, place AS called, place AS answered, 'x' AS output, 'ok' AS status FROM c WHERE kind NOT IN ('click', 'view')
+  UNION ALL SELECT session, turn, before, place, CASE WHEN place % 5 > 0 THEN concat('out ', place) END, CASE WHEN place % 5 > 0 THEN 'success' ELSE 'lost' END FROM w WHERE kind = 'view' AND waits
+  UNION ALL SELECT session, turn, place, NULL, NULL, 'lost' FROM w WHERE kind = 'click' AND last)
+SELECT r.session, r.turn, 'tc_' || substr(sha256(concat(r.session, '|', r.turn, '|', called)), 1, 8) AS id, answered, output, status FROM r""")
+def async_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as calls: clicks go on in the background under one of three ids, views poll these."""
+    e, n = table(spark, sf_dir, "events"), F.col("event_id")
+    sid, kind = F.concat(F.lit("s"), (n % 3).cast("string")), F.col("event_type")
+    polled = F.when(n % 5 > 0, F.concat(F.lit("out "), n.cast("string"))).otherwise(F.concat(F.lit("No session found for "), sid))
+    calls = e.select(
+        F.col("user_id").alias("session"), F.expr("event_id div 3000").alias("turn"), n.alias("place"), F.when(kind == "click", "exec").when(kind == "view", "process").otherwise("read").alias("tool"),
+        F.when(kind == "view", F.to_json(obj(sessionId=sid))).otherwise('{"timeout": 3}').alias("input"),
+        F.when(kind == "click", F.concat(F.lit("Command still running (session "), sid, F.lit(", pid 1)"))).when(kind == "view", polled).otherwise("x").alias("output"), F.lit("ok").alias("status"),
+    )
+    results = training.collapsed(calls).where("type = 'tool_result'")
+    return results.select("session", "turn", "id", F.when(F.col("place") < (1 << 62) - 1, F.col("place")).alias("answered"), "output", "status")
 
 
 @query("export_roundtrip", f"""SELECT session_id, status, model, CAST(cost AS DOUBLE) AS cost FROM {SESSIONS_SQL} WHERE status <> 'P'""")
