@@ -69,7 +69,9 @@ def rank_in_groups(df: DataFrame, keys: list[str], hashed: Column, ties: list[Co
     No group is ever sorted in one task: rows are numbered within slices of
     the hash range, and slice counts (2**bucket_bits a group at most) give the
     offsets. ``keys`` must not be null. ``df`` is read twice, so pass a
-    written table. Rows equal in everything ordered on may swap ranks.
+    written table. Rows equal in everything ordered on may swap ranks; many rows
+    with one hash lie in one slice, so where repeated rows are to be split, put
+    something that tells them apart into the hash.
     ``extra`` adds its columns by ``keys``; it joins the slices, not the rows,
     so that a frequent key is no hot key of that join.
     """

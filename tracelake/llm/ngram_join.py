@@ -31,7 +31,8 @@ rows without an id get their n_shingles, no links and a null component; rows
 of one id are one document's, so they share its component whatever their
 texts, and the links of each count for all (n_links is that of the row's own
 text, its copies among the rows included); ties need no rule, as every link
-counts; further columns are left out; an empty table gives no rows.
+counts; further columns are left out; an empty table gives no rows; all
+n-grams of a text count, however long it is.
 """
 
 from __future__ import annotations

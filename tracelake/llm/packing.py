@@ -18,7 +18,8 @@ Defined results: a null text is an empty one, which is the end token alone;
 equal rows are packed each on their own; pieces of one length are ranked by a
 hash of doc_id, piece and content, then by doc_id (null first) and piece, and
 such as are equal in all of these may swap places; a null doc_id is packed
-like any other; an empty table gives no rows; further columns are left out.
+like any other; an empty table gives no rows; further columns are left out;
+a text of any length is tokenised whole and cut into pieces by its tokens.
 """
 
 from __future__ import annotations

@@ -14,7 +14,9 @@ are scored in one pass over the texts.
 Defined results: a null text is scored as an empty one; rows without an id
 are held out of learning and are scored; a document with several labels
 counts once for each; labels that are null don't count; with no usable label
-at all every score is 0.5; further columns are left out.
+at all every score is 0.5; further columns are left out; equal texts have
+equal scores and repeated rows are scored each, ties need no rule; statistics
+are those of whole texts, however long; an empty table gives no rows.
 """
 
 from __future__ import annotations

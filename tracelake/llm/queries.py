@@ -90,7 +90,8 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of every document, and whether base rules and line frequency keep it."""
-    return quality_rules.judged(spark, table(spark, sf_dir, "documents"))
+    judged = quality_rules.judged(spark, table(spark, sf_dir, "documents"))
+    return judged.select(*(c for c in judged.columns if c != "n_removed_words"), "n_removed_words")
 
 
 ORACLES["op5_quality_rules"] = r"""
@@ -152,7 +153,8 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
 @registered
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document by patterns and by entropy."""
-    return secret_scan.scan(table(spark, sf_dir, "documents"))
+    scanned = secret_scan.scan(table(spark, sf_dir, "documents"))
+    return scanned.select(*(c for c in scanned.columns if c != "n_entropy"), "n_entropy")
 
 
 @registered

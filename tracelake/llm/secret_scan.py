@@ -9,7 +9,8 @@ others the parts that hold an example word. What a pattern rule covers of an
 entropy span is not reported again.
 
 Defined results: a null text is an empty one and yields no spans; repeated
-rows are scanned each on their own; further columns are left out; very long
+rows are scanned each on their own; a null id is kept; spans that start at one
+place are ordered by kind; an empty table gives no rows; further columns are left out; very long
 texts are scanned whole, memory is that of one batch of rows.
 """
 
@@ -140,13 +141,21 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and these with the parts of entropy spans that none of them covers."""
-    base, added = base_spans(text), []
-    for a, b in entropy_spans(text):
-        for s, _, e in base:
-            if a < e and s < b:
-                if a < s:
-                    added.append((a, 3, s))
-                a = max(a, e)
+    base, added, covered = base_spans(text), [], []
+    for s, _, e in base:
+        if covered and s <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], e)
+        else:
+            covered.append([s, e])
+    first = 0
+    for a, b in sorted(entropy_spans(text)):
+        while first < len(covered) and covered[first][1] <= a:
+            first += 1
+        at = first
+        while a < b and at < len(covered) and covered[at][0] < b:
+            if a < covered[at][0]:
+                added.append((a, 3, covered[at][0]))
+            a, at = max(a, covered[at][1]), at + 1
         if a < b:
             added.append((a, 3, b))
     return base, sorted(base + added)

@@ -18,7 +18,8 @@ whose 64-bit hashes collide form one group; groups of equal size are told
 apart by their hash, slots of a shard by a hash of the row and then by doc_id
 (null first), text_crc32 and size, and rows equal in these may swap slots; a
 null doc_id is placed like any other; an empty table has no rows; repeated
-rows each take a slot; further columns are left out.
+rows each take a slot; further columns are left out; a very long text is never
+cut, so the shard that has it may be larger than the others.
 """
 
 from __future__ import annotations

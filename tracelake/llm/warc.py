@@ -19,7 +19,8 @@ Defined results: null html is an empty payload; of equal payloads the
 smallest page_id (nulls last), then the smallest url, is the response, one
 row of several that are equal in all three; null urls have the empty key; a
 page_id that repeats with other payloads has several captures; an empty
-table gives no archives and no rows; further columns are left out.
+table gives no archives and no rows; further columns are left out; a payload
+of any length is one record, held whole by the task that writes or reads it.
 """
 
 from __future__ import annotations
