@@ -46,13 +46,15 @@ def decayed(support: Column, age_days: Column, half_life: float = 30.0) -> Colum
 def diversified(rows: DataFrame, group: str, order: list[Column], n: int) -> DataFrame:
     """The best of each group first, then the others, in order; n rows."""
     place = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    return rows.withColumn("_p", place).orderBy(F.col("_p") > 1, *order).limit(n).drop("_p")
+    few = rows.withColumn("_p", place).where(F.col("_p") <= n)  # a limit within each group, before any row moves
+    return few.orderBy(F.col("_p") > 1, *order).limit(n).drop("_p")
 
 
 def alternating(rows: DataFrame, pool: str, order: list[Column], n: int) -> DataFrame:
     """Pools take turns in the order of their names; n rows, with their place in the pool."""
     place = F.row_number().over(Window.partitionBy(pool).orderBy(*order))
-    return rows.withColumn("place", place).orderBy("place", pool).limit(n)
+    few = rows.withColumn("place", place).where(F.col("place") <= n)  # a limit within each pool, before any row moves
+    return few.orderBy("place", pool).limit(n)
 
 
 def within_budget(rows: DataFrame, group: str, order: list[Column], size: str, budget: int) -> DataFrame:
