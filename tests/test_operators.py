@@ -289,12 +289,6 @@ def test_spans_point_into_the_text(spark):
     assert "é 10.1.2.3"[r["start"] : r["end"]] == "10.1.2.3"
 
 
-def test_collapse_keeps_the_best(spark):
-    rows = [(1, 0, 5, ["a", "b", "c"]), (2, 0, 9, ["a", "b", "d"]), (3, 0, 1, ["x"]), (4, 1, 1, ["a", "b"])]
-    df = spark.createDataFrame(rows, "k long, g long, r long, words array<string>")
-    assert sorted(r["k"] for r in ranking.collapsed(df, "g", "r", "k", 0.5).collect()) == [2, 3, 4]
-
-
 def test_alternating_and_budget(spark):
     df = spark.createDataFrame([("a", 1, 3), ("a", 2, 3), ("b", 3, 9), ("b", 4, 1)], "pool string, id long, size long")
     assert [r["id"] for r in ranking.alternating(df, "pool", [F.col("id")], 3).collect()] == [1, 3, 2]

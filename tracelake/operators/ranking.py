@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,26 +18,6 @@ def keyword_pairs(rows: DataFrame, key: str, least: float) -> DataFrame:
     return pairs.select("x", "y", (F.col("o") / (F.col("nx") + F.col("ny") - F.col("o"))).alias("jaccard")).where(F.col("jaccard") >= least)
 
 
-def collapsed(rows: DataFrame, group: str, rank: str, key: str, least: float) -> DataFrame:
-    """Rows kept in rank order (largest first) unless similar to one kept before in their group.
-
-    The choice depends on earlier choices, so each group is walked in order;
-    groups are a taxonomy's lessons, a few dozen rows each.
-    """
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple[int, set]] = []
-        ordered = pdf.sort_values(["_r", "_k"], ascending=[False, True])
-        for k, listed in zip(ordered["_k"], ordered["words"], strict=True):
-            words = set(listed)
-            if all(len(words & other) < least * len(words | other) for _, other in kept):
-                kept.append((k, words))
-        return pd.DataFrame({"_g": pdf["_g"].iloc[0], "_k": [k for k, _ in kept]})
-
-    slim = rows.select(F.col(group).alias("_g"), F.col(key).alias("_k"), F.col(rank).alias("_r"), "words")
-    return slim.groupBy("_g").applyInPandas(walk, "_g long, _k long").select(F.col("_g").alias(group), F.col("_k").alias(key))
-
-
 def decayed(support: Column, age_days: Column, half_life: float = 30.0) -> Column:
     return support * F.pow(F.lit(0.5), age_days / half_life)
 

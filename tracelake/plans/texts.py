@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.functions import text as rules
-from tracelake.operators import findings, index, ranking, redaction, search
+from tracelake.operators import findings, index, lessons, ranking, redaction, search
 from tracelake.plans.registry import query, table
 from tracelake.sources.adapters import SESSIONS_SQL, sessions
 from tracelake.sources.store import scratch
@@ -355,12 +355,33 @@ def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.keyword_pairs(table(spark, sf_dir, "benchmark").select("item_id", words.alias("words")), "item_id", 0.03)
 
 
+def benchmark_lessons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items as lessons: titles of a few words, guidance of the text and of every second one's neighbour."""
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    n = F.col("item_id")
+    rows = table(spark, sf_dir, "benchmark").select((n * 2).alias("place"), words.alias("words"), F.col("text").alias("guidance"), (n % 2).alias("parity"))
+    again = rows.select((F.col("place") + 1).alias("place"), F.reverse("words").alias("words"), F.array_join(F.slice("words", 1, 12), " ").alias("guidance"), "parity")
+    kind, fresh = F.when(F.col("parity") == 0, "do").otherwise("avoid"), F.col("place") % 3 == 0
+    null = F.lit(None).cast("string")
+    return rows.unionByName(again).select("place", kind.alias("kind"), null.alias("taxonomy"), null.alias("origin"), F.array_join(F.slice("words", 1, 4), " ").alias("title"), "guidance", null.alias("trigger"), fresh.alias("fresh"), F.length("guidance").cast("double").alias("support"))
+
+
+@query("lesson_pairs")
+def lesson_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lessons that teach the same (tested against a comparison of all pairs)."""
+    return lessons.alike(benchmark_lessons(spark, sf_dir))
+
+
 @query("near_duplicate_collapse")
 def near_duplicate_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lessons in rank order, without those similar to one kept before (tested against a plain loop)."""
-    words = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) > 3))
-    rows = table(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") % 5).alias("kind"), F.length("text").alias("rank"), words.alias("words"))
-    return ranking.collapsed(rows, "kind", "rank", "item_id", 0.03)
+    """Lessons in rank order, one of those alike (tested against a plain walk)."""
+    rows, folder = benchmark_lessons(spark, sf_dir), scratch(spark, "lessons")
+
+    def write(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    return lessons.selected(rows, lessons.alike(rows), write)
 
 
 @query("support_decay", f"""SELECT session_id, interrupts * pow(0.5::DOUBLE, date_diff('day', CAST(started_at AS DATE), DATE '2001-01-01') / 30.0::DOUBLE) > 1e-9 AS alive, date_diff('day', CAST(started_at AS DATE), DATE '2001-01-01') AS age FROM {SESSIONS_SQL}""")
