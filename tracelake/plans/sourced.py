@@ -10,7 +10,7 @@ from tracelake.functions.time import vendor_timestamp
 from tracelake.operators import canonical, loops, training
 from tracelake.plans.ordered import overrides
 from tracelake.plans.registry import ORACLES, query, table
-from tracelake.sources import events, jsonl, lines, store
+from tracelake.sources import bundles, events, jsonl, lines, store
 from tracelake.sources.adapters import RECORDER_EVENTS_SQL, SESSIONS_SQL, recorder_events, sessions
 from tracelake.streaming import checkpoints, frontier, ingest
 
@@ -382,3 +382,31 @@ def frontier_consumer(spark: SparkSession, sf_dir: str) -> DataFrame:
             frontier.append(corrections, f"{folder}/overrides")
         consumer.advance(*(spark.read.parquet(f"{folder}/{n}") for n in ("events", "overrides")))
     return consumer.results()
+
+
+@query("bundle_roundtrip", """
+SELECT concat('claude:', user_id) AS session_key, 1 + count(*) + count(CASE WHEN event_type = 'purchase' THEN 1 END) + count(CASE WHEN event_id % 11 = 0 THEN 1 END) + 1 AS n, true AS same FROM events GROUP BY user_id""")
+def bundle_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as a store, exported, imported into a store that has every seventh session under other ids, and exported again."""
+    e, folder = table(spark, sf_dir, "events"), store.scratch(spark, "bundles")
+    user, n = F.col("user_id"), F.col("event_id")
+    key = F.concat(F.lit("claude:"), user.cast("string"))
+    whole = {
+        "sessions": e.groupBy("user_id").agg(F.min("ts").cast("string").alias("started_at")).select(user.alias("id"), key.alias("session_key"), "started_at"),
+        "events": e.select(n.alias("id"), user.alias("session_id"), F.lit("log").alias("source"), F.concat(F.lit("p"), (n % 5).cast("string")).alias("source_path"), n.alias("source_offset"), F.lit(0).alias("seq"), F.col("event_type").alias("type"), F.col("props").alias("raw_json")),
+        "overrides": e.where(n % 11 == 0).select(user.alias("session_id"), F.concat(F.lit("k"), n.cast("string")).alias("event_key"), F.lit("fixed").alias("type")),
+        "usage": e.where("event_type = 'purchase'").select(n.alias("event_id"), user.alias("session_id"), F.col("value").alias("cost")),
+        "incidents": e.groupBy("user_id").agg(F.min("event_id").alias("first_event_id"), F.max("event_id").alias("last_event_id"), F.count(F.lit(1)).alias("count")).select(user.alias("id"), user.alias("session_id"), "first_event_id", "last_event_id", "count"),
+    }
+    own = {k: df.limit(0) for k, df in whole.items()} | {"sessions": whole["sessions"].where("id % 7 = 0").withColumn("id", F.col("id") + 1_000_000)}
+
+    def write(df: DataFrame, name: str) -> DataFrame:
+        path = store.scratch(spark, f"bundle-{name}")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    bundles.export(whole, folder)
+    records, _ = bundles.verified(spark, folder)
+    got = bundles.manifest(bundles.records(bundles.imported(records, own, write)))
+    first = bundles.manifest(bundles.read_records(spark, folder)).select("session_key", F.col("digest").alias("_d"))
+    return got.join(first, "session_key").select("session_key", "n", (F.col("digest") == F.col("_d")).alias("same"))
