@@ -34,10 +34,10 @@ from pyspark.sql import functions as F
 
 from tracelake.functions.text import tokens
 from tracelake.operators.search import K1, B
-from tracelake.sources.store import exists, spread
+from tracelake.sources.store import exists
 
-#: Folders that postings are dealt into; documents inverted at a time.
-BUCKETS, DOCUMENTS = 64, 256
+#: Folders that postings are dealt into; documents inverted at a time; the folder of the lengths of a version's documents.
+BUCKETS, DOCUMENTS, LENGTHS = 64, 256, -1
 POSTINGS = "term string, doc_id long, length int, positions array<int>, version long, bucket int"
 DOCS = "doc_id long, length int, version long"
 DEAD = "doc_id long, old long, length int, version long"
@@ -135,14 +135,16 @@ def update(spark: SparkSession, folder: str, docs: DataFrame, version: int, doc_
     one id in a batch, the one with the greatest text is indexed.
     """
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
-    rows = spread(rows).groupBy("doc_id").agg(F.max("text").alias("text"))
-    termed = rows.select("doc_id", tokens(F.col("text")).alias("terms"))
-    docs_path = f"{folder}/docs/version={version}"
-    lists = termed.mapInArrow(_inverted, "term string, doc_id long, length int, positions array<int>")
+    # Dealt by id at once, over all cores also where the table is small.
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.repartition(parts, "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"))
+    lists = rows.select("doc_id", tokens(F.col("text")).alias("terms")).mapInArrow(_inverted, "term string, doc_id long, length int, positions array<int>")
     # Rebalanced by bucket: a bucket with a frequent term is split among tasks and files.
-    dealt = lists.withColumn("bucket", bucket_of(F.col("term"))).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "doc_id")
+    dealt = lists.withColumn("bucket", F.when(F.col("term").isNull(), LENGTHS).otherwise(bucket_of(F.col("term")))).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "doc_id")
     dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings/version={version}")
-    termed.select("doc_id", F.size("terms").alias("length")).write.mode("overwrite").parquet(docs_path)
+    docs_path = f"{folder}/docs/version={version}"
+    lengths = spark.read.schema("term string, doc_id long, length int, bucket int").parquet(f"{folder}/postings/version={version}").where(F.col("bucket") == LENGTHS)
+    lengths.select("doc_id", "length").write.mode("overwrite").parquet(docs_path)
 
     gone = spark.read.schema("doc_id long, length int").parquet(docs_path).select("doc_id")
     if deleted is not None:
@@ -152,7 +154,7 @@ def update(spark: SparkSession, folder: str, docs: DataFrame, version: int, doc_
 
 
 def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A posting for each term of each document."""
+    """A posting for each term of each document, and one without a term for its length."""
     for batch in batches:
         for first in range(0, batch.num_rows, DOCUMENTS):
             part = batch.slice(first, DOCUMENTS)
@@ -166,7 +168,10 @@ def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])]) if len(doc) else np.empty(0, np.int64)
             positions = pa.ListArray.from_arrays(pa.array(np.r_[new, len(doc)], pa.int32()), pa.array(place, pa.int32()))
             columns = [coded.dictionary.take(pa.array(code[new])).cast(pa.string()), part.column("doc_id").take(pa.array(doc[new])), pa.array(lengths[doc[new]], pa.int32()), positions]
-            yield pa.RecordBatch.from_arrays(columns, ["term", "doc_id", "length", "positions"])
+            names = ["term", "doc_id", "length", "positions"]
+            yield pa.RecordBatch.from_arrays(columns, names)
+            n = part.num_rows
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.string()), part.column("doc_id"), pa.array(lengths, pa.int32()), pa.nulls(n, positions.type)], names)
 
 
 def _live(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
@@ -180,7 +185,7 @@ def _live(spark: SparkSession, folder: str, version: int | None = None) -> DataF
 def compact(spark: SparkSession, folder: str, into: str, version: int = 0) -> None:
     """The live postings of an index as one version of a new index."""
     dead = _stored(spark, folder, "dead", DEAD).select("doc_id", F.col("old").alias("version"))
-    live = _stored(spark, folder, "postings", POSTINGS).join(dead, ["doc_id", "version"], "left_anti").select("term", "doc_id", "length", "positions", "bucket")
+    live = _stored(spark, folder, "postings", POSTINGS).where(F.col("bucket") != LENGTHS).join(dead, ["doc_id", "version"], "left_anti").select("term", "doc_id", "length", "positions", "bucket")
     live.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{into}/postings/version={version}")
     _live(spark, folder).select("doc_id", "length").write.mode("overwrite").parquet(f"{into}/docs/version={version}")
 
