@@ -30,7 +30,7 @@ TOOLS = {
     "command_start": ("bash", "exec", "exec_command", "shell", "shell_command"),
 }
 #: A line of a text that tells how a command ended.
-EXIT = r"(?:^|[\n\r\x0B\x0C\x1C-\x1E\x85  ])Exit code: "
+EXIT = r"(?:^|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029])Exit code: "
 EVENT = "event_type string, event_key string, confidence string, lossiness string"
 
 
