@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_END = "end of the text"
+
 
 def json_value(text: Column) -> Column:
-    """The text as a VARIANT; null where it is no JSON (or names a key twice)."""
-    return F.try_parse_json(text)
+    """The text as a VARIANT; null where it is no JSON (or names a key twice, or goes on after its value).
+
+    Spark's parser stops after the first value; a second one behind a comma shows whether the text ended there.
+    """
+    both = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]')))
+    ended = F.try_variant_get(both, "$[1]", "string") == _END
+    return F.when(ended, F.try_variant_get(both, "$[0]", "variant"))
 
 
 def at(value: Column, path: str) -> Column:

@@ -10,7 +10,7 @@ from tracelake.functions.time import vendor_timestamp
 from tracelake.operators import canonical, loops, training
 from tracelake.plans.ordered import overrides
 from tracelake.plans.registry import ORACLES, query, table
-from tracelake.sources import bundles, events, jsonl, lines, store
+from tracelake.sources import archives, bundles, events, jsonl, lines, store
 from tracelake.sources.adapters import RECORDER_EVENTS_SQL, SESSIONS_SQL, recorder_events, sessions
 from tracelake.streaming import checkpoints, frontier, ingest
 
@@ -410,3 +410,36 @@ def bundle_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = bundles.manifest(bundles.records(bundles.imported(records, own, write)))
     first = bundles.manifest(bundles.read_records(spark, folder)).select("session_key", F.col("digest").alias("_d"))
     return got.join(first, "session_key").select("session_key", "n", (F.col("digest") == F.col("_d")).alias("same"))
+
+
+@query("archive_import", r"""
+WITH m AS (SELECT conv_id, turn, role, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM conversations WHERE role IN ('user', 'assistant'))
+SELECT CAST(conv_id AS VARCHAR) AS session_id, CASE WHEN conv_id % 3 = 0 THEN 'gpt-5' ELSE 'unknown' END AS model, count(CASE WHEN role = 'user' THEN 1 END) AS user_messages, count(CASE WHEN role = 'assistant' THEN 1 END) AS assistant_messages,
+       md5(string_agg(role || md5(text), ',' ORDER BY turn)) AS digest FROM m WHERE text <> '' GROUP BY conv_id""")
+def archive_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as members of zip archives in three layouts, read back by probing.
+
+    An archive has up to 200 conversations: whole objects, a message a line, and
+    lists in lists behind a log head.
+    """
+    folder = store.scratch(spark, "archives")
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    c = table(spark, sf_dir, "conversations")
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    one = c.groupBy("conv_id").agg(turns.alias("t"))
+    key = F.col("conv_id").cast("string")
+    plain = F.transform("t", lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content")))
+    line = lambda m: F.to_json(F.struct(F.col("conv_id").alias("session_id"), m["role"].alias("sender"), F.array(F.struct(F.lit("text").alias("type"), m["text"].alias("text"))).alias("content")))
+    whole = F.to_json(F.struct(key.alias("sessionId"), F.lit("gpt-5").alias("modelName"), plain.alias("messages")))
+    nested = F.concat(F.lit("INFO exported "), F.to_json(F.struct(F.array(F.struct(key.alias("taskId"), plain.alias("history"))).alias("data"))))
+    layout = F.col("conv_id") % 3
+    text = F.when(layout == 0, whole).when(layout == 1, F.array_join(F.transform("t", line), "\n")).otherwise(nested)
+    member = F.concat(key, F.when(layout == 0, ".json").when(layout == 1, ".jsonl").otherwise(".ndjson"))
+    archives.write_archives(one.select(F.floor(F.col("conv_id") / 200).cast("string").alias("archive"), member.alias("member"), text.alias("text")), f"{folder}/in")
+    heads, said, _ = archives.imported(spark, f"{folder}/in", kept)
+    digests = said.groupBy("session_id").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", F.concat("role", F.md5("text")).alias("d")))), lambda x: x["d"]), ",")).alias("digest"))
+    return heads.join(digests, "session_id").select("session_id", "model", "user_messages", "assistant_messages", "digest")
