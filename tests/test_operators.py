@@ -144,13 +144,6 @@ def test_outcome_badges(spark, tmp_path, outputs, last, want):
     assert [r["badge"] for r in catalog.QUERIES["outcome_badge"](spark, str(tmp_path)).collect()] == [want]
 
 
-@pytest.mark.parametrize("days,sessions,failures,want", [(6, 30, 9, "fresh"), (20, 4, 4, "quiet"), (8, 5, 2, "waiting"), (8, 5, 3, "due"), (8, 25, 0, "due"), (14, 5, 0, "due")])
-def test_lessons_due(spark, days, sessions, failures, want):
-    from tracelake.plans.gates import lessons_due
-
-    assert one(spark, lessons_due(F.lit(days), F.lit(sessions), F.lit(failures))) == want
-
-
 def test_candidates_rank_by_recurrence(spark):
     rank = lambda *n: one(spark, ranking.candidate_rank(*(F.lit(x).cast("double") for x in n)))
     assert [rank(4, 5, 1, 2), rank(4, 5, 1, 9), rank(0, None, 0, None), rank(1, -3, 7, -1)] == pytest.approx([32, 32, 0.5, 1])

@@ -1,4 +1,4 @@
-"""Holds, exclusion reasons and revision checks as columns and joins."""
+"""Holds and revision checks as columns and joins."""
 
 from __future__ import annotations
 
@@ -13,17 +13,6 @@ def effective_hold(now: Column) -> Column:
     return F.when(over, "released").otherwise(F.col("hold_state"))
 
 
-def exclusion_reason(now: Column) -> Column:
-    """The first reason that keeps a session from being uploaded, or ``eligible``."""
-    hold = effective_hold(now)
-    return (
-        F.when(hold == "pending_review", "held").when(hold == "embargoed", "embargoed").when(F.col("status") == "P", "partial")
-        .when(F.col("score").isNull(), "unscored").when(F.col("score") < 3, "low_score")
-        .when(F.col("ended_at") > now - F.expr("INTERVAL 1 DAY"), "unstable").when(F.col("interrupts") >= 5, "interrupted")
-        .when(F.col("outcome") == "abandoned", "abandoned").otherwise("eligible")
-    )
-
-
 def blockers(asked: DataFrame, sessions: DataFrame, now: Column) -> DataFrame:
     """session_id, blocker of the asked sessions that may not be released."""
     held = sessions.select("session_id", effective_hold(now).alias("hold"))

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracelake.functions.time import age_label, recency_weight
-from tracelake.operators import gates, ranking
+from tracelake.operators import gates, ranking, uploads
 from tracelake.plans.registry import query, table
-from tracelake.sources.adapters import SESSIONS_SQL, sessions
+from tracelake.sources.adapters import MODELS, SESSIONS_SQL, sessions
 
 #: The instant that time-dependent decisions are made at.
 NOW_SQL = "TIMESTAMP '1999-06-01 00:00:00'"
@@ -19,13 +19,53 @@ def now() -> Column:
     return F.lit("1999-06-01 00:00:00").cast("timestamp_ntz")
 
 
-@query("exclusion_reasons", f"""
-WITH r AS (SELECT session_id, CASE WHEN hold_state = 'pending_review' THEN 'held' WHEN hold_state = 'embargoed' AND embargo_until > CAST({NOW_SQL} AS DATE) THEN 'embargoed' WHEN status = 'P' THEN 'partial'
- WHEN score IS NULL THEN 'unscored' WHEN score < 3 THEN 'low_score' WHEN ended_at > {NOW_SQL} - INTERVAL 1 DAY THEN 'unstable' WHEN interrupts >= 5 THEN 'interrupted' WHEN outcome = 'abandoned' THEN 'abandoned' ELSE 'eligible' END AS reason FROM {SESSIONS_SQL})
-SELECT reason, count(*) AS n FROM r GROUP BY reason""")
+# Sessions as the upload rules read them: the orders' keys stand in for what the given tables lack.
+UPLOADS = {
+    "source": "CASE session_id % 4 WHEN 0 THEN 'claude' WHEN 1 THEN 'codex' WHEN 2 THEN 'claude' ELSE concat('other', CAST(session_id % 3 AS STRING)) END", "project": "concat('proj', CAST(logical_id % 5 AS STRING))",
+    "review_status": "CASE WHEN session_id % 97 = 0 THEN 'blocked' WHEN session_id % 13 = 1 THEN 'rejected' WHEN session_id % 5 = 2 THEN 'approved' WHEN session_id % 7 <> 3 THEN 'new' END",
+    "hold_state": "CASE WHEN session_id % 89 = 3 THEN 'pending_review' WHEN session_id % 83 = 4 THEN 'embargoed' WHEN session_id % 79 = 5 THEN 'unheard of' WHEN session_id % 3 = 0 THEN 'released' ELSE 'auto_redacted' END",
+    "ended_at": "CASE WHEN session_id % 31 <> 0 THEN ended_at END", "sealed": "session_id % 9 = 0", "revision": "concat('r', CAST(session_id % 3 AS STRING))", "active": "CASE WHEN session_id % 29 <> 0 THEN session_id % 37 <> 0 END",
+    "has_blob": "session_id % 17 <> 5", "has_raw": "CASE WHEN session_id % 23 <> 0 THEN session_id % 19 <> 6 END",
+}
+UPLOAD_SCOPES = [("claude", "proj0"), ("claude", "proj1"), ("claude", "proj2"), ("codex", "proj1"), ("codex", "proj2"), ("codex", "proj3"), ("other0", "proj1")]
+UPLOAD_MODES = [("claude", "stable_revision"), ("codex", "explicit_close")]
+_uploads_sql = ", ".join(f"{v.replace('STRING', 'VARCHAR')} AS {k}" for k, v in UPLOADS.items())
+UPLOADS_SQL = f"""
+u AS (SELECT session_id, logical_id, score, ended_at + to_days(CAST(session_id % 400 AS INTEGER)) AS stable_since, CASE WHEN session_id % 2 = 0 THEN ended_at + to_days(CAST(session_id % 1500 AS INTEGER)) END AS embargo_until, {_uploads_sql} FROM {SESSIONS_SQL}),
+s AS (SELECT * FROM u WHERE coalesce(active, true)),
+h AS (SELECT logical_id, review_status, CASE WHEN hold_state = 'unheard of' THEN 'pending_review' WHEN hold_state = 'embargoed' AND embargo_until <= {NOW_SQL} THEN 'released' WHEN hold_state = 'embargoed' AND embargo_until IS NULL THEN 'pending_review' ELSE hold_state END AS hold FROM s),
+f AS (SELECT logical_id, count(CASE WHEN review_status = 'blocked' THEN 1 END) > 0 AS blocked, count(CASE WHEN hold IN ('pending_review', 'embargoed') THEN 1 END) > 0 AS held FROM h GROUP BY 1),
+d AS (SELECT l_orderkey AS session_id, concat('r', l_partkey % 3) AS revision, l_shipdate AS shared_at, l_linenumber AS share_id FROM lineitem WHERE l_linestatus = 'F' AND l_partkey % 10 < 3),
+l AS (SELECT session_id, arg_max(revision, (shared_at, share_id)) AS latest, list(revision) AS shared FROM d GROUP BY 1),
+scopes(source, project) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in UPLOAD_SCOPES)}), modes(source, mode) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in UPLOAD_MODES)}),
+j AS (SELECT s.*, blocked, held, latest, shared, mode, {NOW_SQL} - INTERVAL 24 HOUR AS cutoff FROM s JOIN f USING (logical_id) LEFT JOIN l USING (session_id) LEFT JOIN modes USING (source)),
+r AS (SELECT session_id, score, ended_at, mode, latest, CASE WHEN source NOT IN (SELECT source FROM scopes) THEN 'source_excluded' WHEN project NOT IN (SELECT project FROM scopes) THEN 'project_excluded'
+ WHEN (source, project) NOT IN (SELECT (source, project) FROM scopes) THEN 'scope_pair_excluded' WHEN ended_at IS NULL THEN 'unsupported_unsettled' WHEN ended_at <= TIMESTAMP '1993-01-01' THEN 'pre_enrollment'
+ WHEN mode IS NULL OR ended_at > {NOW_SQL} OR mode = 'stable_revision' AND NOT sealed AND (stable_since > cutoff OR ended_at > cutoff) THEN 'unsupported_unsettled'
+ WHEN coalesce(list_contains(shared, revision), false) THEN 'already_shared' WHEN latest <> revision AND coalesce(review_status, 'new') <> 'approved' THEN 'changed_revision_needing_approval'
+ WHEN blocked OR review_status IN ('blocked', 'rejected') THEN 'blocked_review_status' WHEN held THEN 'held_or_embargoed' WHEN NOT has_blob THEN 'missing_blob' WHEN has_raw IS NOT TRUE THEN 'raw_source_unavailable' ELSE 'eligible' END AS reason FROM j)"""
+
+
+def upload_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = sessions(spark, sf_dir).select(
+        "session_id", "logical_id", "score", F.expr("ended_at + make_dt_interval(CAST(session_id % 400 AS INT))").alias("stable_since"),
+        F.expr("CASE WHEN session_id % 2 = 0 THEN ended_at + make_dt_interval(CAST(session_id % 1500 AS INT)) END").alias("embargo_until"), *(F.expr(v).alias(k) for k, v in UPLOADS.items()),
+    )
+    d = table(spark, sf_dir, "lineitem").where("l_linestatus = 'F' AND l_partkey % 10 < 3")
+    shares = d.select(F.col("l_orderkey").alias("session_id"), F.concat(F.lit("r"), (F.col("l_partkey") % 3).cast("string")).alias("revision"), F.col("l_shipdate").alias("shared_at"), F.col("l_shipdate").alias("created_at"), F.col("l_linenumber").alias("share_id"))
+    scopes, modes = spark.createDataFrame(UPLOAD_SCOPES, "source string, project string"), spark.createDataFrame(UPLOAD_MODES, "source string, mode string")
+    return uploads.upload_reasons(s, shares, scopes, modes, F.lit("1993-01-01").cast("timestamp_ntz"), now())
+
+
+@query("exclusion_reasons", f"WITH {UPLOADS_SQL} SELECT reason, count(*) AS n FROM r GROUP BY reason")
 def exclusion_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reason = gates.exclusion_reason(now())
-    return sessions(spark, sf_dir).groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    """How many sessions each reason keeps from being uploaded."""
+    return upload_reasons(spark, sf_dir).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("upload_candidates", f"""WITH {UPLOADS_SQL} SELECT session_id, score, ended_at, mode, latest IS NOT NULL AS updated, greatest(count(*) OVER () - 5, 0) AS deferred FROM r WHERE reason = 'eligible' ORDER BY score DESC NULLS LAST, ended_at DESC, session_id LIMIT 5""")
+def upload_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return uploads.upload_selection(upload_reasons(spark, sf_dir))
 
 
 @query("share_ready", f"""
@@ -187,32 +227,34 @@ def checkpoint_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions(spark, sf_dir).groupBy("logical_id").agg(n.alias("members"), F.sha2(F.array_join(members, ","), 256).alias("revision"), (n == F.countDistinct("started_at")).alias("ordered"))
 
 
-# When lessons are due, in days since they were refreshed and sessions since then.
-MIN_DAYS, STALE_DAYS, MIN_SESSIONS, BURST_SESSIONS, FAILURE_SESSIONS = 7, 14, 5, 25, 3
+DUE_SQL = "TIMESTAMP '1998-07-01 00:00:00'"
 
 
 @query("lesson_due", f"""
-WITH s AS (SELECT model, length(model) AS days, score >= 3 OR outcome IN ('failed', 'abandoned') AS failure, row_number() OVER (PARTITION BY model ORDER BY started_at DESC, session_id) AS n FROM {SESSIONS_SQL} WHERE started_at < {NOW_SQL} AND started_at > {NOW_SQL} - to_days(CAST(length(model) AS INTEGER))),
-a AS (SELECT model, any_value(days) AS days, count(*) AS sessions, count(CASE WHEN failure THEN 1 END) AS failures FROM s WHERE n <= {BURST_SESSIONS} GROUP BY model)
-SELECT model, sessions, failures, CASE WHEN days < {MIN_DAYS} THEN 'fresh' WHEN sessions < {MIN_SESSIONS} THEN 'quiet' WHEN failures >= {FAILURE_SESSIONS} OR sessions >= {BURST_SESSIONS} OR days >= {STALE_DAYS} THEN 'due' ELSE 'waiting' END AS decision FROM a""")
+WITH s AS (SELECT model AS scope, *, 'proj' || logical_id % 5 AS project, CASE hold_state WHEN 'embargoed' THEN CASE WHEN embargo_until <= {DUE_SQL} THEN 'released' ELSE 'embargoed' END ELSE hold_state END AS hold, list_position({list(MODELS)}, model) - 1 AS i FROM {SESSIONS_SQL}),
+a AS (SELECT scope, any_value(i) AS i, any_value(i) <> 6 AS enabled, max(CASE WHEN started_at <= {DUE_SQL} - to_days(CAST(i * 4 AS INTEGER)) THEN started_at END) AS last_activity, {DUE_SQL} - to_days(CAST(any_value(i) * 3 % 7 AS INTEGER)) AS last_nudged FROM s GROUP BY 1),
+k AS (SELECT s.scope, score >= 3 OR outcome IN ('failed', 'abandoned') AS failed, row_number() OVER (PARTITION BY s.scope ORDER BY started_at DESC, session_id) AS n FROM s JOIN a ON a.scope = s.scope
+  WHERE hold IN ('auto_redacted', 'released') AND status <> 'P' AND started_at <= {DUE_SQL} AND started_at > last_activity AND NOT (project = 'proj4' AND s.i % 2 = 1)),
+c AS (SELECT scope, count(*) AS sessions, count(CASE WHEN failed THEN 1 END) AS failures FROM k WHERE n <= 25 GROUP BY 1),
+b AS (SELECT a.scope, enabled, last_nudged, CASE WHEN last_activity IS NOT NULL THEN greatest(epoch_us({DUE_SQL}) - epoch_us(last_activity), 0) / 86400000000.0::DOUBLE END AS days, coalesce(sessions, 0) AS sessions, coalesce(failures, 0) AS failures FROM a LEFT JOIN c USING (scope))
+SELECT scope, days, sessions, failures, sessions >= 25 AS saturated, CASE WHEN NOT enabled THEN 'nudge-not-enabled' WHEN days IS NULL THEN 'never-distilled' WHEN days < 7 THEN 'fresh' WHEN {DUE_SQL} - last_nudged < INTERVAL 3 DAY THEN 'cooldown'
+  WHEN sessions < 5 THEN 'quiet' WHEN failures >= 3 OR sessions >= 25 OR days >= 14 THEN 'due' ELSE 'waiting' END AS decision FROM b""")
 def lesson_due(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether each model's lessons are due, by the newest sessions since they were refreshed.
+    """Whether each model's lessons are due.
 
-    A model's name as many days long as its letters stands in for the time since then.
+    A model's last session before a day of its own stands in for the last look at its lessons; every
+    second model leaves one project out; sessions with status P are taken as segmented.
     """
-    days = F.length("model")
-    s = sessions(spark, sf_dir).where((F.col("started_at") < now()) & (F.col("started_at") > now() - F.make_dt_interval(days)))
-    newest = F.row_number().over(Window.partitionBy("model").orderBy(F.col("started_at").desc(), "session_id"))
-    failure = (F.col("score") >= 3) | F.col("outcome").isin("failed", "abandoned")
-    kept = s.select("model", days.alias("days"), failure.alias("failure"), newest.alias("n")).where(F.col("n") <= BURST_SESSIONS)
-    a = kept.groupBy("model", "days").agg(F.count(F.lit(1)).alias("sessions"), F.count(F.when(F.col("failure"), 1)).alias("failures"))
-    return a.select("model", "sessions", "failures", lessons_due(F.col("days"), F.col("sessions"), F.col("failures")).alias("decision"))
-
-
-def lessons_due(days: Column, sessions: Column, failures: Column) -> Column:
-    """Fresh lessons and few sessions wait; failures, a burst of sessions or stale lessons are due."""
-    urgent = (failures >= FAILURE_SESSIONS) | (sessions >= BURST_SESSIONS) | (days >= STALE_DAYS)
-    return F.when(days < MIN_DAYS, "fresh").when(sessions < MIN_SESSIONS, "quiet").when(urgent, "due").otherwise("waiting")
+    at = F.lit("1998-07-01").cast("timestamp_ntz")
+    place = (F.array_position(F.array(*map(F.lit, MODELS)), F.col("model")) - 1).cast("int")
+    s = sessions(spark, sf_dir).withColumns({
+        "scope": F.col("model"), "i": place, "project": F.concat(F.lit("proj"), (F.col("logical_id") % 5).cast("string")), "review_status": F.when(F.col("status") == "P", "segmented"),
+        "embargo_until": F.col("embargo_until").cast("timestamp_ntz"),
+    })
+    seen = F.max(F.when(F.col("started_at") <= at - F.make_dt_interval(F.col("i") * 4), F.col("started_at")))
+    scopes = s.groupBy("scope", "i").agg(seen.alias("last_activity")).withColumns({"enabled": F.col("i") != 6, "last_nudged": at - F.make_dt_interval(F.col("i") * 3 % 7)})
+    excluded = scopes.where("i % 2 = 1").select("scope", F.lit("proj4").alias("project"))
+    return uploads.lessons_due(s, scopes, excluded, at)
 
 
 @query("age_labels", f"""
