@@ -110,3 +110,13 @@ def test_written_archives_come_back(spark, load):
     assert archives.write_archives(df, f"file://{folder}") == archives.write_archives(df, f"file://{folder}") == 3
     heads, said, told = run()
     assert {k: v[0].text for k, v in said.items()} == {f"s{i}": f"é{i}" for i in range(20)} and told == [] and len(heads) == 20
+
+
+def test_json_values_end_with_their_text(spark):
+    from pyspark.sql import functions as F
+
+    from tracelake.functions.variant import canonical
+
+    cases = {'{"b": 1.0, "a": []}': '{"a":[],"b":1}', ' "x" ': '"x"', "null": "null", '{"a": 1}\n{"a": 2}': None, "1, 2": None, "[1] tail": None, "1],[2": None, "1] x": None, "": None, " ": None, None: None}
+    rows = spark.createDataFrame(list(enumerate(cases)), "i int, v string").orderBy("i").select(canonical(F.col("v")))
+    assert [r[0] for r in rows.collect()] == list(cases.values())
