@@ -286,3 +286,27 @@ def test_alternating_and_budget(spark):
     df = spark.createDataFrame([("a", 1, 3), ("a", 2, 3), ("b", 3, 9), ("b", 4, 1)], "pool string, id long, size long")
     assert [r["id"] for r in ranking.alternating(df, "pool", [F.col("id")], 3).collect()] == [1, 3, 2]
     assert sorted(r["id"] for r in ranking.within_budget(df, "pool", [F.col("id")], "size", 5).collect()) == [1]
+
+
+def test_interval_children_of_spans_that_start_at_once(spark):
+    """Rows are not paired; results as by looking at all pairs, also with repeated ids, nulls and spans that end before they start."""
+    import random
+
+    rng = random.Random(3)
+    at = lambda m: None if m is None else datetime(2026, 1, 1, m // 60, m % 60)
+    rows = []
+    for i in range(400):
+        start = rng.choice([0, 0, 60, 60, 61, rng.randrange(600)])
+        rows.append((i, rng.choice([1, 2, None]), start, rng.choice([None, start, start - 1 if start else 0, start + rng.randrange(200)])))
+    schema = "id long, p int, started timestamp, ended timestamp"
+    for more in ([], [(7, 1, 30, 400), (8, 2, 0, 500), (8, 2, 90, 95), (9, 1, 0, 300), (9, 1, 0, 300)]):
+        spans = rows + more
+        best = {}
+        for c in spans:
+            own = [(p[2], p[0]) for p in spans if c[1] is not None and p[1] == c[1] and p[0] != c[0] and p[3] is not None and p[2] <= c[2] <= p[3] and (p[2], p[0]) < (c[2], c[0])]
+            if own:
+                best[c[0]] = min([*own, *([best[c[0]]] if c[0] in best else [])])
+        df = graph.interval_children(spark.createDataFrame([(i, p, at(s), at(e)) for i, p, s, e in spans], schema), "p")
+        assert sorted(map(tuple, df.collect())) == sorted((c, p) for c, (_, p) in best.items())
+        if not more:
+            assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
