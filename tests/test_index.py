@@ -144,3 +144,15 @@ def test_empty_index(spark, tmp_path):
     assert index.search(spark, str(tmp_path), index.Request(word("ab"))).count() == 0
     assert index.search(spark, f"{tmp_path}/none", index.Request(word("ab"))).count() == 0
     assert os.path.isdir(f"{tmp_path}/docs")
+
+
+def test_a_frequent_term_is_a_row_for_each_block(spark, tmp_path):
+    docs = {i: "ab ac ab" if i % 2 else "ab" for i in range(3000)}
+    index.update(spark, str(tmp_path), frame(spark, docs), 0)
+    index.update(spark, str(tmp_path), frame(spark, {}), 1, deleted=spark.createDataFrame([(i,) for i in range(0, 3000, 3)], "doc_id long"))
+    index.compact(spark, str(tmp_path), f"{tmp_path}/compact")
+    for folder in (str(tmp_path), f"{tmp_path}/compact"):
+        stored = spark.read.parquet(f"{folder}/postings").where("term = 'ab'")
+        assert stored.count() <= 3000 / 100
+        got = {r["doc_id"]: (r["length"], r["positions"]) for r in index.postings(spark, folder, ["ab"], []).collect()}
+        assert got == {i: (3, [0, 2]) if i % 2 else (1, [0]) for i in range(3000) if i % 3}
