@@ -175,3 +175,15 @@ def test_high_entropy_equals_the_formula(spark, small):
     got = [(-round(r["entropy"], 9), r["candidate"]) for r in catalog.QUERIES["high_entropy_tokens"](spark, small).collect()]
     assert sorted(got) == want
     assert spark.range(1).select(shannon_entropy(F.lit(""))).first()[0] in (0.0, -0.0)
+
+
+def test_a_line_is_parsed_once(spark):
+    """Spark computes what branches name anew in each of them."""
+    from tracelake.sources import events
+
+    lines = spark.createDataFrame([('{"type":"session_meta"}',), ("[1]",), ("{broken",)], "value string")
+    for client in events.CLIENTS:
+        plan = events.classified(lines, client)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("parseJson") == (2 if client == "codex" else 1)  # outputs of codex are parsed themselves
+    got = {(r["value"], r["event_type"], r["confidence"]) for r in events.classified(lines, "codex").collect()}
+    assert got == {('{"type":"session_meta"}', "session_open", "high"), ("[1]", "schema_unknown", "missing"), ("{broken", "schema_unknown", "missing")}

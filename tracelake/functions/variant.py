@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _END = "end of the text"
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often and in whatever branches it is named: a lambda's argument."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def json_value(text: Column) -> Column:
     """The text as a VARIANT; null where it is no JSON (or names a key twice, or goes on after its value).
 
     Spark's parser stops after the first value; a second one behind a comma shows whether the text ended there.
     """
     both = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]')))
-    ended = F.try_variant_get(both, "$[1]", "string") == _END
-    return F.when(ended, F.try_variant_get(both, "$[0]", "variant"))
+    return once(both, lambda b: F.when(F.try_variant_get(b, "$[1]", "string") == _END, F.try_variant_get(b, "$[0]", "variant")))
 
 
 def at(value: Column, path: str) -> Column:
@@ -50,8 +56,13 @@ def integer_at(value: Column, *paths: str) -> Column:
 
 
 def items_at(value: Column, path: str) -> Column:
-    """An array's elements, else null."""
-    return F.when(kind_at(value, path).startswith("ARRAY"), F.try_variant_get(value, path, "array<variant>"))
+    """An array's elements, else null (a cast to an array succeeds for arrays alone)."""
+    return F.try_variant_get(value, path, "array<variant>")
+
+
+def is_object(value: Column) -> Column:
+    """Whether it is an object, told by a cast: the type of all that is in it, as kind_at() gives it, takes a walk through the value."""
+    return F.try_variant_get(value, "$", "struct<`_`: variant>").isNotNull()
 
 
 def canonical(text: Column) -> Column:

@@ -1,5 +1,7 @@
 """Events of the vendors' log lines, as column expressions over parsed JSON.
 
+What the rules ask of a line more than once (``PARTS``) is read into columns
+first, each once a line; within branches Spark would read it again each time.
 A line gives an array of events (type, key, confidence, lossiness). Confidence
 and lossiness are those of the line's time unless an event has its own: a time
 without a zone makes both unsure. A line that nothing matches is one
@@ -12,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions.time import vendor_timestamp
-from tracelake.functions.variant import filled_at, items_at, json_value, kind_at, text_at
+from tracelake.functions.variant import filled_at, is_object, items_at, json_value, kind_at, text_at
 
 # Events of whole lines, by client and line type.
 CLOSING = {"session_close": "session_close", "session_end": "session_close"}
@@ -86,8 +88,7 @@ def assistant_events(v: Column, calls: tuple[str, ...], *ids: str) -> Column:
     return message_events("assistant_message", blocks, said, lambda b: F.when(text_at(b, "$.type").isin(*calls), tool_events(text_at(b, "$.name"), filled_at(b, *ids))).otherwise(nothing()))
 
 
-def claude(v: Column) -> Column:
-    kind, role = text_at(v, "$.type"), text_at(v, "$.message.role")
+def claude(v: Column, kind: Column, role: Column) -> Column:
     blocks, content = items_at(v, "$.message.content"), filled_at(v, "$.message.content")
     result = lambda b: F.when(text_at(b, "$.type") == "tool_result", F.array(event("tool_result", filled_at(b, "$.tool_use_id", "$.toolUseId")))).otherwise(nothing())
     user = message_events("user_message", blocks, content.isNotNull() | spoken(blocks, ("text",), "$.text"), result)
@@ -98,8 +99,7 @@ def claude(v: Column) -> Column:
     )
 
 
-def openclaw(v: Column) -> Column:
-    kind, role = text_at(v, "$.type"), text_at(v, "$.message.role")
+def openclaw(v: Column, kind: Column, role: Column) -> Column:
     said = filled_at(v, "$.message.content").isNotNull() | spoken(items_at(v, "$.message.content"), (), "$.text")
     message = (
         F.when(role == "user", some((F.coalesce(said, F.lit(False)), event("user_message")))).when(role == "assistant", assistant_events(v, ("toolCall",), "$.id"))
@@ -108,16 +108,15 @@ def openclaw(v: Column) -> Column:
     return F.when(kind == "message", message).otherwise(named(kind, LINES["openclaw"]))
 
 
-def codex(v: Column) -> Column:
-    kind, item, key = text_at(v, "$.type"), text_at(v, "$.payload.type"), filled_at(v, "$.payload.call_id")
-    output = text_at(v, "$.payload.output")
+def codex(v: Column, kind: Column, item: Column, call_id: Column, name: Column, output: Column) -> Column:
+    key = F.when(call_id.rlike(r"\S"), call_id)
     tells = lambda text: F.coalesce(text.rlike(EXIT), F.lit(False))
     in_blocks = F.exists(items_at(v, "$.payload.output"), lambda b: (text_at(b, "$.type") == "input_text") & tells(text_at(b, "$.text")))
     ended = tells(output) | kind_at(json_value(output), "$.metadata.exit_code").isNotNull() | F.coalesce(in_blocks, F.lit(False))
     thought = F.array(event("assistant_message", None, "medium", "partial"))
     both = named(item, APPROVAL | CLOSING)
     response = (
-        F.when(item.isin("function_call", "custom_tool_call"), tool_events(text_at(v, "$.payload.name"), key))
+        F.when(item.isin("function_call", "custom_tool_call"), tool_events(name, key))
         .when(item.isin("function_call_output", "custom_tool_call_output"), some((F.lit(True), event("tool_result", key)), (ended, event("command_exit", key))))
         .when(item == "reasoning", thought).otherwise(both)
     )
@@ -126,32 +125,43 @@ def codex(v: Column) -> Column:
 
 
 CLIENTS = {"claude": claude, "codex": codex, "openclaw": openclaw}
+#: Strings of a line that its client's rules take, in the order of their parameters.
+PARTS = {
+    "claude": ("$.type", "$.message.role"), "openclaw": ("$.type", "$.message.role"),
+    "codex": ("$.type", "$.payload.type", "$.payload.call_id", "$.payload.name", "$.payload.output"),
+}
 
 
-def line_time(v: Column, *paths: str) -> tuple[Column, Column]:
-    """(time, whether it is unsure): the first path with a time decides; one without a zone ends the search."""
+def time_at(v: Column, path: str) -> Column:
+    """The path's time and whether it has no zone."""
+    kind, text = kind_at(v, path), text_at(v, path)
+    number = kind.startswith("DECIMAL") | kind.isin("BIGINT", "DOUBLE")
+    own, naive = vendor_timestamp(F.when(~text.rlike(r"^\s*\d+\s*$"), text))
+    own = F.when(number, F.timestamp_millis(F.try_variant_get(v, path, "double").try_cast("bigint"))).otherwise(own)
+    return F.struct(own.alias("own"), F.coalesce(naive, F.lit(False)).alias("naive"))
+
+
+def line_time(*times: Column) -> tuple[Column, Column]:
+    """(time, whether it is unsure) of time_at(): the first path with a time decides; one without a zone ends the search."""
     found, unsure = F.lit(None).cast("timestamp"), F.lit(False)
-    for path in reversed(paths):
-        kind, text = kind_at(v, path), text_at(v, path)
-        number = kind.startswith("DECIMAL") | kind.isin("BIGINT", "DOUBLE")
-        own, naive = vendor_timestamp(F.when(~text.rlike(r"^\s*\d+\s*$"), text))
-        own = F.when(number, F.timestamp_millis(F.try_variant_get(v, path, "double").try_cast("bigint"))).otherwise(own)
-        naive = F.coalesce(naive & own.isNull(), F.lit(False))
+    for t in reversed(times):
+        own, naive = t["own"], t["naive"] & t["own"].isNull()
         found, unsure = F.when(own.isNotNull(), own).when(~naive, found), F.when(own.isNotNull(), False).when(naive, True).otherwise(unsure)
     return found, unsure
 
 
 def classified(lines: DataFrame, client: str) -> DataFrame:
     """All events of each line, in order: event_no, event_type, event_key, event_at, confidence, lossiness beside the line's columns."""
+    v, parts = F.col("_v"), [f"_part{i}" for i in range(len(PARTS[client]))]
+    times = ("$.timestamp",) if client == "codex" else ("$.message.timestamp", "$.timestamp")
     rows = lines.withColumn("_v", json_value(F.col("value")))
-    v = F.col("_v")
-    time, unsure = line_time(v, *(("$.timestamp",) if client == "codex" else ("$.message.timestamp", "$.timestamp")))
-    events = F.coalesce(CLIENTS[client](v), nothing())
+    rows = rows.withColumns({c: text_at(v, path) for c, path in zip(parts, PARTS[client], strict=True)} | {f"_time{i}": time_at(v, path) for i, path in enumerate(times)})
+    time, unsure = line_time(*(F.col(f"_time{i}") for i in range(len(times))))
+    rows = rows.select(*lines.columns, time.alias("event_at"), unsure.alias("_u"), is_object(v).alias("_o"), F.coalesce(CLIENTS[client](v, *map(F.col, parts)), nothing()).alias("_es"))
     unknown = F.array(event("schema_unknown", None, "low", "none"))
     missing = F.array(event("schema_unknown", None, "missing", "none"))
-    is_object = F.coalesce(kind_at(v, "$").startswith("OBJECT"), F.lit(False))
-    events = F.when(~is_object, missing).when(F.size(events) == 0, unknown).otherwise(events)
-    rows = rows.select(*lines.columns, time.alias("event_at"), unsure.alias("_u"), F.posexplode(events).alias("event_no", "_e"))
+    events = F.when(~F.col("_o"), missing).when(F.size("_es") == 0, unknown).otherwise(F.col("_es"))
+    rows = rows.select(*lines.columns, "event_at", "_u", F.posexplode(events).alias("event_no", "_e"))
     sure = F.coalesce("_e.confidence", F.when(F.col("_u"), "low").otherwise("high"))
     lossy = F.coalesce("_e.lossiness", F.when(F.col("_e.event_type") == "compaction", "compacted").when(F.col("_u"), "unknown").otherwise("none"))
     return rows.select(*lines.columns, "event_no", "_e.event_type", "_e.event_key", "event_at", sure.alias("confidence"), lossy.alias("lossiness"))
