@@ -120,3 +120,18 @@ def test_json_values_end_with_their_text(spark):
     cases = {'{"b": 1.0, "a": []}': '{"a":[],"b":1}', ' "x" ': '"x"', "null": "null", '{"a": 1}\n{"a": 2}': None, "1, 2": None, "[1] tail": None, "1],[2": None, "1] x": None, "": None, " ": None, None: None}
     rows = spark.createDataFrame(list(enumerate(cases)), "i int, v string").orderBy("i").select(canonical(F.col("v")))
     assert [r[0] for r in rows.collect()] == list(cases.values())
+
+
+def test_values_tell_their_kind_without_a_walk(spark):
+    from pyspark.sql import functions as F
+
+    from tracelake.functions.variant import items_at, json_value
+
+    texts = ['{"a": [1, null], "_": 2}', "{}", "[]", "[[1]]", '"s"', "1", "null", "x", None]
+    v = json_value(F.col("t"))
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", archives.is_object(v).alias("o"), F.size(items_at(v, "$")).alias("n"), F.size(items_at(v, "$.a")).alias("a"))
+    assert {r["t"]: (bool(r["o"]), r["n"], r["a"]) for r in df.collect()} == {
+        texts[0]: (True, None, 2), "{}": (True, None, None), "[]": (False, 0, None), "[[1]]": (False, 1, None), '"s"': (False, None, None),
+        "1": (False, None, None), "null": (False, None, None), "x": (False, None, None), None: (False, None, None),
+    }
+    assert "schemaOfVariant" not in df._jdf.queryExecution().optimizedPlan().toString()

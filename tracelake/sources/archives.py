@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.functions.time import vendor_timestamp
-from tracelake.functions.variant import at, filled_at, integer_at, items_at, json_value, kind_at, text_at
+from tracelake.functions.variant import at, filled_at, integer_at, is_object, items_at, json_value, once, text_at
 
 MAX_FILE, MAX_MEMBER, PART, LEVELS = 100 << 20, 25 << 20, 64 << 20, 5
 
@@ -162,13 +162,8 @@ def first_filled(value: Column, names: tuple[str, ...]) -> Column:
     return F.trim(first_of(value, names, lambda x: filled_at(x, "$")))
 
 
-def is_object(value: Column) -> Column:
-    return F.coalesce(kind_at(value, "$").startswith("OBJECT"), F.lit(False))
-
-
 def full_list(value: Column) -> Column:
-    items = items_at(value, "$")
-    return F.when(F.size(items) > 0, items)
+    return once(items_at(value, "$"), lambda items: F.when(F.size(items) > 0, items))
 
 
 def identifier(value: Column, names: tuple[str, ...]) -> Column:
@@ -180,11 +175,10 @@ def instant(value: Column, names: tuple[str, ...]) -> Column:
 
 
 def role(value: Column) -> Column:
-    said = F.lower(first_filled(value, ROLES))
-    return (
+    return once(F.lower(first_filled(value, ROLES)), lambda said: (
         F.when(said.isin(*USERS), "user").when(said.isin(*ASSISTANTS), "assistant").when(said.contains("user"), "user")
         .when(said.rlike("assistant|agent|bot|reply|answer"), "assistant")
-    )
+    ))
 
 
 def is_message(value: Column) -> Column:
@@ -195,13 +189,12 @@ def is_message(value: Column) -> Column:
 def plain_text(value: Column, depth: int = 3) -> Column:
     """A string, the first text of an object, or the texts of a list a blank line apart; stripped, null where there is none."""
     strip = lambda t: F.regexp_replace(t, r"^\s+|\s+$", "")
-    said = strip(text_at(value, "$"))
-    own = F.when(said != "", said)
+    own = once(strip(text_at(value, "$")), lambda said: F.when(said != "", said))
     if depth == 0:
         return own
     inner = first_text(value, INNER_TEXTS, depth - 1)
-    parts = F.filter(F.transform(items_at(value, "$"), lambda x: plain_text(x, depth - 1)), lambda t: t.isNotNull())
-    return F.coalesce(own, F.when(is_object(value), inner), F.when(F.size(parts) > 0, strip(F.array_join(parts, "\n\n"))))
+    listed = F.filter(F.transform(items_at(value, "$"), lambda x: plain_text(x, depth - 1)), lambda t: t.isNotNull())
+    return F.coalesce(own, F.when(is_object(value), inner), once(listed, lambda parts: F.when(F.size(parts) > 0, strip(F.array_join(parts, "\n\n")))))
 
 
 def first_text(value: Column, names: tuple[str, ...], depth: int = 3) -> Column:
@@ -226,9 +219,9 @@ def fragment(line: Column) -> Column:
 
 def values(read: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(path, project, member, place, value of every JSON value; path, member, problem of what gives none)."""
-    whole = json_value("text")
     lines = F.transform(F.split("text", r"\r\n|\r|\n"), fragment)
-    rows = read.withColumn("_v", F.when(F.col("text").isNotNull(), F.when(whole.isNotNull(), F.array(whole)).otherwise(lines)))
+    whole = once(json_value("text"), lambda v: F.when(v.isNotNull(), F.array(v)).otherwise(lines))
+    rows = read.withColumn("_v", F.when(F.col("text").isNotNull(), whole))
     empty = F.col("text").rlike(r"\S") & ~F.exists("_v", lambda v: v.isNotNull())
     told = read.where("problem IS NOT NULL").select("path", "member", "problem")
     mute = rows.where(empty).select("path", "member", F.lit("no JSON").alias("problem"))
@@ -238,19 +231,23 @@ def values(read: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def opened(found: DataFrame, levels: int = LEVELS) -> tuple[DataFrame, DataFrame]:
     """(values with ``alone`` (a message that stands for itself) or ``items`` (a session's messages), problems)."""
-    rows = found.withColumn("top", F.lit(True))
     own = full_list(F.col("value"))
-    messages = F.coalesce(F.when(F.forall(own, is_message), own), first_of(F.col("value"), MESSAGES, full_list))
-    nested = F.when(messages.isNull(), F.coalesce(items_at(F.col("value"), "$"), first_of(F.col("value"), LISTS, full_list)))
+    messages = once(own, lambda o: F.coalesce(F.when(F.forall(o, is_message), o), first_of(F.col("value"), MESSAGES, full_list)))
+    nested = F.coalesce(items_at(F.col("value"), "$"), first_of(F.col("value"), LISTS, full_list))
+
+    def probed(rows: DataFrame) -> DataFrame:
+        """Adds ``items`` and ``_n``, what a value opens into. A value that was not opened is as it was: it isn't looked at again."""
+        rows = rows.withColumn("items", F.when(F.col("new"), messages).otherwise(F.col("items")))
+        return rows.withColumn("_n", F.when(F.col("new") & F.col("items").isNull(), nested))
+
+    rows = probed(found.withColumns({"top": F.lit(True), "new": F.lit(True), "items": F.lit(None).cast("array<variant>")}))
     for _ in range(levels):
-        rows = rows.withColumn("_n", nested)
         items = F.coalesce("_n", F.array("value"))
-        rows = rows.select("path", "project", "member", "place", (F.col("top") & F.col("_n").isNull()).alias("top"), F.posexplode(items).alias("_p", "value"))
-        rows = rows.select("path", "project", "member", F.concat("place", F.array("_p")).alias("place"), "top", "value")
-    rows = rows.withColumn("items", messages)
-    deep = rows.where(F.size(nested) > 0).select("path", "member", F.lit("nested too deeply").alias("problem")).distinct()
+        rows = rows.select("path", "project", "member", "place", (F.col("top") & F.col("_n").isNull()).alias("top"), F.col("_n").isNotNull().alias("new"), "items", F.posexplode(items).alias("_p", "value"))
+        rows = probed(rows.select("path", "project", "member", F.concat("place", F.array("_p")).alias("place"), "top", "new", "items", "value"))
+    deep = rows.where(F.size("_n") > 0).select("path", "member", F.lit("nested too deeply").alias("problem")).distinct()
     alone = F.col("top") & F.col("items").isNull() & is_message(F.col("value"))
-    return rows.withColumn("alone", alone).where("alone OR items IS NOT NULL").drop("top"), deep
+    return rows.withColumn("alone", alone).where("alone OR items IS NOT NULL").drop("top", "new", "_n"), deep
 
 
 def digest_id(*parts: Column) -> Column:
