@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import Row
 
-from tracelake.streaming.checkpoints import COLUMNS, Limits, current, segments, stream_segments
+from tracelake.streaming.checkpoints import COLUMNS, Checkpointer, Limits, current, segments, stream_segments
 
 SCHEMA = "session string, place long, role string, text_bytes long, raw_start long, raw_end long, text string"
 LIMITS = Limits(messages=6, users=4, text_bytes=300, raw_bytes=2000)
@@ -72,3 +73,20 @@ def test_stream_in_any_batches(spark, tmp_path):
         seen = {k: v for k, v in now.items() if v[-1]}
     assert sorted(now.values()) == plain(rows, LIMITS)
     assert COLUMNS[0] == "session"
+
+
+def test_a_session_of_a_batch_takes_two_calls_of_its_state():
+    calls = []
+
+    class Value:
+        def get(self):
+            calls.append("get")
+
+        def update(self, value):
+            calls.append(value)
+
+    own = Checkpointer(LIMITS)
+    own.open = Value()
+    rows = [Row(session="a", place=p, role="user", text_bytes=1, raw_start=p, raw_end=p + 1) for p in (3, 1)]
+    assert list(map(tuple, own.handleInputRows(("a",), iter(rows), None))) == [("a", 0, "a", 1, 3, 2, 2, 2, None, None, False)]
+    assert calls == ["get", (0, 1, 3, 2, 2, 2, 0, 4, False)]

@@ -19,12 +19,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 SEGMENTS = "session string, segment int, segment_id string, first long, last long, messages int, users int, text_bytes long, raw_start long, raw_end long, sealed boolean"
 STATE = "segment int, first long, last long, messages int, users int, text_bytes long, raw_start long, raw_end long, closable boolean"
+SEGMENT = Row(*(c.split()[0] for c in SEGMENTS.split(", ")))
 COLUMNS = ("session", "place", "role", "text_bytes", "raw_start", "raw_end")
 
 
@@ -106,7 +107,10 @@ def segments(messages: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 
 class Checkpointer(StatefulProcessor):
-    """Keeps each session's open segment; gives what a batch closed, and the open one as it stands."""
+    """Keeps each session's open segment; gives what a batch closed, and the open one as it stands.
+
+    Takes rows: sessions have few in a batch, and a data frame for each costs more than they do.
+    """
 
     def __init__(self, limits: Limits) -> None:
         self.limits = limits
@@ -114,16 +118,17 @@ class Checkpointer(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.open = handle.getValueState("open", STATE)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        state = Open(*self.open.get()) if self.open.exists() else Open()
-        pdf = pd.concat(list(rows)).sort_values("place")  # one session's rows of one batch, without texts
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        known = self.open.get()
+        state = Open(*known) if known else Open()
         out = []
-        for place, *message in zip(*(pdf[c].tolist() for c in COLUMNS[1:]), strict=True):
+        for place, *message in sorted([tuple(r[c] for c in COLUMNS[1:]) for r in rows], key=lambda m: m[0]):  # one session's rows of one batch, without texts
             if place > state.last:  # else the message was there before
                 closed = state.add(key[0], place, *message, self.limits)
                 out += [closed] if closed else []
         self.open.update((state.segment, state.first, state.last, state.messages, state.users, state.text_bytes, state.raw_start, state.raw_end, state.closable))
-        yield _frame([*out, state.row(key[0], False)])
+        for row in [*out, state.row(key[0], False)]:
+            yield SEGMENT(*row)
 
     def close(self) -> None:
         pass
@@ -138,7 +143,7 @@ def stream_segments(messages: DataFrame, limits: Limits = Limits()) -> DataFrame
     spark = messages.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = _slim(messages).where("session IS NOT NULL AND place >= 0")
-    return rows.groupBy("session").transformWithStateInPandas(Checkpointer(limits), SEGMENTS, "Update", "None")
+    return rows.groupBy("session").transformWithState(Checkpointer(limits), SEGMENTS, "Update", "None")
 
 
 def current(rows: DataFrame) -> DataFrame:
