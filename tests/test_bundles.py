@@ -79,3 +79,11 @@ def test_damaged_bundles(spark, tmp_path):
     }
     assert {r["session_key"] for r in good.collect()} == {"claude:3"}
     assert glob.glob(f"{tmp_path}/bad/manifest/*.json")
+
+
+def test_the_manifest_that_came_is_that_of_the_records(spark, tmp_path):
+    lines = spark.createDataFrame([("s", "session", "{}"), ("s", "events", '{"a":1}'), ("t", "session", "{}")], "session_key string, kind string, body string")
+    lines.write.json(f"{tmp_path}/records")
+    found = bundles.manifest(bundles.read_records(spark, str(tmp_path)))
+    found.write.json(f"{tmp_path}/manifest")
+    assert sorted(map(tuple, bundles.promised(spark, str(tmp_path)).collect())) == sorted(map(tuple, found.collect()))

@@ -75,12 +75,16 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema("session_key string, kind string, body string").json(f"{folder}/records")
 
 
+def promised(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest that came with the records."""
+    return spark.read.schema("session_key string, version int, n long, digest string").json(f"{folder}/manifest")
+
+
 def verified(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(records of sessions whose digest and version hold, the other sessions: session_key, problem)."""
     lines = read_records(spark, folder)
-    promised = spark.read.schema("session_key string, version int, n long, digest string").json(f"{folder}/manifest")
     found = manifest(lines).select("session_key", F.col("n").alias("_n"), F.col("digest").alias("_digest"))
-    both = promised.join(found, "session_key", "full_outer")
+    both = promised(spark, folder).join(found, "session_key", "full_outer")
     problem = (
         F.when(F.col("version").isNull(), "not in the manifest").when(F.col("version") != VERSION, "another version").when(F.col("_n").isNull(), "no records")
         .when(F.col("n") != F.col("_n"), "records are missing or too many").when(F.col("digest") != F.col("_digest"), "records were changed")
