@@ -1,8 +1,11 @@
+import tracemalloc
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 
+from tracelake.llm import common
 from tracelake.llm import quality_classifier as qc
 
 
@@ -69,3 +72,18 @@ def test_random_features_approximate_the_kernel():
 def test_statistics_are_finite():
     for text in ("", " ", "x", "\n" * 50, "é" * 5000, "a|b " * 9):
         assert np.isfinite(qc.statistics(text)).all() and len(qc.statistics(text)) == qc.N_STATISTICS
+
+
+def test_scoring_a_batch_keeps_to_the_memory_of_a_block():
+    rng = np.random.default_rng(qc.SEED)
+    d, m = qc.N_STATISTICS, qc.FEATURES
+    model = qc.Model(np.zeros(d), np.ones(d), rng.normal(size=(d, m)), rng.normal(size=m), rng.normal(size=m + 1), np.array([0.0, 1.0]), np.array([0.0, 1.0]))
+    f = rng.normal(size=(20_001, d))
+    tracemalloc.start()
+    raw = model.raw(f)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(raw, model.features(f) @ model.weights) and most < 10e6
+    assert model.raw(f[:0]).shape == (0,)
+    common.kept_in_worker("of another operator", lambda: f)
+    assert len(qc.scores_of(model, pd.Series(["a b", ""]))) == 2 and not common._KEPT

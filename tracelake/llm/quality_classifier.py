@@ -30,13 +30,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import written
+from tracelake.llm.common import forget_kept, written
 
 #: Labelled rows that are learned from at most.
 LABELLED = 50_000
 FEATURES, RIDGE, SEED, BINS = 256, 1.0, 7, 512
 THRESHOLD = 0.3
 BLOCK = 32  # rows of the normal equations that are summed in one group
+AT_ONCE = 512  # texts of which features are made at once: a text's take 2 KB, and as much for each intermediate array
 
 _CLASS = np.zeros(256, np.int64)  # 1 space, 2 digit, 3 upper, 4 lower, 5 full stop, 6 other sign, 0 rest
 _CLASS[[0x20, *range(0x09, 0x0E)]] = 1
@@ -79,6 +80,7 @@ def labelled(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, label:
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(limit)
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget_kept()
         for pdf in frames:
             yield pd.DataFrame({"y": pdf["y"], "fold": pdf["fold"], "f": [statistics(t) for t in pdf["text"].array]})
 
@@ -106,8 +108,13 @@ class Model:
         z = np.sqrt(2.0 / len(self.phase)) * np.cos(x @ self.omega + self.phase)
         return np.hstack([z, np.ones((len(f), 1))])
 
+    def blocks(self, f: np.ndarray) -> Iterator[np.ndarray]:
+        """The features of AT_ONCE rows after the other, so that memory doesn't grow with the batch."""
+        for at in range(0, len(f), AT_ONCE):
+            yield self.features(f[at : at + AT_ONCE])
+
     def raw(self, f: np.ndarray) -> np.ndarray:
-        return self.features(f) @ self.weights
+        return np.concatenate([np.empty(0), *(z @ self.weights for z in self.blocks(f))])
 
     def score(self, f: np.ndarray) -> np.ndarray:
         """Calibrated; a thousandth of the raw score keeps the order within a step."""
@@ -143,8 +150,9 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, text: str = "te
         total = np.zeros((FEATURES + 1, FEATURES + 2))
         for pdf in frames:
             if len(pdf):
-                z = model.features(np.vstack(pdf["f"].to_numpy()))
-                total += z.T @ np.column_stack([z, pdf["y"].to_numpy()])
+                y = pdf["y"].to_numpy()
+                for i, z in enumerate(model.blocks(np.vstack(pdf["f"].to_numpy()))):
+                    total += z.T @ np.column_stack([z, y[AT_ONCE * i :][:AT_ONCE]])
         blocks = range(0, FEATURES + 1, BLOCK)
         yield pd.DataFrame({"block": list(blocks), "sums": [total[b : b + BLOCK].tobytes() for b in blocks]})
 
@@ -171,12 +179,17 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, text: str = "te
     return model
 
 
+def scores_of(model: Model, texts: pd.Series) -> pd.Series:
+    forget_kept()
+    return pd.Series(np.clip(model.score(np.array([statistics(t) for t in texts.array]).reshape(len(texts), N_STATISTICS)), 0, 1))
+
+
 def scores(model: Model) -> Callable[[Column], Column]:
     """The score of a text column, nulls as empty texts."""
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.clip(model.score(np.array([statistics(t) for t in texts.array]).reshape(len(texts), N_STATISTICS)), 0, 1))
+        return scores_of(model, texts)
 
     return lambda text: score(F.coalesce(text, F.lit("")))
 

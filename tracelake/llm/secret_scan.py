@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.llm.common import forget_kept
+
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
     re.IGNORECASE | re.ASCII,
@@ -187,6 +189,7 @@ def mask(docs: DataFrame, text: str = "text") -> DataFrame:
 
     @F.pandas_udf("string")
     def masked(texts: pd.Series) -> pd.Series:
+        forget_kept()
         return texts.map(lambda t: None if t is None else masked_text(t))
 
     return docs.withColumn(text, masked(F.col(text)))
