@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -100,6 +101,29 @@ def test_pairs_that_met_in_a_smaller_centre():
     assert ngram_join.met_before([np.array([3, 9]), np.array([4, 9])], 9) is None
 
 
+def test_pairs_that_met_take_no_memory_of_all_pairs():
+    """Short texts: thousands of sets in a bucket."""
+    centres = [np.array([i % 700, 1000 + i % 3, 9999]) for i in range(6000)]
+    tracemalloc.start()
+    got = ngram_join.meetings(centres, 9999)(np.arange(64, 128))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = [[i % 700 == j % 700 or i % 3 == j % 3 for j in range(6000)] for i in range(64, 128)]
+    assert (got == np.array(want)).all() and most < 20e6  # a whole matrix of bits or floats: 36 or 144 MB
+
+
+def test_word_hashes_keep_no_words():
+    from tracelake.llm.common import WordHashes
+
+    known = WordHashes.kept()
+    tracemalloc.start()
+    for i in range(100):
+        assert len(known.of([b"w%d" % j for j in range(1000 * i, 1000 * i + 1000)])) == 1000
+    left = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert left < 1e6 and known.of([b"a", b"b"]).tolist() == [ngram_join.xxhash.xxh3_64_intdigest(w) for w in (b"a", b"b")] and not len(known.of([]))
+
+
 def test_one_of_each_keeps_smallest_ids(spark, docs, rows):
     kept = ngram_join.one_of_each(spark, docs)
     assert kept.columns == docs.columns

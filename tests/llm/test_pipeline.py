@@ -80,6 +80,18 @@ def test_stage_on_an_empty_table(spark, medium, stages):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, medium).count() == 0
 
 
+def test_texts_go_to_workers_in_small_batches(spark, medium):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, docs = spark.conf.get(name), spark.read.parquet(f"{medium}/documents.parquet")
+    try:
+        for rows, want in (("10000", 1000), ("0", 1000), ("300", 300)):
+            spark.conf.set(name, rows)
+            corpus_pipeline.mask_secrets(spark, docs, medium)
+            assert int(spark.conf.get(name)) == want
+    finally:
+        spark.conf.set(name, before)
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_its_sql(spark, small, name):
     from oracle import compare, connect

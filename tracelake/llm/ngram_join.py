@@ -38,7 +38,7 @@ n-grams of a text count, however long it is.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -353,19 +353,36 @@ def linked(left: list[tuple[np.ndarray, np.ndarray]], right: list[tuple[np.ndarr
                 yield who, j
 
 
-def met_before(centres: list[np.ndarray], centre: int) -> np.ndarray | None:
-    """Which sets have a smaller centre in common, where they meet too; None if no two have."""
+def meetings(centres: list[np.ndarray], centre: int) -> Callable[[np.ndarray], np.ndarray] | None:
+    """For some of the sets: a row each, which of all sets have a smaller centre in common with it,
+    where they meet too; None if no two have. Memory is that of the rows and of the centres, not of all pairs."""
     own = [c[c < centre] for c in centres]
     every = np.concatenate(own)
-    shared, at, count = np.unique(every, return_inverse=True, return_counts=True)
+    _, at, count = np.unique(every, return_inverse=True, return_counts=True)
     if not (count > 1).any():
         return None
-    number = np.cumsum(count > 1) - 1
+    number, n = np.cumsum(count > 1) - 1, int((count > 1).sum())
     row = np.repeat(np.arange(len(own)), [len(c) for c in own])
     keep = count[at] > 1
-    has = np.zeros((len(own), int(number[-1]) + 1), np.float32)
-    has[row[keep], number[at[keep]]] = 1
-    return has @ has.T > 0
+    # The centres of each set, one after the other; each begins with one, number n, that no set has.
+    row, number = np.append(np.arange(len(own)), row[keep]), np.append(np.full(len(own), n), number[at[keep]])
+    order = np.argsort(row, kind="stable")
+    row, number = row[order], number[order]
+    starts = np.searchsorted(row, np.arange(len(own) + 1))
+
+    def rows(who: np.ndarray) -> np.ndarray:
+        has = np.zeros((len(who), n + 1), bool)
+        for i, w in enumerate(who):
+            has[i, number[starts[w] + 1 : starts[w + 1]]] = True
+        return np.logical_or.reduceat(has[:, number], starts[:-1], axis=1)
+
+    return rows
+
+
+def met_before(centres: list[np.ndarray], centre: int) -> np.ndarray | None:
+    """Which sets have a smaller centre in common, where they meet too; None if no two have."""
+    rows = meetings(centres, centre)
+    return None if rows is None else rows(np.arange(len(centres)))
 
 
 def _join_buckets(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
@@ -377,14 +394,18 @@ def _join_buckets(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     for (centre, i, j), part in pdf.groupby(["centre", "i", "j"], sort=False):
         part = part.drop_duplicates("cls").reset_index(drop=True)
         sets = [pickle.loads(g) for g in part["grams"]]
-        before = met_before([np.asarray(c, np.int64) for c in part["centres"]], centre)
+        met = meetings([np.asarray(c, np.int64) for c in part["centres"]], centre)
         every = np.arange(len(part))
         a, b = (every, every) if i == j else (every[part["own"] == i], every[part["own"] == j])
+        block, before = -1, None  # of the probes, and where they have met all sets
         root, links, copies = every.copy(), np.zeros(len(part), np.int64), part["copies"].to_numpy(np.int64)
         for who, y in linked([sets[x] for x in a], None if i == j else [sets[x] for x in b], percent):
+            if met is not None:
+                if who[0] // PROBES != block:
+                    block = who[0] // PROBES
+                    before = met(a[block * PROBES :][:PROBES])
+                who = who[~before[who - block * PROBES, b[y]]]
             who, y = a[who], b[y]
-            if before is not None:
-                who = who[~before[who, y]]
             links[who] += copies[y]
             links[y] += copies[who].sum()
             roots = np.unique(root[np.append(who, y)])
